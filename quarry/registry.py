@@ -228,3 +228,281 @@ FROM meta m LEFT JOIN vals v ON m.id = v.id LEFT JOIN counts c ON m.id = c.id"""
 
 
 register("truth_table", truth_sql())(lambda spark, d: TR.truth_table(_sem(spark, d)))
+
+
+# --- E: answer scoring ----------------------------------------------------------------------------
+
+from quarry.functions import scoring as S  # noqa: E402
+from quarry.operators import scorecard as SC  # noqa: E402
+from quarry.sources import derived as D  # noqa: E402
+
+WS = S.PY_WHITESPACE_CLASS
+
+
+def _norm_sql(x: str) -> str:
+    return f"lower(trim(regexp_replace(COALESCE({x}, ''), '{WS}', ' ', 'g')))"
+
+
+def _nums_sql(x: str) -> str:
+    return (f"list_filter(list_transform(regexp_extract_all(COALESCE({x}, ''), '{S.NUMBER_PATTERN}'), "
+            f"lambda t: TRY_CAST(replace(t, ',', '') AS DOUBLE)), lambda v: v IS NOT NULL)")
+
+
+@register("norm_text", f"""
+SELECT doc_id, length({_norm_sql('text')}) AS norm_len, md5({_norm_sql('text')}) AS norm_md5 FROM documents
+""")
+def _norm_text(spark, d):
+    n = S.norm("text")
+    return Catalog(spark, d).documents.select("doc_id", F.length(n).alias("norm_len"), F.md5(n).alias("norm_md5"))
+
+
+@register("extract_numbers", f"""
+SELECT doc_id, CAST(len(nums) AS INTEGER) AS n_numbers, nums[1] AS first_number, list_max(nums) AS max_number
+FROM (SELECT doc_id, {_nums_sql('text')} AS nums FROM documents) t
+""")
+def _extract_numbers(spark, d):
+    nums = S.extract_numbers("text")
+    return (Catalog(spark, d).documents.select("doc_id", nums.alias("nums"))
+            .select("doc_id", F.size("nums").alias("n_numbers"), F.try_element_at("nums", F.lit(1)).alias("first_number"),
+                    F.array_max("nums").alias("max_number")))
+
+
+_TOL = "greatest(0.01, abs(expected) * 0.01)"
+
+
+@register("score_scalar_numeric", f"""
+SELECT task_id, expected,
+       len(list_filter(nums, lambda v: abs(v - expected) <= {_TOL})) > 0 AS correct,
+       list_filter(nums, lambda v: abs(v - expected) <= {_TOL})[1] AS matched_number
+FROM (SELECT task_id, expected, {_nums_sql('answer')} AS nums FROM ({D.SCALAR_ANSWERS_SQL}) a) t
+""")
+def _score_scalar_numeric(spark, d):
+    a = D.scalar_answers(Catalog(spark, d))
+    return a.select("task_id", "expected", S.score_scalar_numeric("answer", "expected").alias("correct"),
+                    S.matched_number("answer", "expected").alias("matched_number"))
+
+
+def _type_answers(catalog):
+    p = catalog.part.select("p_partkey", "p_name", "p_type")
+    stated = F.when(F.col("p_partkey") % 11 == 0, F.lit("standard")).otherwise(F.col("p_type"))
+    text = F.when(F.col("p_partkey") % 5 == 0,
+                  F.concat(F.lit("Type:\t"), F.lower(stated), F.lit("  (part "), F.col("p_name"), F.lit(")")))\
+        .otherwise(F.concat(F.lit("The part "), F.col("p_name"), F.lit(" is of type "), stated))
+    return p.select(F.col("p_partkey").alias("task_id"), F.col("p_type").alias("expected"), text.alias("answer"))
+
+
+TYPE_ANSWERS_SQL = """
+SELECT p_partkey AS task_id, p_type AS expected,
+       CASE WHEN p_partkey % 5 = 0
+            THEN 'Type:' || chr(9) || lower(CASE WHEN p_partkey % 11 = 0 THEN 'standard' ELSE p_type END)
+                 || '  (part ' || p_name || ')'
+            ELSE 'The part ' || p_name || ' is of type ' || CASE WHEN p_partkey % 11 = 0 THEN 'standard' ELSE p_type END
+       END AS answer
+FROM part"""
+
+
+@register("score_scalar_text", f"""
+SELECT task_id, expected, contains({_norm_sql('answer')}, {_norm_sql('expected')}) AS correct
+FROM ({TYPE_ANSWERS_SQL}) a
+""")
+def _score_scalar_text(spark, d):
+    a = _type_answers(Catalog(spark, d))
+    return a.select("task_id", "expected", S.score_scalar_text("answer", "expected").alias("correct"))
+
+
+SET_ANSWERS_SQL = """
+SELECT c_nationkey AS task_id, expected_values,
+       'Segments: ' || array_to_string(CASE WHEN c_nationkey % 4 = 0 THEN expected_values[2:] ELSE expected_values END,
+                                       ', ') AS answer
+FROM (SELECT c_nationkey, list_sort(list(c_mktsegment)) AS expected_values
+      FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer) s GROUP BY c_nationkey) g"""
+
+
+@register("score_set_recall", f"""
+SELECT task_id, CAST(len(expected_values) AS INTEGER) AS n_expected,
+       CAST(len(list_filter(expected_values, lambda v: contains({_norm_sql('answer')}, {_norm_sql('v')}))) AS INTEGER)
+         AS n_found,
+       CASE WHEN len(expected_values) = 0 THEN 1.0
+            ELSE len(list_filter(expected_values, lambda v: contains({_norm_sql('answer')}, {_norm_sql('v')})))
+                 / len(expected_values) END AS recall,
+       (CASE WHEN len(expected_values) = 0 THEN 1.0
+            ELSE len(list_filter(expected_values, lambda v: contains({_norm_sql('answer')}, {_norm_sql('v')})))
+                 / len(expected_values) END) >= 0.999 AS correct,
+       array_to_string(list_filter(expected_values,
+                       lambda v: NOT contains({_norm_sql('answer')}, {_norm_sql('v')}))[1:5], '|') AS missing_head
+FROM ({SET_ANSWERS_SQL}) a
+""")
+def _score_set_recall(spark, d):
+    a = D.set_answers(Catalog(spark, d))
+    return a.select("task_id", F.size("expected_values").alias("n_expected"),
+                    F.size(S.set_found("answer", "expected_values")).alias("n_found"),
+                    S.set_recall("answer", "expected_values").alias("recall"),
+                    S.set_correct("answer", "expected_values").alias("correct"),
+                    F.array_join(F.slice(S.set_missing("answer", "expected_values"), 1, 5), "|").alias("missing_head"))
+
+
+_PHRASES_SQL = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in S.REFUSAL_PHRASES) + "]"
+REFUSALS_SQL = """
+SELECT conv_id, turn, text AS answer, CASE WHEN turn % 5 = 0 THEN turn % 10 = 0 END AS verdict
+FROM conversations WHERE role = 'assistant'"""
+
+
+@register("score_refusal", f"""
+SELECT conv_id, turn, verdict,
+       len(list_filter({_PHRASES_SQL}, lambda p: contains({_norm_sql('answer')}, p))) > 0 AS heuristic,
+       COALESCE(verdict, len(list_filter({_PHRASES_SQL}, lambda p: contains({_norm_sql('answer')}, p))) > 0) AS refused
+FROM ({REFUSALS_SQL}) r
+""")
+def _score_refusal(spark, d):
+    a = D.refusal_answers(Catalog(spark, d))
+    return a.select("conv_id", "turn", "verdict", S.refusal_heuristic("answer").alias("heuristic"),
+                    S.score_refusal("answer", "verdict").alias("refused"))
+
+
+@register("score_tasks", f"""
+SELECT 'c' || CAST(task_id AS VARCHAR) AS task_key, 'scalar' AS answer_type,
+       len(list_filter({_nums_sql('answer')}, lambda v: abs(v - expected) <= {_TOL})) > 0 AS correct
+FROM ({D.SCALAR_ANSWERS_SQL}) a
+UNION ALL
+SELECT 'n' || CAST(task_id AS VARCHAR), 'set',
+       (CASE WHEN len(expected_values) = 0 THEN 1.0
+            ELSE len(list_filter(expected_values, lambda v: contains({_norm_sql('answer')}, {_norm_sql('v')})))
+                 / len(expected_values) END) >= 0.999
+FROM ({SET_ANSWERS_SQL}) s
+UNION ALL
+SELECT 'v' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR), 'refusal',
+       COALESCE(verdict, len(list_filter({_PHRASES_SQL}, lambda p: contains({_norm_sql('answer')}, p))) > 0)
+FROM ({REFUSALS_SQL}) r
+""")
+def _score_tasks(spark, d):
+    cat = Catalog(spark, d)
+    sc = D.scalar_answers(cat).select(F.concat(F.lit("c"), F.col("task_id").cast("string")).alias("task_key"),
+                                      F.lit("scalar").alias("answer_type"), "answer", "expected",
+                                      F.lit(None).cast("array<string>").alias("expected_values"),
+                                      F.lit(None).cast("boolean").alias("verdict"))
+    st = D.set_answers(cat).select(F.concat(F.lit("n"), F.col("task_id").cast("string")).alias("task_key"),
+                                   F.lit("set").alias("answer_type"), "answer", F.lit(None).cast("double").alias("expected"),
+                                   "expected_values", F.lit(None).cast("boolean").alias("verdict"))
+    rf = D.refusal_answers(cat).select(
+        F.concat(F.lit("v"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("task_key"),
+        F.lit("refusal").alias("answer_type"), "answer", F.lit(None).cast("double").alias("expected"),
+        F.lit(None).cast("array<string>").alias("expected_values"), "verdict")
+    tasks = sc.unionByName(st).unionByName(rf)
+    return tasks.select("task_key", "answer_type", S.dispatch_correct(
+        "answer_type", S.score_scalar_numeric("answer", "expected"), S.set_correct("answer", "expected_values"),
+        S.score_refusal("answer", "verdict")).alias("correct"))
+
+
+_GROUNDED_SQL = ("(lower(COALESCE(tool_type, 'none')) LIKE '%fabric%' OR lower(COALESCE(tool_name, 'none')) LIKE "
+                 "'%fabric%' OR lower(COALESCE(tool_type, 'none')) LIKE '%mcp%')")
+
+SCORED_LOG_SQL = f"""
+SELECT r.*, {_GROUNDED_SQL} AS called_fabric,
+       CASE WHEN category = 'multi_hop' THEN {_GROUNDED_SQL} AND correct END AS traversal_ok,
+       round_even(input_tokens / 1000000.0 * COALESCE(p.input_rate, CAST({D.DEFAULT_PRICE[0]} AS DOUBLE))
+                  + output_tokens / 1000000.0 * COALESCE(p.output_rate, CAST({D.DEFAULT_PRICE[1]} AS DOUBLE)), 8) AS cost_usd
+FROM ({D.RUN_LOG_SQL}) r LEFT JOIN {D.PRICES_SQL} ON r.model = p.model"""
+
+
+def _scored(spark, d):
+    return SC.scored_run_log(Catalog(spark, d), spark)
+
+
+@register("grounding_flags", f"""
+SELECT task_id, model, called_fabric, CAST(1 AS INTEGER) AS tool_call_count, has_rows FROM ({SCORED_LOG_SQL}) t
+""")
+def _grounding_flags(spark, d):
+    return _scored(spark, d).select("task_id", "model", "called_fabric", "tool_call_count", "has_rows")
+
+
+@register("task_cost", f"SELECT task_id, model, cost_usd FROM ({SCORED_LOG_SQL}) t")
+def _task_cost(spark, d):
+    return _scored(spark, d).select("task_id", "model", "cost_usd")
+
+
+register("price_fallback_join", f"""
+SELECT m.model, COALESCE(p.input_rate, CAST({D.DEFAULT_PRICE[0]} AS DOUBLE)) AS input_rate,
+       COALESCE(p.output_rate, CAST({D.DEFAULT_PRICE[1]} AS DOUBLE)) AS output_rate, p.model IS NULL AS used_default
+FROM (SELECT DISTINCT 'm' || CAST(event_id % 4 AS VARCHAR) AS model FROM events) m LEFT JOIN {D.PRICES_SQL}
+  ON m.model = p.model
+""")(lambda spark, d: SC.priced(
+    Catalog(spark, d).events.select(F.concat(F.lit("m"), (F.col("event_id") % 4).cast("string")).alias("model"))
+    .distinct().join(F.broadcast(D.prices(spark).select("model", F.lit(False).alias("used_default"))), "model", "left"),
+    D.prices(spark)).select("model", "input_rate", "output_rate",
+                            F.coalesce("used_default", F.lit(True)).alias("used_default")))
+
+
+@register("verdict_agreement", f"""
+SELECT correct AS sql_correct, judge_correct, COUNT(*) AS n FROM ({D.RUN_LOG_SQL}) t GROUP BY correct, judge_correct
+""")
+def _verdict_agreement(spark, d):
+    return (D.run_log(Catalog(spark, d)).groupBy(F.col("correct").alias("sql_correct"), "judge_correct")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+# --- F: scorecards ----------------------------------------------------------------------------------
+
+SCORECARD_SQL = f"""
+SELECT model, n_tasks, correct,
+       CASE WHEN n_tasks > 0 THEN round_even(100.0 * correct / n_tasks, 1) ELSE 0.0 END AS overall_pct,
+       tokens_in, tokens_out, tokens_in + tokens_out AS tokens_total,
+       round_even((tokens_in + tokens_out) / n_tasks, 1) AS tokens_avg,
+       round_even(cost, 6) AS cost_total, round_even(cost / n_tasks, 6) AS cost_avg,
+       CASE WHEN correct > 0 THEN round_even(cost / correct, 6) END AS cost_per_correct,
+       CAST(round_even(lat / n_tasks, 0) AS BIGINT) AS latency_avg,
+       round_even(100.0 * grounded / n_tasks, 1) AS grounded_pct,
+       CASE WHEN multi_hop_n > 0 THEN round_even(100.0 * trav / multi_hop_n, 1) ELSE 0.0 END AS traversal_pct,
+       multi_hop_n, n_config_hashes = 1 AS single_config, n_config_hashes, config_hash_min
+FROM (SELECT model, COUNT(*) AS n_tasks, SUM(CAST(correct AS INTEGER)) AS correct,
+             SUM(input_tokens) AS tokens_in, SUM(output_tokens) AS tokens_out, SUM(cost_usd) AS cost,
+             SUM(latency_ms) AS lat, SUM(CAST(called_fabric AS INTEGER)) AS grounded,
+             SUM(CAST(COALESCE(traversal_ok, FALSE) AS INTEGER)) AS trav,
+             SUM(CAST(category = 'multi_hop' AS INTEGER)) AS multi_hop_n,
+             COUNT(DISTINCT config_hash) AS n_config_hashes, MIN(config_hash) AS config_hash_min
+      FROM ({SCORED_LOG_SQL}) t GROUP BY model) a"""
+
+register("scorecard", SCORECARD_SQL)(lambda spark, d: SC.scorecard(_scored(spark, d)))
+
+
+@register("latency_percentiles", f"""
+SELECT model, n AS n_tasks,
+       MAX(CASE WHEN rn = n // 2 THEN latency_ms END) AS p50,
+       MAX(CASE WHEN rn = least(n - 1, CAST(floor(CAST(0.95 AS DOUBLE) * n) AS BIGINT)) THEN latency_ms END) AS p95,
+       MAX(latency_ms) AS max
+FROM (SELECT model, latency_ms, row_number() OVER (PARTITION BY model ORDER BY latency_ms) - 1 AS rn,
+             COUNT(*) OVER (PARTITION BY model) AS n FROM ({D.RUN_LOG_SQL}) r) s
+GROUP BY model, n
+""")
+def _latency_percentiles(spark, d):
+    return SC.latency_percentiles(D.run_log(Catalog(spark, d)))
+
+
+@register("scorecard_by_category", f"""
+SELECT model, COALESCE(category, 'ALL') AS category, COUNT(*) AS n, SUM(CAST(correct AS INTEGER)) AS correct,
+       round_even(100.0 * SUM(CAST(correct AS INTEGER)) / COUNT(*), 1) AS pct, GROUPING(category) > 0 AS is_total
+FROM ({D.RUN_LOG_SQL}) r GROUP BY ROLLUP (model, category) HAVING GROUPING(model) = 0
+""")
+def _scorecard_by_category(spark, d):
+    return SC.scorecard_by_category(D.run_log(Catalog(spark, d)))
+
+
+@register("config_uniformity", f"""
+SELECT model, COUNT(DISTINCT config_hash) AS n_hashes, MIN(config_hash) AS hash_min,
+       COUNT(DISTINCT config_hash) = 1 AS single_config,
+       (SELECT COUNT(DISTINCT config_hash) FROM ({D.RUN_LOG_SQL}) x) = 1 AS shared_across_runs,
+       (SELECT COUNT(DISTINCT config_hash) = 1 AND MIN(config_hash) = 'f9a15da1' FROM ({D.RUN_LOG_SQL}) x) AS equals_pinned
+FROM ({D.RUN_LOG_SQL}) r GROUP BY model
+""")
+def _config_uniformity(spark, d):
+    return SC.config_uniformity(D.run_log(Catalog(spark, d)), expected=D.CONFIG_HASH)
+
+
+@register("tuning_summary", f"""
+SELECT model, split, COUNT(*) AS n, SUM(CAST(correct AS INTEGER)) AS correct,
+       SUM(input_tokens + output_tokens) AS tokens, SUM(CAST(category = 'negative' AS INTEGER)) AS neg_n,
+       SUM(CAST(category = 'negative' AND correct AS INTEGER)) AS neg_correct,
+       round_even(100.0 * SUM(CAST(correct AS INTEGER)) / COUNT(*), 2) AS accuracy_pct
+FROM ({D.RUN_LOG_SQL}) r GROUP BY model, split
+""")
+def _tuning_summary(spark, d):
+    return SC.tuning_summary(D.run_log(Catalog(spark, d)), ["model", "split"])
