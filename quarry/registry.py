@@ -506,3 +506,145 @@ FROM ({D.RUN_LOG_SQL}) r GROUP BY model, split
 """)
 def _tuning_summary(spark, d):
     return SC.tuning_summary(D.run_log(Catalog(spark, d)), ["model", "split"])
+
+
+# --- G: run comparison ----------------------------------------------------------------------------
+
+from quarry.operators import compare as CMP  # noqa: E402
+
+ANCHOR, CHALLENGER = "m0", "m1"
+RUNS = ["m0", "m1", "m2", "m3"]
+MATRIX_METRICS = ["overall_pct", "tokens_total", "tokens_avg", "cost_total", "cost_per_correct", "latency_avg",
+                  "grounded_pct", "traversal_pct"]
+BOOT_RESAMPLES, BOOT_SEED = 200, 20260731
+
+PAIRS_SQL = f"""
+SELECT task_id, MAX(CASE WHEN model = '{CHALLENGER}' THEN CAST(correct AS INTEGER) END) AS a_correct,
+       MAX(CASE WHEN model = '{ANCHOR}' THEN CAST(correct AS INTEGER) END) AS b_correct
+FROM ({D.RUN_LOG_SQL}) r WHERE model IN ('{CHALLENGER}', '{ANCHOR}') GROUP BY task_id
+HAVING MAX(CASE WHEN model = '{CHALLENGER}' THEN 1 END) IS NOT NULL
+   AND MAX(CASE WHEN model = '{ANCHOR}' THEN 1 END) IS NOT NULL"""
+
+
+def _cards(spark, d):
+    return SC.scorecard(_scored(spark, d))
+
+
+register("metric_matrix", "SELECT metric, " + ", ".join(
+    f"MAX(CASE WHEN model = '{m}' THEN value END) AS {m}" for m in RUNS) + " FROM (" + " UNION ALL ".join(
+    f"SELECT model, '{x}' AS metric, CAST({x} AS DOUBLE) AS value FROM ({SCORECARD_SQL}) s" for x in MATRIX_METRICS)
+    + ") u GROUP BY metric")(lambda spark, d: CMP.metric_matrix(_cards(spark, d), MATRIX_METRICS, RUNS))
+
+register("pareto_check", f"""
+SELECT '{ANCHOR}' AS reference, c.model AS challenger, c.overall_pct >= r.overall_pct AS accuracy_ge,
+       CASE WHEN r.tokens_total <> 0 THEN round_even(c.tokens_total / r.tokens_total, 3) END AS tokens_ratio,
+       CASE WHEN r.cost_total <> 0 THEN round_even(c.cost_total / r.cost_total, 3) END AS cost_ratio,
+       r.tokens_total > 0 AND c.tokens_total <= CAST(0.75 AS DOUBLE) * r.tokens_total AS tokens_much_less,
+       r.cost_total > 0 AND c.cost_total <= CAST(0.75 AS DOUBLE) * r.cost_total AS cost_much_less,
+       c.overall_pct >= r.overall_pct AND r.tokens_total > 0 AND c.tokens_total <= CAST(0.75 AS DOUBLE) * r.tokens_total
+         AND r.cost_total > 0 AND c.cost_total <= CAST(0.75 AS DOUBLE) * r.cost_total AS pareto_win
+FROM ({SCORECARD_SQL}) c, (SELECT * FROM ({SCORECARD_SQL}) x WHERE model = '{ANCHOR}') r WHERE c.model <> '{ANCHOR}'
+""")(lambda spark, d: CMP.pareto_check(_cards(spark, d), ANCHOR))
+
+register("paired_delta", f"SELECT task_id, a_correct, b_correct, a_correct - b_correct AS delta FROM ({PAIRS_SQL}) p")(
+    lambda spark, d: CMP.pair_runs(D.run_log(Catalog(spark, d)), CHALLENGER, ANCHOR).withColumn(
+        "delta", F.col("a_correct") - F.col("b_correct")))
+
+BOOTSTRAP_SQL = f"""
+WITH p AS ({PAIRS_SQL}),
+c AS (SELECT COUNT(*) AS m, SUM(CASE WHEN a_correct = 1 AND b_correct = 1 THEN 1 ELSE 0 END) AS c11,
+             SUM(CASE WHEN a_correct = 1 AND b_correct = 0 THEN 1 ELSE 0 END) AS c10,
+             SUM(CASE WHEN a_correct = 0 AND b_correct = 1 THEN 1 ELSE 0 END) AS c01 FROM p),
+dr AS (SELECT t.r, ('0x' || substr(md5('{BOOT_SEED}:' || CAST(t.r AS VARCHAR) || ':' || CAST(s.j AS VARCHAR)), 1, 8))::BIGINT
+              % c.m AS idx, c.m, c.c11, c.c10, c.c01
+       FROM range({BOOT_RESAMPLES}) t(r), c, range(c.m) s(j)),
+per AS (SELECT r, SUM(CASE WHEN idx < c11 + c10 THEN 1 ELSE 0 END) / MAX(m) AS ka,
+               SUM(CASE WHEN idx < c11 OR (idx >= c11 + c10 AND idx < c11 + c10 + c01) THEN 1 ELSE 0 END) / MAX(m) AS kb
+        FROM dr GROUP BY r),
+ranked AS (SELECT (ka - kb) * CAST(100 AS DOUBLE) AS d, row_number() OVER (ORDER BY (ka - kb) * CAST(100 AS DOUBLE), r) - 1 AS i
+           FROM per),
+ci AS (SELECT round_even(MAX(CASE WHEN i = {int(0.025 * BOOT_RESAMPLES)} THEN d END), 1) AS ci_lo,
+              round_even(MAX(CASE WHEN i = {int(0.975 * BOOT_RESAMPLES)} THEN d END), 1) AS ci_hi FROM ranked),
+obs AS (SELECT m, round_even(CAST(100 AS DOUBLE) * (c11 + c10) / m, 1) AS acc_a_pct,
+               round_even(CAST(100 AS DOUBLE) * (c11 + c01) / m, 1) AS acc_b_pct FROM c)
+SELECT '{CHALLENGER}' AS model_a, '{ANCHOR}' AS model_b, CAST(obs.m AS BIGINT) AS n_paired,
+       CAST({BOOT_RESAMPLES} AS BIGINT) AS resamples, acc_a_pct, acc_b_pct, round_even(acc_a_pct - acc_b_pct, 1) AS delta_pct,
+       ci_lo, ci_hi, ci_lo <= 0 AND ci_hi >= 0 AS includes_zero
+FROM obs, ci"""
+
+register("paired_bootstrap_ci", BOOTSTRAP_SQL)(lambda spark, d: CMP.paired_bootstrap_ci(
+    spark, D.run_log(Catalog(spark, d)), CHALLENGER, ANCHOR, resamples=BOOT_RESAMPLES, seed=BOOT_SEED, method="hash"))
+
+BY_CAT_SQL = f"""
+SELECT model, category, COUNT(*) AS n, SUM(CAST(correct AS INTEGER)) AS correct FROM ({D.RUN_LOG_SQL}) r
+GROUP BY model, category"""
+
+register("category_vs_anchor", f"""
+SELECT c.model, c.category, c.correct, a.correct AS anchor_correct, c.n
+FROM ({BY_CAT_SQL}) c JOIN ({BY_CAT_SQL}) a ON a.category = c.category AND a.model = '{ANCHOR}'
+WHERE c.model <> '{ANCHOR}'
+""")(lambda spark, d: CMP.category_vs_anchor(
+    SC.scorecard_by_category(D.run_log(Catalog(spark, d))).where(~F.col("is_total")), ANCHOR))
+
+register("miss_classes", f"""
+SELECT r.model, CASE WHEN NOT r.correct AND NOT a.correct THEN 'shared_miss' WHEN NOT r.correct THEN 'contested_miss'
+                     WHEN NOT a.correct THEN 'anchor_only_miss' ELSE 'both_correct' END AS miss_class, COUNT(*) AS n
+FROM ({D.RUN_LOG_SQL}) r JOIN ({D.RUN_LOG_SQL}) a ON a.task_id = r.task_id AND a.model = '{ANCHOR}'
+WHERE r.model <> '{ANCHOR}' GROUP BY 1, 2
+""")(lambda spark, d: CMP.miss_classes(D.run_log(Catalog(spark, d)), ANCHOR))
+
+register("flips", f"""
+SELECT task_id, a_correct, b_correct, CASE WHEN a_correct > b_correct THEN 'gained' ELSE 'lost' END AS direction
+FROM ({PAIRS_SQL}) p WHERE a_correct <> b_correct
+""")(lambda spark, d: CMP.flips(D.run_log(Catalog(spark, d)), CHALLENGER, ANCHOR))
+
+register("passrate_cube", f"""
+SELECT category, has_rows, COUNT(*) AS n, SUM(CAST(correct AS INTEGER)) AS passed,
+       CAST(GROUPING(category, has_rows) AS BIGINT) AS grouping,
+       round_even(CAST(100 AS DOUBLE) * SUM(CAST(correct AS INTEGER)) / COUNT(*), 1) AS pass_pct
+FROM ({D.RUN_LOG_SQL}) r GROUP BY CUBE (category, has_rows)
+""")(lambda spark, d: CMP.passrate_cube(D.run_log(Catalog(spark, d)), ["category", "has_rows"]))
+
+COST_CEILING_USD = 50.0
+
+register("cost_projection", f"""
+SELECT s.model, a.tokens_in AS anchor_tokens_in, a.tokens_out AS anchor_tokens_out,
+       round_even(a.tokens_in / 1e6 * COALESCE(p.input_rate, CAST(1.0 AS DOUBLE))
+                  + a.tokens_out / 1e6 * COALESCE(p.output_rate, CAST(5.0 AS DOUBLE)), 4) AS answer_usd,
+       round_even((a.tokens_in / 1e6 * COALESCE(p.input_rate, CAST(1.0 AS DOUBLE))
+                  + a.tokens_out / 1e6 * COALESCE(p.output_rate, CAST(5.0 AS DOUBLE))) * CAST(2.5 AS DOUBLE), 4) AS projected_usd,
+       round_even((a.tokens_in / 1e6 * COALESCE(p.input_rate, CAST(1.0 AS DOUBLE))
+                  + a.tokens_out / 1e6 * COALESCE(p.output_rate, CAST(5.0 AS DOUBLE))) * CAST(2.5 AS DOUBLE), 4)
+         <= {COST_CEILING_USD} AS within_ceiling
+FROM ({SCORECARD_SQL}) s CROSS JOIN (SELECT * FROM ({SCORECARD_SQL}) x WHERE model = '{ANCHOR}') a
+LEFT JOIN {D.PRICES_SQL} ON p.model = s.model
+""")(lambda spark, d: CMP.cost_projection(_cards(spark, d), D.prices(spark), ANCHOR, 2.5, COST_CEILING_USD))
+
+register("relative_savings", f"""
+SELECT c.model, round_even((a.cost_avg - c.cost_avg) / a.cost_avg * 100, 1) AS pct_cheaper_per_query,
+       round_even((a.cost_per_correct - c.cost_per_correct) / a.cost_per_correct * 100, 1) AS pct_cheaper_per_correct,
+       round_even((a.cost_avg - c.cost_avg) * CAST(1e6 AS DOUBLE), 2) AS saved_per_1m_queries
+FROM ({SCORECARD_SQL}) c CROSS JOIN (SELECT * FROM ({SCORECARD_SQL}) x WHERE model = '{ANCHOR}') a
+WHERE c.model <> '{ANCHOR}'
+""")(lambda spark, d: CMP.relative_savings(_cards(spark, d), ANCHOR))
+
+
+@register("verdict_clauses", f"""
+WITH s AS ({SCORECARD_SQL}), b AS ({BOOTSTRAP_SQL}),
+n AS (SELECT SUM(CAST(category = 'negative' AS INTEGER)) AS neg_n,
+             SUM(CAST(category = 'negative' AND correct AS INTEGER)) AS neg_correct
+      FROM ({D.RUN_LOG_SQL}) r WHERE model = '{CHALLENGER}')
+SELECT '{CHALLENGER}' AS challenger, b.includes_zero AS accuracy_within_noise,
+       (SELECT grounded_pct FROM s WHERE model = '{CHALLENGER}') >= 95.0 AS grounded_ok,
+       n.neg_correct = n.neg_n AS refusals_kept,
+       (SELECT cost_total FROM s WHERE model = '{CHALLENGER}') < (SELECT cost_total FROM s WHERE model = '{ANCHOR}')
+         AS cost_lower
+FROM b, n
+""")
+def _verdict_clauses(spark, d):
+    log = D.run_log(Catalog(spark, d))
+    cards = _cards(spark, d)
+    boot = CMP.paired_bootstrap_ci(spark, log, CHALLENGER, ANCHOR, resamples=BOOT_RESAMPLES, seed=BOOT_SEED,
+                                   method="hash")
+    neg = SC.tuning_summary(log, ["model"])
+    return CMP.verdict_clauses(cards, boot, neg, ANCHOR, CHALLENGER)
