@@ -648,3 +648,191 @@ def _verdict_clauses(spark, d):
                                    method="hash")
     neg = SC.tuning_summary(log, ["model"])
     return CMP.verdict_clauses(cards, boot, neg, ANCHOR, CHALLENGER)
+
+
+# --- H: evidence packing --------------------------------------------------------------------------
+
+from quarry.operators import evidence as EV  # noqa: E402
+
+
+def _cell_sql(x: str) -> str:
+    return (f"(CASE WHEN regexp_matches(COALESCE({x}, ''), '[,\"\\r\\n]') "
+            f"THEN '\"' || replace(COALESCE({x}, ''), '\"', '\"\"') || '\"' ELSE COALESCE({x}, '') END)")
+
+
+_ORDER_CELL_SQL = {
+    "o_orderkey": "CAST(o_orderkey AS VARCHAR)", "o_orderstatus": "o_orderstatus",
+    "o_totalprice": "printf('%.2f', o_totalprice)", "o_orderpriority": "o_orderpriority",
+    "notes": "(o_orderpriority || ', status ' || o_orderstatus)"}
+
+
+def _block_sql(drop: list[str]) -> str:
+    keep = [c for c in EV.ORDER_CELLS if c not in drop]
+    return ("'" + ",".join(keep) + "' || chr(10) || " + " || ',' || ".join(_cell_sql(_ORDER_CELL_SQL[c]) for c in keep))
+
+
+def _blocks(spark, d, drop):
+    return EV.order_blocks(Catalog(spark, d), drop)
+
+
+register("evidence_project", f"""
+SELECT o_custkey AS question_id, o_orderkey AS ref_no, {_block_sql(['o_totalprice', 'notes'])} AS block FROM orders
+""")(lambda spark, d: _blocks(spark, d, ["o_totalprice", "notes"]))
+
+register("evidence_cap", """
+SELECT question_id, ref_no, shown_no, n_total FROM (
+  SELECT o_custkey AS question_id, o_orderkey AS ref_no,
+         CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS shown_no,
+         COUNT(*) OVER (PARTITION BY o_custkey) AS n_total FROM orders) t WHERE shown_no <= 3
+""")(lambda spark, d: EV.cap_blocks(_blocks(spark, d, ["notes"]), 3).select("question_id", "ref_no", "shown_no", "n_total"))
+
+register("evidence_truncate", f"""
+SELECT o_custkey AS question_id, o_orderkey AS ref_no, substr({_block_sql(['notes'])}, 1, 60) AS block FROM orders
+""")(lambda spark, d: _blocks(spark, d, ["notes"]).select("question_id", "ref_no", EV.truncate(F.col("block"), 60).alias("block")))
+
+_NONWS = EV._NON_WS
+_EDGES = EV._WS_EDGES
+COMPOSE_CAP, COMPOSE_CHARS = 5, 120
+
+COMPOSE_SQL = f"""
+WITH b AS (SELECT o_custkey AS question_id, o_orderkey AS ref_no, {_block_sql(['notes'])} AS block FROM orders),
+r AS (SELECT question_id, ref_no, substr(regexp_replace(block, '{_EDGES}', '', 'g'), 1, {COMPOSE_CHARS}) AS block,
+             row_number() OVER (PARTITION BY question_id ORDER BY ref_no) AS shown_no,
+             COUNT(*) OVER (PARTITION BY question_id) AS n_total FROM b),
+agg AS (SELECT question_id, string_agg('### reference ' || CAST(shown_no AS VARCHAR) || chr(10) || block, chr(10)
+                                       ORDER BY shown_no) AS refs, MAX(n_total) AS n_total, COUNT(*) AS n_shown
+        FROM r WHERE shown_no <= {COMPOSE_CAP} GROUP BY question_id),
+anyrows AS (SELECT question_id, bool_or(regexp_matches(block, '{_NONWS}')) AS has_rows FROM b GROUP BY question_id),
+q AS (SELECT c_custkey AS question_id, 'Which orders did ' || c_name || ' place?' AS question,
+             CASE WHEN c_custkey % 97 = 0 THEN 'HTTP 500: upstream timeout' END AS error,
+             CASE WHEN c_custkey % 2 = 0 THEN 'Orders of ' || c_name || ' follow.' END AS summary FROM customer),
+t AS (SELECT q.question_id, COALESCE(agg.n_total, 0) AS n_total, COALESCE(agg.n_shown, 0) AS n_shown,
+             COALESCE(anyrows.has_rows, FALSE) AS has_rows,
+             '{EV.HEAD_QUESTION}' || chr(10) || q.question || chr(10) || chr(10) || '{EV.HEAD_EVIDENCE}' || chr(10) ||
+             CASE WHEN q.error IS NOT NULL THEN '{EV.ERROR_PREFIX}' || q.error || chr(10) || '{EV.ERROR_TAIL}'
+                  WHEN NOT COALESCE(anyrows.has_rows, FALSE) THEN '{EV.NO_ROWS_1}' || chr(10) || '{EV.NO_ROWS_2}'
+                  ELSE CASE WHEN length(COALESCE(q.summary, '')) > 0
+                            THEN '{EV.HEAD_SUMMARY}' || chr(10) || q.summary || chr(10) || chr(10) ELSE '' END
+                       || '{EV.HEAD_ROWS}' || chr(10) || agg.refs
+                       || CASE WHEN agg.n_total > agg.n_shown THEN chr(10) || '{EV.NOTE_HEADER}' || chr(10) ||
+                               CAST(agg.n_shown AS VARCHAR) || ' of ' || CAST(agg.n_total AS VARCHAR) || '{EV.NOTE_TAIL}'
+                               ELSE '' END
+             END AS text
+      FROM q LEFT JOIN agg ON q.question_id = agg.question_id LEFT JOIN anyrows ON q.question_id = anyrows.question_id)
+SELECT question_id, n_total, n_shown, has_rows, CAST(length(text) AS INTEGER) AS text_chars, md5(text) AS text_md5 FROM t"""
+
+
+@register("evidence_compose", COMPOSE_SQL)
+def _evidence_compose(spark, d):
+    cat = Catalog(spark, d)
+    out = EV.compose_inputs(EV.customer_questions(cat), EV.order_blocks(cat, ["notes"]), include_summary=True,
+                            max_rows=COMPOSE_CAP, max_row_chars=COMPOSE_CHARS)
+    return out.select("question_id", "n_total", "n_shown", "has_rows", F.length("text").alias("text_chars"),
+                      F.md5("text").alias("text_md5"))
+
+
+def _json_str_sql(x: str) -> str:
+    return ("'\"' || replace(replace(replace(replace(replace(" + x +
+            ", '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') || '\"'")
+
+
+RESPONSES_SQL = f"""
+SELECT o_orderkey AS response_id,
+  '{{"references": [{{"sourceData": {{"fabricRawData": ' ||
+  {_json_str_sql(f"CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE {_block_sql([])} END")} || '}}}}' ||
+  CASE WHEN o_orderkey % 3 <> 0 THEN ', {{"sourceData": {{"fabricAnswer": ' ||
+       {_json_str_sql("'Order ' || CAST(o_orderkey AS VARCHAR) || ' is ' || o_orderstatus")} || '}}}}' ELSE '' END ||
+  '], "response": [{{"content": [{{"type": "text", "text": ' || {_json_str_sql("'Priority ' || o_orderpriority")} ||
+  '}}]}}]}}' AS body
+FROM orders"""
+
+
+@register("references_extract", f"""
+SELECT response_id, CAST(json_array_length(body, '$.references') AS INTEGER) AS n_refs,
+       CAST(len(blocks) AS INTEGER) AS n_blocks,
+       COALESCE(list_sum(list_transform(blocks, lambda x: length(x))), 0) AS blocks_chars,
+       COALESCE(list_filter(json_extract_string(body, '$.references[*].sourceData.fabricAnswer'),
+                            lambda x: x IS NOT NULL AND length(x) > 0)[1],
+                json_extract_string(list_filter(CAST(json_extract(body, '$.response[*].content[*]') AS JSON[]),
+                     lambda c: json_extract_string(c, '$.type') = 'text' AND length(json_extract_string(c, '$.text')) > 0)[1],
+                     '$.text')) AS synthesized
+FROM (SELECT response_id, body, list_filter(json_extract_string(body, '$.references[*].sourceData.fabricRawData'),
+                                              lambda x: x IS NOT NULL AND length(x) > 0) AS blocks
+      FROM ({RESPONSES_SQL}) r) t
+""")
+def _references_extract(spark, d):
+    ex = EV.extract_references(EV.order_responses(Catalog(spark, d)))
+    return ex.select("response_id", "n_refs", F.size("blocks").alias("n_blocks"),
+                     F.aggregate("blocks", F.lit(0).cast("long"), lambda acc, x: acc + F.length(x)).alias("blocks_chars"),
+                     "synthesized")
+
+
+def _edit_json(k: Column) -> Column:
+    return F.concat(F.lit('{"max_rows": "'), (k % 10).cast("string"), F.lit('", "bogus": "x"'),
+                    F.when(k % 3 == 0, F.lit(', "include_synthesized_answer": "false"')).otherwise(F.lit("")),
+                    F.when(k % 5 == 0, F.concat(F.lit(', "max_row_chars": "'), (k * 7).cast("string"), F.lit('"')))
+                    .otherwise(F.lit("")), F.lit("}"))
+
+
+_K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
+
+
+@register("config_overlay", f"""
+SELECT event_id AS cid, CASE WHEN {_K} % 3 = 0 THEN 'false' ELSE 'true' END AS include_synthesized_answer,
+       CAST({_K} % 10 AS VARCHAR) AS max_rows, '' AS drop_columns,
+       CASE WHEN {_K} % 5 = 0 THEN CAST({_K} * 7 AS VARCHAR) END AS max_row_chars
+FROM events
+""")
+def _config_overlay(spark, d):
+    ev = Catalog(spark, d).events.select(F.col("event_id").alias("cid"),
+                                         _edit_json(F.get_json_object("props", "$.k").cast("int")).alias("edit"))
+    return EV.resolved_config(ev, "edit").drop("edit")
+
+
+TRIM_DROP, TRIM_CHARS = ["o_totalprice", "notes"], 40
+
+register("trim_effect", f"""
+SELECT question_id, full_chars, trimmed_chars, round_even(CAST(100 AS DOUBLE) * (full_chars - trimmed_chars) / full_chars, 1)
+       AS saved_pct, is_total
+FROM (SELECT o_custkey AS question_id, SUM(length({_block_sql([])})) AS full_chars,
+             SUM(length(substr({_block_sql(TRIM_DROP)}, 1, {TRIM_CHARS}))) AS trimmed_chars,
+             GROUPING(o_custkey) > 0 AS is_total
+      FROM orders GROUP BY ROLLUP (o_custkey)) t
+""")(lambda spark, d: (
+    EV.order_block_variants(Catalog(spark, d), {"block": [], "trimmed": TRIM_DROP})
+    .rollup("question_id").agg(F.sum(F.length("block")).alias("full_chars"),
+                               F.sum(F.length(EV.truncate(F.col("trimmed"), TRIM_CHARS))).alias("trimmed_chars"),
+                               (F.grouping_id() > 0).alias("is_total"))
+    .select("question_id", "full_chars", "trimmed_chars",
+            F.bround(F.lit(100.0) * (F.col("full_chars") - F.col("trimmed_chars")) / F.col("full_chars"), 1).alias("saved_pct"),
+            "is_total")))
+
+
+def _config_fields(k: Column):
+    return [("instructions", F.concat(F.lit("Answer only from evidence.\nVariant "), (k % 5).cast("string")), "str"),
+            ("tools", F.concat(F.lit('{"grounding": {"description": "kb v'), (k % 3).cast("string"), F.lit('"}}')), "str"),
+            ("skills", F.array(F.concat(F.lit("skill-"), (k % 3).cast("string"))), "str_array"),
+            ("injection", F.when(k % 4 == 0, F.concat(F.lit('{"max_rows": '), (k % 10).cast("string"), F.lit("}"))), "str")]
+
+
+register("config_hash", f"""
+SELECT event_id AS cid, sha256('{{' || CASE WHEN {_K} % 4 = 0 THEN '"injection": ' ||
+         {_json_str_sql("'{\"max_rows\": ' || CAST(" + _K + " % 10 AS VARCHAR) || '}'")} || ', ' ELSE '' END ||
+       '"instructions": ' || {_json_str_sql("'Answer only from evidence.' || chr(10) || 'Variant ' || CAST(" + _K + " % 5 AS VARCHAR)")} ||
+       ', "skills": [' || {_json_str_sql("'skill-' || CAST(" + _K + " % 3 AS VARCHAR)")} || '], "tools": ' ||
+       {_json_str_sql("'{\"grounding\": {\"description\": \"kb v' || CAST(" + _K + " % 3 AS VARCHAR) || '\"}}'")} || '}}') AS config_hash
+FROM events
+""")(lambda spark, d: Catalog(spark, d).events.select(
+    F.col("event_id").alias("cid"),
+    EV.config_fingerprint(_config_fields(F.get_json_object("props", "$.k").cast("int"))).alias("config_hash")))
+
+register("evidence_wellformed", f"""
+SELECT o_custkey AS question_id, o_orderkey AS ref_no,
+       list_contains(string_split(string_split(CASE WHEN o_orderkey % 4 = 0 THEN {_block_sql(['o_orderpriority'])}
+                                                     ELSE {_block_sql([])} END, chr(10))[1], ','), 'o_orderpriority')
+         AS wellformed
+FROM orders
+""")(lambda spark, d: (
+    EV.order_block_variants(Catalog(spark, d), {"block": [], "thin": ["o_orderpriority"]})
+    .select("question_id", "ref_no", EV.header_has(
+        F.when(F.col("ref_no") % 4 == 0, F.col("thin")).otherwise(F.col("block")), "o_orderpriority").alias("wellformed"))))
