@@ -836,3 +836,74 @@ FROM orders
     EV.order_block_variants(Catalog(spark, d), {"block": [], "thin": ["o_orderpriority"]})
     .select("question_id", "ref_no", EV.header_has(
         F.when(F.col("ref_no") % 4 == 0, F.col("thin")).otherwise(F.col("block")), "o_orderpriority").alias("wellformed"))))
+
+
+# --- I: tuning-run analytics ----------------------------------------------------------------------
+
+from quarry.operators import tuning as TU  # noqa: E402
+
+_P = "(n.train_acc > w.b_tacc OR (n.train_acc = w.b_tacc AND n.train_tokens < w.b_ttok)) AND n.train_neg >= w.b_tneg"
+_A = ("(n.dev_acc > w.b_dacc OR (n.dev_acc = w.b_dacc AND n.dev_tokens < w.b_dtok)) AND n.dev_acc >= w.s_dacc "
+      "AND n.dev_neg >= w.s_dneg")
+
+REPLAY_SQL = f"""
+WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step_ts, cid) AS step
+                     FROM ({D.CANDIDATES_SQL}) x),
+w AS (
+  SELECT run_id, step, cid, TRUE AS promising, TRUE AS adopted, CAST(NULL AS BIGINT) AS parent_cid, 0 AS depth,
+         cid AS b_cid, train_acc AS b_tacc, train_tokens AS b_ttok, train_neg AS b_tneg, dev_acc AS b_dacc,
+         dev_tokens AS b_dtok, dev_acc AS s_dacc, dev_neg AS s_dneg
+  FROM c WHERE step = 1
+  UNION ALL
+  SELECT run_id, step, cid, p, a, b_cid, CASE WHEN a THEN depth + 1 ELSE depth END,
+         CASE WHEN a THEN cid ELSE b_cid END, CASE WHEN a THEN train_acc ELSE b_tacc END,
+         CASE WHEN a THEN train_tokens ELSE b_ttok END, CASE WHEN a THEN train_neg ELSE b_tneg END,
+         CASE WHEN a THEN dev_acc ELSE b_dacc END, CASE WHEN a THEN dev_tokens ELSE b_dtok END, s_dacc, s_dneg
+  FROM (SELECT n.run_id, n.step, n.cid, n.train_acc, n.train_tokens, n.train_neg, n.dev_acc, n.dev_tokens,
+               w.b_cid, w.b_tacc, w.b_ttok, w.b_tneg, w.b_dacc, w.b_dtok, w.s_dacc, w.s_dneg, w.depth,
+               ({_P}) AS p, ({_P}) AND ({_A}) AS a
+        FROM w JOIN c n ON n.run_id = w.run_id AND n.step = w.step + 1) y
+)
+SELECT run_id, cid, promising, adopted, parent_cid, depth FROM w"""
+
+
+def _replay(spark, d):
+    return TU.replay_adopt_gate(D.candidates(Catalog(spark, d)))
+
+
+register("adopt_gate_replay", REPLAY_SQL)(
+    lambda spark, d: _replay(spark, d).select("run_id", "cid", "promising", "adopted", "parent_cid", "depth"))
+
+register("candidate_ranking", f"""
+SELECT r.run_id, r.cid, c.dev_acc, c.dev_tokens,
+       row_number() OVER (PARTITION BY r.run_id ORDER BY c.dev_acc DESC, c.dev_tokens ASC, c.step_ts, c.cid) AS rank
+FROM ({REPLAY_SQL}) r JOIN ({D.CANDIDATES_SQL}) c ON r.run_id = c.run_id AND r.cid = c.cid WHERE r.promising
+""")(lambda spark, d: TU.candidate_ranking(_replay(spark, d), D.candidates(Catalog(spark, d))))
+
+register("candidate_lineage", f"SELECT run_id, cid, parent_cid, depth FROM ({REPLAY_SQL}) r WHERE adopted")(
+    lambda spark, d: TU.candidate_lineage(_replay(spark, d)))
+
+register("recent_rejects", f"""
+SELECT run_id, cid, rank FROM (
+  SELECT r.run_id, r.cid, CAST(row_number() OVER (PARTITION BY r.run_id ORDER BY c.step_ts DESC, c.cid DESC) AS INTEGER) AS rank
+  FROM ({REPLAY_SQL}) r JOIN ({D.CANDIDATES_SQL}) c ON r.run_id = c.run_id AND r.cid = c.cid WHERE NOT r.adopted) t
+WHERE rank <= 6
+""")(lambda spark, d: TU.recent_rejects(_replay(spark, d), 6))
+
+register("overfit_gap", f"""
+SELECT w.run_id, w.cid AS winner_cid, w.depth, c.train_acc, c.dev_acc, c.dev_acc - c.train_acc AS gap
+FROM (SELECT run_id, arg_max(cid, depth) AS cid, MAX(depth) AS depth FROM ({REPLAY_SQL}) r WHERE adopted GROUP BY run_id) w
+JOIN ({D.CANDIDATES_SQL}) c ON w.run_id = c.run_id AND w.cid = c.cid
+""")(lambda spark, d: TU.overfit_gap(_replay(spark, d), D.candidates(Catalog(spark, d))))
+
+register("top3_costly", f"""
+SELECT model, task_id, tokens, rank FROM (
+  SELECT model, task_id, input_tokens + output_tokens AS tokens,
+         CAST(row_number() OVER (PARTITION BY model ORDER BY input_tokens + output_tokens DESC, task_id) AS INTEGER) AS rank
+  FROM ({D.RUN_LOG_SQL}) r WHERE split = 'train') t WHERE rank <= 3
+""")(lambda spark, d: TU.top_costly(D.run_log(Catalog(spark, d)).where(F.col("split") == "train"), "model", 3))
+
+register("failing_tasks", f"""
+SELECT model, task_id, category FROM ({D.RUN_LOG_SQL}) r WHERE split = 'train' AND NOT correct
+""")(lambda spark, d: D.run_log(Catalog(spark, d)).where((F.col("split") == "train") & ~F.col("correct"))
+     .select("model", "task_id", "category"))
