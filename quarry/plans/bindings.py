@@ -43,7 +43,7 @@ class EntityType:
     key: tuple[str, ...]          # property names forming the key
     display: str                  # property used as the node label
     properties: tuple[Property, ...]
-    where: str | None = None      # optional row filter of the binding (SQL text)
+    where: str | None = None      # optional row filter of the binding (SQL on property names)
 
     def prop(self, name: str) -> Property:
         for p in self.properties:
@@ -118,9 +118,9 @@ def source_expr(table_df: DataFrame, source: str, value_type: str) -> Column:
 def entity_view(catalog, entity: EntityType) -> DataFrame:
     """B2: typed projection of the bound columns, renamed to property names."""
     df = catalog.table(entity.table)
-    if entity.where:
-        df = df.where(entity.where)
-    return df.select(*[source_expr(df, p.source, p.value_type).alias(p.name) for p in entity.properties])
+    view = df.select(*[source_expr(df, p.source, p.value_type).alias(p.name) for p in entity.properties])
+    # The binding's row filter is written on property names; Catalyst pushes it into the scan.
+    return view.where(entity.where) if entity.where else view
 
 
 def entity_key(entity: EntityType) -> Column:

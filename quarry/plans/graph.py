@@ -31,6 +31,12 @@ def node_table(catalog, entity: EntityType) -> DataFrame:
                        F.struct(*[F.col(p.name) for p in entity.properties]).alias("props"))
 
 
+def node_table_keys(catalog, entity: EntityType) -> DataFrame:
+    """Keys of one entity's nodes (the binding's row filter applied to the typed view)."""
+    view = entity_view(catalog, entity)
+    return view.select(entity_key(entity).alias("node_key"))
+
+
 def graph_nodes(catalog, onto: Ontology, entities: list[str] | None = None) -> DataFrame:
     """All node types in one uniform frame ``(node_type, node_key, node_label, n_props)``."""
     parts = []
@@ -141,3 +147,29 @@ def key_violations(df: DataFrame, key_cols: list[str]) -> DataFrame:
 def dangling_edges(edges: DataFrame, nodes: DataFrame, end: str = "dst_key") -> DataFrame:
     """Edges whose ``end`` has no node (``left_anti`` on the node key)."""
     return edges.join(nodes.select(F.col("node_key").alias(end)), on=end, how="left_anti")
+
+
+def two_branch(catalog) -> DataFrame:
+    """Per customer, the top line of its orders (price desc, line key asc) with that line's
+    part, next to an order summary of the same customer.
+
+    Lines are reduced to one best line per order *before* the join to orders (map-side
+    partial aggregation), then to one per customer; the part name is looked up for the single
+    winning line only, and the order branch is a plain grouped count.
+    """
+    li = catalog.lineitem
+    best = F.min(F.struct((-F.col("l_extendedprice")).alias("neg_price"), "l_orderkey", "l_linenumber",
+                          "l_partkey", "l_suppkey", "l_shipdate"))
+    per_order = li.groupBy("l_orderkey").agg(best.alias("b"))
+    o = catalog.orders.select("o_orderkey", "o_custkey", "o_orderstatus")
+    per_cust = (per_order.join(o, per_order.l_orderkey == o.o_orderkey)
+                .groupBy("o_custkey").agg(F.min("b").alias("b")))
+    orders_branch = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"),
+                                               F.sum((F.col("o_orderstatus") == "O").cast("long")).alias("n_open_orders"))
+    part = catalog.part.select("p_partkey", "p_name")
+    top = per_cust.join(part, F.col("b.l_partkey") == F.col("p_partkey"), "left")
+    cust = catalog.customer.select("c_custkey", "c_name")
+    return (cust.join(orders_branch, cust.c_custkey == orders_branch.o_custkey)
+            .join(top, "o_custkey", "left")
+            .select(F.col("c_name").alias("customer_name"), F.col("p_name").alias("top_part_name"),
+                    (-F.col("b.neg_price")).alias("top_price"), "n_orders", "n_open_orders"))

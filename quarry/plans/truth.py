@@ -88,3 +88,71 @@ def truth_drift(stored: DataFrame, fresh: DataFrame, key: str = "id") -> DataFra
     return (j.select(F.coalesce(F.col(f"s.{key}"), F.col(f"f.{key}")).alias(key),
                      F.col("s.n").alias("stored_n"), F.col("f.n").alias("fresh_n"), status.alias("status"))
             .where(F.col("status").isNotNull()))
+
+
+# --- D6-D8: dataset contracts over splits -------------------------------------------------------
+
+from quarry.functions.scoring import PY_WHITESPACE_CLASS  # noqa: E402
+
+_EDGES = f"^{PY_WHITESPACE_CLASS}|{PY_WHITESPACE_CLASS}$"
+
+
+def strip_lower(c) -> "F.Column":
+    """Python ``s.strip().lower()``."""
+    return F.lower(F.regexp_replace(c, _EDGES, ""))
+
+
+def text_overlap(left: DataFrame, right: DataFrame, left_key: str, text: str = "text") -> DataFrame:
+    """Rows of ``left`` whose normalised text equals some normalised text of ``right``.
+
+    The right side is reduced to distinct digests first (copies collapse in the map-side
+    aggregate), then a left-semi join on the 128-bit digest of the normalised text.
+    """
+    l = left.select(left_key, F.md5(strip_lower(F.col(text))).alias("_h"))
+    r = right.select(F.md5(strip_lower(F.col(text))).alias("_h")).distinct()
+    return l.join(r, "_h", "left_semi").select(left_key)
+
+
+def cross_group_copies(df: DataFrame, key: str, group: str, text: str = "text") -> DataFrame:
+    """D6 within one table: rows whose normalised text also occurs in another ``group``.
+
+    No pairs are formed: per text digest the number of distinct groups is counted (partial
+    aggregation over (digest, group) first, so a hot copy set is a handful of rows), and rows
+    whose digest spans two or more groups are kept with a semi join.
+    """
+    h = df.select(key, group, F.md5(strip_lower(F.col(text))).alias("_h"))
+    multi = (h.select("_h", group).distinct().groupBy("_h").agg(F.count(F.lit(1)).alias("_g"))
+             .where(F.col("_g") >= 2).select("_h"))
+    return h.join(multi, "_h", "left_semi").select(key, group)
+
+
+def split_counts(tasks: DataFrame, split: str = "split") -> DataFrame:
+    """Rows per split; a missing split counts as 'unspecified'."""
+    return tasks.groupBy(F.coalesce(F.col(split), F.lit("unspecified")).alias("split")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def split_head(tasks: DataFrame, limits: dict[str, int], order: str, split: str = "split") -> DataFrame:
+    """The first N rows of each split in file order (N per split), via a top-k window."""
+    from quarry.operators.order_stats import top_k_per_group
+
+    sub = tasks.where(F.col(split).isin(list(limits)))
+    k = max(limits.values())
+    top = top_k_per_group(sub, [split], [F.col(order).asc()], k, "rank")
+    lim = F.create_map(*[x for s, n in limits.items() for x in (F.lit(s), F.lit(n))])
+    return top.where(F.col("rank") <= F.element_at(lim, F.col(split)))
+
+
+class SnapshotCatalog:
+    """A catalog whose tables are filtered to an earlier state (for stale-truth checks)."""
+
+    def __init__(self, catalog, filters: dict[str, str]):
+        self._c, self._f = catalog, filters
+        self.spark, self.sf_dir = catalog.spark, catalog.sf_dir
+
+    def table(self, name: str) -> DataFrame:
+        df = self._c.table(name)
+        return df.where(self._f[name]) if name in self._f else df
+
+    def __getattr__(self, name: str):
+        return self.table(name)

@@ -907,3 +907,163 @@ register("failing_tasks", f"""
 SELECT model, task_id, category FROM ({D.RUN_LOG_SQL}) r WHERE split = 'train' AND NOT correct
 """)(lambda spark, d: D.run_log(Catalog(spark, d)).where((F.col("split") == "train") & ~F.col("correct"))
      .select("model", "task_id", "category"))
+
+
+# --- A: contracts, D: truth drift and splits, B: refresh, two-branch, dangling ----------------------
+
+import re as _re  # noqa: E402
+
+from quarry.sources import contracts as CT  # noqa: E402
+from quarry.sources.tables import TABLES  # noqa: E402
+from quarry.streaming import refresh as RF  # noqa: E402
+
+
+def _render_sql(name: str, dtype: str) -> str:
+    d = dtype.upper()
+    if d in ("DOUBLE", "FLOAT"):
+        s = f"CAST(CAST(round(CAST({name} AS DOUBLE) * 1e6) AS BIGINT) AS VARCHAR)"
+    elif d.startswith("TIMESTAMP"):
+        s = f"CAST(epoch_us({name}) AS VARCHAR)"
+    elif d.endswith("[]"):
+        s = f"array_to_string(list_transform({name}, lambda x: CAST(CAST(round(CAST(x AS DOUBLE) * 1e6) AS BIGINT) AS VARCHAR)), ',')"
+    else:
+        s = f"CAST({name} AS VARCHAR)"
+    return f"COALESCE({s}, '\\N')"
+
+
+# Column types of the driver tables, as DuckDB reports them (used only to write the oracle text).
+_DRIVER_COLUMNS = {
+    "region": [("r_regionkey", "INTEGER"), ("r_name", "VARCHAR")],
+    "nation": [("n_nationkey", "INTEGER"), ("n_name", "VARCHAR"), ("n_regionkey", "INTEGER")],
+    "customer": [("c_custkey", "BIGINT"), ("c_name", "VARCHAR"), ("c_nationkey", "INTEGER"), ("c_acctbal", "DOUBLE"),
+                 ("c_mktsegment", "VARCHAR")],
+    "supplier": [("s_suppkey", "BIGINT"), ("s_name", "VARCHAR"), ("s_nationkey", "INTEGER"), ("s_acctbal", "DOUBLE")],
+    "part": [("p_partkey", "BIGINT"), ("p_name", "VARCHAR"), ("p_brand", "VARCHAR"), ("p_type", "VARCHAR"),
+             ("p_size", "INTEGER"), ("p_retailprice", "DOUBLE")],
+    "orders": [("o_orderkey", "BIGINT"), ("o_custkey", "BIGINT"), ("o_orderstatus", "VARCHAR"), ("o_totalprice", "DOUBLE"),
+               ("o_orderdate", "TIMESTAMP"), ("o_orderpriority", "VARCHAR")],
+    "lineitem": [("l_orderkey", "BIGINT"), ("l_partkey", "BIGINT"), ("l_suppkey", "BIGINT"), ("l_linenumber", "INTEGER"),
+                 ("l_quantity", "DOUBLE"), ("l_extendedprice", "DOUBLE"), ("l_discount", "DOUBLE"), ("l_tax", "DOUBLE"),
+                 ("l_returnflag", "VARCHAR"), ("l_linestatus", "VARCHAR"), ("l_shipdate", "TIMESTAMP")],
+    "events": [("event_id", "BIGINT"), ("ts", "TIMESTAMP"), ("user_id", "BIGINT"), ("event_type", "VARCHAR"),
+               ("value", "DOUBLE"), ("props", "VARCHAR")],
+    "documents": [("doc_id", "BIGINT"), ("text", "VARCHAR"), ("lang", "VARCHAR"), ("source", "VARCHAR"),
+                  ("n_chars", "BIGINT")],
+    "embeddings": [("vec_id", "BIGINT"), ("embedding", "FLOAT[]"), ("label", "INTEGER")],
+    "pages": [("page_id", "BIGINT"), ("url", "VARCHAR"), ("html", "VARCHAR")],
+    "benchmark": [("item_id", "BIGINT"), ("text", "VARCHAR")],
+    "labels": [("doc_id", "BIGINT"), ("quality", "INTEGER"), ("toxic", "INTEGER")],
+    "conversations": [("conv_id", "BIGINT"), ("turn", "BIGINT"), ("role", "VARCHAR"), ("text", "VARCHAR")],
+}
+
+register("table_fingerprint", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, COUNT(*) AS n_rows, CAST(SUM(CAST(('0x' || substr(md5(concat_ws('|', "
+    + ", ".join(_render_sql(c, ty) for c, ty in cols)
+    + f")), 1, 8))::BIGINT AS DECIMAL(20,0))) AS VARCHAR) AS fingerprint FROM {t}"
+    for t, cols in _DRIVER_COLUMNS.items()))(lambda spark, d: CT.fingerprints(Catalog(spark, d), list(TABLES)))
+
+_rc_rows = ", ".join(f"('{t}', {('NULL' if a is None else repr(a))}, {f})" for t, (a, f) in CT.ROW_COUNT_RULES.items())
+_rc_names = sorted(set(CT.ROW_COUNT_RULES) | {a for a, _ in CT.ROW_COUNT_RULES.values() if a})
+register("row_count_contract", f"""
+WITH counts AS ({' UNION ALL '.join(f"SELECT '{t}' AS table_name, COUNT(*) AS actual FROM {t}" for t in _rc_names)}),
+spec AS (SELECT * FROM (VALUES {_rc_rows}) s(table_name, anchor, factor)),
+exp AS (SELECT s.table_name, CASE WHEN s.anchor IS NULL THEN CAST(s.factor AS BIGINT) ELSE s.factor * a.actual END AS expected
+        FROM spec s LEFT JOIN counts a ON a.table_name = s.anchor)
+SELECT c.table_name, c.actual, e.expected, c.actual = e.expected AS ok FROM counts c JOIN exp e ON c.table_name = e.table_name
+""".replace("'None'", "NULL"))(lambda spark, d: CT.row_count_contract(Catalog(spark, d)))
+
+DRIFT_FILTER = "l_shipdate < TIMESTAMP '2001-01-01'"
+
+
+def _drift_side_sql(sql: str, old: bool) -> str:
+    return _re.sub(r"\blineitem\b", f"(SELECT * FROM lineitem WHERE {DRIFT_FILTER})", sql) if old else sql
+
+
+def _truth_summary_sql(old: bool) -> str:
+    return (f"SELECT id, COUNT(*) AS n, SUM(('0x' || substr(md5(COALESCE(value_text, printf('%.2f', value_num), '<null>')), 1, 8))"
+            f"::BIGINT) AS fp FROM ({_drift_side_sql(truth_sql(), old)}) t GROUP BY id")
+
+
+register("truth_drift", f"""
+SELECT COALESCE(s.id, f.id) AS id, s.n AS stored_n, f.n AS fresh_n,
+       CASE WHEN f.id IS NULL THEN 'missing' WHEN s.id IS NULL THEN 'extra'
+            WHEN s.n IS DISTINCT FROM f.n OR s.fp IS DISTINCT FROM f.fp THEN 'changed' END AS status
+FROM ({_truth_summary_sql(True)}) s FULL OUTER JOIN ({_truth_summary_sql(False)}) f ON s.id = f.id
+WHERE f.id IS NULL OR s.id IS NULL OR s.n IS DISTINCT FROM f.n OR s.fp IS DISTINCT FROM f.fp
+""")(lambda spark, d: TR.truth_drift(
+    TR.truth_table(Q.Semantic(TR.SnapshotCatalog(Catalog(spark, d), {"lineitem": "l_shipdate < '2001-01-01'"}))),
+    TR.truth_table(_sem(spark, d))))
+
+def _sl(x: str) -> str:
+    return f"lower(regexp_replace({x}, '{TR._EDGES}', '', 'g'))"
+
+
+@register("split_overlap", f"""
+SELECT 'benchmark' AS kind, doc_id FROM documents
+WHERE md5({_sl('text')}) IN (SELECT md5({_sl('text')}) FROM benchmark)
+UNION ALL
+SELECT 'other_source', doc_id FROM documents WHERE md5({_sl('text')}) IN (
+  SELECT h FROM (SELECT DISTINCT md5({_sl('text')}) AS h, source FROM documents) t GROUP BY h HAVING COUNT(*) >= 2)
+""")
+def _split_overlap(spark, d):
+    cat = Catalog(spark, d)
+    docs = cat.documents
+    a = TR.text_overlap(docs, cat.benchmark, "doc_id").select(F.lit("benchmark").alias("kind"), "doc_id")
+    b = TR.cross_group_copies(docs, "doc_id", "source").select(F.lit("other_source").alias("kind"), "doc_id")
+    return a.unionByName(b)
+
+
+register("split_counts", f"""
+SELECT COALESCE(split, 'unspecified') AS split, COUNT(*) AS n FROM ({D.RUN_LOG_SQL}) r WHERE model = 'm0' GROUP BY 1
+""")(lambda spark, d: TR.split_counts(D.run_log(Catalog(spark, d)).where(F.col("model") == "m0")))
+
+SPLIT_LIMITS = {"train": 12, "dev": 6}
+register("split_head", f"""
+SELECT task_id, model, split, rank FROM (
+  SELECT task_id, model, split, CAST(row_number() OVER (PARTITION BY split ORDER BY task_id) AS INTEGER) AS rank
+  FROM ({D.RUN_LOG_SQL}) r WHERE model = 'm0' AND split IN ('train', 'dev')) t
+WHERE rank <= CASE split WHEN 'train' THEN 12 ELSE 6 END
+""")(lambda spark, d: TR.split_head(D.run_log(Catalog(spark, d)).where(F.col("model") == "m0"), SPLIT_LIMITS, "task_id")
+     .select("task_id", "model", "split", "rank"))
+
+REFRESH_SINCE = "2001-06-01"
+register("graph_refresh", f"""
+SELECT 'shippedLine' AS rel_type, CAST(l_suppkey AS VARCHAR) AS src_key, {LINE_KEY_SQL} AS dst_key FROM lineitem
+WHERE l_shipdate >= TIMESTAMP '{REFRESH_SINCE}' AND l_suppkey IS NOT NULL AND l_orderkey IS NOT NULL
+  AND l_linenumber IS NOT NULL AND l_partkey IS NOT NULL
+UNION ALL
+SELECT 'ofPart', {LINE_KEY_SQL}, CAST(l_partkey AS VARCHAR) FROM lineitem
+WHERE l_shipdate >= TIMESTAMP '{REFRESH_SINCE}' AND l_suppkey IS NOT NULL AND l_orderkey IS NOT NULL
+  AND l_linenumber IS NOT NULL AND l_partkey IS NOT NULL
+""")(lambda spark, d: RF.incremental_edges(Catalog(spark, d), driver_ontology(), ["shippedLine", "ofPart"], "l_shipdate",
+                                            REFRESH_SINCE))
+
+register("traverse_two_branch", """
+WITH best AS (
+  SELECT o.o_custkey, l.l_extendedprice, l.l_partkey,
+         row_number() OVER (PARTITION BY o.o_custkey ORDER BY l.l_extendedprice DESC, l.l_orderkey, l.l_linenumber,
+                            l.l_partkey, l.l_suppkey, l.l_shipdate) AS rn
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
+ob AS (SELECT o_custkey, COUNT(*) AS n_orders, SUM(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS n_open_orders
+       FROM orders GROUP BY o_custkey)
+SELECT c.c_name AS customer_name, p.p_name AS top_part_name, b.l_extendedprice AS top_price, ob.n_orders,
+       CAST(ob.n_open_orders AS BIGINT) AS n_open_orders
+FROM customer c JOIN ob ON c.c_custkey = ob.o_custkey
+LEFT JOIN best b ON b.o_custkey = c.c_custkey AND b.rn = 1 LEFT JOIN part p ON p.p_partkey = b.l_partkey
+""")(lambda spark, d: G.two_branch(Catalog(spark, d)))
+
+
+@register("dangling_edges", f"""
+SELECT 'shippedLine' AS rel_type, CAST(l_suppkey AS VARCHAR) AS src_key, {LINE_KEY_SQL} AS dst_key FROM lineitem
+WHERE l_suppkey IS NOT NULL AND l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL AND l_partkey IS NOT NULL
+  AND l_shipdate IS NOT NULL
+  AND CAST(l_suppkey AS VARCHAR) NOT IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_acctbal >= 0)
+""")
+def _dangling_edges(spark, d):
+    from dataclasses import replace
+    onto = driver_ontology()
+    cat = Catalog(spark, d)
+    active = replace(onto.entity("Supplier"), where="account_balance >= 0")
+    nodes = G.node_table_keys(cat, active)
+    edges = G.edge_table(cat, onto, onto.relationship("shippedLine"))
+    return G.dangling_edges(edges, nodes, end="src_key")
