@@ -83,10 +83,8 @@ def read_truth_file(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     doc_schema = T.StructType([T.StructField("ground_truth", T.MapType(T.StringType(), TRUTH_RECORD_SCHEMA))])
-    raw = spark.read.option("wholetext", True).text(path)
-    parsed = raw.select(F.from_json("value", doc_schema).alias("doc"))
-    return (parsed.select(F.explode("doc.ground_truth").alias("id", "rec"))
-            .select("id", "rec.*"))
+    doc = spark.read.schema(doc_schema).option("multiLine", True).json(path)
+    return doc.select(F.explode("ground_truth").alias("id", "rec")).select("id", "rec.*")
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, fmt: str = "parquet") -> None:
