@@ -141,11 +141,16 @@ def top_lines_suppliers(sem: Semantic, k: int = 5) -> DataFrame:
 
 
 def customers_semi_intersection(sem: Semantic, status: str, min_total: float) -> DataFrame:
-    """C11: two IN-subqueries = two left-semi joins (intersection of relationship sets)."""
-    orders = sem.view("Order")
-    a = orders.where(F.col("status") == status).select("customer_id")
-    b = orders.where(F.col("total_price") > min_total).select("customer_id")
-    return (sem.view("Customer").join(a, "customer_id", "left_semi").join(b, "customer_id", "left_semi")
+    """C11: two IN-subqueries (intersection of two relationship sets).
+
+    Both memberships come from one grouped pass over orders (a flag per condition, partial
+    aggregation), instead of two scans feeding two semi joins; one semi join keeps the customers.
+    """
+    flags = (sem.view("Order").groupBy("customer_id")
+             .agg(F.max((F.col("status") == status).cast("int")).alias("_a"),
+                  F.max((F.col("total_price") > min_total).cast("int")).alias("_b"))
+             .where((F.col("_a") == 1) & (F.col("_b") == 1)).select("customer_id"))
+    return (sem.view("Customer").join(flags, "customer_id", "left_semi")
             .select(F.col("customer_name").alias("answer")).distinct())
 
 

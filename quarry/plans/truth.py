@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.plans.questions import QUESTIONS, Question, Semantic
+from quarry.session import ensure_checkpoint_dir
 
 TRUTH_COLUMNS = ["id", "category", "answer_type", "split", "value_text", "value_num"]
 
@@ -36,20 +37,37 @@ def canonical_answers(q: Question, answers: DataFrame) -> DataFrame:
         F.col("answer").cast("string").alias("value_text"), F.lit(None).cast("double").alias("value_num"))
 
 
-def truth_table(sem: Semantic, questions: list[Question] | None = None) -> DataFrame:
+def truth_table(sem: Semantic, questions: list[Question] | None = None, batched: bool = True,
+                checkpoint: bool = True) -> DataFrame:
     """Every question -> its truth rows ``(id, category, answer_type, split, value_text, value_num,
-    n_values)``. Questions with no rows (and refusals, D4) keep one row with NULL values."""
+    n_values)``. Questions with no rows (and refusals, D4) keep one row with NULL values.
+
+    ``batched``: questions that share a base table are answered together in one scan of it
+    (see ``plans.batch``); the rest run as their own plans. ``batched=False`` runs every
+    question as its own plan (same result; used to cross-check).
+    """
     qs = questions or QUESTIONS
     spark = sem.spark
     meta = spark.createDataFrame([(q.id, q.category, q.answer_type, q.split) for q in qs],
                                  "id string, category string, answer_type string, split string")
     parts = []
+    done: set[str] = set()
+    if batched:
+        from quarry.plans.truth_batches import batched_truth
+
+        frame, done = batched_truth(sem, {q.id for q in qs})
+        parts.append(frame)
     for q in qs:
-        if q.answer_type == "refusal" or q.build is None:
+        if q.answer_type == "refusal" or q.build is None or q.id in done:
             continue
         parts.append(canonical_answers(q, q.build(sem)).select(F.lit(q.id).alias("id"), "value_text",
                                                                  "value_num"))
     values = reduce(DataFrame.unionByName, parts)
+    if checkpoint:
+        # read twice below (rows and per-question counts): materialise once in the shared
+        # checkpoint folder instead of evaluating every question plan twice
+        ensure_checkpoint_dir(spark)
+        values = values.checkpoint(eager=True)
     counts = values.groupBy("id").agg(
         F.count(F.coalesce(F.col("value_text"), F.col("value_num").cast("string"))).cast("int").alias("n_values"))
     return (meta.join(values, "id", "left").join(counts, "id", "left")
