@@ -5,7 +5,7 @@ moves only on adoption. It is replayed as an iterative frontier instead of one a
 each round joins every run's not-yet-judged steps with its current best (one row per run),
 finds the run's first adoption with a grouped min (partial aggregation), labels the steps up
 to it, and moves the best there. Rounds = the longest adoption chain; no run is ever gathered
-into one task, and each round's result is checkpointed to the shared checkpoint folder so the
+into one task, and each round's result is written once to the shared checkpoint folder so the
 lineage stays short and a lost executor costs one round.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.order_stats import rank_within_groups, top_k_per_group
-from quarry.session import ensure_checkpoint_dir
+from quarry.session import ensure_checkpoint_dir, materialize
 
 CAND_COLS = ["run_id", "step_ts", "cid", "train_acc", "train_tokens", "train_neg", "dev_acc", "dev_tokens", "dev_neg"]
 
@@ -41,9 +41,9 @@ def replay_adopt_gate(cands: DataFrame, checkpoint: bool = True, max_rounds: int
         ensure_checkpoint_dir(spark)
 
     def cut(df: DataFrame) -> DataFrame:
-        return df.checkpoint(eager=True) if checkpoint else df
+        return materialize(df, "gate-replay") if checkpoint else df
 
-    c = cands.select(*CAND_COLS)
+    c = cut(cands.select(*CAND_COLS))
     first = c.groupBy("run_id").agg(F.min(F.struct(*[F.col(x) for x in CAND_COLS if x != "run_id"])).alias("s"))
     state = cut(first.select(
         "run_id", F.col("s.step_ts").alias("b_ts"), F.col("s.cid").alias("b_cid"),
@@ -53,8 +53,9 @@ def replay_adopt_gate(cands: DataFrame, checkpoint: bool = True, max_rounds: int
     out = [state.select("run_id", F.col("b_cid").alias("cid"), F.col("b_ts").alias("step_ts"),
                         F.lit(True).alias("promising"), F.lit(True).alias("adopted"),
                         F.lit(None).cast("long").alias("parent_cid"), F.col("depth"))]
-    remaining = cut(c.join(state.select("run_id", "b_ts", "b_cid"), "run_id")
-                    .where(_pos() > F.struct(F.col("b_ts").alias("t"), F.col("b_cid").alias("c"))).select(*CAND_COLS))
+    # steps after the seed (the first round filters them while joining the state)
+    remaining = c.join(state.select("run_id", "b_ts", "b_cid"), "run_id").where(
+        _pos() > F.struct(F.col("b_ts").alias("t"), F.col("b_cid").alias("c"))).select(*CAND_COLS)
     rounds = 0
     while True:
         j = remaining.join(state, "run_id")
@@ -64,19 +65,20 @@ def replay_adopt_gate(cands: DataFrame, checkpoint: bool = True, max_rounds: int
                    & (F.col("dev_acc") >= F.col("s_dacc")) & (F.col("dev_neg") >= F.col("s_dneg")))
         j = j.withColumn("promising", promising).withColumn("adopted", adopted)
         nxt = j.where("adopted").groupBy("run_id").agg(F.min(_pos()).alias("nx"))
+        # one materialisation per round; the labels, the next state and the rest are filters of it
         j = cut(j.join(nxt, "run_id", "left"))
         upto = F.col("nx").isNull() | (_pos() <= F.col("nx"))
         out.append(j.where(upto).select(
             "run_id", "cid", "step_ts", "promising", "adopted", F.col("b_cid").alias("parent_cid"),
             F.when(F.col("adopted"), F.col("depth") + 1).otherwise(F.col("depth")).alias("depth")))
-        state = cut(j.where(F.col("nx").isNotNull() & (_pos() == F.col("nx"))).select(
+        state = j.where(F.col("nx").isNotNull() & (_pos() == F.col("nx"))).select(
             "run_id", F.col("step_ts").alias("b_ts"), F.col("cid").alias("b_cid"), F.col("train_acc").alias("b_tacc"),
             F.col("train_tokens").alias("b_ttok"), F.col("train_neg").alias("b_tneg"), F.col("dev_acc").alias("b_dacc"),
-            F.col("dev_tokens").alias("b_dtok"), "s_dacc", "s_dneg", (F.col("depth") + 1).alias("depth")))
+            F.col("dev_tokens").alias("b_dtok"), "s_dacc", "s_dneg", (F.col("depth") + 1).alias("depth"))
         rounds += 1
         if state.isEmpty() or (max_rounds is not None and rounds >= max_rounds):
             break
-        remaining = cut(j.where(F.col("nx").isNotNull() & (_pos() > F.col("nx"))).select(*CAND_COLS))
+        remaining = j.where(F.col("nx").isNotNull() & (_pos() > F.col("nx"))).select(*CAND_COLS)
     result = out[0]
     for part in out[1:]:
         result = result.unionByName(part)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.plans.questions import QUESTIONS, Question, Semantic
-from quarry.session import ensure_checkpoint_dir
+from quarry.session import materialize
 
 TRUTH_COLUMNS = ["id", "category", "answer_type", "split", "value_text", "value_num"]
 
@@ -66,8 +66,7 @@ def truth_table(sem: Semantic, questions: list[Question] | None = None, batched:
     if checkpoint:
         # read twice below (rows and per-question counts): materialise once in the shared
         # checkpoint folder instead of evaluating every question plan twice
-        ensure_checkpoint_dir(spark)
-        values = values.checkpoint(eager=True)
+        values = materialize(values, "truth-values")
     counts = values.groupBy("id").agg(
         F.count(F.coalesce(F.col("value_text"), F.col("value_num").cast("string"))).cast("int").alias("n_values"))
     return (meta.join(values, "id", "left").join(counts, "id", "left")

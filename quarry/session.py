@@ -50,3 +50,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="quarry-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df, tag: str = "stage"):
+    """Cut lineage by writing ``df`` once as Parquet under the shared checkpoint folder and reading
+    it back. Unlike ``Dataset.checkpoint`` (which evaluates the plan for the count and again for
+    the write) the plan runs once; the files survive executor loss."""
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/quarry-{tag}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
