@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 PY_WHITESPACE_CLASS = (r"[\t\n\x{0B}\x{0C}\r\x{1C}\x{1D}\x{1E}\x{1F} \x{85}\x{A0}\x{1680}"
                        r"\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+")
 
+# The same set as characters (for trimming without a regex).
+PY_WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+                       + "\u2028\u2029\u202f\u205f\u3000")
+
 # The number pattern of the scorer.
 NUMBER_PATTERN = r"-?\d[\d,]*\.?\d*"
 
@@ -85,9 +89,18 @@ def set_correct(answer, expected_values) -> Column:
     return set_recall(answer, expected_values) >= F.lit(0.999)
 
 
+def py_strip(text) -> Column:
+    """Python ``str.strip()``: Unicode whitespace removed at both ends (no regex, edges only)."""
+    return F.btrim(_c(text), F.lit(PY_WHITESPACE_CHARS))
+
+
 def refusal_heuristic(answer) -> Column:
+    """Any refusal phrase in the normalised answer (ORed substring tests stay in generated code)."""
     a = norm(answer)
-    return F.exists(F.array(*[F.lit(p) for p in REFUSAL_PHRASES]), lambda p: F.contains(a, p))
+    out = F.contains(a, F.lit(REFUSAL_PHRASES[0]))
+    for p in REFUSAL_PHRASES[1:]:
+        out = out | F.contains(a, F.lit(p))
+    return out
 
 
 def score_refusal(answer, verdict) -> Column:

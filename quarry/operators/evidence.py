@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.scoring import PY_WHITESPACE_CLASS
+from quarry.functions.scoring import PY_WHITESPACE_CLASS, py_strip
 from quarry.operators.order_stats import rank_within_groups, top_k_per_group
 
 # The text layout of the composed model input (section headers and notices).
@@ -38,7 +38,7 @@ _NON_WS = "[^" + PY_WHITESPACE_CLASS[1:-2] + "]"
 
 def strip(c: Column) -> Column:
     """Python ``str.strip()`` (Unicode whitespace at both ends)."""
-    return F.regexp_replace(c, _WS_EDGES, "")
+    return py_strip(c)
 
 
 def has_text(c: Column) -> Column:

@@ -61,9 +61,35 @@ def edge_table(catalog, onto: Ontology, rel: RelationshipType) -> DataFrame:
                                    _end_key(rel.target_cols, dst).alias("dst_key"))
 
 
+def edges_from_fact(fact: DataFrame, onto: Ontology, rels: list[RelationshipType]) -> DataFrame:
+    """Edges of several relationships held in the same fact table, from one scan of it: each row
+    yields one (rel_type, src_key, dst_key) struct per relationship whose ends are present."""
+    if len(rels) == 1:
+        rel = rels[0]
+        src, dst = onto.entity(rel.source), onto.entity(rel.target)
+        cond = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in rel.source_cols + rel.target_cols])
+        return fact.where(cond).select(F.lit(rel.name).alias("rel_type"),
+                                       _end_key(rel.source_cols, src).alias("src_key"),
+                                       _end_key(rel.target_cols, dst).alias("dst_key"))
+    tags = []
+    for rel in rels:
+        src, dst = onto.entity(rel.source), onto.entity(rel.target)
+        cond = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in rel.source_cols + rel.target_cols])
+        tags.append(F.when(cond, F.struct(F.lit(rel.name).alias("rel_type"),
+                                          _end_key(rel.source_cols, src).alias("src_key"),
+                                          _end_key(rel.target_cols, dst).alias("dst_key"))))
+    # plain explode + null filter (stays in generated code)
+    return (fact.select(F.explode(F.array(*tags)).alias("e")).where(F.col("e").isNotNull())
+            .select("e.rel_type", "e.src_key", "e.dst_key"))
+
+
 def graph_edges(catalog, onto: Ontology, relationships: list[str] | None = None) -> DataFrame:
-    """All edge types in one frame ``(rel_type, src_key, dst_key)``."""
-    parts = [edge_table(catalog, onto, onto.relationship(r)) for r in relationships or list(onto.relationships)]
+    """All edge types in one frame ``(rel_type, src_key, dst_key)``; each fact table is read once."""
+    by_table: dict[str, list[RelationshipType]] = {}
+    for r in relationships or list(onto.relationships):
+        rel = onto.relationship(r)
+        by_table.setdefault(rel.table, []).append(rel)
+    parts = [edges_from_fact(catalog.table(t), onto, rels) for t, rels in by_table.items()]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -109,14 +109,12 @@ def truth_drift(stored: DataFrame, fresh: DataFrame, key: str = "id") -> DataFra
 
 # --- D6-D8: dataset contracts over splits -------------------------------------------------------
 
-from quarry.functions.scoring import PY_WHITESPACE_CLASS  # noqa: E402
-
-_EDGES = f"^{PY_WHITESPACE_CLASS}|{PY_WHITESPACE_CLASS}$"
+from quarry.functions.scoring import PY_WHITESPACE_CHARS, py_strip  # noqa: E402
 
 
 def strip_lower(c) -> "F.Column":
     """Python ``s.strip().lower()``."""
-    return F.lower(F.regexp_replace(c, _EDGES, ""))
+    return F.lower(py_strip(c))
 
 
 def text_overlap(left: DataFrame, right: DataFrame, left_key: str, text: str = "text") -> DataFrame:

@@ -239,6 +239,16 @@ from quarry.sources import derived as D  # noqa: E402
 WS = S.PY_WHITESPACE_CLASS
 
 
+def _strip_sql(x: str) -> str:
+    return f"trim({x}, {_ws_chars_sql()})"
+
+
+def _ws_chars_sql() -> str:
+    return " || ".join(f"chr({ord(ch)})" for ch in S.PY_WHITESPACE_CHARS)
+
+
+
+
 def _norm_sql(x: str) -> str:
     return f"lower(trim(regexp_replace(COALESCE({x}, ''), '{WS}', ' ', 'g')))"
 
@@ -691,12 +701,11 @@ SELECT o_custkey AS question_id, o_orderkey AS ref_no, substr({_block_sql(['note
 """)(lambda spark, d: _blocks(spark, d, ["notes"]).select("question_id", "ref_no", EV.truncate(F.col("block"), 60).alias("block")))
 
 _NONWS = EV._NON_WS
-_EDGES = EV._WS_EDGES
 COMPOSE_CAP, COMPOSE_CHARS = 5, 120
 
 COMPOSE_SQL = f"""
 WITH b AS (SELECT o_custkey AS question_id, o_orderkey AS ref_no, {_block_sql(['notes'])} AS block FROM orders),
-r AS (SELECT question_id, ref_no, substr(regexp_replace(block, '{_EDGES}', '', 'g'), 1, {COMPOSE_CHARS}) AS block,
+r AS (SELECT question_id, ref_no, substr({_strip_sql('block')}, 1, {COMPOSE_CHARS}) AS block,
              row_number() OVER (PARTITION BY question_id ORDER BY ref_no) AS shown_no,
              COUNT(*) OVER (PARTITION BY question_id) AS n_total FROM b),
 agg AS (SELECT question_id, string_agg('### reference ' || CAST(shown_no AS VARCHAR) || chr(10) || block, chr(10)
@@ -995,7 +1004,7 @@ WHERE f.id IS NULL OR s.id IS NULL OR s.n IS DISTINCT FROM f.n OR s.fp IS DISTIN
     TR.truth_table(_sem(spark, d))))
 
 def _sl(x: str) -> str:
-    return f"lower(regexp_replace({x}, '{TR._EDGES}', '', 'g'))"
+    return f"lower({_strip_sql(x)})"
 
 
 @register("split_overlap", f"""

@@ -7,26 +7,16 @@ new edges by a file-source stream: no watermark and no state store are needed. T
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.plans.bindings import Ontology
-from quarry.plans.graph import _end_key
+from quarry.plans.graph import edges_from_fact
 
 
 def edges_of(fact: DataFrame, onto: Ontology, relationships: list[str]) -> DataFrame:
-    """Edge projection of an arbitrary (possibly streaming) frame of one fact table."""
-    parts = []
-    for name in relationships:
-        rel = onto.relationship(name)
-        src, dst = onto.entity(rel.source), onto.entity(rel.target)
-        cond = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in rel.source_cols + rel.target_cols])
-        parts.append(fact.where(cond).select(F.lit(rel.name).alias("rel_type"),
-                                             _end_key(rel.source_cols, src).alias("src_key"),
-                                             _end_key(rel.target_cols, dst).alias("dst_key")))
-    return reduce(DataFrame.unionByName, parts)
+    """Edge projection of an arbitrary (possibly streaming) frame of one fact table, one pass."""
+    return edges_from_fact(fact, onto, [onto.relationship(r) for r in relationships])
 
 
 def incremental_edges(catalog, onto: Ontology, relationships: list[str], since_col: str, since: str) -> DataFrame:
