@@ -25,10 +25,15 @@ def pair_runs(tasks: DataFrame, run_a: str, run_b: str, key: str = "task_id", by
 
 def with_anchor(tasks: DataFrame, anchor: str, key: str = "task_id", by: str = "model",
                 value: str = "correct") -> DataFrame:
-    """Every non-anchor row with the anchor's outcome on the same task (window over one task's runs)."""
-    w = Window.partitionBy(key)
-    out = tasks.withColumn("anchor_correct", F.max(F.when(F.col(by) == anchor, F.col(value).cast("int"))).over(w))
-    return out.where((F.col(by) != anchor) & F.col("anchor_correct").isNotNull())
+    """Every non-anchor row with the anchor's outcome on the same task.
+
+    The anchor's outcomes (one row per task, combined by a grouped max) are joined on the task
+    key: a hot key on the probe side is split by AQE's skew-join handling, which a window
+    partitioned by the key could not do.
+    """
+    anchor_rows = (tasks.where(F.col(by) == anchor).groupBy(key)
+                   .agg(F.max(F.col(value).cast("int")).alias("anchor_correct")))
+    return tasks.where(F.col(by) != anchor).join(anchor_rows, key)
 
 
 def miss_classes(tasks: DataFrame, anchor: str, key: str = "task_id", by: str = "model") -> DataFrame:
