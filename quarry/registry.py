@@ -21,11 +21,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _bigint_sums(sql: str) -> str:
+    """DuckDB sums integers into HUGEINT; Spark into BIGINT. Wrap integer sums so both engines
+    report BIGINT (sums of cost, which are doubles, are left alone)."""
+    out, i = [], 0
+    while True:
+        j = sql.find("SUM(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + 3
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        expr = sql[j:k + 1]
+        inner = _bigint_sums(expr[4:-1])
+        expr = f"SUM({inner})"
+        out.append(sql[i:j])
+        out.append(expr if "cost" in inner or "value" in inner else f"CAST({expr} AS BIGINT)")
+        i = k + 1
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql.strip()
+            ORACLE[name] = _bigint_sums(sql.strip())
         return fn
     return deco
 
@@ -259,7 +285,7 @@ def _nums_sql(x: str) -> str:
 
 
 @register("norm_text", f"""
-SELECT doc_id, length({_norm_sql('text')}) AS norm_len, md5({_norm_sql('text')}) AS norm_md5 FROM documents
+SELECT doc_id, CAST(length({_norm_sql('text')}) AS INTEGER) AS norm_len, md5({_norm_sql('text')}) AS norm_md5 FROM documents
 """)
 def _norm_text(spark, d):
     n = S.norm("text")
@@ -759,7 +785,7 @@ FROM orders"""
 @register("references_extract", f"""
 SELECT response_id, CAST(json_array_length(body, '$.references') AS INTEGER) AS n_refs,
        CAST(len(blocks) AS INTEGER) AS n_blocks,
-       COALESCE(list_sum(list_transform(blocks, lambda x: length(x))), 0) AS blocks_chars,
+       CAST(COALESCE(list_sum(list_transform(blocks, lambda x: length(x))), 0) AS BIGINT) AS blocks_chars,
        COALESCE(list_filter(json_extract_string(body, '$.references[*].sourceData.fabricAnswer'),
                             lambda x: x IS NOT NULL AND length(x) > 0)[1],
                 json_extract_string(list_filter(CAST(json_extract(body, '$.response[*].content[*]') AS JSON[]),
