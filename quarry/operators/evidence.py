@@ -113,9 +113,11 @@ def project_csv_text(raw: Column, drop: list[str], max_fields: int = 32) -> Colu
     return F.when(F.size(lines) == 0, raw).otherwise(F.array_join(out, "\n"))
 
 
-def cap_blocks(blocks: DataFrame, cap: int | None, key: str = "question_id", order: str = "ref_no") -> DataFrame:
+def cap_blocks(blocks: DataFrame, cap: int | None, key: str = "question_id", order: str = "ref_no",
+               totals: DataFrame | None = None) -> DataFrame:
     """H2: keep the first ``cap`` blocks per question (block order), numbered 1..shown, with the total."""
-    totals = blocks.groupBy(key).agg(F.count(F.lit(1)).alias("n_total"))
+    if totals is None:
+        totals = blocks.groupBy(key).agg(F.count(F.lit(1)).alias("n_total"))
     if cap is None:
         ranked = rank_within_groups(blocks, [key], [F.col(order)], "shown_no")
     else:
@@ -136,14 +138,16 @@ def compose_inputs(questions: DataFrame, blocks: DataFrame, *, include_summary:
     ``questions``: key, question, error, summary. ``blocks``: key, ref_no, block (already
     projected). Output: key, text, n_total, n_shown, has_rows.
     """
-    capped = cap_blocks(blocks.withColumn("block", truncate(strip(F.col("block")), max_row_chars)), max_rows, key)
+    # one grouped pass over all blocks: the total and whether any block has text (has_rows looks
+    # at every block, not only the shown ones)
+    stats = blocks.groupBy(key).agg(F.count(F.lit(1)).alias("n_total"),
+                                    F.max(has_text(F.col("block"))).alias("has_rows"))
+    capped = cap_blocks(blocks.withColumn("block", truncate(strip(F.col("block")), max_row_chars)), max_rows, key,
+                        totals=stats.select(key, "n_total"))
     per_q = capped.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("shown_no", "block"))).alias("_blocks"),
-        F.first("n_total").alias("n_total"), F.count(F.lit(1)).alias("n_shown"),
-        F.max(has_text(F.col("block"))).alias("_any_text"))
-    # has_rows looks at every block of the question, not only the shown ones.
-    any_rows = blocks.groupBy(key).agg(F.max(has_text(F.col("block"))).alias("has_rows"))
-    q = questions.join(per_q, key, "left").join(any_rows, key, "left")
+        F.first("n_total").alias("n_total"), F.count(F.lit(1)).alias("n_shown"))
+    q = questions.join(per_q, key, "left").join(stats.select(key, "has_rows"), key, "left")
     has_rows = F.coalesce(F.col("has_rows"), F.lit(False))
     head = F.array(F.lit(HEAD_QUESTION), F.col("question"), F.lit(""), F.lit(HEAD_EVIDENCE))
     err = F.array(F.concat(F.lit(ERROR_PREFIX), F.col("error")), F.lit(ERROR_TAIL))

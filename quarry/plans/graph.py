@@ -188,14 +188,13 @@ def two_branch(catalog) -> DataFrame:
                           "l_partkey", "l_suppkey", "l_shipdate"))
     per_order = li.groupBy("l_orderkey").agg(best.alias("b"))
     o = catalog.orders.select("o_orderkey", "o_custkey", "o_orderstatus")
-    per_cust = (per_order.join(o, per_order.l_orderkey == o.o_orderkey)
-                .groupBy("o_custkey").agg(F.min("b").alias("b")))
-    orders_branch = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"),
-                                               F.sum((F.col("o_orderstatus") == "O").cast("long")).alias("n_open_orders"))
+    # one pass over orders feeds both branches: the best line and the order summary per customer
+    per_cust = (o.join(per_order, o.o_orderkey == per_order.l_orderkey, "left")
+                .groupBy("o_custkey").agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("n_orders"),
+                                          F.sum((F.col("o_orderstatus") == "O").cast("long")).alias("n_open_orders")))
     part = catalog.part.select("p_partkey", "p_name")
     top = per_cust.join(part, F.col("b.l_partkey") == F.col("p_partkey"), "left")
     cust = catalog.customer.select("c_custkey", "c_name")
-    return (cust.join(orders_branch, cust.c_custkey == orders_branch.o_custkey)
-            .join(top, "o_custkey", "left")
+    return (cust.join(top, cust.c_custkey == top.o_custkey)
             .select(F.col("c_name").alias("customer_name"), F.col("p_name").alias("top_part_name"),
                     (-F.col("b.neg_price")).alias("top_price"), "n_orders", "n_open_orders"))

@@ -267,14 +267,16 @@ def unanswerable(sem: Semantic) -> DataFrame:
     """
     from functools import reduce
 
+    from quarry.plans.batch import BatchQuestion, evaluate
+
     probes = sem.spark.createDataFrame([(i, e, p, v) for i, e, p, v in NEGATIVE_PROBES],
                                        "id string, entity string, prop string, probe_value string")
-    hits = []
+    by_entity: dict[str, list] = {}
     for qid, ent, prop, value in NEGATIVE_PROBES:
-        hits.append(sem.view(ent).where(F.col(prop) == value).agg(F.count(F.lit(1)).alias("n"))
-                    .select(F.lit(qid).alias("id"), "n"))
-    counts = reduce(DataFrame.unionByName, hits)
-    out = probes.join(counts, "id", "left").select(
+        by_entity.setdefault(ent, []).append(BatchQuestion(qid, "count", F.col(prop) == value))
+    # one scan per probed entity table, however many probes it has
+    counts = reduce(DataFrame.unionByName, [evaluate(sem.view(e), qs) for e, qs in by_entity.items()])
+    out = probes.join(counts.select("id", F.col("value_num").alias("n")), "id", "left").select(
         "id", "probe_value", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_matches"))
     return out.withColumn("answer_type", F.when(F.col("n_matches") == 0, "refusal").otherwise("scalar"))
 

@@ -71,3 +71,14 @@ def test_ranking_and_lineage(catalog):
     for r in ranks:
         per.setdefault(r.run_id, []).append(r.rank)
     assert all(sorted(v) == list(range(1, len(v) + 1)) for v in per.values())
+
+
+def test_batched_truth_equals_per_question_plans(catalog):
+    from quarry.plans import truth as TR
+    from quarry.plans.questions import Semantic
+
+    sem = Semantic(catalog)
+    cols = ["id", "value_text", "value_num", "n_values"]
+    a = TR.truth_table(sem, batched=True).select(*cols)
+    b = TR.truth_table(sem, batched=False, checkpoint=False).select(*cols)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
