@@ -8,6 +8,8 @@ outcome classes, so no global row numbering of the pairs is needed.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,21 @@ def with_anchor(tasks: DataFrame, anchor: str, key: str = "task_id", by: str = "
     return tasks.where(F.col(by) != anchor).join(anchor_rows, key)
 
 
+def pair_all(tasks: DataFrame, anchor: str, key: str = "task_id", by: str = "model",
+             value: str = "correct") -> DataFrame:
+    """G4 for every run against the anchor: ``(challenger, key, a_correct, b_correct)``."""
+    return with_anchor(tasks, anchor, key, by, value).select(
+        F.col(by).alias("challenger"), key, F.col(value).cast("int").alias("a_correct"),
+        F.col("anchor_correct").alias("b_correct"))
+
+
+def flips_all(tasks: DataFrame, anchor: str, key: str = "task_id", by: str = "model") -> DataFrame:
+    """G8 for every run against the anchor."""
+    p = pair_all(tasks, anchor, key, by)
+    return p.where(F.col("a_correct") != F.col("b_correct")).withColumn(
+        "direction", F.when(F.col("a_correct") > F.col("b_correct"), "gained").otherwise("lost"))
+
+
 def miss_classes(tasks: DataFrame, anchor: str, key: str = "task_id", by: str = "model") -> DataFrame:
     """Per run, how its outcomes split against the anchor (shared miss, contested, ...)."""
     t = with_anchor(tasks, anchor, key, by)
@@ -180,12 +197,7 @@ def bootstrap_deltas(spark, counts_row: dict, resamples: int, seed: int, method:
     return spark.range(0, resamples).mapInPandas(draw, "r long, ka double, kb double")
 
 
-def paired_bootstrap_ci(spark, tasks: DataFrame, run_a: str, run_b: str, resamples: int = 10_000,
-                        seed: int = 20260731, method: str = "auto", key: str = "task_id",
-                        by: str = "model") -> DataFrame:
-    """Observed accuracies, paired delta (points) and its 95% interval
-    ``[sorted[int(.025 R)], sorted[int(.975 R)]]`` rounded to 1 place, plus includes-zero."""
-    counts = outcome_counts(pair_runs(tasks, run_a, run_b, key, by)).first().asDict()
+def _ci_from_counts(spark, counts: dict, run_a: str, run_b: str, resamples: int, seed: int, method: str) -> DataFrame:
     m = int(counts["m"] or 0)
     if m == 0:
         return spark.createDataFrame([], "model_a string, model_b string, n_paired long, resamples long, "
@@ -206,6 +218,29 @@ def paired_bootstrap_ci(spark, tasks: DataFrame, run_a: str, run_b: str, resampl
                      "ci_lo", "ci_hi", ((F.col("ci_lo") <= 0) & (F.col("ci_hi") >= 0)).alias("includes_zero"))
 
 
+def paired_bootstrap_ci(spark, tasks: DataFrame, run_a: str, run_b: str, resamples: int = 10_000,
+                        seed: int = 20260731, method: str = "auto", key: str = "task_id",
+                        by: str = "model") -> DataFrame:
+    """Observed accuracies, paired delta (points) and its 95% interval
+    ``[sorted[int(.025 R)], sorted[int(.975 R)]]`` rounded to 1 place, plus includes-zero."""
+    counts = outcome_counts(pair_runs(tasks, run_a, run_b, key, by)).first().asDict()
+    return _ci_from_counts(spark, counts, run_a, run_b, resamples, seed, method)
+
+
+def paired_bootstrap_vs_anchor(spark, tasks: DataFrame, anchor: str, resamples: int = 10_000,
+                               seed: int = 20260731, method: str = "auto", key: str = "task_id",
+                               by: str = "model") -> DataFrame:
+    """G5 for every run against the anchor: the outcome-class counts of all runs come from one
+    grouped pass (one row per run reaches the driver), then each run's resamples are drawn."""
+    a, b = F.col("a_correct"), F.col("b_correct")
+    per = pair_all(tasks, anchor, key, by).groupBy("challenger").agg(
+        F.count(F.lit(1)).alias("m"), F.sum(((a == 1) & (b == 1)).cast("long")).alias("c11"),
+        F.sum(((a == 1) & (b == 0)).cast("long")).alias("c10"), F.sum(((a == 0) & (b == 1)).cast("long")).alias("c01"))
+    parts = [_ci_from_counts(spark, r.asDict(), r["challenger"], anchor, resamples, seed, method)
+             for r in per.orderBy("challenger").collect()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def verdict_clauses(cards: DataFrame, boot: DataFrame, neg: DataFrame, anchor: str, challenger: str,
                     by: str = "model", grounded_min: float = 95.0) -> DataFrame:
     """The four verdict clauses for one challenger vs the anchor, as booleans.

@@ -554,14 +554,23 @@ MATRIX_METRICS = ["overall_pct", "tokens_total", "tokens_avg", "cost_total", "co
                   "grounded_pct", "traversal_pct"]
 BOOT_RESAMPLES, BOOT_SEED = 200, 20260731
 
-PAIRS_SQL = f"""
-SELECT task_id, MAX(CASE WHEN model = '{CHALLENGER}' THEN CAST(correct AS INTEGER) END) AS a_correct,
+def _pairs_sql(challenger: str) -> str:
+    return f"""
+SELECT task_id, MAX(CASE WHEN model = '{challenger}' THEN CAST(correct AS INTEGER) END) AS a_correct,
        MAX(CASE WHEN model = '{ANCHOR}' THEN CAST(correct AS INTEGER) END) AS b_correct
-FROM ({D.RUN_LOG_SQL}) r WHERE model IN ('{CHALLENGER}', '{ANCHOR}') GROUP BY task_id
-HAVING MAX(CASE WHEN model = '{CHALLENGER}' THEN 1 END) IS NOT NULL
+FROM ({D.RUN_LOG_SQL}) r WHERE model IN ('{challenger}', '{ANCHOR}') GROUP BY task_id
+HAVING MAX(CASE WHEN model = '{challenger}' THEN 1 END) IS NOT NULL
    AND MAX(CASE WHEN model = '{ANCHOR}' THEN 1 END) IS NOT NULL"""
 
 
+PAIRS_SQL = _pairs_sql(CHALLENGER)
+CHALLENGERS = [m for m in RUNS if m != ANCHOR]
+ALL_PAIRS_SQL = f"""
+SELECT r.model AS challenger, r.task_id, CAST(r.correct AS INTEGER) AS a_correct, CAST(a.correct AS INTEGER) AS b_correct
+FROM ({D.RUN_LOG_SQL}) r JOIN ({D.RUN_LOG_SQL}) a ON a.task_id = r.task_id AND a.model = '{ANCHOR}'
+WHERE r.model <> '{ANCHOR}'"""
+
+
 def _cards(spark, d):
     return SC.scorecard(_scored(spark, d))
 
@@ -582,12 +591,14 @@ SELECT '{ANCHOR}' AS reference, c.model AS challenger, c.overall_pct >= r.overal
 FROM ({SCORECARD_SQL}) c, (SELECT * FROM ({SCORECARD_SQL}) x WHERE model = '{ANCHOR}') r WHERE c.model <> '{ANCHOR}'
 """)(lambda spark, d: CMP.pareto_check(_cards(spark, d), ANCHOR))
 
-register("paired_delta", f"SELECT task_id, a_correct, b_correct, a_correct - b_correct AS delta FROM ({PAIRS_SQL}) p")(
-    lambda spark, d: CMP.pair_runs(D.run_log(Catalog(spark, d)), CHALLENGER, ANCHOR).withColumn(
+register("paired_delta",
+         f"SELECT challenger, task_id, a_correct, b_correct, a_correct - b_correct AS delta FROM ({ALL_PAIRS_SQL}) p")(
+    lambda spark, d: CMP.pair_all(D.run_log(Catalog(spark, d)), ANCHOR).withColumn(
         "delta", F.col("a_correct") - F.col("b_correct")))
 
-BOOTSTRAP_SQL = f"""
-WITH p AS ({PAIRS_SQL}),
+def _bootstrap_sql(challenger: str) -> str:
+    return f"""
+WITH p AS ({_pairs_sql(challenger)}),
 c AS (SELECT COUNT(*) AS m, SUM(CASE WHEN a_correct = 1 AND b_correct = 1 THEN 1 ELSE 0 END) AS c11,
              SUM(CASE WHEN a_correct = 1 AND b_correct = 0 THEN 1 ELSE 0 END) AS c10,
              SUM(CASE WHEN a_correct = 0 AND b_correct = 1 THEN 1 ELSE 0 END) AS c01 FROM p),
@@ -603,13 +614,22 @@ ci AS (SELECT round_even(MAX(CASE WHEN i = {int(0.025 * BOOT_RESAMPLES)} THEN d
               round_even(MAX(CASE WHEN i = {int(0.975 * BOOT_RESAMPLES)} THEN d END), 1) AS ci_hi FROM ranked),
 obs AS (SELECT m, round_even(CAST(100 AS DOUBLE) * (c11 + c10) / m, 1) AS acc_a_pct,
                round_even(CAST(100 AS DOUBLE) * (c11 + c01) / m, 1) AS acc_b_pct FROM c)
-SELECT '{CHALLENGER}' AS model_a, '{ANCHOR}' AS model_b, CAST(obs.m AS BIGINT) AS n_paired,
+SELECT '{challenger}' AS model_a, '{ANCHOR}' AS model_b, CAST(obs.m AS BIGINT) AS n_paired,
        CAST({BOOT_RESAMPLES} AS BIGINT) AS resamples, acc_a_pct, acc_b_pct, round_even(acc_a_pct - acc_b_pct, 1) AS delta_pct,
        ci_lo, ci_hi, ci_lo <= 0 AND ci_hi >= 0 AS includes_zero
 FROM obs, ci"""
 
-register("paired_bootstrap_ci", BOOTSTRAP_SQL)(lambda spark, d: CMP.paired_bootstrap_ci(
-    spark, D.run_log(Catalog(spark, d)), CHALLENGER, ANCHOR, resamples=BOOT_RESAMPLES, seed=BOOT_SEED, method="hash"))
+
+BOOTSTRAP_SQL = _bootstrap_sql(CHALLENGER)
+
+
+def _bootstrap_all(spark, d):
+    return CMP.paired_bootstrap_vs_anchor(spark, D.run_log(Catalog(spark, d)), ANCHOR, resamples=BOOT_RESAMPLES,
+                                          seed=BOOT_SEED, method="hash")
+
+
+register("paired_bootstrap_ci", " UNION ALL ".join(f"SELECT * FROM ({_bootstrap_sql(ch)}) b" for ch in CHALLENGERS))(
+    _bootstrap_all)
 
 BY_CAT_SQL = f"""
 SELECT model, category, COUNT(*) AS n, SUM(CAST(correct AS INTEGER)) AS correct FROM ({D.RUN_LOG_SQL}) r
@@ -630,9 +650,9 @@ WHERE r.model <> '{ANCHOR}' GROUP BY 1, 2
 """)(lambda spark, d: CMP.miss_classes(D.run_log(Catalog(spark, d)), ANCHOR))
 
 register("flips", f"""
-SELECT task_id, a_correct, b_correct, CASE WHEN a_correct > b_correct THEN 'gained' ELSE 'lost' END AS direction
-FROM ({PAIRS_SQL}) p WHERE a_correct <> b_correct
-""")(lambda spark, d: CMP.flips(D.run_log(Catalog(spark, d)), CHALLENGER, ANCHOR))
+SELECT challenger, task_id, a_correct, b_correct, CASE WHEN a_correct > b_correct THEN 'gained' ELSE 'lost' END AS direction
+FROM ({ALL_PAIRS_SQL}) p WHERE a_correct <> b_correct
+""")(lambda spark, d: CMP.flips_all(D.run_log(Catalog(spark, d)), ANCHOR))
 
 register("passrate_cube", f"""
 SELECT category, has_rows, COUNT(*) AS n, SUM(CAST(correct AS INTEGER)) AS passed,
@@ -1048,18 +1068,25 @@ def _split_overlap(spark, d):
     return a.unionByName(b)
 
 
+TASKS_SQL = f"SELECT DISTINCT task_id, split FROM ({D.RUN_LOG_SQL}) r"
+
+
+def _tasks(spark, d):
+    """The task list: one row per task over the whole log (split is a function of the task)."""
+    return D.run_log(Catalog(spark, d)).select("task_id", "split").distinct()
+
+
 register("split_counts", f"""
-SELECT COALESCE(split, 'unspecified') AS split, COUNT(*) AS n FROM ({D.RUN_LOG_SQL}) r WHERE model = 'm0' GROUP BY 1
-""")(lambda spark, d: TR.split_counts(D.run_log(Catalog(spark, d)).where(F.col("model") == "m0")))
+SELECT COALESCE(split, 'unspecified') AS split, COUNT(*) AS n FROM ({TASKS_SQL}) t GROUP BY 1
+""")(lambda spark, d: TR.split_counts(_tasks(spark, d)))
 
 SPLIT_LIMITS = {"train": 12, "dev": 6}
 register("split_head", f"""
-SELECT task_id, model, split, rank FROM (
-  SELECT task_id, model, split, CAST(row_number() OVER (PARTITION BY split ORDER BY task_id) AS INTEGER) AS rank
-  FROM ({D.RUN_LOG_SQL}) r WHERE model = 'm0' AND split IN ('train', 'dev')) t
+SELECT task_id, split, rank FROM (
+  SELECT task_id, split, CAST(row_number() OVER (PARTITION BY split ORDER BY task_id) AS INTEGER) AS rank
+  FROM ({TASKS_SQL}) t WHERE split IN ('train', 'dev')) x
 WHERE rank <= CASE split WHEN 'train' THEN 12 ELSE 6 END
-""")(lambda spark, d: TR.split_head(D.run_log(Catalog(spark, d)).where(F.col("model") == "m0"), SPLIT_LIMITS, "task_id")
-     .select("task_id", "model", "split", "rank"))
+""")(lambda spark, d: TR.split_head(_tasks(spark, d), SPLIT_LIMITS, "task_id").select("task_id", "split", "rank"))
 
 REFRESH_SINCE = "2001-06-01"
 register("graph_refresh", f"""
