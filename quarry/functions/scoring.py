@@ -109,13 +109,17 @@ def score_refusal(answer, verdict) -> Column:
 
 
 def grounded(tool_calls) -> Column:
-    """Any tool call whose type or name mentions the grounding marker, or whose type mentions mcp."""
-    def hit(c):
-        t = F.lower(F.coalesce(c["type"], F.lit("none")))
-        n = F.lower(F.coalesce(c["name"], F.lit("none")))
-        return (F.contains(t, F.lit(GROUNDING_MARKER)) | F.contains(n, F.lit(GROUNDING_MARKER))
-                | F.contains(t, F.lit(GROUNDING_TYPE_MARKER)))
-    return F.coalesce(F.exists(_c(tool_calls), hit), F.lit(False))
+    """Any tool call whose type or name mentions the grounding marker, or whose type mentions mcp.
+
+    The fields are pulled out of the array of structs without a lambda and joined with a control
+    character that cannot join two fields into a marker, so the test stays in generated code.
+    """
+    calls = _c(tool_calls)
+    types = F.lower(F.array_join(calls["type"], "\u0001"))
+    names = F.lower(F.array_join(calls["name"], "\u0001"))
+    hit = (F.contains(types, F.lit(GROUNDING_MARKER)) | F.contains(names, F.lit(GROUNDING_MARKER))
+           | F.contains(types, F.lit(GROUNDING_TYPE_MARKER)))
+    return F.coalesce(hit, F.lit(False))
 
 
 def traversal_ok(category, grounded_col, correct) -> Column:
