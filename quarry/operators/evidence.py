@@ -142,12 +142,15 @@ def compose_inputs(questions: DataFrame, blocks: DataFrame, *, include_summary:
     # at every block, not only the shown ones)
     stats = blocks.groupBy(key).agg(F.count(F.lit(1)).alias("n_total"),
                                     F.max(has_text(F.col("block"))).alias("has_rows"))
-    capped = cap_blocks(blocks.withColumn("block", truncate(strip(F.col("block")), max_row_chars)), max_rows, key,
-                        totals=stats.select(key, "n_total"))
+    shown = blocks.withColumn("block", truncate(strip(F.col("block")), max_row_chars))
+    if max_rows is None:
+        capped = rank_within_groups(shown, [key], [F.col("ref_no")], "shown_no")
+    else:
+        capped = top_k_per_group(shown, [key], [F.col("ref_no")], max_rows, "shown_no")
     per_q = capped.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("shown_no", "block"))).alias("_blocks"),
-        F.first("n_total").alias("n_total"), F.count(F.lit(1)).alias("n_shown"))
-    q = questions.join(per_q, key, "left").join(stats.select(key, "has_rows"), key, "left")
+        F.count(F.lit(1)).alias("n_shown"))
+    q = questions.join(per_q, key, "left").join(stats, key, "left")
     has_rows = F.coalesce(F.col("has_rows"), F.lit(False))
     head = F.array(F.lit(HEAD_QUESTION), F.col("question"), F.lit(""), F.lit(HEAD_EVIDENCE))
     err = F.array(F.concat(F.lit(ERROR_PREFIX), F.col("error")), F.lit(ERROR_TAIL))

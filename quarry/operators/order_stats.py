@@ -15,19 +15,27 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import materialize
+
 
 def order_statistics(df: DataFrame, by: list[str], value: str,
-                     picks: dict[str, Callable[[Column], Column]], bucket_width: float = 1024) -> DataFrame:
+                     picks: dict[str, Callable[[Column], Column]], bucket_width: float = 1024,
+                     materialize_steps: bool = True) -> DataFrame:
     """Per group, the value at each 0-based rank ``picks[name](n)`` where n is the group size.
 
     Returns ``by + [n] + list(picks)``. Exact (no interpolation): the value v with
-    ``count(< v) <= rank < count(<= v)``.
+    ``count(< v) <= rank < count(<= v)``. The histogram and the bucket counts are each read
+    more than once; ``materialize_steps`` writes them (both small: distinct values, buckets) once
+    to the checkpoint folder so the input is scanned a single time.
     """
-    hist = (df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-            .withColumn("_b", F.floor(F.col(value) / F.lit(bucket_width))))
+    def keep(x: DataFrame, tag: str) -> DataFrame:
+        return materialize(x, tag) if materialize_steps else x
+
+    hist = keep(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+                .withColumn("_b", F.floor(F.col(value) / F.lit(bucket_width))), "order-stats-hist")
     buckets = hist.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"))
     wb = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("_before", F.coalesce(F.sum("_bc").over(wb), F.lit(0)))
+    buckets = keep(buckets.withColumn("_before", F.coalesce(F.sum("_bc").over(wb), F.lit(0))), "order-stats-buckets")
     sizes = buckets.groupBy(*by).agg(F.sum("_bc").alias("n"))
     targets = sizes.select(*by, "n", F.explode(F.array(*[
         F.struct(F.lit(name).alias("_pick"), fn(F.col("n")).cast("long").alias("_rank")) for name, fn in picks.items()
