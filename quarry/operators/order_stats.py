@@ -88,6 +88,9 @@ def rank_within_groups(df: DataFrame, by: list[str], order: list[Column], rank_c
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
     local = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_pid").orderBy(*keys)))
+    # read twice (per-task counts, positions): written once, so the range shuffle runs once; the
+    # count pass reads only the task-id column
+    local = materialize(local, "ranked")
     counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = counts.withColumn(
         "_off", F.coalesce(F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),

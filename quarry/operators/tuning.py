@@ -30,7 +30,8 @@ def _pos(prefix: str = "") -> Column:
 
 
 def replay_adopt_gate(cands: DataFrame, checkpoint: bool = True, max_rounds: int | None = None) -> DataFrame:
-    """``(run_id, cid, step_ts, promising, adopted, parent_cid, depth)`` for every logged step.
+    """``(run_id, cid, step_ts, promising, adopted, parent_cid, depth, train_acc, dev_acc, dev_tokens)``
+    for every logged step.
 
     promising = train objective > best's AND train negatives >= best's;
     adopted = promising AND DEV objective > best's AND DEV accuracy >= seed's AND DEV negatives >= seed's.
@@ -52,7 +53,9 @@ def replay_adopt_gate(cands: DataFrame, checkpoint: bool = True, max_rounds: int
         F.col("s.dev_acc").alias("s_dacc"), F.col("s.dev_neg").alias("s_dneg"), F.lit(0).alias("depth")))
     out = [state.select("run_id", F.col("b_cid").alias("cid"), F.col("b_ts").alias("step_ts"),
                         F.lit(True).alias("promising"), F.lit(True).alias("adopted"),
-                        F.lit(None).cast("long").alias("parent_cid"), F.col("depth"))]
+                        F.lit(None).cast("long").alias("parent_cid"), F.col("depth"),
+                        F.col("b_tacc").alias("train_acc"), F.col("b_dacc").alias("dev_acc"),
+                        F.col("b_dtok").alias("dev_tokens"))]
     # steps after the seed (the first round filters them while joining the state)
     remaining = c.join(state.select("run_id", "b_ts", "b_cid"), "run_id").where(
         _pos() > F.struct(F.col("b_ts").alias("t"), F.col("b_cid").alias("c"))).select(*CAND_COLS)
@@ -70,7 +73,8 @@ def replay_adopt_gate(cands: DataFrame, checkpoint: bool = True, max_rounds: int
         upto = F.col("nx").isNull() | (_pos() <= F.col("nx"))
         out.append(j.where(upto).select(
             "run_id", "cid", "step_ts", "promising", "adopted", F.col("b_cid").alias("parent_cid"),
-            F.when(F.col("adopted"), F.col("depth") + 1).otherwise(F.col("depth")).alias("depth")))
+            F.when(F.col("adopted"), F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"),
+            "train_acc", "dev_acc", "dev_tokens"))
         state = j.where(F.col("nx").isNotNull() & (_pos() == F.col("nx"))).select(
             "run_id", F.col("step_ts").alias("b_ts"), F.col("cid").alias("b_cid"), F.col("train_acc").alias("b_tacc"),
             F.col("train_tokens").alias("b_ttok"), F.col("train_neg").alias("b_tneg"), F.col("dev_acc").alias("b_dacc"),
@@ -85,10 +89,9 @@ def replay_adopt_gate(cands: DataFrame, checkpoint: bool = True, max_rounds: int
     return result
 
 
-def candidate_ranking(replay: DataFrame, cands: DataFrame) -> DataFrame:
+def candidate_ranking(replay: DataFrame, cands: DataFrame | None = None) -> DataFrame:
     """Validated (DEV-evaluated = promising) candidates ranked by DEV objective, stable by step."""
-    v = replay.where("promising").select("run_id", "cid").join(cands.select("run_id", "cid", "step_ts", "dev_acc", "dev_tokens"),
-                                                               ["run_id", "cid"])
+    v = replay.where("promising").select("run_id", "cid", "step_ts", "dev_acc", "dev_tokens")
     r = rank_within_groups(v, ["run_id"], [F.col("dev_acc").desc(), F.col("dev_tokens").asc(), F.col("step_ts").asc(),
                                            F.col("cid").asc()], "rank")
     return r.select("run_id", "cid", "dev_acc", "dev_tokens", F.col("rank").cast("long").alias("rank"))
@@ -106,13 +109,13 @@ def recent_rejects(replay: DataFrame, k: int = 6) -> DataFrame:
         "run_id", "cid", "rank")
 
 
-def overfit_gap(replay: DataFrame, cands: DataFrame) -> DataFrame:
-    """I8: the final winner of every run and its DEV-minus-train accuracy gap."""
-    win = replay.where("adopted").groupBy("run_id").agg(F.max(F.struct("depth", "cid")).alias("w")).select(
-        "run_id", F.col("w.cid").alias("cid"), F.col("w.depth").alias("depth"))
-    j = win.join(cands.select("run_id", "cid", "train_acc", "dev_acc"), ["run_id", "cid"])
-    return j.select("run_id", F.col("cid").alias("winner_cid"), "depth", "train_acc", "dev_acc",
-                    (F.col("dev_acc") - F.col("train_acc")).alias("gap"))
+def overfit_gap(replay: DataFrame, cands: DataFrame | None = None) -> DataFrame:
+    """I8: the final winner of every run and its DEV-minus-train accuracy gap (one grouped pass)."""
+    win = replay.where("adopted").groupBy("run_id").agg(
+        F.max(F.struct("depth", "cid", "train_acc", "dev_acc")).alias("w"))
+    return win.select("run_id", F.col("w.cid").alias("winner_cid"), F.col("w.depth").alias("depth"),
+                      F.col("w.train_acc").alias("train_acc"), F.col("w.dev_acc").alias("dev_acc"),
+                      (F.col("w.dev_acc") - F.col("w.train_acc")).alias("gap"))
 
 
 def top_costly(tasks: DataFrame, by: str = "model", k: int = 3) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.session import materialize
+
 NULL_MARK = "\\N"
 
 
@@ -59,6 +61,8 @@ def row_count_contract(catalog, rules: dict[str, tuple[str | None, int]] | None
     names = sorted(set(rules) | {a for a, _ in rules.values() if a})
     counts = reduce(DataFrame.unionByName, [catalog.table(t).agg(F.count(F.lit(1)).alias("actual"))
                                            .select(F.lit(t).alias("table_name"), "actual") for t in names])
+    # one row per table, read twice below (actual and anchor): written once so each table is counted once
+    counts = materialize(counts, "row-counts")
     spark = catalog.spark
     spec = spark.createDataFrame([(t, a, f) for t, (a, f) in rules.items()],
                                  "table_name string, anchor string, factor long")
