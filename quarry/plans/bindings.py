@@ -107,7 +107,7 @@ def key_column(cols: list[Column] | tuple[Column, ...]) -> Column:
     return F.concat_ws(":", *[c.cast("string") for c in cols])
 
 
-def source_expr(table_df: DataFrame, source: str, value_type: str) -> Column:
+def source_expr(source: str, value_type: str) -> Column:
     """Typed source column. DateTime sources are read as TIMESTAMP; dates keep day precision."""
     c = F.col(source)
     if value_type == "Date":
@@ -118,7 +118,7 @@ def source_expr(table_df: DataFrame, source: str, value_type: str) -> Column:
 def entity_view(catalog, entity: EntityType) -> DataFrame:
     """B2: typed projection of the bound columns, renamed to property names."""
     df = catalog.table(entity.table)
-    view = df.select(*[source_expr(df, p.source, p.value_type).alias(p.name) for p in entity.properties])
+    view = df.select(*[source_expr(p.source, p.value_type).alias(p.name) for p in entity.properties])
     # The binding's row filter is written on property names; Catalyst pushes it into the scan.
     return view.where(entity.where) if entity.where else view
 

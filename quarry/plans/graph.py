@@ -19,7 +19,7 @@ from quarry.plans.bindings import (EntityType, Ontology, RelationshipType, entit
 
 def _end_key(cols: tuple[str, ...], entity: EntityType) -> Column:
     """Key of one relationship end, typed like the entity's key properties (same text as the node key)."""
-    typed = [source_expr(None, c, entity.prop(k).value_type) for c, k in zip(cols, entity.key)]
+    typed = [source_expr(c, entity.prop(k).value_type) for c, k in zip(cols, entity.key)]
     return key_column(typed)
 
 
@@ -148,9 +148,9 @@ def traverse(catalog, onto: Ontology, path: list[str], where: dict[str, str] | N
             current = current.join(nv, cond, "inner")
         else:
             fact = catalog.table(rel.table)
-            hop = fact.select(*[source_expr(None, c, prev_e.prop(k).value_type).alias(f"__p{j}")
+            hop = fact.select(*[source_expr(c, prev_e.prop(k).value_type).alias(f"__p{j}")
                                 for j, (c, k) in enumerate(zip(prev_cols, prev_e.key))],
-                              *[source_expr(None, c, nxt_e.prop(k).value_type).alias(f"__n{j}")
+                              *[source_expr(c, nxt_e.prop(k).value_type).alias(f"__n{j}")
                                 for j, (c, k) in enumerate(zip(nxt_cols, nxt_e.key))])
             cond = conj([(current[f"{prev_name}__{k}"], hop[f"__p{j}"]) for j, k in enumerate(prev_e.key)])
             current = current.join(hop, cond, "inner")
