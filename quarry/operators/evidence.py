@@ -214,10 +214,10 @@ def extract_references(responses: DataFrame, body: str = "body") -> DataFrame:
     """H6: blocks (non-empty raw data, in order) and the first answer (else the first text content)."""
     p = F.from_json(F.col(body), RESPONSE_SCHEMA)
     refs = p["references"]
-    blocks = F.filter(F.transform(refs, lambda r: r["sourceData"]["fabricRawData"]),
-                      lambda x: x.isNotNull() & (F.length(x) > 0))
-    answers = F.filter(F.transform(refs, lambda r: r["sourceData"]["fabricAnswer"]),
-                       lambda x: x.isNotNull() & (F.length(x) > 0))
+    # field extraction from the array of structs + compact/remove: no lambdas on the main path
+    blocks = F.coalesce(F.array_remove(F.array_compact(refs["sourceData"]["fabricRawData"]), ""),
+                        F.array().cast("array<string>"))
+    answers = F.array_remove(F.array_compact(refs["sourceData"]["fabricAnswer"]), "")
     texts = F.filter(F.flatten(F.transform(F.coalesce(p["response"], F.array().cast(
         "array<struct<content: array<struct<type: string, text: string>>>>")),
         lambda m: F.coalesce(m["content"], F.array().cast("array<struct<type: string, text: string>>")))),

@@ -84,3 +84,15 @@ def test_unknown_answer_type_raises(spark):
     df = spark.createDataFrame([("bogus",)], "t string")
     with pytest.raises(Exception, match="unknown answer_type"):
         df.select(S.dispatch_correct("t", F.lit(True), F.lit(True), F.lit(True))).collect()
+
+
+def test_norm_nbsp_and_ideographic_space(spark):
+    r = one(spark, [S.norm("a").alias("n"), S.score_scalar_text("a", "e").alias("ok")],
+            [("Blue Lake　Reservoir", "blue lake reservoir")], "a string, e string")
+    assert r[0].n == "blue lake reservoir" and r[0].ok is True
+
+
+def test_py_strip_matches_python(spark):
+    texts = ["  x y \t\n", " abc　", "plain", ""]
+    r = one(spark, [S.py_strip("a").alias("s")], [(t,) for t in texts], "a string")
+    assert [x.s for x in r] == [t.strip() for t in texts]
