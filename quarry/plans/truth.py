@@ -52,7 +52,8 @@ def truth_table(sem: Semantic, questions: list[Question] | None = None, batched:
                                  "id string, category string, answer_type string, split string")
     parts = []
     done: set[str] = set()
-    if batched:
+    if batched and questions is None:
+        # the batch definitions cover the driver-table question set only
         from quarry.plans.truth_batches import batched_truth
 
         frame, done = batched_truth(sem, {q.id for q in qs})
