@@ -107,3 +107,30 @@ def tuning_summary(tasks: DataFrame, by: list[str]) -> DataFrame:
         F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"),
         F.sum(neg.cast("int")).alias("neg_n"), F.sum((neg & F.col("correct")).cast("int")).alias("neg_correct"),
     ).withColumn("accuracy_pct", pct(F.col("correct"), F.col("n"), 2))
+
+
+def nested_scorecard(tasks: DataFrame, by: str = "model", bucket_width: float = 1024) -> DataFrame:
+    """F1-F7 as one nested record per run (accuracy with per-category counts, tokens, cost, latency,
+    grounding, config), the shape written by the A6 sink and read back by field path.
+
+    The per-category list holds one entry per category (bounded by the category set, not by data).
+    """
+    flat = scorecard(tasks, by)
+    lat = latency_percentiles(tasks, by, bucket_width=bucket_width).drop("n_tasks")
+    cats = (scorecard_by_category(tasks, by).where(~F.col("is_total"))
+            .groupBy(by).agg(F.array_sort(F.collect_list(F.struct("category", "n", "correct", "pct")))
+                             .alias("by_category")))
+    hashes = tasks.select(by, "config_hash").distinct().groupBy(by).agg(
+        F.array_sort(F.collect_list("config_hash")).alias("config_hashes"))
+    j = flat.join(lat, by).join(cats, by, "left").join(hashes, by, "left")
+    return j.select(
+        by, F.col("n_tasks"),
+        F.struct(F.col("overall_pct"), F.col("correct"), F.col("by_category")).alias("accuracy"),
+        F.struct(F.col("tokens_in").alias("input"), F.col("tokens_out").alias("output"),
+                 F.col("tokens_total").alias("total"), F.col("tokens_avg").alias("avg_per_task")).alias("tokens"),
+        F.struct(F.col("cost_total").alias("total_usd"), F.col("cost_avg").alias("avg_per_task_usd"),
+                 F.col("cost_per_correct").alias("cost_per_correct_usd")).alias("cost"),
+        F.struct(F.col("latency_avg").alias("avg"), "p50", "p95", "max").alias("latency_ms"),
+        F.struct(F.col("grounded_pct").alias("called_pct"), F.col("traversal_pct").alias("multi_hop_traversal_ok_pct"),
+                 F.col("multi_hop_n")).alias("grounding"),
+        F.struct(F.col("config_hashes"), F.col("single_config")).alias("frozen_weights"))

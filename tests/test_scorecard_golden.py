@@ -98,3 +98,21 @@ def test_bootstrap_multinomial_close_to_hash(spark, catalog):
     m = paired_bootstrap_ci(spark, log, "m1", "m0", resamples=400, method="multinomial").first()
     assert h.delta_pct == m.delta_pct
     assert abs(h.ci_lo - m.ci_lo) < 3.0 and abs(h.ci_hi - m.ci_hi) < 3.0
+
+
+def test_nested_scorecard_sink_roundtrip(spark, tasks):
+    """Nested scorecard written partitioned by run and read back by field path."""
+    import tempfile
+
+    from quarry.sources.tables import write_table
+
+    out = tempfile.mkdtemp(prefix="quarry-cards-")
+    write_table(SC.nested_scorecard(tasks, bucket_width=1000), out, partition_by=["model"], fmt="json")
+    back = spark.read.json(out)
+    r = back.select("model", "accuracy.overall_pct", "tokens.total", "latency_ms.p95", "cost.cost_per_correct_usd",
+                    "accuracy.by_category", "frozen_weights.single_config").first()
+    assert (r.model, r.overall_pct, r.total, r.p95) == ("A", 91.7, 107450, 49498)
+    assert r.cost_per_correct_usd == pytest.approx(0.00797, abs=1e-6)
+    assert [(c.category, c.correct, c.n) for c in r.by_category] == [
+        ("multi_hop", 9, 10), ("negative", 6, 6), ("single_hop", 7, 8)]
+    assert r.single_config is True
