@@ -51,6 +51,49 @@ def order_statistics(df: DataFrame, by: list[str], value: str,
                                        for name in picks])
 
 
+def radix_order_statistics(df: DataFrame, by: list[str], value: str,
+                           picks: dict[str, Callable[[Column], Column]], radix_bits: int = 12) -> DataFrame:
+    """Exact order statistics of an integral column with a hard bound on every window.
+
+    Radix select: values are counted per (group, value) once (written to the checkpoint folder),
+    then the offset from the group minimum is resolved ``radix_bits`` at a time. At each level
+    only the values whose higher bits match the prefix found so far are counted per next digit,
+    and the digit holding the wanted rank is kept. Every window sees at most ``2**radix_bits``
+    rows; the number of levels is fixed by the bit length of the largest offset.
+    """
+    import math
+
+    hist = materialize(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")),
+                       "radix-hist")
+    sizes = materialize(hist.groupBy(*by).agg(F.sum("_c").alias("n"), F.min(value).alias("_gmin"),
+                                               (F.max(value) - F.min(value)).alias("_span")), "radix-sizes")
+    span = sizes.agg(F.max("_span")).first()[0] or 0
+    levels = max(1, math.ceil(max(1, int(span).bit_length()) / radix_bits))
+    state = sizes.select(*by, "n", "_gmin", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("_pick"), fn(F.col("n")).cast("long").alias("_rank")) for name, fn in picks.items()
+    ])).alias("_t")).select(*by, "n", "_gmin", "_t._pick", "_t._rank",
+                            F.lit(0).cast("long").alias("_prefix"), F.lit(0).cast("long").alias("_base"))
+    mask = (1 << radix_bits) - 1
+    off = F.col(value).cast("long") - F.col("_gmin")
+    for level in range(levels):
+        shift = radix_bits * (levels - level - 1)
+        cand = (hist.join(state, by)
+                .where(F.shiftright(off, shift + radix_bits) == F.col("_prefix"))
+                .withColumn("_digit", F.shiftright(off, shift).bitwiseAND(F.lit(mask))))
+        per = cand.groupBy(*by, "n", "_gmin", "_pick", "_rank", "_prefix", "_base", "_digit").agg(
+            F.sum("_c").alias("_dc"))
+        w = Window.partitionBy(*by, "_pick").orderBy("_digit").rowsBetween(Window.unboundedPreceding, -1)
+        per = per.withColumn("_before", F.col("_base") + F.coalesce(F.sum("_dc").over(w), F.lit(0)))
+        chosen = per.where((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_dc")))
+        state = materialize(chosen.select(
+            *by, "n", "_gmin", "_pick", "_rank",
+            (F.shiftleft(F.col("_prefix"), radix_bits) + F.col("_digit")).alias("_prefix"),
+            F.col("_before").alias("_base")), "radix-state")
+    result = state.select(*by, "n", "_pick", (F.col("_gmin") + F.col("_prefix")).alias("_v"))
+    return result.groupBy(*by, "n").agg(*[F.max(F.when(F.col("_pick") == name, F.col("_v"))).alias(name)
+                                          for name in picks])
+
+
 def upper_median(n: Column) -> Column:
     """sorted[n // 2]."""
     return F.floor(n / 2)

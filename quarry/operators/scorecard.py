@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scoring as S
-from quarry.operators.order_stats import index_rank, last_rank, order_statistics, upper_median
+from quarry.operators.order_stats import (index_rank, last_rank, order_statistics, radix_order_statistics,
+                                          upper_median)
 from quarry.sources import derived as D
 
 
@@ -64,11 +65,20 @@ def scorecard(tasks: DataFrame, by: str = "model") -> DataFrame:
 
 
 def latency_percentiles(tasks: DataFrame, by: str = "model", value: str = "latency_ms",
-                        bucket_width: float = 1024) -> DataFrame:
-    """p50 = sorted[n//2], p95 = sorted[min(n-1, int(.95 n))], max, exact."""
-    return order_statistics(tasks, [by], value,
-                            {"p50": upper_median, "p95": index_rank(0.95), "max": last_rank},
-                            bucket_width=bucket_width).withColumnRenamed("n", "n_tasks")
+                        bucket_width: float | None = None) -> DataFrame:
+    """p50 = sorted[n//2], p95 = sorted[min(n-1, int(.95 n))], max, exact.
+
+    Integral latencies use the radix select (hard window bound); ``bucket_width`` forces the
+    bucketed selection (for non-integral values)."""
+    picks = {"p50": upper_median, "p95": index_rank(0.95), "max": last_rank}
+    from pyspark.sql import types as T
+
+    integral = isinstance(tasks.schema[value].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    if integral and bucket_width is None:
+        out = radix_order_statistics(tasks, [by], value, picks)
+    else:
+        out = order_statistics(tasks, [by], value, picks, bucket_width=bucket_width or 1024)
+    return out.withColumnRenamed("n", "n_tasks")
 
 
 def scorecard_by_category(tasks: DataFrame, by: str = "model") -> DataFrame:

@@ -53,3 +53,21 @@ def test_top_k_per_group(spark):
     for g, items in groups.items():
         exp += [(g, i) for _, i in sorted(items)[:3]]
     assert got == sorted(exp)
+
+
+def test_radix_order_statistics_exact(spark):
+    from quarry.operators.order_stats import radix_order_statistics
+
+    rows, df = _data(spark)
+    rows += [(10 ** 6 + i, "wide", v) for i, v in enumerate([-5, 0, 7, 7, 2 ** 40, 2 ** 40 + 3, 123456789])]
+    df = spark.createDataFrame(rows, "id long, g string, v long")
+    got = {r.g: (r.n, r.p50, r.p95, r.max, r.min) for r in radix_order_statistics(
+        df, ["g"], "v", {"p50": upper_median, "p95": index_rank(0.95), "max": last_rank, "min": lambda n: n * 0},
+        radix_bits=8).collect()}
+    groups = {}
+    for _, g, v in rows:
+        groups.setdefault(g, []).append(v)
+    for g, vs in groups.items():
+        vs.sort()
+        n = len(vs)
+        assert got[g] == (n, vs[n // 2], vs[min(n - 1, int(0.95 * n))], vs[-1], vs[0]), g
