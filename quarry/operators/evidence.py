@@ -233,15 +233,16 @@ def extract_references(responses: DataFrame, body: str = "body") -> DataFrame:
 def overlay_config(edit_json: Column) -> Column:
     """H7: defaults overlaid by the known keys of a partial JSON edit (unknown keys ignored).
 
-    Needs ``spark.sql.mapKeyDedupPolicy=LAST_WIN`` (set by ``resolved_config``)."""
+    Overridden defaults are removed before the two maps are concatenated, so no duplicate keys
+    arise and no session setting is needed."""
     defaults = F.create_map(*[x for k, v in INJECTION_DEFAULTS.items() for x in (F.lit(k), F.lit(v).cast("string"))])
-    edit = F.from_json(edit_json, "map<string,string>")
+    edit = F.coalesce(F.from_json(edit_json, "map<string,string>"), F.create_map().cast("map<string,string>"))
     known = F.map_filter(edit, lambda k, v: F.array_contains(F.map_keys(defaults), k))
-    return F.map_concat(defaults, known)
+    kept = F.map_filter(defaults, lambda k, v: ~F.array_contains(F.map_keys(known), k))
+    return F.map_concat(kept, known)
 
 
 def resolved_config(df: DataFrame, edit_col: str) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     m = overlay_config(F.col(edit_col))
     return df.select("*", *[m[k].alias(k) for k in INJECTION_DEFAULTS])
 

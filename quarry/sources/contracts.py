@@ -22,8 +22,11 @@ def render(field: T.StructField) -> Column:
     c, t = F.col(field.name), field.dataType
     if isinstance(t, (T.DoubleType, T.FloatType)):
         s = F.round(c.cast("double") * F.lit(1e6)).cast("long").cast("string")
-    elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-        s = F.unix_micros(c.cast("timestamp")).cast("string")
+    elif isinstance(t, T.TimestampNTZType):
+        # wall-clock microseconds since the epoch, independent of the session time zone
+        s = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c).cast("string")
+    elif isinstance(t, T.TimestampType):
+        s = F.unix_micros(c).cast("string")
     elif isinstance(t, T.DateType):
         s = c.cast("string")
     elif isinstance(t, T.ArrayType):
