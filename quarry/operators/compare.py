@@ -8,8 +8,6 @@ outcome classes, so no global row numbering of the pairs is needed.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,104 +139,104 @@ def relative_savings(cards: DataFrame, anchor: str, by: str = "model") -> DataFr
 
 # --- G5: paired bootstrap -------------------------------------------------------------------------
 
-def outcome_counts(pairs: DataFrame) -> DataFrame:
-    """The four paired outcome classes, counted (one row)."""
-    a, b = F.col("a_correct"), F.col("b_correct")
-    return pairs.agg(F.count(F.lit(1)).alias("m"),
-                     F.sum(((a == 1) & (b == 1)).cast("long")).alias("c11"),
-                     F.sum(((a == 1) & (b == 0)).cast("long")).alias("c10"),
-                     F.sum(((a == 0) & (b == 1)).cast("long")).alias("c01"))
-
-
 def hash_index(seed: int, r: Column, j: Column, m: Column) -> Column:
     """Draw index in [0, m): first 32 bits of md5('seed:r:j') modulo m (same in SQL engines)."""
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), r.cast("string"), j.cast("string"))), 1, 8), 16, 10)
     return h.cast("long") % m
 
 
-def bootstrap_deltas(spark, counts_row: dict, resamples: int, seed: int, method: str = "auto",
-                     max_hash_draws: int = 500_000_000) -> DataFrame:
-    """One row per resample ``(r, ka, kb)``: accuracies (fraction) of both runs in the resample.
-
-    ``hash``: every resample draws m indices by hash; indices are laid out class by class
-    (both correct, a only, b only, neither), so a draw's outcome is read off its index range
-    without any join. Work is R x m rows from ``range`` (no shuffle until the per-resample sum).
-    ``multinomial``: for very large m, one multinomial draw of the four class counts per
-    resample (numpy, seeded per resample) - the same resampling distribution in O(R).
-    """
-    m, c11, c10, c01 = (int(counts_row[k]) for k in ("m", "c11", "c10", "c01"))
-    if method == "auto":
-        method = "hash" if resamples * m <= max_hash_draws else "multinomial"
-    if method == "hash":
-        total = resamples * m
-        parts = max(1, min(4096, total // 2_000_000 + 1)) * int(spark.conf.get("spark.sql.shuffle.partitions"))
-        ids = spark.range(0, total, numPartitions=max(1, min(parts, 100_000)))
-        r = F.floor(F.col("id") / F.lit(m)).cast("long")
-        j = F.col("id") - r * F.lit(m)
-        idx = hash_index(seed, r, j, F.lit(m))
-        draws = ids.select(r.alias("r"), idx.alias("idx"))
-        a = (F.col("idx") < F.lit(c11 + c10)).cast("long")
-        b = ((F.col("idx") < F.lit(c11)) | ((F.col("idx") >= F.lit(c11 + c10)) & (F.col("idx") < F.lit(c11 + c10 + c01)))).cast("long")
-        return draws.groupBy("r").agg((F.sum(a) / F.lit(m)).alias("ka"), (F.sum(b) / F.lit(m)).alias("kb"))
-
+def _draws_hash(reps: DataFrame, seed: int, chunk: int) -> DataFrame:
+    """``(challenger, r, ka, kb)`` from hash draws. Each (run, resample) row expands its m draws in
+    chunks of at most ``chunk`` (two bounded explodes with a repartition between), so no row ever
+    holds a large array and the draws spread over all tasks."""
+    m = F.col("m")
+    n_parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = (reps.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(m / F.lit(chunk)).cast("long") - 1))
+                          .alias("_ch"))
+              .repartition(n_parts, "challenger", "r", "_ch"))
+    draws = chunks.select("challenger", "r", "m", "c11", "c10", "c01", F.explode(F.sequence(
+        F.col("_ch") * F.lit(chunk), F.least(m, (F.col("_ch") + 1) * F.lit(chunk)) - 1)).alias("j"))
+    idx = hash_index(seed, F.col("r"), F.col("j"), m)
+    d = draws.select("challenger", "r", "m", "c11", "c10", "c01", idx.alias("idx"))
+    a = (F.col("idx") < F.col("c11") + F.col("c10")).cast("long")
+    b = ((F.col("idx") < F.col("c11")) | ((F.col("idx") >= F.col("c11") + F.col("c10"))
+                                          & (F.col("idx") < F.col("c11") + F.col("c10") + F.col("c01")))).cast("long")
+    return d.groupBy("challenger", "r").agg((F.sum(a) / F.first("m")).alias("ka"), (F.sum(b) / F.first("m")).alias("kb"))
+
+
+def _draws_multinomial(reps: DataFrame, seed: int) -> DataFrame:
+    """``(challenger, r, ka, kb)`` from one seeded multinomial draw of the four class counts per
+    (run, resample): the same resampling distribution in O(1) per resample (numpy inside tasks)."""
     import numpy as np
     import pandas as pd
 
-    probs = [c11 / m, c10 / m, c01 / m, (m - c11 - c10 - c01) / m]
-
     def draw(batches):
         for pdf in batches:
             out = []
-            for r in pdf["id"].to_numpy():
+            for ch, r, m, c11, c10, c01 in pdf[["challenger", "r", "m", "c11", "c10", "c01"]].itertuples(index=False):
+                m, c11, c10, c01 = int(m), int(c11), int(c10), int(c01)
+                probs = [c11 / m, c10 / m, c01 / m, (m - c11 - c10 - c01) / m]
                 n11, n10, n01, _ = np.random.default_rng([seed, int(r)]).multinomial(m, probs)
-                out.append((int(r), (n11 + n10) / m, (n11 + n01) / m))
-            yield pd.DataFrame(out, columns=["r", "ka", "kb"])
+                out.append((ch, int(r), (n11 + n10) / m, (n11 + n01) / m))
+            yield pd.DataFrame(out, columns=["challenger", "r", "ka", "kb"])
 
-    return spark.range(0, resamples).mapInPandas(draw, "r long, ka double, kb double")
+    return reps.select("challenger", "r", "m", "c11", "c10", "c01").mapInPandas(
+        draw, "challenger string, r long, ka double, kb double")
 
 
-def _ci_from_counts(spark, counts: dict, run_a: str, run_b: str, resamples: int, seed: int, method: str) -> DataFrame:
-    m = int(counts["m"] or 0)
-    if m == 0:
-        return spark.createDataFrame([], "model_a string, model_b string, n_paired long, resamples long, "
-                                         "acc_a_pct double, acc_b_pct double, delta_pct double, ci_lo double, "
-                                         "ci_hi double, includes_zero boolean")
-    deltas = bootstrap_deltas(spark, counts, resamples, seed, method).select(
-        "r", ((F.col("ka") - F.col("kb")) * F.lit(100.0)).alias("d"))
+def bootstrap_table(counts: DataFrame, resamples: int, seed: int, method: str = "auto",
+                    max_hash_draws: int = 500_000_000, chunk: int = 1_000_000) -> DataFrame:
+    """G5 for every row of ``counts`` (challenger, m, c11, c10, c01; one row per compared run):
+    observed accuracies, paired delta and its interval [sorted[int(.025 R)], sorted[int(.975 R)]]
+    rounded to 1 place. Everything stays in the plan; only the choice of draw method reads a scalar."""
+    counts = counts.where(F.col("m") > 0)
+    if method == "auto":
+        biggest = counts.agg(F.max("m")).first()[0] or 0
+        method = "hash" if resamples * biggest <= max_hash_draws else "multinomial"
+    n_parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reps = (counts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("r"))
+            .repartition(n_parts, "challenger", "r"))
+    draws = _draws_hash(reps, seed, chunk) if method == "hash" else _draws_multinomial(reps, seed)
+    deltas = draws.select("challenger", "r", ((F.col("ka") - F.col("kb")) * F.lit(100.0)).alias("d"))
     lo_i, hi_i = int(0.025 * resamples), int(0.975 * resamples)
-    # R rows (a parameter, not data volume): one ordered window over them is bounded.
-    ranked = deltas.withColumn("_i", F.row_number().over(Window.orderBy("d", "r")) - 1)
-    ci = ranked.agg(F.bround(F.max(F.when(F.col("_i") == lo_i, F.col("d"))), 1).alias("ci_lo"),
-                    F.bround(F.max(F.when(F.col("_i") == hi_i, F.col("d"))), 1).alias("ci_hi"))
-    acc_a = round(100.0 * (counts["c11"] + counts["c10"]) / m, 1)
-    acc_b = round(100.0 * (counts["c11"] + counts["c01"]) / m, 1)
-    return ci.select(F.lit(run_a).alias("model_a"), F.lit(run_b).alias("model_b"), F.lit(m).cast("long").alias("n_paired"),
-                     F.lit(resamples).cast("long").alias("resamples"), F.lit(acc_a).alias("acc_a_pct"),
-                     F.lit(acc_b).alias("acc_b_pct"), F.lit(round(acc_a - acc_b, 1)).alias("delta_pct"),
-                     "ci_lo", "ci_hi", ((F.col("ci_lo") <= 0) & (F.col("ci_hi") >= 0)).alias("includes_zero"))
+    # R rows per run (a parameter, not data volume): the ordered window per run is bounded.
+    ranked = deltas.withColumn("_i", F.row_number().over(Window.partitionBy("challenger").orderBy("d", "r")) - 1)
+    ci = ranked.groupBy("challenger").agg(F.bround(F.max(F.when(F.col("_i") == lo_i, F.col("d"))), 1).alias("ci_lo"),
+                                          F.bround(F.max(F.when(F.col("_i") == hi_i, F.col("d"))), 1).alias("ci_hi"))
+    acc_a = F.bround(F.lit(100.0) * (F.col("c11") + F.col("c10")) / F.col("m"), 1)
+    acc_b = F.bround(F.lit(100.0) * (F.col("c11") + F.col("c01")) / F.col("m"), 1)
+    obs = counts.select("challenger", "m", acc_a.alias("acc_a_pct"), acc_b.alias("acc_b_pct"))
+    return obs.join(ci, "challenger").select(
+        F.col("challenger").alias("model_a"), "m", F.lit(resamples).cast("long").alias("resamples"), "acc_a_pct",
+        "acc_b_pct", F.bround(F.col("acc_a_pct") - F.col("acc_b_pct"), 1).alias("delta_pct"), "ci_lo", "ci_hi",
+        ((F.col("ci_lo") <= 0) & (F.col("ci_hi") >= 0)).alias("includes_zero"))
+
+
+def _class_counts(pairs: DataFrame) -> DataFrame:
+    a, b = F.col("a_correct"), F.col("b_correct")
+    return pairs.groupBy("challenger").agg(
+        F.count(F.lit(1)).alias("m"), F.sum(((a == 1) & (b == 1)).cast("long")).alias("c11"),
+        F.sum(((a == 1) & (b == 0)).cast("long")).alias("c10"), F.sum(((a == 0) & (b == 1)).cast("long")).alias("c01"))
+
+
+def _shape(out: DataFrame, anchor: str) -> DataFrame:
+    return out.select("model_a", F.lit(anchor).alias("model_b"), F.col("m").cast("long").alias("n_paired"), "resamples",
+                      "acc_a_pct", "acc_b_pct", "delta_pct", "ci_lo", "ci_hi", "includes_zero")
 
 
 def paired_bootstrap_ci(spark, tasks: DataFrame, run_a: str, run_b: str, resamples: int = 10_000,
                         seed: int = 20260731, method: str = "auto", key: str = "task_id",
                         by: str = "model") -> DataFrame:
-    """Observed accuracies, paired delta (points) and its 95% interval
-    ``[sorted[int(.025 R)], sorted[int(.975 R)]]`` rounded to 1 place, plus includes-zero."""
-    counts = outcome_counts(pair_runs(tasks, run_a, run_b, key, by)).first().asDict()
-    return _ci_from_counts(spark, counts, run_a, run_b, resamples, seed, method)
+    """G5 for one run against another (see ``bootstrap_table``)."""
+    pairs = pair_runs(tasks, run_a, run_b, key, by).withColumn("challenger", F.lit(run_a))
+    return _shape(bootstrap_table(_class_counts(pairs), resamples, seed, method), run_b)
 
 
 def paired_bootstrap_vs_anchor(spark, tasks: DataFrame, anchor: str, resamples: int = 10_000,
                                seed: int = 20260731, method: str = "auto", key: str = "task_id",
                                by: str = "model") -> DataFrame:
-    """G5 for every run against the anchor: the outcome-class counts of all runs come from one
-    grouped pass (one row per run reaches the driver), then each run's resamples are drawn."""
-    a, b = F.col("a_correct"), F.col("b_correct")
-    per = pair_all(tasks, anchor, key, by).groupBy("challenger").agg(
-        F.count(F.lit(1)).alias("m"), F.sum(((a == 1) & (b == 1)).cast("long")).alias("c11"),
-        F.sum(((a == 1) & (b == 0)).cast("long")).alias("c10"), F.sum(((a == 0) & (b == 1)).cast("long")).alias("c01"))
-    parts = [_ci_from_counts(spark, r.asDict(), r["challenger"], anchor, resamples, seed, method)
-             for r in per.orderBy("challenger").collect()]
-    return reduce(DataFrame.unionByName, parts)
+    """G5 for every run against the anchor, all runs in one plan."""
+    return _shape(bootstrap_table(_class_counts(pair_all(tasks, anchor, key, by)), resamples, seed, method), anchor)
 
 
 def verdict_clauses(cards: DataFrame, boot: DataFrame, neg: DataFrame, anchor: str, challenger: str,

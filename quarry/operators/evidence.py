@@ -22,7 +22,7 @@ ERROR_PREFIX = "RETRIEVAL ERROR: "
 ERROR_TAIL = "NO ROWS were returned. You must reply that the data is unavailable."
 NO_ROWS_1 = "NO ROWS were returned for this question."
 NO_ROWS_2 = "You must reply that the data is unavailable; do NOT fabricate an answer."
-HEAD_SUMMARY = "## Fabric IQ summary"
+HEAD_SUMMARY = "## Retrieval summary"
 HEAD_ROWS = "## Verbatim rows (CSV)"
 REF_HEADER = "### reference "
 NOTE_HEADER = "### note"
@@ -183,7 +183,11 @@ def customer_questions(catalog) -> DataFrame:
 
 # --- H6: nested retrieve responses --------------------------------------------------------------
 
-RESPONSE_SCHEMA = ("struct<references: array<struct<sourceData: struct<fabricRawData: string, fabricAnswer: string>>>, "
+# Field names of the retrieve response format (raw CSV rows, synthesized answer).
+RAW_FIELD = "fabricRawData"
+ANSWER_FIELD = "fabricAnswer"
+
+RESPONSE_SCHEMA = (f"struct<references: array<struct<sourceData: struct<{RAW_FIELD}: string, {ANSWER_FIELD}: string>>>, "
                    "response: array<struct<content: array<struct<type: string, text: string>>>>>")
 
 
@@ -201,10 +205,10 @@ def order_responses(catalog) -> DataFrame:
     o = catalog.orders
     raw = F.when(F.col("o_orderkey") % 10 == 0, F.lit("")).otherwise(csv_block(order_cells(o)))
     answer_ref = F.when(F.col("o_orderkey") % 3 != 0, F.concat(
-        F.lit(', {"sourceData": {"fabricAnswer": '),
+        F.lit(', {"sourceData": {"' + ANSWER_FIELD + '": '),
         json_string(F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" is "), F.col("o_orderstatus"))),
         F.lit("}}"))).otherwise(F.lit(""))
-    doc = F.concat(F.lit('{"references": [{"sourceData": {"fabricRawData": '), json_string(raw), F.lit("}}"), answer_ref,
+    doc = F.concat(F.lit('{"references": [{"sourceData": {"' + RAW_FIELD + '": '), json_string(raw), F.lit("}}"), answer_ref,
                    F.lit('], "response": [{"content": [{"type": "text", "text": '),
                    json_string(F.concat(F.lit("Priority "), F.col("o_orderpriority"))), F.lit("}]}]}"))
     return o.select(F.col("o_orderkey").alias("response_id"), doc.alias("body"))
@@ -215,9 +219,9 @@ def extract_references(responses: DataFrame, body: str = "body") -> DataFrame:
     p = F.from_json(F.col(body), RESPONSE_SCHEMA)
     refs = p["references"]
     # field extraction from the array of structs + compact/remove: no lambdas on the main path
-    blocks = F.coalesce(F.array_remove(F.array_compact(refs["sourceData"]["fabricRawData"]), ""),
+    blocks = F.coalesce(F.array_remove(F.array_compact(refs["sourceData"][RAW_FIELD]), ""),
                         F.array().cast("array<string>"))
-    answers = F.array_remove(F.array_compact(refs["sourceData"]["fabricAnswer"]), "")
+    answers = F.array_remove(F.array_compact(refs["sourceData"][ANSWER_FIELD]), "")
     texts = F.filter(F.flatten(F.transform(F.coalesce(p["response"], F.array().cast(
         "array<struct<content: array<struct<type: string, text: string>>>>")),
         lambda m: F.coalesce(m["content"], F.array().cast("array<struct<type: string, text: string>>")))),

@@ -32,9 +32,9 @@ def scored_run_log(catalog, spark) -> DataFrame:
     """Run log with grounding, traversal credit and cost per task."""
     log = priced(D.run_log(catalog), D.prices(spark))
     g = S.grounded("tool_calls")
-    return (log.withColumn("called_fabric", g)
+    return (log.withColumn("called_kb", g)
             .withColumn("tool_call_count", F.size("tool_calls"))
-            .withColumn("traversal_ok", S.traversal_ok("category", F.col("called_fabric"), F.col("correct")))
+            .withColumn("traversal_ok", S.traversal_ok("category", F.col("called_kb"), F.col("correct")))
             .withColumn("cost_usd", S.task_cost("input_tokens", "output_tokens", "input_rate", "output_rate")))
 
 
@@ -47,7 +47,7 @@ def scorecard(tasks: DataFrame, by: str = "model") -> DataFrame:
         n.alias("n_tasks"), correct.alias("correct"),
         F.sum("input_tokens").alias("tokens_in"), F.sum("output_tokens").alias("tokens_out"),
         F.sum("cost_usd").alias("_cost"), F.sum("latency_ms").alias("_lat"),
-        F.sum(F.col("called_fabric").cast("int")).alias("_grounded"),
+        F.sum(F.col("called_kb").cast("int")).alias("_grounded"),
         F.sum(F.coalesce(F.col("traversal_ok"), F.lit(False)).cast("int")).alias("_trav"),
         multi.alias("multi_hop_n"), F.count_distinct("config_hash").alias("n_config_hashes"),
         F.min("config_hash").alias("config_hash_min"))

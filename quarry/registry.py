@@ -433,7 +433,7 @@ _GROUNDED_SQL = ("(lower(COALESCE(tool_type, 'none')) LIKE '%fabric%' OR lower(C
                  "'%fabric%' OR lower(COALESCE(tool_type, 'none')) LIKE '%mcp%')")
 
 SCORED_LOG_SQL = f"""
-SELECT r.*, {_GROUNDED_SQL} AS called_fabric,
+SELECT r.*, {_GROUNDED_SQL} AS called_kb,
        CASE WHEN category = 'multi_hop' THEN {_GROUNDED_SQL} AND correct END AS traversal_ok,
        round_even(input_tokens / 1000000.0 * COALESCE(p.input_rate, CAST({D.DEFAULT_PRICE[0]} AS DOUBLE))
                   + output_tokens / 1000000.0 * COALESCE(p.output_rate, CAST({D.DEFAULT_PRICE[1]} AS DOUBLE)), 8) AS cost_usd
@@ -445,10 +445,10 @@ def _scored(spark, d):
 
 
 @register("grounding_flags", f"""
-SELECT task_id, model, called_fabric, CAST(1 AS INTEGER) AS tool_call_count, has_rows FROM ({SCORED_LOG_SQL}) t
+SELECT task_id, model, called_kb, CAST(1 AS INTEGER) AS tool_call_count, has_rows FROM ({SCORED_LOG_SQL}) t
 """)
 def _grounding_flags(spark, d):
-    return _scored(spark, d).select("task_id", "model", "called_fabric", "tool_call_count", "has_rows")
+    return _scored(spark, d).select("task_id", "model", "called_kb", "tool_call_count", "has_rows")
 
 
 @register("task_cost", f"SELECT task_id, model, cost_usd FROM ({SCORED_LOG_SQL}) t")
@@ -491,7 +491,7 @@ SELECT model, n_tasks, correct,
        multi_hop_n, n_config_hashes = 1 AS single_config, n_config_hashes, config_hash_min
 FROM (SELECT model, COUNT(*) AS n_tasks, SUM(CAST(correct AS INTEGER)) AS correct,
              SUM(input_tokens) AS tokens_in, SUM(output_tokens) AS tokens_out, SUM(cost_usd) AS cost,
-             SUM(latency_ms) AS lat, SUM(CAST(called_fabric AS INTEGER)) AS grounded,
+             SUM(latency_ms) AS lat, SUM(CAST(called_kb AS INTEGER)) AS grounded,
              SUM(CAST(COALESCE(traversal_ok, FALSE) AS INTEGER)) AS trav,
              SUM(CAST(category = 'multi_hop' AS INTEGER)) AS multi_hop_n,
              COUNT(DISTINCT config_hash) AS n_config_hashes, MIN(config_hash) AS config_hash_min

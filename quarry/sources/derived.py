@@ -39,7 +39,7 @@ def run_log(catalog) -> DataFrame:
         F.lit(True).alias("called"),
         (k % 20 != 0).alias("has_rows"),
         F.array(F.struct(
-            F.when(F.col("event_type") == "view", "fabric_iq_retrieve")
+            F.when(F.col("event_type") == "view", "fabric_kb_retrieve")
              .when(F.col("event_type") == "click", "mcp_call").otherwise(F.col("event_type")).alias("type"),
             F.concat(F.col("event_type"), F.lit("_tool")).alias("name"))).alias("tool_calls"),
         F.lit(CONFIG_HASH).alias("config_hash"),
@@ -60,7 +60,7 @@ SELECT event_id // 4 AS task_id, 'm' || CAST(event_id % 4 AS VARCHAR) AS model,
             THEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 7 <> 0 END AS judge_correct,
        TRUE AS called,
        CAST(json_extract_string(props, '$.k') AS INTEGER) % 20 <> 0 AS has_rows,
-       CASE event_type WHEN 'view' THEN 'fabric_iq_retrieve' WHEN 'click' THEN 'mcp_call' ELSE event_type END
+       CASE event_type WHEN 'view' THEN 'fabric_kb_retrieve' WHEN 'click' THEN 'mcp_call' ELSE event_type END
          AS tool_type,
        event_type || '_tool' AS tool_name,
        'f9a15da1' AS config_hash, user_id

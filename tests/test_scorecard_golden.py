@@ -31,8 +31,8 @@ def tasks(spark):
     prices = spark.createDataFrame([("A", 1.25, 10.0)], "model string, input_rate double, output_rate double")
     from quarry.functions import scoring as S
     df = SC.priced(df, prices)
-    return (df.withColumn("correct", F.col("c") == 1).withColumn("called_fabric", F.lit(True))
-            .withColumn("traversal_ok", S.traversal_ok("category", F.col("called_fabric"), F.col("correct")))
+    return (df.withColumn("correct", F.col("c") == 1).withColumn("called_kb", F.lit(True))
+            .withColumn("traversal_ok", S.traversal_ok("category", F.col("called_kb"), F.col("correct")))
             .withColumn("cost_usd", S.task_cost("input_tokens", "output_tokens", "input_rate", "output_rate"))
             .withColumn("config_hash", F.lit("h")))
 

@@ -68,7 +68,7 @@ def test_refusal_verdict_first_then_keywords(spark):
 
 
 def test_grounding_markers(spark):
-    df = spark.createDataFrame([([("fabric_iq_retrieve", "x")],), ([("function", "mcp")],), ([("mcp_call", "y")],),
+    df = spark.createDataFrame([([("fabric_kb_retrieve", "x")],), ([("function", "mcp")],), ([("mcp_call", "y")],),
                                 ([],), (None,)], "t array<struct<type:string,name:string>>")
     r = df.select(S.grounded("t").alias("g")).collect()
     assert [x.g for x in r] == [True, False, True, False, False]
