@@ -161,7 +161,8 @@ def _draws_hash(reps: DataFrame, seed: int, chunk: int) -> DataFrame:
     a = (F.col("idx") < F.col("c11") + F.col("c10")).cast("long")
     b = ((F.col("idx") < F.col("c11")) | ((F.col("idx") >= F.col("c11") + F.col("c10"))
                                           & (F.col("idx") < F.col("c11") + F.col("c10") + F.col("c01")))).cast("long")
-    return d.groupBy("challenger", "r").agg((F.sum(a) / F.first("m")).alias("ka"), (F.sum(b) / F.first("m")).alias("kb"))
+    return d.groupBy("challenger", "r", "m", "c11", "c10", "c01").agg((F.sum(a) / F.col("m")).alias("ka"),
+                                                                     (F.sum(b) / F.col("m")).alias("kb"))
 
 
 def _draws_multinomial(reps: DataFrame, seed: int) -> DataFrame:
@@ -177,11 +178,11 @@ def _draws_multinomial(reps: DataFrame, seed: int) -> DataFrame:
                 m, c11, c10, c01 = int(m), int(c11), int(c10), int(c01)
                 probs = [c11 / m, c10 / m, c01 / m, (m - c11 - c10 - c01) / m]
                 n11, n10, n01, _ = np.random.default_rng([seed, int(r)]).multinomial(m, probs)
-                out.append((ch, int(r), (n11 + n10) / m, (n11 + n01) / m))
-            yield pd.DataFrame(out, columns=["challenger", "r", "ka", "kb"])
+                out.append((ch, int(r), m, c11, c10, c01, (n11 + n10) / m, (n11 + n01) / m))
+            yield pd.DataFrame(out, columns=["challenger", "r", "m", "c11", "c10", "c01", "ka", "kb"])
 
     return reps.select("challenger", "r", "m", "c11", "c10", "c01").mapInPandas(
-        draw, "challenger string, r long, ka double, kb double")
+        draw, "challenger string, r long, m long, c11 long, c10 long, c01 long, ka double, kb double")
 
 
 def bootstrap_table(counts: DataFrame, resamples: int, seed: int, method: str = "auto",
@@ -197,16 +198,18 @@ def bootstrap_table(counts: DataFrame, resamples: int, seed: int, method: str =
     reps = (counts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("r"))
             .repartition(n_parts, "challenger", "r"))
     draws = _draws_hash(reps, seed, chunk) if method == "hash" else _draws_multinomial(reps, seed)
-    deltas = draws.select("challenger", "r", ((F.col("ka") - F.col("kb")) * F.lit(100.0)).alias("d"))
+    deltas = draws.select("challenger", "r", "m", "c11", "c10", "c01",
+                          ((F.col("ka") - F.col("kb")) * F.lit(100.0)).alias("d"))
     lo_i, hi_i = int(0.025 * resamples), int(0.975 * resamples)
     # R rows per run (a parameter, not data volume): the ordered window per run is bounded.
     ranked = deltas.withColumn("_i", F.row_number().over(Window.partitionBy("challenger").orderBy("d", "r")) - 1)
-    ci = ranked.groupBy("challenger").agg(F.bround(F.max(F.when(F.col("_i") == lo_i, F.col("d"))), 1).alias("ci_lo"),
-                                          F.bround(F.max(F.when(F.col("_i") == hi_i, F.col("d"))), 1).alias("ci_hi"))
+    # the counts travel with every resample row, so the observed figures need no join
+    ci = ranked.groupBy("challenger", "m", "c11", "c10", "c01").agg(
+        F.bround(F.max(F.when(F.col("_i") == lo_i, F.col("d"))), 1).alias("ci_lo"),
+        F.bround(F.max(F.when(F.col("_i") == hi_i, F.col("d"))), 1).alias("ci_hi"))
     acc_a = F.bround(F.lit(100.0) * (F.col("c11") + F.col("c10")) / F.col("m"), 1)
     acc_b = F.bround(F.lit(100.0) * (F.col("c11") + F.col("c01")) / F.col("m"), 1)
-    obs = counts.select("challenger", "m", acc_a.alias("acc_a_pct"), acc_b.alias("acc_b_pct"))
-    return obs.join(ci, "challenger").select(
+    return ci.withColumn("acc_a_pct", acc_a).withColumn("acc_b_pct", acc_b).select(
         F.col("challenger").alias("model_a"), "m", F.lit(resamples).cast("long").alias("resamples"), "acc_a_pct",
         "acc_b_pct", F.bround(F.col("acc_a_pct") - F.col("acc_b_pct"), 1).alias("delta_pct"), "ci_lo", "ci_hi",
         ((F.col("ci_lo") <= 0) & (F.col("ci_hi") >= 0)).alias("includes_zero"))
