@@ -85,10 +85,11 @@ def radix_order_statistics(df: DataFrame, by: list[str], value: str,
         w = Window.partitionBy(*by, "_pick").orderBy("_digit").rowsBetween(Window.unboundedPreceding, -1)
         per = per.withColumn("_before", F.col("_base") + F.coalesce(F.sum("_dc").over(w), F.lit(0)))
         chosen = per.where((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_dc")))
-        state = materialize(chosen.select(
+        # one consumer per level and a handful of levels over the written histogram: no write needed
+        state = chosen.select(
             *by, "n", "_gmin", "_pick", "_rank",
             (F.shiftleft(F.col("_prefix"), radix_bits) + F.col("_digit")).alias("_prefix"),
-            F.col("_before").alias("_base")), "radix-state")
+            F.col("_before").alias("_base"))
     result = state.select(*by, "n", "_pick", (F.col("_gmin") + F.col("_prefix")).alias("_v"))
     return result.groupBy(*by, "n").agg(*[F.max(F.when(F.col("_pick") == name, F.col("_v"))).alias(name)
                                           for name in picks])
