@@ -64,13 +64,25 @@ def evaluate(base: DataFrame, questions: list[BatchQuestion]) -> DataFrame:
     tagged = base.select(F.explode(F.array(*tags)).alias("t")).where(F.col("t").isNotNull()).select("t.*")
     lvl1 = tagged.groupBy("qi", "ms", "ml").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"),
                                                F.count("v").alias("nv"), F.max("v").alias("mx"))
+    # counts are 0, not missing, when no row matched: one zero row per counting question
+    zero_ids = [i for i, q in enumerate(questions) if q.reducer in ("count", "count_distinct")]
+    if zero_ids:
+        zeros = base.sparkSession.createDataFrame(
+            [(i,) for i in zero_ids], "qi int").select(
+            "qi", F.lit(None).cast("string").alias("ms"), F.lit(None).cast("long").alias("ml"),
+            F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("s"),
+            F.lit(0).cast("long").alias("nv"), F.lit(None).cast("double").alias("mx"))
+        lvl1 = lvl1.unionByName(zeros)
     lvl1 = lvl1.withColumn("member", F.coalesce(F.col("ms"), F.col("ml").cast("string")))
     kinds = F.array(*[F.lit(q.reducer) for q in questions])
     names = F.array(*[F.lit(q.qid) for q in questions])
     kind = F.element_at(kinds, F.col("qi") + 1)
     lvl2 = lvl1.groupBy("qi", F.when(kind == "set", F.col("member")).alias("set_member")).agg(
         F.sum("n").alias("n"), F.count("member").alias("n_members"), F.sum("s").alias("s"), F.sum("nv").alias("nv"),
-        F.max("mx").alias("mx"), F.min(F.struct((-F.col("n")).alias("neg_n"), F.col("member").alias("m"))).alias("best"))
+        F.max("mx").alias("mx"),
+        # most frequent member; ties by member ascending with NULL last (as ORDER BY n DESC, member)
+        F.min(F.struct((-F.col("n")).alias("neg_n"), F.col("member").isNull().alias("is_null"),
+                       F.col("member").alias("m"))).alias("best"))
     k = F.element_at(kinds, F.col("qi") + 1)
     out = lvl2.select(
         F.element_at(names, F.col("qi") + 1).alias("id"),

@@ -71,3 +71,37 @@ def test_radix_order_statistics_exact(spark):
         vs.sort()
         n = len(vs)
         assert got[g] == (n, vs[n // 2], vs[min(n - 1, int(0.95 * n))], vs[-1], vs[0]), g
+
+
+def test_batch_reducers_match_brute_force(spark):
+    """plans.batch: every reducer against plain Python on rows with NULL members and values."""
+    from pyspark.sql import functions as F
+
+    from quarry.plans.batch import BatchQuestion as BQ
+    from quarry.plans.batch import evaluate
+
+    rows = [(i, ["a", "b", None, "c"][i % 4] if i % 7 else None, float(i % 5) if i % 6 else None, i % 3)
+            for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, m string, v double, g int")
+    c = F.col
+    qs = [BQ("cnt", "count", c("g") == 1), BQ("cd", "count_distinct", member=c("m")),
+          BQ("set", "set", c("g") == 2, member=c("m")), BQ("avg", "avg", value=c("v")),
+          BQ("max", "max", c("g") == 0, value=c("v")), BQ("top", "top1", member=c("m")),
+          BQ("setl", "set", c("g") == 0, member=c("id") % 10), BQ("empty", "count", c("g") == 9)]
+    got = {}
+    for r in evaluate(df, qs).collect():
+        got.setdefault(r.id, []).append(r)
+    ms = [r[1] for r in rows]
+    vs = [r[2] for r in rows if r[2] is not None]
+    assert got["cnt"][0].value_num == sum(1 for r in rows if r[3] == 1)
+    assert got["cd"][0].value_num == len({m for m in ms if m is not None})
+    assert sorted(x.value_text for x in got["set"]) == sorted({r[1] for r in rows if r[3] == 2 and r[1] is not None})
+    assert got["avg"][0].value_num == round(sum(vs) / len(vs), 2)
+    assert got["max"][0].value_num == max(r[2] for r in rows if r[3] == 0 and r[2] is not None)
+    counts = {}
+    for m in ms:
+        counts[m] = counts.get(m, 0) + 1
+    best = sorted(counts.items(), key=lambda kv: (-kv[1], kv[0] is None, kv[0] or ""))[0][0]
+    assert got["top"][0].value_text == best
+    assert sorted(x.value_text for x in got["setl"]) == sorted({str(r[0] % 10) for r in rows if r[3] == 0})
+    assert got["empty"][0].value_num == 0.0     # nothing matched: a count is 0, as COUNT(*) says
