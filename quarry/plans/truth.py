@@ -118,6 +118,28 @@ def strip_lower(c) -> "F.Column":
     return F.lower(py_strip(c))
 
 
+def text_digests(df: DataFrame, cols: list[str], text: str = "text") -> DataFrame:
+    """``cols + [_h]`` with ``_h`` the md5 of the normalised text: the narrow form both overlap
+    checks work on (the text itself is read once)."""
+    return df.select(*cols, F.md5(strip_lower(F.col(text))).alias("_h"))
+
+
+def overlap_report(docs: DataFrame, other: DataFrame, key: str, group: str, text: str = "text") -> DataFrame:
+    """D6 both ways from one pass over the documents: ``(kind, key)`` for documents whose text
+    occurs in ``other`` (kind 'benchmark') and for documents whose text also occurs under another
+    ``group`` value (kind 'other_source'). The narrow digest frame is written once to the
+    checkpoint folder and read by both checks."""
+    from quarry.session import materialize
+
+    h = materialize(text_digests(docs, [key, group], text), "doc-digests")
+    r = text_digests(other, [], text).distinct()
+    a = h.join(r, "_h", "left_semi").select(F.lit("benchmark").alias("kind"), key)
+    multi = (h.select("_h", group).distinct().groupBy("_h").agg(F.count(F.lit(1)).alias("_g"))
+             .where(F.col("_g") >= 2).select("_h"))
+    b = h.join(multi, "_h", "left_semi").select(F.lit("other_source").alias("kind"), key)
+    return a.unionByName(b)
+
+
 def text_overlap(left: DataFrame, right: DataFrame, left_key: str, text: str = "text") -> DataFrame:
     """Rows of ``left`` whose normalised text equals some normalised text of ``right``.
 

@@ -1062,10 +1062,7 @@ SELECT 'other_source', doc_id FROM documents WHERE md5({_sl('text')}) IN (
 """)
 def _split_overlap(spark, d):
     cat = Catalog(spark, d)
-    docs = cat.documents
-    a = TR.text_overlap(docs, cat.benchmark, "doc_id").select(F.lit("benchmark").alias("kind"), "doc_id")
-    b = TR.cross_group_copies(docs, "doc_id", "source").select(F.lit("other_source").alias("kind"), "doc_id")
-    return a.unionByName(b)
+    return TR.overlap_report(cat.documents, cat.benchmark, "doc_id", "source")
 
 
 TASKS_SQL = f"SELECT DISTINCT task_id, split FROM ({D.RUN_LOG_SQL}) r"
