@@ -24,3 +24,8 @@ def test_stream_refresh_equals_batch(spark, catalog):
     exp = RF.edges_of(li, onto, rels)
     assert n1 < got.count()
     assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
+    # a run with no new files appends nothing (files already committed are not read again)
+    n2 = got.count()
+    q = RF.start_edge_refresh(spark, os.path.join(src, "*"), li.schema, onto, rels, sink, ckpt)
+    q.awaitTermination()
+    assert spark.read.parquet(sink).count() == n2
