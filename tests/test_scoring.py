@@ -96,3 +96,31 @@ def test_py_strip_matches_python(spark):
     texts = ["  x y \t\n", " abc　", "plain", ""]
     r = one(spark, [S.py_strip("a").alias("s")], [(t,) for t in texts], "a string")
     assert [x.s for x in r] == [t.strip() for t in texts]
+
+
+def test_randomised_extraction_and_normalisation_match_python(spark):
+    """Number extraction and whitespace normalisation against plain Python on random strings."""
+    import random
+    import re
+
+    rnd = random.Random(11)
+    alphabet = list("0123456789,.-- abcXYZéÜ") + [" ", "\t", "\n", " ", "　", "\x1c", " "]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))) for _ in range(600)]
+
+    def py_numbers(t):
+        out = []
+        for tok in re.findall(r"-?\d[\d,]*\.?\d*", t):
+            try:
+                out.append(float(tok.replace(",", "")))
+            except ValueError:
+                pass
+        return out
+
+    def py_norm(t):
+        return re.sub(r"\s+", " ", t).strip().lower()
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: (r.n, r.s) for r in df.select("i", S.extract_numbers("t").alias("n"), S.norm("t").alias("s")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i][0] == py_numbers(t), repr(t)
+        assert got[i][1] == py_norm(t), repr(t)
