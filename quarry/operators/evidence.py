@@ -90,27 +90,31 @@ def order_block_variants(catalog, variants: dict[str, list[str]]) -> DataFrame:
 def project_csv_text(raw: Column, drop: list[str], max_fields: int = 32) -> Column:
     """H1 text path: drop named columns from a CSV block held as text.
 
-    Lines are parsed with ``from_csv`` into ``max_fields`` string cells (quotes honoured);
-    kept positions come from the block's own header; unknown names are ignored and short rows
-    keep only the cells they have. Cells are re-quoted minimally.
+    Lines are parsed with ``from_csv`` into ``max_fields`` string cells (RFC 4180 quotes
+    honoured); kept positions come from the block's own header; unknown names are ignored and
+    short rows keep only the cells they have. Cells are re-quoted minimally, a row that is one
+    empty cell is written ``""`` and trailing empty lines are dropped. Each intermediate array is
+    bound once (as a lambda variable), so the expression stays small.
     """
     schema = ", ".join(f"c{i} STRING" for i in range(max_fields))
+    opts = {"escape": '"'}   # doubled quotes inside quoted cells, not backslash escapes
     lines = F.split(raw, "\n")
 
-    def cells(line: Column) -> Column:
-        st = F.from_csv(line, F.lit(schema))
-        return F.array(*[st[f"c{i}"] for i in range(max_fields)])
+    def parse(line: Column) -> Column:
+        st = F.from_csv(line, F.lit(schema), opts)
+        return F.struct(F.array(*[st[f"c{i}"] for i in range(max_fields)]).alias("a"),
+                        F.size(F.split(F.regexp_replace(line, '"[^"]*"', ""), ",", -1)).alias("nf"))
 
-    def n_fields(line: Column) -> Column:
-        return F.size(F.split(F.regexp_replace(line, '"[^"]*"', ""), ",", -1))
-
-    header = cells(F.element_at(lines, 1))
+    parsed = F.transform(lines, parse)
+    header = F.element_at(parsed, 1)["a"]
     drop_arr = F.array(*[F.lit(d) for d in drop]) if drop else F.array().cast("array<string>")
     keep = F.filter(F.sequence(F.lit(0), F.lit(max_fields - 1)),
                     lambda i: header[i].isNotNull() & ~F.array_contains(drop_arr, header[i]))
-    out = F.transform(lines, lambda line: F.array_join(
-        F.transform(F.filter(keep, lambda i: i < n_fields(line)), lambda i: csv_cell(cells(line)[i])), ","))
-    return F.when(F.size(lines) == 0, raw).otherwise(F.array_join(out, "\n"))
+    kept = F.transform(parsed, lambda p: F.transform(F.filter(keep, lambda i: i < p["nf"]),
+                                                     lambda i: csv_cell(p["a"][i])))
+    rows = F.transform(kept, lambda k: F.when((F.size(k) == 1) & (F.element_at(k, 1) == ""), F.lit('""'))
+                       .otherwise(F.array_join(k, ",")))
+    return F.when(F.size(lines) == 0, raw).otherwise(F.regexp_replace(F.array_join(rows, "\n"), "\n+$", ""))
 
 
 def cap_blocks(blocks: DataFrame, cap: int | None, key: str = "question_id", order: str = "ref_no",

@@ -73,3 +73,27 @@ def test_extract_references_fallback(spark):
                        "response": [{"content": [{"type": "image"}, {"type": "text", "text": "fallback"}]}]})
     r = EV.extract_references(spark.createDataFrame([(1, body)], "response_id long, body string")).first()
     assert r.n_refs == 2 and r.blocks == ["a,b\n1,2"] and r.synthesized == "fallback"
+
+
+def test_randomised_csv_projection_matches_python(spark):
+    import random
+
+    rnd = random.Random(3)
+    cell_chars = list("abc xyz,\"'12")
+    blocks, drops = [], []
+    for _ in range(150):
+        ncol = rnd.randint(1, 6)
+        header = [f"c{j}" for j in range(ncol)]
+        rows = [["".join(rnd.choice(cell_chars) for _ in range(rnd.randint(0, 6))) for _ in range(ncol)]
+                for _ in range(rnd.randint(1, 4))]
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\n").writerows([header] + rows)
+        blocks.append(out.getvalue().rstrip("\n"))
+        drops.append(rnd.choice([[], ["c0"], ["c1", "zz"], ["c0", "c2", "c4"], ["c5"],
+                                 ["c0", "c1", "c2", "c3", "c4", "c5"]]))
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(blocks)], "i int, raw string")
+    for d in {tuple(x) for x in drops}:
+        idx = [i for i, x in enumerate(drops) if tuple(x) == d]
+        sub = df.where(F.col("i").isin(idx)).select("i", EV.project_csv_text(F.col("raw"), list(d)).alias("p"))
+        for r in sub.collect():
+            assert r.p == py_project(blocks[r.i], list(d)), (blocks[r.i], d)
