@@ -124,3 +124,29 @@ def test_randomised_extraction_and_normalisation_match_python(spark):
     for i, t in enumerate(texts):
         assert got[i][0] == py_numbers(t), repr(t)
         assert got[i][1] == py_norm(t), repr(t)
+
+
+def test_randomised_set_recall_and_refusal_match_python(spark):
+    import random
+    import re
+
+    rnd = random.Random(5)
+    members = ["Blue Lake", "red  pond", "Ñandú Bay", "x", "Lake"]
+    words = members + S.REFUSAL_PHRASES + ["data", "is", "none", "BLUE", " ", "\t", " ", "can", "not"]
+    cases = []
+    for _ in range(300):
+        answer = " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 8)))
+        expected = rnd.sample(members, rnd.randint(0, 3))
+        cases.append((answer if rnd.random() > 0.05 else None, expected))
+
+    def norm(t):
+        return re.sub(r"\s+", " ", t or "").strip().lower()
+
+    df = spark.createDataFrame([(i, a, e) for i, (a, e) in enumerate(cases)], "i int, a string, e array<string>")
+    got = {r.i: r for r in df.select("i", S.set_recall("a", "e").alias("rec"), S.set_correct("a", "e").alias("ok"),
+                                     S.refusal_heuristic("a").alias("ref")).collect()}
+    for i, (a, e) in enumerate(cases):
+        found = [v for v in e if norm(v) in norm(a)]
+        rec = len(found) / len(e) if e else 1.0
+        assert got[i].rec == rec and got[i].ok == (rec >= 0.999), (a, e)
+        assert got[i].ref == any(k in norm(a) for k in S.REFUSAL_PHRASES), a
