@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from quarry import registry
 from quarry.sources.tables import TABLES
 
 from .conftest import SMOKE
@@ -36,10 +37,11 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(registry.ORACLE) == set(registry.QUERIES)
+    assert set(registry.QUERIES) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SMOKE)
     rows = [tuple(r) for r in df.collect()]
