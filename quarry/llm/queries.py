@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, sharding, simhash, toxicity
+from . import decontaminate, language_id, license_scan, mixing, pii, sharding, simhash, toxicity
 from .common import table, written
 
 
@@ -18,6 +18,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    docs = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    known = language_id.profiles(docs.where("NOT held_out"))
+    return language_id.identify(docs, known, keep=("doc_id", "held_out"))
+
+
 def sharded(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "source", sharding.size_of(F.col("text")).alias("size"),
                        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
@@ -41,10 +53,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(written(rows, "sizes")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op6_sharding, op7_toxicity, op8_mixing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (
+    op1_simhash, op3_pii, op5_language_id, op6_sharding, op7_toxicity, op8_mixing, op9_license_scan,
+    op10_decontamination)}
 
 ORACLE: dict[str, str] = {}
