@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, mixing, pii, sharding, simhash, toxicity
+from . import context_mixing, decontaminate, hnsw, language_id, license_scan, mixing, pii, sharding, simhash, toxicity
 from .common import table, written
 
 
@@ -18,10 +18,22 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    docs = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False))).withColumn("learned", ~F.col("held_out"))
+    return context_mixing.score(docs, context_mixing.learn(docs, "learned"), keep=("doc_id", "held_out"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -62,7 +74,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash, op3_pii, op5_language_id, op6_sharding, op7_toxicity, op8_mixing, op9_license_scan,
+    op1_simhash, op2_context_mixing, op3_pii, op4_hnsw, op5_language_id, op6_sharding, op7_toxicity, op8_mixing, op9_license_scan,
     op10_decontamination)}
 
 ORACLE: dict[str, str] = {}
