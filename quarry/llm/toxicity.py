@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LETTER_TABLE
+from .common import LETTER_TABLE, written
 
 BUCKET_BITS, BEGINNING = 30, 5
 #: bound of the fit sample: labelled rows of each class, smallest hashes of doc_id first
-FIT_ROWS = 6000
+FIT_ROWS = 8000
 #: only words seen this many standard deviations more often in toxic sample rows than chance are features
 Z = 5.0
 STEPS, RATE, L1 = 2000, 0.5, 2e-5
@@ -53,9 +53,10 @@ def _buckets(text: bytes | None) -> np.ndarray:
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """(toxic, share, buckets) of at most ``rows`` labelled documents a class; ``share`` is the number
-    of labelled rows that a sample row stands for. Labels with a null id or class don't count."""
-    known = labels.select("doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)").distinct()
+    """(row, toxic, share, once, buckets) of at most ``rows`` labelled documents a class. ``share`` is
+    the number of labelled rows that a sample row stands for; ``once`` makes copies count as one
+    (texts that share their three smallest permuted words). Labels with a null id or class don't count."""
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").distinct()
     sizes = known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = (known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows).join(sizes, "toxic")
@@ -65,12 +66,31 @@ def fit_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Data
     joined = texts.join(F.broadcast(picked), "doc_id").select("toxic", "share", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [_buckets(t.as_py()) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], ["toxic", "share", "buckets"])
-
-    return joined.mapInArrow(run, f"toxic {labels.schema['toxic'].dataType.simpleString()}, share double, buckets array<int>")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [_buckets(t.as_py()) for t in part.column(2)]
+                sketch = [zlib.crc32(np.sort(b.astype(np.int64) * 0x9E3779B1 % (1 << 32))[:3].tobytes()) for b in found]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:2], pa.array(sketch, pa.int64()), pa.array(found, pa.list_(pa.int32()))],
+                    ["toxic", "share", "sketch", "buckets"])
+
+    found = written(joined.mapInArrow(run, "toxic int, share double, sketch long, buckets array<int>")
+                    .withColumn("row", F.monotonically_increasing_id()), "sample")
+    alike = found.groupBy("toxic", "sketch").agg((1 / F.count(F.lit(1))).alias("once"))
+    return found.join(alike, ["toxic", "sketch"]).drop("sketch")
+
+
+def telling_words(sample: DataFrame) -> DataFrame:
+    """The buckets that toxic sample rows hold at least ``Z`` standard deviations more often than chance."""
+    total = sample.agg(F.sum("once").alias("n"), F.sum(F.col("once") * F.col("toxic")).alias("t")).first()
+    if not total.n or not total.t or total.t == total.n:
+        return sample.select(F.explode("buckets").alias("bucket")).limit(0)
+    base = total.t / total.n
+    seen = (sample.select("toxic", "once", F.explode("buckets").alias("bucket")).groupBy("bucket")
+            .agg(F.sum("once").alias("seen"), F.sum(F.col("once") * F.col("toxic")).alias("toxic")))
+    z = (F.col("toxic") - base * F.col("seen")) / F.sqrt(base * (1 - base) * F.greatest("seen", F.lit(1.0)))
+    return seen.where(z >= Z).select("bucket")
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -78,31 +98,22 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> SeverityModel:
-    """Fit on the bounded sample: words with evidence (``Z``) as features, proximal steps (L1)."""
-    sample = fit_sample(docs, labels, rows).toPandas()
-    sample = sample.iloc[np.lexsort((sample.buckets.map(lambda b: (len(b), *b[:3])).map(hash), sample.toxic))]
-    toxic = sample.toxic.to_numpy(int)
+    """Fit on the bounded sample: Spark counts the words and picks those with evidence (``Z``), the
+    driver gets the few of them that each sample row holds and takes proximal steps (L1)."""
+    sample = written(fit_sample(docs, labels, rows), "sample")
+    telling = telling_words(sample)
+    held = (sample.select("row", F.explode("buckets").alias("bucket")).join(telling, "bucket")
+            .groupBy("row").agg(F.sort_array(F.collect_set("bucket")).alias("held")))
+    sample = sample.drop("buckets").join(held, "row", "left").orderBy("row").toPandas()
+    toxic, once = sample.toxic.to_numpy(int), sample.once.to_numpy(float)
     if not (toxic == 1).any() or not (toxic == 0).any():
         return SeverityModel({}, None)
-    sizes = sample.buckets.map(len).to_numpy()
-    row = np.repeat(np.arange(len(sample)), sizes)
-    col = np.concatenate([np.asarray(b, int) for b in sample.buckets])
-    # copies of a text count together as one: they share their three smallest permuted words
-    sketch = [tuple(np.sort(np.asarray(b, np.int64) * 0x9E3779B1 % (1 << 32))[:3]) for b in sample.buckets]
-    alike = sample.groupby([pd.Series(sketch, sample.index), "toxic"]).toxic.transform("size").to_numpy()
-    once = 1 / alike
-    names, col = np.unique(col, return_inverse=True)
-    n_words, n_toxic, n_clean = len(names), once[toxic == 1].sum(), once[toxic == 0].sum()
-    seen = np.bincount(col, weights=once[row], minlength=n_words)
-    in_toxic = np.bincount(col, weights=(once * toxic)[row], minlength=n_words)
-    base = n_toxic / (n_toxic + n_clean)
-    telling = (in_toxic - base * seen) / np.sqrt(base * (1 - base) * np.maximum(seen, 1)) >= Z
-    amount = np.bincount(row, weights=telling[col], minlength=len(sample))
+    lists = [np.zeros(0, int) if b is None else np.asarray(b, int) for b in sample.held]
+    amount = np.array([len(b) for b in lists])
+    row = np.repeat(np.arange(len(sample)), amount)
+    names, col = np.unique(np.concatenate(lists), return_inverse=True)
+    n_toxic, n_clean = once[toxic == 1].sum(), once[toxic == 0].sum()
     grade = toxic + ((toxic == 1) & (amount > np.median(amount[toxic == 1])))
-    used = telling[col]
-    row, col = row[used], col[used]
-    kept, col = np.unique(col, return_inverse=True)
-    names = names[kept]
     weight = sample.share.to_numpy(float) * once
     weight /= weight.sum()
     w, square = np.zeros(len(names)), np.full(len(names), 1e-8)
