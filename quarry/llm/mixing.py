@@ -4,8 +4,9 @@ Every document of a source first gets the whole copies that its target holds for
 floor(target / source size). The words that remain are drawn without replacement and with
 unequal probability: document i has the inclusion probability lambda_i proportional to its size
 (expected words = remaining words) and the rank (u_i / (1 - u_i)) / (lambda_i / (1 - lambda_i)).
-The documents of smallest rank are taken until the remaining words are used up; the document on
-the border is taken if that leaves the smaller error.
+The documents of smallest rank are taken as long as they fit into the remaining words. The gap then
+left is closed by the one document of the rest whose size comes nearest to it, if one does better
+than none.
 """
 
 from __future__ import annotations
@@ -98,10 +99,15 @@ def _cut(rows: DataFrame) -> DataFrame:
     inside = Window.partitionBy("source", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     run = at.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     run = run.join(before, F.col("source").eqNullSafe(F.col("s_")) & (F.col("block") == F.col("b_")))
-    start = F.col("before") + F.col("within")
-    # taken if most of the document lies inside the remaining words
-    drawn = F.col("rank").isNotNull() & (start + F.col("size") / 2 <= F.col("rest"))
-    return run.withColumn("copies", F.col("whole").cast("long") + F.when(drawn, 1).otherwise(0))
+    run = run.withColumn("upto", F.col("before") + F.col("within") + F.col("size"))
+    run = run.withColumn("drawn", F.col("rank").isNotNull() & (F.col("upto") <= F.col("rest"))).drop("s_", "b_", "before", "within", "block")
+    run = written(run, "drawn")
+    used = run.groupBy(F.col("source").alias("s_")).agg((F.first("rest") - F.coalesce(F.max(F.when(F.col("drawn"), F.col("upto"))), F.lit(0))).alias("gap"))
+    last = (run.where(F.col("rank").isNotNull() & ~F.col("drawn")).join(used, F.col("source").eqNullSafe(F.col("s_")))
+            .groupBy("s_").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "rank", "at", "gap")).alias("x"))
+            .where(F.col("x.off") < F.abs("x.gap")).select(F.col("x.at").alias("at"), F.lit(True).alias("closes")))
+    run = run.join(last, "at", "left")
+    return run.withColumn("copies", F.col("whole").cast("long") + F.when(F.col("drawn") | F.coalesce("closes", F.lit(False)), 1).otherwise(0))
 
 
 def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:

@@ -70,11 +70,82 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_context_mixing, op3_pii, op4_hnsw, op5_language_id, op6_sharding, op7_toxicity, op8_mixing, op9_license_scan,
     op10_decontamination)}
 
-ORACLE: dict[str, str] = {}
+# ---- DuckDB SQL. The other operators' models and hashes have no SQL form; tests/llm holds plain versions.
+
+#: seeded(): 48 bits of an md5, as a double in (0, 1)
+_DRAW = "(('0x' || substr(md5({key}), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0"
+
+_OP8 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+t AS (
+  SELECT source, sum(size)::BIGINT AS source_size, sum(size * size)::DOUBLE AS squares,
+         [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS w
+  FROM d GROUP BY source),
+-- round after round: share what is left by weight, stop the sources above 3 times their size
+fill(i, source, source_size, w, stopped, level) AS (
+  SELECT 0, source, source_size, w, false, sum(source_size) OVER ()::DOUBLE / sum(w) OVER () FROM t
+  UNION ALL
+  SELECT i + 1, source, source_size, w, stopped OR level * w > 3 * source_size,
+         (sum(source_size) OVER () - sum(CASE WHEN stopped OR level * w > 3 * source_size THEN 3 * source_size ELSE 0 END) OVER ())::DOUBLE
+         / nullif(sum(CASE WHEN stopped OR level * w > 3 * source_size THEN 0 ELSE w END) OVER (), 0)
+  FROM fill WHERE i < (SELECT count(*) FROM t)),
+g AS (
+  SELECT f.source, f.source_size, t.squares, CASE WHEN f.stopped THEN 3.0::DOUBLE * f.source_size ELSE f.level * f.w END AS target
+  FROM fill f JOIN t ON f.source IS NOT DISTINCT FROM t.source WHERE i = (SELECT count(*) FROM t)),
+q AS (
+  SELECT d.doc_id, d.source, d.size, g.source_size, g.target,
+         CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size) ELSE 0 END::BIGINT AS whole,
+         g.squares, {_DRAW.format(key="'mix:' || coalesce(doc_id::VARCHAR, 'null') || ':0:1'")} AS u
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+o AS (
+  SELECT *, target - whole * source_size AS rest, (target - whole * source_size) * size / nullif(squares, 0) AS chance FROM q),
+k AS (
+  SELECT *, CASE WHEN chance >= 1 THEN 0.0 WHEN chance > 0 THEN (u / (1 - u)) / (chance / (1 - chance)) END AS rank FROM o),
+c AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id NULLS LAST
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM k),
+f AS (SELECT *, rank IS NOT NULL AND start + size <= rest AS drawn FROM c),
+v AS (SELECT *, rest - coalesce(max(CASE WHEN drawn THEN start + size END) OVER (PARTITION BY source), 0) AS gap FROM f),
+-- the one document that closes the gap best
+z AS (
+  SELECT *, CASE WHEN rank IS NOT NULL AND NOT drawn AND abs(gap - size) < abs(gap) THEN
+              row_number() OVER (PARTITION BY source ORDER BY rank IS NULL OR drawn, abs(gap - size), rank, doc_id NULLS LAST) = 1
+            ELSE false END AS closes FROM v),
+e AS (SELECT *, whole + CASE WHEN drawn OR closes THEN 1 ELSE 0 END AS copies FROM z)
+SELECT doc_id, source, size, source_size, target, copies::BIGINT AS copies, (copies * size)::BIGINT AS taken FROM e
+"""
+
+_OP10 = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id::VARCHAR AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, list_slice(w, i, i + 9) AS g
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT len(g) AS n FROM windows),
+places AS (
+  SELECT rid, i, n, list_slice(w, i, i + n - 1) AS g
+  FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+hits AS (SELECT rid, i, n, item FROM places JOIN windows USING (g)),
+words AS (SELECT rid, count(DISTINCT j) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS j FROM hits) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
+"""
+
+ORACLE: dict[str, str] = {"op8_mixing": _OP8, "op10_decontamination": _OP10}
