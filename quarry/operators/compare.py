@@ -169,31 +169,29 @@ def _draws_multinomial(reps: DataFrame, seed: int) -> DataFrame:
     """``(challenger, r, ka, kb)`` from one seeded multinomial draw of the four class counts per
     (run, resample): the same resampling distribution in O(1) per resample (numpy inside tasks)."""
     import numpy as np
-    import pandas as pd
 
     def draw(batches):
         for pdf in batches:
-            out = []
-            for ch, r, m, c11, c10, c01 in pdf[["challenger", "r", "m", "c11", "c10", "c01"]].itertuples(index=False):
-                m, c11, c10, c01 = int(m), int(c11), int(c10), int(c01)
-                probs = [c11 / m, c10 / m, c01 / m, (m - c11 - c10 - c01) / m]
-                n11, n10, n01, _ = np.random.default_rng([seed, int(r)]).multinomial(m, probs)
-                out.append((ch, int(r), m, c11, c10, c01, (n11 + n10) / m, (n11 + n01) / m))
-            yield pd.DataFrame(out, columns=["challenger", "r", "m", "c11", "c10", "c01", "ka", "kb"])
-
-    return reps.select("challenger", "r", "m", "c11", "c10", "c01").mapInPandas(
+            # the resamples of a run come from one generator, by blocks of 1,024 resamples
+            for _, part in pdf.groupby(["challenger", "block"], sort=False):
+                m, c11, c10, c01, block = (int(part[c].iloc[0]) for c in ("m", "c11", "c10", "c01", "block"))
+                probs = np.array([c11, c10, c01, m - c11 - c10 - c01]) / m
+                drawn = np.random.default_rng([seed, block]).multinomial(m, probs, 1024)
+                n11, n10, n01, _ = drawn[part["r"].to_numpy() % 1024].T
+                yield part.drop(columns="block").assign(ka=(n11 + n10) / m, kb=(n11 + n01) / m)
+
+    return reps.select("challenger", "r", "m", "c11", "c10", "c01", F.expr("r div 1024").alias("block")).mapInPandas(
         draw, "challenger string, r long, m long, c11 long, c10 long, c01 long, ka double, kb double")
 
 
-def bootstrap_table(counts: DataFrame, resamples: int, seed: int, method: str = "auto",
-                    max_hash_draws: int = 500_000_000, chunk: int = 1_000_000) -> DataFrame:
+def bootstrap_table(counts: DataFrame, resamples: int, seed: int, method: str = "hash", chunk: int = 1_000_000) -> DataFrame:
     """G5 for every row of ``counts`` (challenger, m, c11, c10, c01; one row per compared run):
     observed accuracies, paired delta and its interval [sorted[int(.025 R)], sorted[int(.975 R)]]
-    rounded to 1 place. Everything stays in the plan; only the choice of draw method reads a scalar."""
+    rounded to 1 place. Everything stays in the plan. The caller names the draws, at any size: ``hash``
+    (the same in SQL, m draws a resample) or ``multinomial`` (one draw of class counts a resample)."""
+    if method not in ("hash", "multinomial"):
+        raise ValueError(f"unknown method {method}")
     counts = counts.where(F.col("m") > 0)
-    if method == "auto":
-        biggest = counts.agg(F.max("m")).first()[0] or 0
-        method = "hash" if resamples * biggest <= max_hash_draws else "multinomial"
     n_parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     reps = (counts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("r"))
             .repartition(n_parts, "challenger", "r"))
@@ -228,7 +226,7 @@ def _shape(out: DataFrame, anchor: str) -> DataFrame:
 
 
 def paired_bootstrap_ci(spark, tasks: DataFrame, run_a: str, run_b: str, resamples: int = 10_000,
-                        seed: int = 20260731, method: str = "auto", key: str = "task_id",
+                        seed: int = 20260731, method: str = "hash", key: str = "task_id",
                         by: str = "model") -> DataFrame:
     """G5 for one run against another (see ``bootstrap_table``)."""
     pairs = pair_runs(tasks, run_a, run_b, key, by).withColumn("challenger", F.lit(run_a))
@@ -236,7 +234,7 @@ def paired_bootstrap_ci(spark, tasks: DataFrame, run_a: str, run_b: str, resampl
 
 
 def paired_bootstrap_vs_anchor(spark, tasks: DataFrame, anchor: str, resamples: int = 10_000,
-                               seed: int = 20260731, method: str = "auto", key: str = "task_id",
+                               seed: int = 20260731, method: str = "hash", key: str = "task_id",
                                by: str = "model") -> DataFrame:
     """G5 for every run against the anchor, all runs in one plan."""
     return _shape(bootstrap_table(_class_counts(pair_all(tasks, anchor, key, by)), resamples, seed, method), anchor)

@@ -9,11 +9,12 @@ ever gathered into one row.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.scoring import PY_WHITESPACE_CLASS, py_strip
-from quarry.operators.order_stats import rank_within_groups, top_k_per_group
+from quarry.operators.order_stats import join_same, rank_within_groups, top_k_per_group
 
 # The text layout of the composed model input (section headers and notices).
 HEAD_QUESTION = "# Question"
@@ -87,34 +88,41 @@ def order_block_variants(catalog, variants: dict[str, list[str]]) -> DataFrame:
                       for name, drop in variants.items()])
 
 
-def project_csv_text(raw: Column, drop: list[str], max_fields: int = 32) -> Column:
+def project_csv_text(raw: Column, drop: list[str]) -> Column:
     """H1 text path: drop named columns from a CSV block held as text.
 
-    Lines are parsed with ``from_csv`` into ``max_fields`` string cells (RFC 4180 quotes
-    honoured); kept positions come from the block's own header; unknown names are ignored and
-    short rows keep only the cells they have. Cells are re-quoted minimally, a row that is one
-    empty cell is written ``""`` and trailing empty lines are dropped. Each intermediate array is
-    bound once (as a lambda variable), so the expression stays small.
+    The whole block is read with RFC 4180 quotes (cells may hold commas, quotes and line breaks) and
+    any number of fields, in Arrow batches; kept positions come from the block's own header; unknown
+    names are ignored, short rows keep the cells they have, trailing line breaks go. Nothing to drop,
+    an empty or a NULL block: the block as it is.
     """
-    schema = ", ".join(f"c{i} STRING" for i in range(max_fields))
-    opts = {"escape": '"'}   # doubled quotes inside quoted cells, not backslash escapes
-    lines = F.split(raw, "\n")
-
-    def parse(line: Column) -> Column:
-        st = F.from_csv(line, F.lit(schema), opts)
-        return F.struct(F.array(*[st[f"c{i}"] for i in range(max_fields)]).alias("a"),
-                        F.size(F.split(F.regexp_replace(line, '"[^"]*"', ""), ",", -1)).alias("nf"))
-
-    parsed = F.transform(lines, parse)
-    header = F.element_at(parsed, 1)["a"]
-    drop_arr = F.array(*[F.lit(d) for d in drop]) if drop else F.array().cast("array<string>")
-    keep = F.filter(F.sequence(F.lit(0), F.lit(max_fields - 1)),
-                    lambda i: header[i].isNotNull() & ~F.array_contains(drop_arr, header[i]))
-    kept = F.transform(parsed, lambda p: F.transform(F.filter(keep, lambda i: i < p["nf"]),
-                                                     lambda i: csv_cell(p["a"][i])))
-    rows = F.transform(kept, lambda k: F.when((F.size(k) == 1) & (F.element_at(k, 1) == ""), F.lit('""'))
-                       .otherwise(F.array_join(k, ",")))
-    return F.when(F.size(lines) == 0, raw).otherwise(F.regexp_replace(F.array_join(rows, "\n"), "\n+$", ""))
+    if not drop:
+        return raw
+    unwanted = set(drop)
+
+    @F.pandas_udf("string")
+    def project(blocks: pd.Series) -> pd.Series:
+        import csv
+        import io
+
+        csv.field_size_limit(1 << 30)
+
+        def one(block):
+            rows = csv.reader(io.StringIO(block, newline=""))
+            header = next(rows, None)
+            if header is None:
+                return block
+            keep = [i for i, name in enumerate(header) if name not in unwanted]
+            out = io.StringIO()
+            put = csv.writer(out, lineterminator="\n")
+            put.writerow([header[i] for i in keep])
+            for cells in rows:
+                put.writerow([cells[i] for i in keep if i < len(cells)])
+            return out.getvalue().rstrip("\n")
+
+        return blocks.map(one, na_action="ignore")
+
+    return project(raw)
 
 
 def cap_blocks(blocks: DataFrame, cap: int | None, key: str = "question_id", order: str = "ref_no",
@@ -126,7 +134,7 @@ def cap_blocks(blocks: DataFrame, cap: int | None, key: str = "question_id", ord
         ranked = rank_within_groups(blocks, [key], [F.col(order)], "shown_no")
     else:
         ranked = top_k_per_group(blocks, [key], [F.col(order)], cap, "shown_no")
-    return ranked.join(totals, key)
+    return join_same(ranked, totals, [key])
 
 
 def truncate(block: Column, max_chars: int | None) -> Column:
@@ -196,10 +204,15 @@ RESPONSE_SCHEMA = (f"struct<references: array<struct<sourceData: struct<{RAW_FIE
 
 
 def json_string(c: Column) -> Column:
-    """Quote text as a JSON string literal (backslash, quote, newline, carriage return, tab)."""
+    """Quote text as a JSON string literal: backslash, quote and all control characters below 0x20
+    (the rare ones are only looked for in text that holds one)."""
     s = F.replace(c, F.lit("\\"), F.lit("\\\\"))
     for a, b in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         s = F.replace(s, F.lit(a), F.lit(b))
+    rare = s
+    for code in [*range(0x00, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20)]:
+        rare = F.replace(rare, F.lit(chr(code)), F.lit({8: "\\b", 12: "\\f"}.get(code, f"\\u{code:04x}")))
+    s = F.when(c.rlike("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]"), rare).otherwise(s)
     return F.concat(F.lit('"'), s, F.lit('"'))
 
 

@@ -18,6 +18,17 @@ from pyspark.sql import functions as F
 from quarry.session import materialize
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where NULL equals NULL (a NULL group is a group like any other); the keys
+    come from the left side."""
+    named = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in keys]
+    cond = same[0]
+    for s in same[1:]:
+        cond = cond & s
+    return left.join(named, cond, how).drop(*[f"_r_{c}" for c in keys])
+
+
 def order_statistics(df: DataFrame, by: list[str], value: str,
                      picks: dict[str, Callable[[Column], Column]], bucket_width: float = 1024,
                      materialize_steps: bool = True) -> DataFrame:
@@ -40,10 +51,10 @@ def order_statistics(df: DataFrame, by: list[str], value: str,
     targets = sizes.select(*by, "n", F.explode(F.array(*[
         F.struct(F.lit(name).alias("_pick"), fn(F.col("n")).cast("long").alias("_rank")) for name, fn in picks.items()
     ])).alias("_t")).select(*by, "n", "_t._pick", "_t._rank")
-    chosen = (targets.join(buckets, by)
+    chosen = (join_same(targets, buckets, by)
               .where((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_bc")))
               .select(*by, "n", "_pick", "_rank", "_b", "_before"))
-    within = hist.join(chosen, by + ["_b"])
+    within = join_same(hist, chosen, by + ["_b"])
     wv = Window.partitionBy(*by, "_pick").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     within = within.withColumn("_cum", F.col("_before") + F.coalesce(F.sum("_c").over(wv), F.lit(0)))
     hit = within.where((F.col("_cum") <= F.col("_rank")) & (F.col("_rank") < F.col("_cum") + F.col("_c")))
@@ -77,7 +88,7 @@ def radix_order_statistics(df: DataFrame, by: list[str], value: str,
     off = F.col(value).cast("long") - F.col("_gmin")
     for level in range(levels):
         shift = radix_bits * (levels - level - 1)
-        cand = (hist.join(state, by)
+        cand = (join_same(hist, state, by)
                 .where(F.shiftright(off, shift + radix_bits) == F.col("_prefix"))
                 .withColumn("_digit", F.shiftright(off, shift).bitwiseAND(F.lit(mask))))
         per = cand.groupBy(*by, "n", "_gmin", "_pick", "_rank", "_prefix", "_base", "_digit").agg(
@@ -141,5 +152,5 @@ def rank_within_groups(df: DataFrame, by: list[str], order: list[Column], rank_c
                            F.lit(0)))
     pos = local.join(F.broadcast(offsets.select("_pid", "_off")), "_pid").withColumn("_g", F.col("_off") + F.col("_i"))
     first = pos.groupBy(*by).agg(F.min("_g").alias("_g0"))
-    return (pos.join(first, by).withColumn(rank_col, F.col("_g") - F.col("_g0") + 1)
+    return (join_same(pos, first, by).withColumn(rank_col, F.col("_g") - F.col("_g0") + 1)
             .drop("_pid", "_i", "_off", "_g", "_g0"))

@@ -85,10 +85,11 @@ def scorecard_by_category(tasks: DataFrame, by: str = "model") -> DataFrame:
     """per run and category plus the run total in one ``rollup`` pass."""
     r = tasks.rollup(by, "category").agg(F.count(F.lit(1)).alias("n"),
                                          F.sum(F.col("correct").cast("int")).alias("correct"),
-                                         F.grouping_id().alias("_gid"))
-    return (r.where(F.col(by).isNotNull())
-            .select(by, F.coalesce(F.col("category"), F.lit("ALL")).alias("category"), "n", "correct",
-                    pct(F.col("correct"), F.col("n")).alias("pct"), (F.col("_gid") > 0).alias("is_total")))
+                                         F.grouping(by).alias("_all"), F.grouping("category").alias("_total"))
+    # the grouping flags tell a total from a NULL run or category, which are groups of their own
+    return (r.where(F.col("_all") == 0)
+            .select(by, F.when(F.col("_total") == 1, F.lit("ALL")).otherwise(F.col("category")).alias("category"), "n",
+                    "correct", pct(F.col("correct"), F.col("n")).alias("pct"), (F.col("_total") == 1).alias("is_total")))
 
 
 def config_uniformity(tasks: DataFrame, by: str = "model", expected: str | None = None) -> DataFrame:
@@ -99,14 +100,14 @@ def config_uniformity(tasks: DataFrame, by: str = "model", expected: str | None
     """
     pairs = tasks.select(by, "config_hash").distinct()
     everywhere = Window.partitionBy()
-    pairs = (pairs.withColumn("_n_all", F.size(F.collect_set("config_hash").over(everywhere)))
+    pairs = (pairs.withColumn("_one", F.coalesce(F.min("config_hash").over(everywhere) == F.max("config_hash").over(everywhere), F.lit(False)))
              .withColumn("_min_all", F.min("config_hash").over(everywhere)))
     per = pairs.groupBy(by).agg(F.count("config_hash").alias("n_hashes"), F.min("config_hash").alias("hash_min"),
-                                F.first("_n_all").alias("_n_all"), F.first("_min_all").alias("_min_all"))
+                                F.first("_one").alias("_one"), F.first("_min_all").alias("_min_all"))
     pinned = F.lit(expected) if expected is not None else F.col("_min_all")
     return per.select(by, "n_hashes", "hash_min", (F.col("n_hashes") == 1).alias("single_config"),
-                      (F.col("_n_all") == 1).alias("shared_across_runs"),
-                      ((F.col("_n_all") == 1) & (F.col("_min_all") == pinned)).alias("equals_pinned"))
+                      F.col("_one").alias("shared_across_runs"),
+                      (F.col("_one") & (F.col("_min_all") == pinned)).alias("equals_pinned"))
 
 
 def tuning_summary(tasks: DataFrame, by: list[str]) -> DataFrame:

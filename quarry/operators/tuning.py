@@ -29,7 +29,7 @@ def _pos(prefix: str = "") -> Column:
     return F.struct(F.col(prefix + "step_ts").alias("t"), F.col(prefix + "cid").alias("c"))
 
 
-def replay_adopt_gate(cands: DataFrame, checkpoint: bool = True, max_rounds: int | None = None) -> DataFrame:
+def replay_adopt_gate(cands: DataFrame, checkpoint: bool = True) -> DataFrame:
     """``(run_id, cid, step_ts, promising, adopted, parent_cid, depth, train_acc, dev_acc, dev_tokens)``
     for every logged step.
 
@@ -59,7 +59,6 @@ def replay_adopt_gate(cands: DataFrame, checkpoint: bool = True, max_rounds: int
     # steps after the seed (the first round filters them while joining the state)
     remaining = c.join(state.select("run_id", "b_ts", "b_cid"), "run_id").where(
         _pos() > F.struct(F.col("b_ts").alias("t"), F.col("b_cid").alias("c"))).select(*CAND_COLS)
-    rounds = 0
     while True:
         j = remaining.join(state, "run_id")
         promising = (objective_gt(F.col("train_acc"), F.col("train_tokens"), F.col("b_tacc"), F.col("b_ttok"))
@@ -79,8 +78,7 @@ def replay_adopt_gate(cands: DataFrame, checkpoint: bool = True, max_rounds: int
             "run_id", F.col("step_ts").alias("b_ts"), F.col("cid").alias("b_cid"), F.col("train_acc").alias("b_tacc"),
             F.col("train_tokens").alias("b_ttok"), F.col("train_neg").alias("b_tneg"), F.col("dev_acc").alias("b_dacc"),
             F.col("dev_tokens").alias("b_dtok"), "s_dacc", "s_dneg", (F.col("depth") + 1).alias("depth"))
-        rounds += 1
-        if state.isEmpty() or (max_rounds is not None and rounds >= max_rounds):
+        if state.isEmpty():
             break
         remaining = j.where(F.col("nx").isNotNull() & (_pos() > F.col("nx"))).select(*CAND_COLS)
     result = out[0]

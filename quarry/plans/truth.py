@@ -91,11 +91,11 @@ def truth_drift(stored: DataFrame, fresh: DataFrame, key: str = "id") -> DataFra
     """Compare a stored truth with a recomputed one.
 
     Both sides are reduced per question to ``(n_values, fingerprint)`` (an order-insensitive sum of
-    per-member hashes), then full-outer joined: ``status`` is changed / missing / extra.
+    64-bit per-member hashes), then full-outer joined: ``status`` is changed / missing / extra.
     """
     def summarise(df: DataFrame) -> DataFrame:
         member = F.coalesce(F.col("value_text"), F.format_string("%.2f", F.col("value_num")), F.lit("<null>"))
-        h = F.conv(F.substring(F.md5(member), 1, 8), 16, 10).cast("long")
+        h = F.conv(F.substring(F.md5(member), 1, 16), 16, 10).cast("decimal(20,0)")
         return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("fp"))
 
     s, f = summarise(stored).alias("s"), summarise(fresh).alias("f")

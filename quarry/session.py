@@ -44,6 +44,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
+        _refuse_local(spark, current)
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
@@ -51,10 +52,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             # a machine-local folder is not visible to other executors and does not survive them
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster file system)")
         configured = tempfile.mkdtemp(prefix="quarry-ckpt-")
+    _refuse_local(spark, configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def _refuse_local(spark: SparkSession, folder: str) -> None:
+    """On a cluster a path without a shared scheme is each machine's own disk. A mount that all
+    machines share is allowed by setting ``spark.quarry.checkpoint.sharedMount`` to true."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local") or spark.conf.get("spark.quarry.checkpoint.sharedMount", "false") == "true":
+        return
+    scheme = folder.split(":", 1)[0] if ":" in folder else ""
+    default = sc._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    if scheme == "file" or (not scheme and default.startswith("file:")):
+        raise RuntimeError(f"spark.checkpoint.dir {folder} is a machine-local path; name a shared folder")
+
+
 def materialize(df, tag: str = "stage"):
     """Cut lineage by writing ``df`` once as Parquet under the shared checkpoint folder and reading
     it back. Unlike ``Dataset.checkpoint`` (which evaluates the plan for the count and again for

@@ -13,34 +13,45 @@ from pyspark.sql import types as T
 
 from quarry.session import materialize
 
-NULL_MARK = "\\N"
+
+
+def _number(c: Column) -> Column:
+    """A double as sign, whole part and fraction in 2^-52 units (NaN, and magnitudes of 1e37 or more,
+    by name); needs no formatting, so any engine can render it."""
+    x = c.cast("double")
+    size = F.abs(x)
+    rest = size % F.lit(1.0)
+    sign = F.when(x < 0, "-").otherwise("")
+    exact = F.concat(sign, (size - rest).cast("decimal(38,0)").cast("string"), F.lit("+"),
+                     (rest * F.lit(float(1 << 52))).cast("long").cast("string"))
+    return F.when(F.isnan(x), "nan").when(size >= 1e37, F.concat(sign, F.lit("huge"))).otherwise(exact)
 
 
 def render(field: T.StructField) -> Column:
-    """Engine-neutral text of one cell: integers and strings as text, doubles as micro-units,
-    timestamps as epoch microseconds, float arrays element-wise; NULL as ``\\N``."""
+    """Engine-neutral text of one cell, with its length in front so that neighbouring cells can't be
+    confused: integers and strings as text, doubles by ``_number``, timestamps as epoch microseconds,
+    float arrays element-wise; NULL as ``N``."""
     c, t = F.col(field.name), field.dataType
     if isinstance(t, (T.DoubleType, T.FloatType)):
-        s = F.round(c.cast("double") * F.lit(1e6)).cast("long").cast("string")
+        s = _number(c)
     elif isinstance(t, T.TimestampNTZType):
         # wall-clock microseconds since the epoch, independent of the session time zone
         s = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c).cast("string")
     elif isinstance(t, T.TimestampType):
         s = F.unix_micros(c).cast("string")
-    elif isinstance(t, T.DateType):
-        s = c.cast("string")
     elif isinstance(t, T.ArrayType):
-        s = F.array_join(F.transform(c, lambda x: F.round(x.cast("double") * F.lit(1e6)).cast("long").cast("string")), ",")
+        one = _number if isinstance(t.elementType, (T.DoubleType, T.FloatType)) else lambda x: x.cast("string")
+        s = F.array_join(F.transform(c, lambda x: F.coalesce(one(x), F.lit("N"))), ",")
     else:
         s = c.cast("string")
-    return F.coalesce(s, F.lit(NULL_MARK))
+    return F.when(s.isNull(), "N").otherwise(F.concat(F.length(s).cast("string"), F.lit(":"), s))
 
 
 def table_fingerprint(df: DataFrame, name: str) -> DataFrame:
-    """``(table_name, n_rows, fingerprint)``; fingerprint = sum over rows of the first 32 bits of
+    """``(table_name, n_rows, fingerprint)``; fingerprint = sum over rows of the first 64 bits of
     md5(row text), as exact decimal text (independent of row order and file layout)."""
-    row = F.concat_ws("|", *[render(f) for f in df.schema.fields])
-    h = F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("decimal(20,0)")
+    row = F.concat(*[render(f) for f in df.schema.fields])
+    h = F.conv(F.substring(F.md5(row), 1, 16), 16, 10).cast("decimal(20,0)")
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h).alias("_fp")).select(
         F.lit(name).alias("table_name"), "n_rows", F.col("_fp").cast("string").alias("fingerprint"))
 
@@ -49,29 +60,42 @@ def fingerprints(catalog, tables: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, [table_fingerprint(catalog.table(t), t) for t in tables])
 
 
-# The row-count contract of the driver tables, as (anchor table, factor): the expected
-# count is factor x count(anchor), or the factor itself when there is no anchor.
-ROW_COUNT_RULES = {
-    "region": (None, 5), "nation": (None, 25), "customer": ("supplier", 15), "part": ("supplier", 20),
-    "orders": ("customer", 10), "lineitem": ("orders", 4), "events": ("supplier", 100),
-    "documents": ("supplier", 10),
+# The row-count contract of the driver tables. A count lies between the anchor's count times
+# the two factors (without an anchor: between the factors), and never below the floor.
+ROW_COUNT_RULES: dict[str, tuple[str | None, float, float, int]] = {
+    # table: anchor, smallest and largest rows an anchor row, floor
+    "region": (None, 5, 5, 0), "nation": (None, 25, 25, 0),
+    "customer": ("supplier", 15, 15, 0), "part": ("supplier", 20, 20, 0), "orders": ("customer", 10, 10, 0),
+    "lineitem": ("orders", 4, 4, 0), "events": ("supplier", 100, 100, 0), "documents": ("supplier", 10, 10, 200),
+    "embeddings": ("supplier", 2, 2, 500), "pages": ("supplier", 2.5, 2.5, 50), "benchmark": ("supplier", 0.2, 0.2, 40),
+    "labels": ("documents", 0.3, 0.5, 0), "conversations": ("supplier", 4, 9, 0),
 }
 
 
-def row_count_contract(catalog, rules: dict[str, tuple[str | None, int]] | None = None) -> DataFrame:
-    """``(table_name, actual, expected, ok)``; fails loudly on drift when ``ok`` is false."""
+def row_count_contract(catalog, rules: dict[str, tuple[str | None, float, float, int]] | None = None) -> DataFrame:
+    """``(table_name, actual, least, most, ok)`` for every rule; see ``check_row_counts`` to raise."""
     rules = rules or ROW_COUNT_RULES
-    names = sorted(set(rules) | {a for a, _ in rules.values() if a})
+    names = sorted(set(rules) | {r[0] for r in rules.values() if r[0]})
     counts = reduce(DataFrame.unionByName, [catalog.table(t).agg(F.count(F.lit(1)).alias("actual"))
                                            .select(F.lit(t).alias("table_name"), "actual") for t in names])
     # one row per table, read twice below (actual and anchor): written once so each table is counted once
     counts = materialize(counts, "row-counts")
-    spark = catalog.spark
-    spec = spark.createDataFrame([(t, a, f) for t, (a, f) in rules.items()],
-                                 "table_name string, anchor string, factor long")
+    spec = catalog.spark.createDataFrame([(t, a, float(lo), float(hi), n) for t, (a, lo, hi, n) in rules.items()],
+                                         "table_name string, anchor string, lo double, hi double, floor_n long")
     anchors = counts.select(F.col("table_name").alias("anchor"), F.col("actual").alias("anchor_n"))
-    exp = spec.join(anchors, "anchor", "left").select(
-        "table_name", F.when(F.col("anchor").isNull(), F.col("factor")).otherwise(F.col("factor") * F.col("anchor_n"))
-        .alias("expected"))
-    return counts.join(exp, "table_name").select("table_name", "actual", "expected",
-                                                 (F.col("actual") == F.col("expected")).alias("ok"))
+
+    def bound(factor: str, whole) -> Column:
+        n = whole(F.col(factor) * F.coalesce("anchor_n", F.lit(1))).cast("long")
+        return F.greatest(n, F.col("floor_n"))
+
+    exp = spec.join(anchors, "anchor", "left").select("table_name", bound("lo", F.floor).alias("least"),
+                                                      bound("hi", F.ceil).alias("most"))
+    return counts.join(exp, "table_name").select("table_name", "actual", "least", "most",
+                                                 F.col("actual").between(F.col("least"), F.col("most")).alias("ok"))
+
+
+def check_row_counts(catalog, rules: dict[str, tuple[str | None, float, float, int]] | None = None) -> None:
+    """Raise if a table's row count breaks its rule (one row a broken rule reaches the driver)."""
+    broken = row_count_contract(catalog, rules).where(~F.col("ok")).orderBy("table_name").collect()
+    if broken:
+        raise ValueError("row counts: " + "; ".join(f"{r.table_name} has {r.actual}, not {r.least} to {r.most}" for r in broken))

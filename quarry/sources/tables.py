@@ -67,10 +67,14 @@ TRUTH_RECORD_SCHEMA = T.StructType([
 ])
 
 
-def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A1: CSV with a header row read against a declared schema (``true``/``false`` text -> BOOLEAN)."""
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').csv(path))
+def read_csv_table(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """A1: CSV with a header row read against a declared schema (``true``/``false`` text -> BOOLEAN).
+
+    A header that differs from the schema's names fails. Files are split over tasks unless
+    ``multi_line`` says that quoted cells may hold line breaks (then a file is one task).
+    """
+    return (spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+            .option("multiLine", multi_line).option("escape", '"').csv(path))
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
