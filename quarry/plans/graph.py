@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.evidence import json_string
+from quarry.operators.order_stats import top_k_per_group
 from quarry.plans.bindings import (EntityType, Ontology, RelationshipType, entity_key, entity_view,
                                    key_column, source_expr)
 
@@ -23,12 +25,12 @@ def _end_key(cols: tuple[str, ...], entity: EntityType) -> Column:
     return key_column(typed)
 
 
-def node_table(catalog, entity: EntityType) -> DataFrame:
-    """Typed node table of one entity: key, label and the full property struct."""
-    view = entity_view(catalog, entity)
-    label = entity_key(entity) if entity.display not in [p.name for p in entity.properties] else F.col(entity.display)
-    return view.select(entity_key(entity).alias("node_key"), label.cast("string").alias("node_label"),
-                       F.struct(*[F.col(p.name) for p in entity.properties]).alias("props"))
+def properties_json(entity: EntityType) -> Column:
+    """The bound properties of a node as one JSON object of texts, in binding order; NULLs left out.
+    One type for all node types, so that they fit one frame."""
+    parts = [F.when(F.col(p.name).isNotNull(), F.concat(json_string(F.lit(p.name)), F.lit(":"), json_string(F.col(p.name).cast("string"))))
+             for p in entity.properties]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
 def node_table_keys(catalog, entity: EntityType) -> DataFrame:
@@ -38,7 +40,7 @@ def node_table_keys(catalog, entity: EntityType) -> DataFrame:
 
 
 def graph_nodes(catalog, onto: Ontology, entities: list[str] | None = None) -> DataFrame:
-    """All node types in one uniform frame ``(node_type, node_key, node_label, n_props)``."""
+    """All node types in one uniform frame ``(node_type, node_key, node_label, n_props, props)``."""
     parts = []
     for name in entities or list(onto.entities):
         e = onto.entity(name)
@@ -47,7 +49,7 @@ def graph_nodes(catalog, onto: Ontology, entities: list[str] | None = None) -> D
         label = F.col(e.display) if e.display in names else entity_key(e)
         parts.append(view.select(F.lit(e.name).alias("node_type"), entity_key(e).alias("node_key"),
                                  label.cast("string").alias("node_label"),
-                                 F.lit(len(e.properties)).alias("n_props")))
+                                 F.lit(len(e.properties)).alias("n_props"), properties_json(e).alias("props")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -175,7 +177,50 @@ def dangling_edges(edges: DataFrame, nodes: DataFrame, end: str = "dst_key") ->
     return edges.join(nodes.select(F.col("node_key").alias(end)), on=end, how="left_anti")
 
 
-def two_branch(catalog) -> DataFrame:
+def entity_key_violations(catalog, onto: Ontology, entities: list[str] | None = None) -> DataFrame:
+    """Declared keys that occur more than once or hold a NULL part, for every entity:
+    ``(node_type, key_text, n)``."""
+    parts = []
+    for name in entities or list(onto.entities):
+        e = onto.entity(name)
+        view = entity_view(catalog, e)
+        text = F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in e.key])
+        missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in e.key])
+        parts.append(view.groupBy(*e.key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | missing)
+                     .select(F.lit(name).alias("node_type"), text.alias("key_text"), "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def dangling_ends(catalog, onto: Ontology, relationships: list[str] | None = None) -> DataFrame:
+    """Ends of edges that have no node, for both ends of every relationship:
+    ``(rel_type, edge_end, missing_key, n_edges)``. Ends are counted per key before the join, so a hot
+    end is one row."""
+    parts = []
+    for name in relationships or list(onto.relationships):
+        rel = onto.relationship(name)
+        edges = edge_table(catalog, onto, rel)
+        for end, entity in (("src_key", rel.source), ("dst_key", rel.target)):
+            used = edges.groupBy(F.col(end).alias("node_key")).agg(F.count(F.lit(1)).alias("n_edges"))
+            gone = used.join(node_table_keys(catalog, onto.entity(entity)), "node_key", "left_anti")
+            parts.append(gone.select(F.lit(name).alias("rel_type"), F.lit(end).alias("edge_end"),
+                                     F.col("node_key").alias("missing_key"), "n_edges"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def two_branch_top(catalog, k: int = 3) -> DataFrame:
+    """B8 with its treatment branch listed: per customer and its k dearest orders one row, next to the
+    customer's best line: ``(customer_name, top_part_name, top_price, rank, order_id, status, total_price)``."""
+    orders = catalog.orders.select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
+    top = top_k_per_group(orders, ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()], k, "rank")
+    cust = catalog.customer.select("c_custkey", "c_name")
+    named = top.join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    best = two_branch(catalog, keyed=True)
+    return named.join(best, F.col("c_custkey") == F.col("customer_key")).select(
+        "customer_name", "top_part_name", "top_price", F.col("rank").cast("long").alias("rank"),
+        F.col("o_orderkey").alias("order_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total_price"))
+
+
+def two_branch(catalog, keyed: bool = False) -> DataFrame:
     """Per customer, the top line of its orders (price desc, line key asc) with that line's
     part, next to an order summary of the same customer.
 
@@ -196,5 +241,5 @@ def two_branch(catalog) -> DataFrame:
     top = per_cust.join(part, F.col("b.l_partkey") == F.col("p_partkey"), "left")
     cust = catalog.customer.select("c_custkey", "c_name")
     return (cust.join(top, cust.c_custkey == top.o_custkey)
-            .select(F.col("c_name").alias("customer_name"), F.col("p_name").alias("top_part_name"),
+            .select(*([F.col("c_custkey").alias("customer_key")] if keyed else []), F.col("c_name").alias("customer_name"), F.col("p_name").alias("top_part_name"),
                     (-F.col("b.neg_price")).alias("top_price"), "n_orders", "n_open_orders"))

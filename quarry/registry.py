@@ -70,13 +70,33 @@ SELECT p_partkey AS part_id, p_name AS part_name, p_brand AS brand, p_type AS pa
 LINE_KEY_SQL = ("concat_ws(':', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), "
                 "CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(CAST(l_shipdate AS DATE) AS VARCHAR))")
 
+def _props_sql(props: dict[str, str]) -> str:
+    """JSON object of texts: property name -> SQL of its text."""
+    quoted = "'\"' || replace(replace({v}, '\\', '\\\\'), '\"', '\\\"') || '\"'"
+    return "'{' || concat_ws(',', " + ", ".join(
+        f"""'"{name}":' || {quoted.format(v=f'CAST({v} AS VARCHAR)')}""" for name, v in props.items()) + ") || '}'"
+
+
 register("graph_nodes", f"""
-SELECT 'Customer' AS node_type, CAST(c_custkey AS VARCHAR) AS node_key, c_name AS node_label, 5 AS n_props FROM customer
-UNION ALL SELECT 'Supplier', CAST(s_suppkey AS VARCHAR), s_name, 4 FROM supplier
-UNION ALL SELECT 'Nation', CAST(n_nationkey AS VARCHAR), n_name, 3 FROM nation
-UNION ALL SELECT 'Part', CAST(p_partkey AS VARCHAR), p_name, 6 FROM part
-UNION ALL SELECT 'Order', CAST(o_orderkey AS VARCHAR), CAST(o_orderkey AS VARCHAR), 6 FROM orders
-UNION ALL SELECT 'LineItem', {LINE_KEY_SQL}, {LINE_KEY_SQL}, 10 FROM lineitem
+SELECT 'Customer' AS node_type, CAST(c_custkey AS VARCHAR) AS node_key, c_name AS node_label, 5 AS n_props,
+       {_props_sql({"customer_id": "c_custkey", "customer_name": "c_name", "nation_id": "c_nationkey",
+                    "account_balance": "c_acctbal", "segment": "c_mktsegment"})} AS props FROM customer
+UNION ALL SELECT 'Supplier', CAST(s_suppkey AS VARCHAR), s_name, 4,
+       {_props_sql({"supplier_id": "s_suppkey", "supplier_name": "s_name", "nation_id": "s_nationkey",
+                    "account_balance": "s_acctbal"})} FROM supplier
+UNION ALL SELECT 'Nation', CAST(n_nationkey AS VARCHAR), n_name, 3,
+       {_props_sql({"nation_id": "n_nationkey", "nation_name": "n_name", "region_id": "n_regionkey"})} FROM nation
+UNION ALL SELECT 'Part', CAST(p_partkey AS VARCHAR), p_name, 6,
+       {_props_sql({"part_id": "p_partkey", "part_name": "p_name", "brand": "p_brand", "part_type": "p_type",
+                    "size": "p_size", "retail_price": "p_retailprice"})} FROM part
+UNION ALL SELECT 'Order', CAST(o_orderkey AS VARCHAR), CAST(o_orderkey AS VARCHAR), 6,
+       {_props_sql({"order_id": "o_orderkey", "customer_id": "o_custkey", "status": "o_orderstatus",
+                    "total_price": "o_totalprice", "order_date": "o_orderdate", "priority": "o_orderpriority"})} FROM orders
+UNION ALL SELECT 'LineItem', {LINE_KEY_SQL}, {LINE_KEY_SQL}, 10,
+       {_props_sql({"order_id": "l_orderkey", "line_number": "l_linenumber", "part_id": "l_partkey",
+                    "supplier_id": "l_suppkey", "ship_date": "CAST(l_shipdate AS DATE)", "quantity": "l_quantity",
+                    "extended_price": "l_extendedprice", "discount": "l_discount", "return_flag": "l_returnflag",
+                    "line_status": "l_linestatus"})} FROM lineitem
 """)(lambda spark, d: G.graph_nodes(Catalog(spark, d), driver_ontology()))
 
 register("graph_edges", f"""
@@ -115,6 +135,57 @@ def _key_violations(spark, d):
     return G.key_violations(Catalog(spark, d).lineitem, ["l_orderkey", "l_linenumber"])
 
 
+def _key_sql(entity: str, table: str, cols: list[str]) -> str:
+    key = ", ".join(cols)
+    text = ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'NULL')" for c in cols)
+    none = " OR ".join(f"{c} IS NULL" for c in cols)
+    return (f"SELECT '{entity}' AS node_type, concat_ws(':', {text}) AS key_text, COUNT(*) AS n FROM {table} "
+            f"GROUP BY {key} HAVING COUNT(*) > 1 OR {none}")
+
+
+# besides the declared keys (which hold on the driver tables), a part identified by brand and size alone
+register("entity_key_violations", " UNION ALL ".join([
+    _key_sql("Customer", "customer", ["c_custkey"]), _key_sql("Supplier", "supplier", ["s_suppkey"]),
+    _key_sql("Nation", "nation", ["n_nationkey"]), _key_sql("Part", "part", ["p_brand", "p_size"]),
+    _key_sql("Order", "orders", ["o_orderkey"]),
+    _key_sql("LineItem", "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "CAST(l_shipdate AS DATE)"])]))(
+    lambda spark, d: G.entity_key_violations(Catalog(spark, d), _with_part_key(driver_ontology())))
+
+
+def _with_part_key(onto):
+    from dataclasses import replace
+    return replace(onto, entities=onto.entities | {"Part": replace(onto.entity("Part"), key=("brand", "size"))})
+
+
+_ENDS = {"placedOrder": ("orders", "o_custkey", "Customer", "o_orderkey", "Order"),
+         "shippedLine": ("lineitem", "l_suppkey", "Supplier", LINE_KEY_SQL, "LineItem"),
+         "ofPart": ("lineitem", LINE_KEY_SQL, "LineItem", "l_partkey", "Part"),
+         "customerNation": ("customer", "c_custkey", "Customer", "c_nationkey", "Nation"),
+         "supplierNation": ("supplier", "s_suppkey", "Supplier", "s_nationkey", "Nation")}
+_LIVE = {"Customer": "SELECT c_custkey FROM customer WHERE c_acctbal >= 0", "Supplier": "SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0",
+         "Nation": "SELECT n_nationkey FROM nation", "Part": "SELECT p_partkey FROM part", "Order": "SELECT o_orderkey FROM orders",
+         "LineItem": f"SELECT {LINE_KEY_SQL} FROM lineitem"}
+
+
+def _ends_sql() -> str:
+    parts = []
+    for rel, (t, src, a, dst, b) in _ENDS.items():
+        for end, key, entity in (("src_key", src, a), ("dst_key", dst, b)):
+            parts.append(f"SELECT '{rel}' AS rel_type, '{end}' AS edge_end, CAST({key} AS VARCHAR) AS missing_key, COUNT(*) AS n_edges "
+                         f"FROM {t} WHERE {key} NOT IN ({_LIVE[entity]}) GROUP BY {key}")
+    return " UNION ALL ".join(parts)
+
+
+def _live(onto):
+    from dataclasses import replace
+    live = {n: replace(onto.entity(n), where="account_balance >= 0") for n in ("Customer", "Supplier")}
+    return replace(onto, entities=onto.entities | live)
+
+
+# both ends of all relationships, with the customers and suppliers in debt left out of the nodes
+register("dangling_ends", _ends_sql())(lambda spark, d: G.dangling_ends(Catalog(spark, d), _live(driver_ontology())))
+
+
 # --- C: question templates ---------------------------------------------------------------------
 
 Q_SQL: dict[str, tuple[str, str]] = {
@@ -1135,6 +1206,20 @@ LEFT JOIN best b ON b.o_custkey = c.c_custkey AND b.rn = 1 LEFT JOIN part p ON p
 """)(lambda spark, d: G.two_branch(Catalog(spark, d)))
 
 
+register("traverse_two_branch_top", """
+WITH best AS (
+  SELECT o.o_custkey, l.l_extendedprice, l.l_partkey,
+         row_number() OVER (PARTITION BY o.o_custkey ORDER BY l.l_extendedprice DESC, l.l_orderkey, l.l_linenumber,
+                            l.l_partkey, l.l_suppkey, l.l_shipdate) AS rn
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
+t AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders)
+SELECT c.c_name AS customer_name, p.p_name AS top_part_name, b.l_extendedprice AS top_price, t.rank, t.o_orderkey AS order_id,
+       t.o_orderstatus AS status, t.o_totalprice AS total_price
+FROM t JOIN customer c ON c.c_custkey = t.o_custkey LEFT JOIN best b ON b.o_custkey = c.c_custkey AND b.rn = 1
+LEFT JOIN part p ON p.p_partkey = b.l_partkey WHERE t.rank <= 3
+""")(lambda spark, d: G.two_branch_top(Catalog(spark, d)))
+
+
 @register("dangling_edges", f"""
 SELECT 'shippedLine' AS rel_type, CAST(l_suppkey AS VARCHAR) AS src_key, {LINE_KEY_SQL} AS dst_key FROM lineitem
 WHERE l_suppkey IS NOT NULL AND l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL AND l_partkey IS NOT NULL
