@@ -15,6 +15,8 @@ ties by member ascending).
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +38,36 @@ def _is_integral(c: Column, base: DataFrame) -> bool:
     return isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
 
 
+def _conditional(base: DataFrame, questions: list[BatchQuestion]) -> DataFrame:
+    """Scalar questions (count, avg, max) as conditional aggregates of one global ``agg``: no row is
+    copied, and each task hands on one row."""
+    aggs = []
+    for i, q in enumerate(questions):
+        inside = q.where if q.where is not None else F.lit(True)
+        if q.reducer == "count":
+            aggs.append(F.count(F.when(inside, 1)).cast("double").alias(f"q{i}"))
+        else:
+            value = F.when(inside, q.value.cast("double"))
+            aggs.append(F.round((F.avg if q.reducer == "avg" else F.max)(value), 2).alias(f"q{i}"))
+    row = base.agg(*aggs)
+    cells = F.array(*[F.struct(F.lit(q.qid).alias("id"), F.lit(None).cast("string").alias("value_text"),
+                               F.col(f"q{i}").alias("value_num")) for i, q in enumerate(questions)])
+    return row.select(F.explode(cells).alias("x")).select("x.*")
+
+
 def evaluate(base: DataFrame, questions: list[BatchQuestion]) -> DataFrame:
+    """``(id, value_text, value_num)`` rows for every question (scalar: one row, set: one per member):
+    scalars as conditional aggregates, the rest by tags; one narrow scan of ``base`` for each kind."""
+    for q in questions:
+        if q.reducer not in REDUCERS:
+            raise ValueError(f"unknown reducer {q.reducer}")
+    scalar = [q for q in questions if q.reducer in ("count", "avg", "max")]
+    tagged = [q for q in questions if q not in scalar]
+    parts = ([_conditional(base, scalar)] if scalar else []) + ([_tagged(base, tagged)] if tagged else [])
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _tagged(base: DataFrame, questions: list[BatchQuestion]) -> DataFrame:
     """``(id, value_text, value_num)`` rows for every question (scalar: one row, set: one per member).
 
     One scan of ``base``, then two small aggregations with a single consumer each: level 1 by
@@ -45,9 +76,6 @@ def evaluate(base: DataFrame, questions: list[BatchQuestion]) -> DataFrame:
     reducer. Tags carry a question index and typed members (integral members stay numbers);
     text is produced only after aggregation.
     """
-    for q in questions:
-        if q.reducer not in REDUCERS:
-            raise ValueError(f"unknown reducer {q.reducer}")
     tags = []
     for i, q in enumerate(questions):
         integral = q.member is not None and _is_integral(q.member, base)
