@@ -483,21 +483,16 @@ FROM ({REFUSALS_SQL}) r
 """)
 def _score_tasks(spark, d):
     cat = Catalog(spark, d)
+    # each kind is scored in its own branch, so a branch only evaluates its own rule
     sc = D.scalar_answers(cat).select(F.concat(F.lit("c"), F.col("task_id").cast("string")).alias("task_key"),
-                                      F.lit("scalar").alias("answer_type"), "answer", "expected",
-                                      F.lit(None).cast("array<string>").alias("expected_values"),
-                                      F.lit(None).cast("boolean").alias("verdict"))
+                                      F.lit("scalar").alias("answer_type"),
+                                      S.score_scalar_numeric("answer", "expected").alias("correct"))
     st = D.set_answers(cat).select(F.concat(F.lit("n"), F.col("task_id").cast("string")).alias("task_key"),
-                                   F.lit("set").alias("answer_type"), "answer", F.lit(None).cast("double").alias("expected"),
-                                   "expected_values", F.lit(None).cast("boolean").alias("verdict"))
+                                   F.lit("set").alias("answer_type"), S.set_correct("answer", "expected_values").alias("correct"))
     rf = D.refusal_answers(cat).select(
         F.concat(F.lit("v"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("task_key"),
-        F.lit("refusal").alias("answer_type"), "answer", F.lit(None).cast("double").alias("expected"),
-        F.lit(None).cast("array<string>").alias("expected_values"), "verdict")
-    tasks = sc.unionByName(st).unionByName(rf)
-    return tasks.select("task_key", "answer_type", S.dispatch_correct(
-        "answer_type", S.score_scalar_numeric("answer", "expected"), S.set_correct("answer", "expected_values"),
-        S.score_refusal("answer", "verdict")).alias("correct"))
+        F.lit("refusal").alias("answer_type"), S.score_refusal("answer", "verdict").alias("correct"))
+    return sc.unionByName(st).unionByName(rf)
 
 
 _GROUNDED_SQL = ("(lower(COALESCE(tool_type, 'none')) LIKE '%fabric%' OR lower(COALESCE(tool_name, 'none')) LIKE "
