@@ -75,6 +75,22 @@ def metric_matrix(cards: DataFrame, metrics: list[str], runs: list[str], by: str
     return long.groupBy("metric").pivot(by, runs).agg(F.first("value"))
 
 
+def metric_matrix_text(cards: DataFrame, by_category: DataFrame, configs: DataFrame, metrics: list[str],
+                       categories: list[str], runs: list[str], by: str = "model") -> DataFrame:
+    """G1 in full, as text: the metrics, the accuracy of each category and the config hash (first 12
+    characters) as rows, one column per run; numbers with 8 places, ``-`` where a run has none."""
+    number = lambda c: F.format_string("%.8f", c.cast("double"))
+    long = cards.select(by, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot([by], metrics, "metric", "value")
+    rows = long.where(F.col("value").isNotNull()).select(by, "metric", number(F.col("value")).alias("value"))
+    parts = by_category.where(~F.col("is_total") & F.col("category").isin(categories)).select(
+        by, F.concat("category", F.lit("_pct")).alias("metric"), number(F.col("pct")).alias("value"))
+    hashes = configs.select(by, F.lit("config_hash").alias("metric"), F.substring("hash_min", 1, 12).alias("value"))
+    names = [*metrics, *[f"{c}_pct" for c in categories], "config_hash"]
+    pivot = rows.unionByName(parts).unionByName(hashes).groupBy("metric").pivot(by, runs).agg(F.first("value"))
+    every = cards.sparkSession.createDataFrame([(n,) for n in names], "metric string")
+    return every.join(pivot, "metric", "left").select("metric", *[F.coalesce(F.col(r), F.lit("-")).alias(r) for r in runs])
+
+
 def _ref_value(col: str, ref_cond: Column) -> Column:
     return F.max(F.when(ref_cond, F.col(col))).over(Window.partitionBy())
 

@@ -267,24 +267,31 @@ def unanswerable(sem: Semantic) -> DataFrame:
     """
     from functools import reduce
 
-    from quarry.plans.batch import BatchQuestion, evaluate
-
     probes = sem.spark.createDataFrame([(i, e, p, v) for i, e, p, v in NEGATIVE_PROBES],
                                        "id string, entity string, prop string, probe_value string")
-    by_entity: dict[str, list] = {}
-    for qid, ent, prop, value in NEGATIVE_PROBES:
-        by_entity.setdefault(ent, []).append(BatchQuestion(qid, "count", F.col(prop) == value))
-    # one scan per probed entity table, however many probes it has
-    counts = reduce(DataFrame.unionByName, [evaluate(sem.view(e), qs) for e, qs in by_entity.items()])
-    out = probes.join(counts.select("id", F.col("value_num").alias("n")), "id", "left").select(
+    asked: dict[tuple[str, str], list[str]] = {}
+    for _, ent, prop, value in NEGATIVE_PROBES:
+        asked.setdefault((ent, prop), []).append(value)
+    # the looked-up values reach the scan of their table as a filter
+    counts = reduce(DataFrame.unionByName, [
+        sem.view(e).where(F.col(p).isin(values)).groupBy(F.col(p).cast("string").alias("probe_value"))
+        .agg(F.count(F.lit(1)).alias("n")).withColumns({"entity": F.lit(e), "prop": F.lit(p)})
+        for (e, p), values in asked.items()])
+    out = probes.join(counts, ["entity", "prop", "probe_value"], "left").select(
         "id", "probe_value", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_matches"))
     return out.withColumn("answer_type", F.when(F.col("n_matches") == 0, "refusal").otherwise("scalar"))
 
 
-def unknown_entity_lines(sem: Semantic, supplier_name: str = "Supplier#999999999", qid: str = "N06") -> DataFrame:
-    """C12 (N06 shape): lines of a named supplier; an unknown name keeps one explicit no-rows row."""
-    q = sem.spark.createDataFrame([(qid, supplier_name)], "id string, supplier_name string")
-    sup = sem.view("Supplier").where(F.col("supplier_name") == supplier_name).select("supplier_id", "supplier_name")
+#: fixed values: the questions that name an entity which may not exist
+UNKNOWN_ENTITIES = [("N06", "Supplier#999999999"), ("T-N04", "Supplier#888888888")]
+
+
+def unknown_entity_lines(sem: Semantic, asked: list[tuple[str, str]] | None = None) -> DataFrame:
+    """C12 (N06 and T-N04 shape): lines of named suppliers; an unknown name keeps one explicit no-rows row."""
+    asked = asked or UNKNOWN_ENTITIES
+    q = sem.spark.createDataFrame(asked, "id string, supplier_name string")
+    names = [name for _, name in asked]
+    sup = sem.view("Supplier").where(F.col("supplier_name").isin(names)).select("supplier_id", "supplier_name")
     per = (sem.view("LineItem").select("supplier_id").join(sup, "supplier_id")
            .groupBy("supplier_name").agg(F.count(F.lit(1)).alias("n_lines")))
     return q.join(per, "supplier_name", "left").select(

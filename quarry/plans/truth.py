@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.operators.order_stats import rank_within_groups
 from quarry.plans.questions import QUESTIONS, Question, Semantic
 from quarry.session import materialize
 
@@ -74,6 +75,15 @@ def truth_table(sem: Semantic, questions: list[Question] | None = None, batched:
             .select(*TRUTH_COLUMNS, F.coalesce("n_values", F.lit(0)).alias("n_values")))
 
 
+def sorted_sets(truth: DataFrame) -> DataFrame:
+    """D3 for sets of any size: the members of each set in order of their text, one row a member:
+    ``(id, position from 1, value_text, n_values)``. Positions come from a range partitioning, so a
+    large set spreads over tasks; duplicates are kept."""
+    members = truth.where((F.col("answer_type") == "set") & F.col("value_text").isNotNull())
+    ranked = rank_within_groups(members.select("id", "value_text", "n_values"), ["id"], [F.col("value_text")], "position")
+    return ranked.select("id", F.col("position").cast("long").alias("position"), "value_text", "n_values")
+
+
 def truth_records(truth: DataFrame) -> DataFrame:
     """Array form, one row per question: ``values`` sorted as text (duplicates kept), ``count``.
 

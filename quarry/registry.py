@@ -286,9 +286,9 @@ register("q_unanswerable", _probe_sql())(lambda spark, d: Q.unanswerable(_sem(sp
 
 register("q_unknown_entity", """
 SELECT q.id, q.supplier_name, c.n_lines, CASE WHEN c.n_lines IS NULL THEN 'no rows' ELSE 'rows' END AS status
-FROM (VALUES ('N06', 'Supplier#999999999')) q(id, supplier_name)
+FROM (VALUES ('N06', 'Supplier#999999999'), ('T-N04', 'Supplier#888888888')) q(id, supplier_name)
 LEFT JOIN (SELECT s.s_name AS supplier_name, COUNT(*) AS n_lines FROM lineitem l JOIN supplier s
-           ON l.l_suppkey = s.s_suppkey WHERE s.s_name = 'Supplier#999999999' GROUP BY s.s_name) c
+           ON l.l_suppkey = s.s_suppkey GROUP BY s.s_name) c
   ON q.supplier_name = c.supplier_name
 """)(lambda spark, d: Q.unknown_entity_lines(_sem(spark, d)))
 
@@ -326,6 +326,11 @@ FROM meta m LEFT JOIN vals v ON m.id = v.id LEFT JOIN counts c ON m.id = c.id"""
 
 register("truth_table", truth_sql())(lambda spark, d: TR.truth_table(_sem(spark, d)))
 
+register("truth_sets_sorted", f"""
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY value_text) AS position, value_text, n_values
+FROM ({truth_sql()}) t WHERE answer_type = 'set' AND value_text IS NOT NULL
+""")(lambda spark, d: TR.sorted_sets(TR.truth_table(_sem(spark, d))))
+
 
 # --- E: answer scoring ----------------------------------------------------------------------------
 
@@ -646,6 +651,20 @@ register("metric_matrix", "SELECT metric, " + ", ".join(
     f"SELECT model, '{x}' AS metric, CAST({x} AS DOUBLE) AS value FROM ({SCORECARD_SQL}) s" for x in MATRIX_METRICS)
     + ") u GROUP BY metric")(lambda spark, d: CMP.metric_matrix(_cards(spark, d), MATRIX_METRICS, RUNS))
 
+MATRIX_CATEGORIES = ["single_hop", "multi_hop", "negative"]
+_matrix_names = [*MATRIX_METRICS, *[f"{c}_pct" for c in MATRIX_CATEGORIES], "config_hash"]
+register("metric_matrix_full", f"""
+WITH u AS (
+  {" UNION ALL ".join(f"SELECT model, '{x}' AS metric, printf('%.8f', CAST({x} AS DOUBLE)) AS v FROM ({SCORECARD_SQL}) s WHERE {x} IS NOT NULL" for x in MATRIX_METRICS)}
+  UNION ALL SELECT model, category || '_pct', printf('%.8f', CAST(round_even(100.0 * COUNT(*) FILTER (WHERE correct) / COUNT(*), 1) AS DOUBLE))
+            FROM ({D.RUN_LOG_SQL}) r WHERE category IN ('single_hop', 'multi_hop', 'negative') GROUP BY model, category
+  UNION ALL SELECT model, 'config_hash', substr(MIN(config_hash), 1, 12) FROM ({D.RUN_LOG_SQL}) r GROUP BY model)
+SELECT m.metric, {", ".join(f"COALESCE(MAX(CASE WHEN u.model = '{r}' THEN u.v END), '-') AS {r}" for r in RUNS)}
+FROM (VALUES {", ".join(f"('{n}')" for n in _matrix_names)}) m(metric) LEFT JOIN u ON u.metric = m.metric GROUP BY m.metric
+""")(lambda spark, d: CMP.metric_matrix_text(
+    _cards(spark, d), SC.scorecard_by_category(D.run_log(Catalog(spark, d))),
+    SC.config_uniformity(D.run_log(Catalog(spark, d))), MATRIX_METRICS, MATRIX_CATEGORIES, RUNS))
+
 register("pareto_check", f"""
 SELECT '{ANCHOR}' AS reference, c.model AS challenger, c.overall_pct >= r.overall_pct AS accuracy_ge,
        CASE WHEN r.tokens_total <> 0 THEN round_even(c.tokens_total / r.tokens_total, 3) END AS tokens_ratio,
