@@ -170,7 +170,7 @@ def license_base(text):
 
 def base_score(text, counts):
     from math import log10
-    words = [w.lower() for w in SPACED.findall((text or "").translate(LOW))] + [None]
+    words = SPACED.findall((text or "").translate(LOW)) + [None]
     n, v = sum(counts.values()), len(counts)
     return len(words), sum(counts[w] > 0 for w in words), sum(log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words)
 
