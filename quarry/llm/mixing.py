@@ -66,7 +66,7 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     plan = written(plan.withColumnRenamed("source", "source_"), "plan")
     u = seeded(seed, F.col("doc_id"), F.col("key"), F.col("unit"))
     rows = units.join(plan, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
-    odds = F.col("rest") * F.col("size") / F.col("squares").cast("double")
+    odds = F.when(F.col("squares") > 0, F.col("rest") * F.col("size") / F.col("squares").cast("double"))
     rows = rows.withColumn("chance", odds).withColumn("u", u)
     rank = F.when(F.col("chance") >= 1, 0.0).when(F.col("chance") > 0, (F.col("u") / (1 - F.col("u"))) / (
         F.col("chance") / (1 - F.col("chance"))))
