@@ -55,7 +55,8 @@ def _buckets(text: bytes | None) -> np.ndarray:
 def fit_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     """(row, toxic, share, once, buckets) of at most ``rows`` labelled documents a class. ``share`` is
     the number of labelled rows that a sample row stands for; ``once`` makes copies count as one
-    (texts that share their three smallest permuted words). Labels with a null id or class don't count."""
+    (texts of about a size that share their three smallest
+    permuted words). Labels with a null id or class don't count."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").distinct()
     sizes = known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -70,7 +71,8 @@ def fit_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Data
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 found = [_buckets(t.as_py()) for t in part.column(2)]
-                sketch = [zlib.crc32(np.sort(b.astype(np.int64) * 0x9E3779B1 % (1 << 32))[:3].tobytes()) for b in found]
+                sketch = [zlib.crc32(np.sort(b.astype(np.int64) * 0x9E3779B1 % (1 << 32))[:3].tobytes(), int(4 * np.log2(1 + len(b))))
+                          for b in found]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:2], pa.array(sketch, pa.int64()), pa.array(found, pa.list_(pa.int32()))],
                     ["toxic", "share", "sketch", "buckets"])
