@@ -1,7 +1,7 @@
 """License detection by ordered signature rules; DataFrame operations only.
 
 A rule is a regular expression with a label, a priority and a keyword without which it can't
-match. A text is tested against a rule only if it holds the rule's keyword. Of the matches in a
+match ("a|b": one of them must occur). A text is tested against a rule only if it holds the rule's keyword. Of the matches in a
 text, one is suppressed if it lies inside another of the same or a stronger priority (equal
 spans: the stronger, then the earlier rule stays).
 """
@@ -9,6 +9,7 @@ spans: the stronger, then the earlier rule stays).
 from __future__ import annotations
 
 import string
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -86,7 +87,7 @@ FAMILIES: dict[str, tuple[str, str, str, str | None]] = {
     "cc0": (r"(?:creative\W+commons|cc)\W+zero", "zero", r"cc0-1\.0", r"cc0(?:\W?1\.0)?"),
     "public-domain": (r"(?:dedicated\W+to|released\W+in(?:to)?|in)\W+the\W+public\W+domain", "domain", r"(?:licenseref-)?public-domain", None),
     "proprietary": (r"all\W+rights\W+reserved", "reserved", r"licenseref-proprietary", None),
-    "confidential": (r"(?:proprietary|confidential)\W+and\W+(?:proprietary|confidential)", "confidential", r"licenseref-confidential", None),
+    "confidential": (r"(?:proprietary|confidential)\W+and\W+(?:proprietary|confidential)", "confidential|proprietary", r"licenseref-confidential", None),
 }
 #: Creative Commons: label, the words after "by"
 CC_TERMS = {
@@ -97,11 +98,9 @@ CC_TERMS = {
     "cc-by-nc-sa": (r"nc\W+sa", r"\W+non\W?commercial\W+share\W?alike"),
     "cc-by-nc-nd": (r"nc\W+nd", r"\W+non\W?commercial\W+no\W?deriv(?:ative)?s?"),
 }
-#: texts without any of these can hold no rule's match
-GATES = ("licen", "spdx", "public domain", "rights reserved", "opensource.org", "creativecommons", "creative commons",
-         "gpl", "gfdl", "cddl", "eupl", "wtfpl", "odbl", "pddl", "cc0", "mpl", "epl", "bsd", "clause", "confidential",
-         "nasa open", "cc zero", "unicode terms")
 CC_GATE = r"(?<![0-9a-z\u0080-\x{10FFFF}])cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by(?![0-9a-z\u0080-\x{10FFFF}])"
+#: "cc by" as the rules see it: any non-word characters between
+CC_RULE_GATE = r"(?<![0-9a-z])cc\W+by(?![0-9a-z])"
 EDGE, END = r"(?<![0-9a-z])", r"(?![0-9a-z])"
 GRANT = r"(?:licen[cs]ed|released|distributed|available|published|provided|redistributed|covered|governed)\W+(?:under|by|according\W+to)\W+(?:\w+\W+){0,4}?"
 VERSION = r"\W{1,3}(?:version\W{1,3}|v\W?)?[0-9](?:\.[0-9])?"
@@ -135,6 +134,20 @@ def rules() -> list[Rule]:
     return out
 
 
+def gates() -> list[str]:
+    """Single words without any of which a text holds no rule's match, besides "cc by" (CC_GATE, CC_RULE_GATE):
+    "licen" for families whose name ends in license, else the rules' keywords."""
+    ends = {label for label, (name, *_) in FAMILIES.items() if name.endswith("licen[cs]e")}
+    words = set()
+    for r in rules():
+        named = r.rule.rsplit(":", 1)[1] in ("grant-version", "grant", "version", "name")
+        if r.label in ends and named:
+            words.add("licen")
+        elif r.keyword != "cc":
+            words.update(r.keyword.split("|"))
+    return sorted(words)
+
+
 def _letters_lower(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
@@ -145,8 +158,8 @@ def scan(docs: DataFrame) -> DataFrame:
     returned; other columns don't matter; no rows give no rows.
     """
     low = _letters_lower(F.coalesce("text", F.lit("")))
-    gated = F.col("low").rlike(CC_GATE)
-    for g in GATES:
+    gated = F.col("low").rlike(f"{CC_GATE}|{CC_RULE_GATE}")
+    for g in gates():
         gated = F.col("low").contains(g) | gated
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), low.alias("low"))
     rows = written(rows.select("doc_id", "rid", F.regexp_count("low", F.lit(LETTER_WORD)).cast("long").alias("n_words"),
@@ -186,7 +199,8 @@ def _spans(held: DataFrame) -> DataFrame:
     spark = held.sparkSession
     known = spark.createDataFrame([tuple(r) for r in table], "rule string, label string, priority int, keyword string, pattern string, confidence double")
     words = sorted({r.keyword for r in table})
-    has = F.array_compact(F.array(*[F.when(F.col("low").contains(w), F.lit(w)) for w in words]))
+    holds = lambda w: reduce(Column.__or__, [F.col("low").contains(x) for x in w.split("|")])
+    has = F.array_compact(F.array(*[F.when(holds(w), F.lit(w)) for w in words]))
     tested = held.withColumn("keyword", F.explode(has)).join(F.broadcast(known), "keyword")  # the rules: a fixed list
     tested = tested.where(F.expr("low RLIKE pattern"))
     pieces = tested.select(

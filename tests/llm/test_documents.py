@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -287,6 +288,29 @@ def test_license_rules(spark):
     assert len(license_scan.rules()) > 200
 
 
+def test_license_gate_is_no_stricter_than_the_rules(spark):
+    phrases = {
+        "proprietary": "all rights reserved", "public-domain": "in the public domain", "cc-by": "creative commons attribution 4.0",
+        "cc-by-nc-sa": "creative commons attribution noncommercial sharealike", "nasa": "nasa open source agreement",
+        "cc0": "cc zero", "unicode": "unicode terms of use", "confidential": "proprietary and proprietary", "gpl": "gnu general public license",
+        "mit": "mit license", "bsd-2-clause": "2clause bsd", "bsd": "simplified bsd license", "odc-by": "open data commons attribution license",
+        "wtfpl": "do what the fuck you want to public license", "cc-by-sa": "cc by sa", "mpl": "mozilla public license", "isc": "isc license",
+    }
+    texts = [(label, f"so {words.replace(' ', gap)} ok") for label, words in phrases.items() for gap in (" ", "\n", "-", "  ", "\r\n", "\u2013", "\u00a0")]
+    texts.append(("cc0", "Creative\nCommons Zero"))
+    got = {r.doc_id: r for r in license_scan.scan(plain.frame(spark, [plain.row(i, t) for i, (_, t) in enumerate(texts)])).collect()}
+    rules = [(r, re.compile(r.pattern, re.ASCII)) for r in license_scan.rules()]
+    for i, (label, text) in enumerate(texts):
+        assert label in got[i].labels.split(","), text
+        assert got[i].n_found > 0 and got[i].score > 0
+    # no rule matches a text that the gate and the rule's keyword leave out
+    gate = re.compile("|".join(map(re.escape, license_scan.gates())) + "|" + license_scan.CC_RULE_GATE, re.ASCII)
+    for _, text in texts:
+        low = text.lower()
+        for r, pattern in rules:
+            assert not pattern.search(low) or gate.search(low) and any(k in low for k in r.keyword.split("|"))
+
+
 def test_license_containment(spark):
     spans = spark.createDataFrame([
         (1, "a", "A", 2, 1.0, 10, 20), (1, "b", "B", 1, 1.0, 5, 25), (1, "c", "C", 0, 1.0, 12, 15), (1, "d", "D", 2, 1.0, 20, 30),
