@@ -32,7 +32,7 @@ STEPS, RATE, L1 = 2000, 0.5, 2e-5
 @dataclass(frozen=True)
 class SeverityModel:
     """Weights of the buckets that have one, and the cuts between grades 0, 1 and 2. Without cuts
-    (no toxic or no clean labelled row) every text has severity 0."""
+    (no toxic or no clean labelled row) every text has severity 0; without weights none is rejected."""
 
     weights: dict[int, float]
     cuts: tuple[float, float] | None
@@ -139,9 +139,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> SeverityMod
     by = np.argsort(score)
     missed = np.r_[0, np.cumsum((once * toxic)[by])][np.searchsorted(score[by], middle)]
     wrong = np.r_[np.cumsum((once * (1 - toxic))[by][::-1])[::-1], 0][np.searchsorted(score[by], middle)]
-    best = middle[np.lexsort((levels[:-1] - levels[1:], missed / n_toxic + wrong / n_clean))[0]]
-    return SeverityModel({int(names[i]): float(w[i]) for i in np.flatnonzero(w)}, (float(cuts[0]), float(cuts[1])),
-                         float(_sigmoid(best - cuts[0])))
+    # of equal thresholds the one with the widest gap, then the highest
+    best = middle[np.lexsort((-middle, levels[:-1] - levels[1:], missed / n_toxic + wrong / n_clean))[0]]
+    weights = {int(names[i]): float(w[i]) for i in np.flatnonzero(w)}
+    if not weights:
+        return SeverityModel(weights, (float(cuts[0]), float(cuts[1])))
+    return SeverityModel(weights, (float(cuts[0]), float(cuts[1])), float(_sigmoid(best - cuts[0])))
 
 
 def severity_column(model: SeverityModel, text: str = "text"):

@@ -369,6 +369,17 @@ def test_severity_without_basis_and_odd_rows(spark):
     assert toxicity.reject_toxic(plain.frame(spark, []), model).count() == 0
 
 
+def test_toxicity_without_telling_words_rejects_nothing(spark):
+    """20 toxic and 20 clean rows: no word has the evidence to get a weight."""
+    rows = [plain.row(i, " ".join(f"{a}{i}" for a in "qwertzuiop") + (" awful" if i < 20 else " nice")) for i in range(40)]
+    labels = spark.createDataFrame([(i, 1, int(i < 20)) for i in range(40)], "doc_id long, quality int, toxic int")
+    docs = plain.frame(spark, rows)
+    model = toxicity.fit(docs, labels)
+    assert model.cuts is not None and not model.weights
+    assert toxicity.toxicity(docs, model).where("rejected").count() == 0
+    assert toxicity.reject_toxic(docs, model).count() == 40
+
+
 # ---- helpers
 
 
