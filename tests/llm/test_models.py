@@ -249,7 +249,7 @@ def test_pipeline_of_no_rows(spark, tmp_path):
 
 def test_registered():
     names = set(entry.queries())
-    assert {"pipeline", *queries.QUERIES} <= names and len(queries.QUERIES) == 10
+    assert {"pipeline", *queries.QUERIES} <= names and len(queries.QUERIES) == 13
     assert set(queries.ORACLE) <= set(queries.QUERIES)
     assert SPACED_WORD.startswith("[^")
 
@@ -261,7 +261,7 @@ def test_registered():
 def test_sql(spark, name):
     import duckdb
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMOKE}/{t}.parquet')")
     want = con.execute(queries.ORACLE[name])
     cols = [c[0] for c in want.description]
