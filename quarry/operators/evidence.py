@@ -203,17 +203,29 @@ RESPONSE_SCHEMA = (f"struct<references: array<struct<sourceData: struct<{RAW_FIE
                    "response: array<struct<content: array<struct<type: string, text: string>>>>>")
 
 
+_ODD_CONTROLS = "[\\x0B\\x0E\\x0F\\x1A-\\x1F]"
+
+
 def json_string(c: Column) -> Column:
-    """Quote text as a JSON string literal: backslash, quote and all control characters below 0x20
-    (the rare ones are only looked for in text that holds one)."""
-    s = F.replace(c, F.lit("\\"), F.lit("\\\\"))
-    for a, b in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        s = F.replace(s, F.lit(a), F.lit(b))
-    rare = s
-    for code in [*range(0x00, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20)]:
-        rare = F.replace(rare, F.lit(chr(code)), F.lit({8: "\\b", 12: "\\f"}.get(code, f"\\u{code:04x}")))
-    s = F.when(c.rlike("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]"), rare).otherwise(s)
-    return F.concat(F.lit('"'), s, F.lit('"'))
+    """Quote text as a JSON string literal: backslash, quote and all control characters below 0x20.
+
+    The literal is cut out of ``to_json``; only text with a control character whose code has a hex letter
+    (written in small letters here) goes through a chain of replacements instead.
+    """
+    whole = F.to_json(F.struct(c.cast("string").alias("v")))
+    plain = F.rtrim(F.substring(whole, 6, (1 << 31) - 1), F.lit("}"))
+    return F.when(c.rlike(_ODD_CONTROLS), _spelled_out(c)).when(c.isNotNull(), plain)
+
+
+def _spelled_out(c: Column) -> Column:
+    def escape(x: Column) -> Column:
+        s = F.replace(x, F.lit("\\"), F.lit("\\\\"))
+        short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r", 34: '\\"'}
+        for code in [*range(0x20), 34]:
+            s = F.replace(s, F.lit(chr(code)), F.lit(short.get(code, f"\\u{code:04x}")))
+        return F.concat(F.lit('"'), s, F.lit('"'))
+
+    return F.element_at(F.transform(F.array(c), escape), 1)  # one name for the text, whatever its expression
 
 
 def order_responses(catalog) -> DataFrame:
@@ -233,7 +245,9 @@ def order_responses(catalog) -> DataFrame:
 
 def extract_references(responses: DataFrame, body: str = "body") -> DataFrame:
     """H6: blocks (non-empty raw data, in order) and the first answer (else the first text content)."""
-    p = F.from_json(F.col(body), RESPONSE_SCHEMA)
+    # parsed in a projection of its own: once, not once an output column
+    responses = responses.select("response_id", F.from_json(F.col(body), RESPONSE_SCHEMA).alias("_parsed"))
+    p = F.col("_parsed")
     refs = p["references"]
     # field extraction from the array of structs + compact/remove: no lambdas on the main path
     blocks = F.coalesce(F.array_remove(F.array_compact(refs["sourceData"][RAW_FIELD]), ""),

@@ -13,7 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.evidence import json_string
 from quarry.operators.order_stats import top_k_per_group
 from quarry.plans.bindings import (EntityType, Ontology, RelationshipType, entity_key, entity_view,
                                    key_column, source_expr)
@@ -28,9 +27,7 @@ def _end_key(cols: tuple[str, ...], entity: EntityType) -> Column:
 def properties_json(entity: EntityType) -> Column:
     """The bound properties of a node as one JSON object of texts, in binding order; NULLs left out.
     One type for all node types, so that they fit one frame."""
-    parts = [F.when(F.col(p.name).isNotNull(), F.concat(json_string(F.lit(p.name)), F.lit(":"), json_string(F.col(p.name).cast("string"))))
-             for p in entity.properties]
-    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    return F.to_json(F.struct(*[F.col(p.name).cast("string").alias(p.name) for p in entity.properties]))
 
 
 def node_table_keys(catalog, entity: EntityType) -> DataFrame:

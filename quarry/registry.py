@@ -1071,11 +1071,17 @@ from quarry.streaming import refresh as RF  # noqa: E402
 
 
 def _number_sql(x: str) -> str:
-    size = f"abs(CAST({x} AS DOUBLE))"
+    a = f"abs(CAST({x} AS DOUBLE))"
+    e = f"greatest(least(floor(log2({a})), CAST(1023 AS DOUBLE)), CAST(-1074 AS DOUBLE))"
+    m = f"({a} / pow(CAST(2 AS DOUBLE), {e}))"
     sign = f"CASE WHEN {x} < 0 THEN '-' ELSE '' END"
-    rest = f"({size} % CAST(1 AS DOUBLE))"
-    return (f"CASE WHEN isnan(CAST({x} AS DOUBLE)) THEN 'nan' WHEN {size} >= 1e37 THEN {sign} || 'huge' ELSE {sign} || "
-            f"CAST(CAST({size} - {rest} AS DECIMAL(38,0)) AS VARCHAR) || '+' || CAST(CAST(trunc({rest} * 4503599627370496) AS BIGINT) AS VARCHAR) END")
+
+    def put(scale, by):
+        return f"CAST(CAST({m} * {1 << scale}.0::DOUBLE AS BIGINT) AS VARCHAR) || 'p' || CAST(CAST({e} + {by} AS INTEGER) AS VARCHAR)"
+
+    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN isnan(CAST({x} AS DOUBLE)) THEN 'nan' WHEN isinf({a}) THEN {sign} || 'inf' "
+            f"WHEN {a} = 0 THEN '0' WHEN {m} >= 2 THEN {sign} || {put(51, 1)} WHEN {m} < 1 THEN {sign} || {put(53, -1)} "
+            f"ELSE {sign} || {put(52, 0)} END")
 
 
 def _render_sql(name: str, dtype: str) -> str:
@@ -1088,7 +1094,7 @@ def _render_sql(name: str, dtype: str) -> str:
         s = f"array_to_string(list_transform({name}, lambda x: coalesce({_number_sql('x')}, 'N')), ',')"
     else:
         s = f"CAST({name} AS VARCHAR)"
-    return f"COALESCE(CAST(length({s}) AS VARCHAR) || ':' || ({s}), 'N')"
+    return f"COALESCE(md5({s}), 'N')"
 
 
 # Column types of the driver tables, as DuckDB reports them (used only to write the oracle text).
@@ -1116,11 +1122,21 @@ _DRIVER_COLUMNS = {
     "conversations": [("conv_id", "BIGINT"), ("turn", "BIGINT"), ("role", "VARCHAR"), ("text", "VARCHAR")],
 }
 
+def _half_sql(at: int) -> str:
+    return f"CAST(COALESCE(list_sum(list(CAST(('0x' || substr(h, {at}, 16))::UBIGINT AS HUGEINT))), 0) % 18446744073709551616::HUGEINT AS VARCHAR)"
+
+
+def _fingerprint_sql(table: str, by: str = "") -> str:
+    """Rows (by, n_rows, fingerprint) of a table; ``by`` is an SQL expression with its name, or nothing."""
+    rows = " || ".join(_render_sql(c, ty) for c, ty in _DRIVER_COLUMNS[table])
+    name = by.rsplit(" ", 1)[-1]
+    return (f"SELECT {name + ', ' if by else ''}COUNT(*) AS n_rows, {_half_sql(1)} || ':' || {_half_sql(17)} AS fingerprint "
+            f"FROM (SELECT {by + ', ' if by else ''}md5({rows}) AS h FROM {table}) x {'GROUP BY ' + name if by else ''}")
+
+
 register("table_fingerprint", " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, COUNT(*) AS n_rows, CAST(list_sum(list(CAST(('0x' || substr(md5("
-    + " || ".join(_render_sql(c, ty) for c, ty in cols)
-    + f"), 1, 16))::UBIGINT AS HUGEINT))) AS VARCHAR) AS fingerprint FROM {t}"
-    for t, cols in _DRIVER_COLUMNS.items()))(lambda spark, d: CT.fingerprints(Catalog(spark, d), list(TABLES)))
+    f"SELECT '{t}' AS table_name, * FROM ({_fingerprint_sql(t)}) f" for t in _DRIVER_COLUMNS))(
+    lambda spark, d: CT.fingerprints(Catalog(spark, d), list(TABLES)))
 
 _rc_rows = ", ".join(f"('{t}', {('NULL' if a is None else repr(a))}, {lo}, {hi}, {n})" for t, (a, lo, hi, n) in CT.ROW_COUNT_RULES.items())
 _rc_names = sorted(set(CT.ROW_COUNT_RULES) | {r[0] for r in CT.ROW_COUNT_RULES.values() if r[0]})

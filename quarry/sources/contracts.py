@@ -13,47 +13,106 @@ from pyspark.sql import types as T
 
 from quarry.session import materialize
 
+_MOD = str(1 << 64)
 
 
-def _number(c: Column) -> Column:
-    """A double as sign, whole part and fraction in 2^-52 units (NaN, and magnitudes of 1e37 or more,
-    by name); needs no formatting, so any engine can render it."""
-    x = c.cast("double")
-    size = F.abs(x)
-    rest = size % F.lit(1.0)
+def _guess(x: Column) -> Column:
+    """floor(log2 |x|) or one beside it, as a double whose power of two exists."""
+    return F.greatest(F.least(F.floor(F.log2(F.abs(x))).cast("double"), F.lit(1023.0)), F.lit(-1074.0))
+
+
+def _image(x: Column, e: Column, m: Column) -> Column:
+    """Exact text of the double ``x``: sign, whole mantissa of 53 bits, ``p``, exponent of two. ``e`` is the
+    guessed exponent and ``m`` = |x| / 2^e; a guess beside the exponent is put right here. Division by a
+    power of two is exact, so any engine can render it; -0.0 equals 0.0."""
+    def put(scale: int, by: int) -> Column:
+        return F.concat((m * F.lit(float(1 << scale))).cast("long").cast("string"), F.lit("p"), (e + by).cast("int").cast("string"))
+
     sign = F.when(x < 0, "-").otherwise("")
-    exact = F.concat(sign, (size - rest).cast("decimal(38,0)").cast("string"), F.lit("+"),
-                     (rest * F.lit(float(1 << 52))).cast("long").cast("string"))
-    return F.when(F.isnan(x), "nan").when(size >= 1e37, F.concat(sign, F.lit("huge"))).otherwise(exact)
-
-
-def render(field: T.StructField) -> Column:
-    """Engine-neutral text of one cell, with its length in front so that neighbouring cells can't be
-    confused: integers and strings as text, doubles by ``_number``, timestamps as epoch microseconds,
-    float arrays element-wise; NULL as ``N``."""
-    c, t = F.col(field.name), field.dataType
-    if isinstance(t, (T.DoubleType, T.FloatType)):
-        s = _number(c)
-    elif isinstance(t, T.TimestampNTZType):
-        # wall-clock microseconds since the epoch, independent of the session time zone
-        s = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c).cast("string")
-    elif isinstance(t, T.TimestampType):
-        s = F.unix_micros(c).cast("string")
-    elif isinstance(t, T.ArrayType):
-        one = _number if isinstance(t.elementType, (T.DoubleType, T.FloatType)) else lambda x: x.cast("string")
-        s = F.array_join(F.transform(c, lambda x: F.coalesce(one(x), F.lit("N"))), ",")
-    else:
-        s = c.cast("string")
-    return F.when(s.isNull(), "N").otherwise(F.concat(F.length(s).cast("string"), F.lit(":"), s))
+    finite = F.when(m >= 2, put(51, 1)).when(m < 1, put(53, -1)).otherwise(put(52, 0))
+    return (F.when(x.isNull(), None).when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.concat(sign, F.lit("inf")))
+            .when(x == 0, "0").otherwise(F.concat(sign, finite)))
+
+
+def _of_array(c: Column) -> Column:
+    """Images of the numbers of an array, joined; each number's guess and mantissa are made once."""
+    one = F.transform(c.cast("array<double>"), lambda x: F.struct(x.alias("x"), _guess(x).alias("e")))
+    two = F.transform(one, lambda s: F.struct(s["x"].alias("x"), s["e"].alias("e"), (F.abs(s["x"]) / F.pow(F.lit(2.0), s["e"])).alias("m")))
+    return F.array_join(F.transform(two, lambda s: F.coalesce(_image(s["x"], s["e"], s["m"]), F.lit("N"))), ",")
+
+
+def _is_number(t: T.DataType) -> bool:
+    return isinstance(t, (T.DoubleType, T.FloatType))
+
+
+def row_digests(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``by`` columns and the two halves (hi, lo, as decimals) of the 128-bit digest of every row.
+
+    A cell's text (integers and strings as they are, doubles by their exact image, timestamps as epoch
+    microseconds, arrays of numbers element by element) is hashed to 32 hex digits, a NULL is ``N``: cells
+    have fixed widths, so neighbours can't be confused. Doubles take three steps (guess, mantissa,
+    text), each a projection of its own, so no expression is written out more than once.
+    """
+    by, fields = by or [], df.schema.fields
+    numbers = [(i, f.name) for i, f in enumerate(fields) if _is_number(f.dataType)]
+    cells = df.select(*[F.col(c).alias(f"by_{i}") for i, c in enumerate(by)],
+                      *[F.col(f.name).cast("double").alias(f"c{i}") if _is_number(f.dataType) else F.col(f.name).alias(f"c{i}")
+                        for i, f in enumerate(fields)])
+    cells = cells.withColumns({f"e{i}": _guess(F.col(f"c{i}")) for i, _ in numbers}) if numbers else cells
+    cells = cells.withColumns({f"m{i}": F.abs(F.col(f"c{i}")) / F.pow(F.lit(2.0), F.col(f"e{i}")) for i, _ in numbers}) if numbers else cells
+
+    def text(i: int, t: T.DataType) -> Column:
+        c = F.col(f"c{i}")
+        if _is_number(t):
+            return _image(c, F.col(f"e{i}"), F.col(f"m{i}"))
+        if isinstance(t, T.TimestampNTZType):
+            # wall-clock microseconds since the epoch, independent of the session time zone
+            return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c).cast("string")
+        if isinstance(t, T.TimestampType):
+            return F.unix_micros(c).cast("string")
+        if isinstance(t, T.ArrayType):
+            if _is_number(t.elementType):
+                return _of_array(c)
+            return F.array_join(F.transform(c, lambda x: F.coalesce(F.md5(x.cast("string")), F.lit("N"))), ",")
+        return c.cast("string")
+
+    row = F.concat(*[F.coalesce(F.md5(text(i, f.dataType)), F.lit("N")) for i, f in enumerate(fields)])
+    hashed = cells.select(*[F.col(f"by_{i}").alias(c) for i, c in enumerate(by)], F.md5(row).alias("_row"))
+    half = lambda at: F.conv(F.substring("_row", at, 16), 16, 10).cast("decimal(20,0)")
+    return hashed.select(*by, half(1).alias("hi"), half(17).alias("lo"))
+
+
+def _wrap(c: Column) -> Column:
+    return (c % F.lit(_MOD).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string")
+
+
+def fingerprint_by(df: DataFrame, by: list[str]) -> DataFrame:
+    """``by + (n_rows, fingerprint)``: the multiset hash of the rows of each part of a table.
+
+    fingerprint = the two 64-bit halves of the row digests, each summed modulo 2^64. Sums don't depend on
+    row order or file layout, and fingerprints of disjoint parts add up to the whole's (``combined``).
+    """
+    sums = row_digests(df, by).groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("hi").alias("hi"), F.sum("lo").alias("lo"))
+    zero = F.lit(0).cast("decimal(30,0)")
+    return sums.select(*by, "n_rows", F.concat_ws(":", _wrap(F.coalesce("hi", zero)), _wrap(F.coalesce("lo", zero))).alias("fingerprint"))
 
 
 def table_fingerprint(df: DataFrame, name: str) -> DataFrame:
-    """``(table_name, n_rows, fingerprint)``; fingerprint = sum over rows of the first 64 bits of
-    md5(row text), as exact decimal text (independent of row order and file layout)."""
-    row = F.concat(*[render(f) for f in df.schema.fields])
-    h = F.conv(F.substring(F.md5(row), 1, 16), 16, 10).cast("decimal(20,0)")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h).alias("_fp")).select(
-        F.lit(name).alias("table_name"), "n_rows", F.col("_fp").cast("string").alias("fingerprint"))
+    """``(table_name, n_rows, fingerprint)`` of a whole table, in one pass (see ``fingerprint_by``)."""
+    return fingerprint_by(df, []).select(F.lit(name).alias("table_name"), "n_rows", "fingerprint")
+
+
+def combined(stored: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None,
+             by: tuple[str, ...] = ("table_name",)) -> DataFrame:
+    """``by + (n_rows, fingerprint)`` of stored fingerprints after rows were added and removed, from the
+    fingerprints of these rows alone: the table is not read again. A changed row is removed and added."""
+    parts = [x.select(*by, F.lit(sign).alias("_sign"), "n_rows", "fingerprint")
+             for x, sign in ((stored, 1), (added, 1), (removed, -1)) if x is not None]
+    every = reduce(DataFrame.unionByName, parts).withColumn("_half", F.split("fingerprint", ":"))
+    part = lambda i: F.sum(F.element_at("_half", i).cast("decimal(20,0)") * F.col("_sign"))
+    sums = every.groupBy(*by).agg(F.sum(F.col("n_rows") * F.col("_sign")).alias("n_rows"), part(1).alias("hi"), part(2).alias("lo"))
+    up = lambda c: _wrap(F.pmod(F.col(c), F.lit(_MOD).cast("decimal(20,0)")))
+    return sums.select(*by, "n_rows", F.concat_ws(":", up("hi"), up("lo")).alias("fingerprint"))
 
 
 def fingerprints(catalog, tables: list[str]) -> DataFrame:

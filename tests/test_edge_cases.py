@@ -74,6 +74,50 @@ def test_fingerprints_tell_near_misses(spark):
     assert len(seen) == 8
 
 
+def test_every_double_has_its_own_exact_image(spark):
+    import math
+    import random
+    import struct
+    rng = random.Random(9)
+    values = [0.0, 1e-20, 1e-300, 5e-324, 1e-323, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, 1e37, 1e38, 3e30,
+              0.1, 0.1 + 1e-17 * 3, math.nextafter(1, 0), math.nextafter(1, 2), -1e-300, math.inf, -math.inf, math.nan]
+    values += [s * math.ldexp(1, k) for k in range(-1074, 1024, 37) for s in (1, -1)]
+    values += [math.nextafter(math.ldexp(1, k), 0) for k in range(-1070, 1024, 41)]
+    values += [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    got = df.select("v", CT._guess(F.col("v")).alias("e")).withColumn("m", F.abs("v") / F.pow(F.lit(2.0), F.col("e")))
+    for r in got.select("v", CT._image(F.col("v"), F.col("e"), F.col("m")).alias("t")).collect():
+        if math.isnan(r.v) or math.isinf(r.v) or r.v == 0:
+            assert r.t == ("nan" if math.isnan(r.v) else "0" if r.v == 0 else "inf" if r.v > 0 else "-inf")
+        else:
+            m, e = r.t.lstrip("-").split("p")
+            assert math.ldexp(int(m), int(e) - 52) == abs(r.v) and (r.t[0] == "-") == (r.v < 0)
+            assert 1 << 52 <= int(m) < 1 << 53
+    zero = {_fingerprint(spark, [(v,)], "v double") for v in (0.0, 1e-20, 1e-300, 5e-324, 1e37, 1e38, -1e38, 1e300)}
+    assert len(zero) == 8 and _fingerprint(spark, [(0.0,)], "v double") == _fingerprint(spark, [(-0.0,)], "v double")
+
+
+def test_fingerprint_follows_added_and_removed_rows(spark):
+    schema = "k long, s string, d double, ts timestamp, a array<double>, w array<string>"
+    import datetime
+    rows = [(i, f"s{i}" if i % 3 else None, i / 7 if i % 4 else None, datetime.datetime(2024, 1, 1 + i % 28), [i / 3, None], ["a", None, str(i)])
+            for i in range(60)] + [(1, None, None, None, None, None)] * 3
+    frame = lambda r: CT.table_fingerprint(spark.createDataFrame(r, schema).repartition(3), "t")
+    stored = frame(rows)
+    gone, fresh = rows[5:9] + rows[-1:], [(7, "new", 1e-300, None, [], [])] * 2
+    now = [r for r in rows if r not in gone] + [rows[-1]] * 2 + fresh
+    want = frame(now).first()
+    got = CT.combined(stored, frame(fresh), frame(gone)).first()
+    assert (got.n_rows, got.fingerprint) == (want.n_rows, want.fingerprint) and got.n_rows == 60
+    assert CT.combined(stored, stored, stored).first().fingerprint == stored.first().fingerprint
+    none = frame([]).first()
+    assert (none.n_rows, none.fingerprint) == (0, "0:0")
+    parts = CT.fingerprint_by(spark.createDataFrame(rows, schema).withColumn("part", F.col("k") % 4), ["part"])
+    whole = CT.table_fingerprint(spark.createDataFrame(rows, schema).withColumn("part", F.col("k") % 4), "t").first()
+    total = CT.combined(parts.select(F.lit("t").alias("table_name"), "n_rows", "fingerprint")).first()
+    assert (total.n_rows, total.fingerprint) == (whole.n_rows, whole.fingerprint)
+
+
 def test_row_count_rules(spark, catalog):
     assert all(r.ok for r in CT.row_count_contract(catalog).collect())
     CT.check_row_counts(catalog)
