@@ -2,12 +2,15 @@
 
 Runs are paired by task with one grouped pass (a task has one row per run, so the pairing
 group is bounded by the number of runs), never by joining a run log with itself. The paired
-bootstrap draws resample indices from a hash of (seed, resample, draw) over the four paired
-outcome classes, so no global row numbering of the pairs is needed.
+bootstrap resamples the counts of the four paired outcome classes, so no global row numbering of the
+pairs is needed and its cost doesn't depend on how many pairs there are.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,7 +99,7 @@ def _ref_value(col: str, ref_cond: Column) -> Column:
 
 
 def pareto_check(cards: DataFrame, reference: str, by: str = "model") -> DataFrame:
-    """Challenger vs reference: accuracy >=, tokens <= 75%, cost <= 75%; ratios to 3 places.
+    """Challenger vs reference: both accuracies, accuracy >=, tokens <= 75%, cost <= 75%; ratios to 3 places.
 
     ``cards`` has one row per run, so the reference row is spread by a window over that small frame.
     """
@@ -108,7 +111,8 @@ def pareto_check(cards: DataFrame, reference: str, by: str = "model") -> DataFra
     tok_less = (F.col("_tok_r") > 0) & (F.col("tokens_total") <= F.lit(0.75) * F.col("_tok_r"))
     cost_less = (F.col("_cost_r") > 0) & (F.col("cost_total") <= F.lit(0.75) * F.col("_cost_r"))
     return c.where(~is_ref).select(
-        F.lit(reference).alias("reference"), F.col(by).alias("challenger"), acc_ge.alias("accuracy_ge"),
+        F.lit(reference).alias("reference"), F.col(by).alias("challenger"), F.col("_acc_r").alias("reference_pct"),
+        F.col("overall_pct").alias("challenger_pct"), acc_ge.alias("accuracy_ge"),
         F.when(F.col("_tok_r") != 0, F.bround(F.col("tokens_total") / F.col("_tok_r"), 3)).alias("tokens_ratio"),
         F.when(F.col("_cost_r") != 0, F.bround(F.col("cost_total") / F.col("_cost_r"), 3)).alias("cost_ratio"),
         tok_less.alias("tokens_much_less"), cost_less.alias("cost_much_less"),
@@ -181,30 +185,73 @@ def _draws_hash(reps: DataFrame, seed: int, chunk: int) -> DataFrame:
                                                                      (F.sum(b) / F.col("m")).alias("kb"))
 
 
-def _draws_multinomial(reps: DataFrame, seed: int) -> DataFrame:
-    """``(challenger, r, ka, kb)`` from one seeded multinomial draw of the four class counts per
-    (run, resample): the same resampling distribution in O(1) per resample (numpy inside tasks)."""
-    import numpy as np
+def uniform(seed: int, *parts: Column) -> Column:
+    """A double in (0, 1): 52 bits of the md5 of ``seed:part:...``. A counter-based generator: every
+    number depends on its own counters alone, so any engine, partition or rerun draws the same."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in parts])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def binomial_quantiles(n: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """For each (n, p, u) the binomial outcome that the uniform ``u`` picks, by inversion from the mode:
+    outcomes are laid out as mode, mode + 1, mode - 1, mode + 2, ... and the first whose running
+    probability exceeds u is taken. All rows step together, some standard deviations (not n) steps."""
+    n, u = np.asarray(n, np.int64), np.asarray(u, float)
+    p = np.clip(np.where(n > 0, p, 0.0), 0.0, 1.0)
+    mode = np.minimum(np.floor((n + 1) * p).astype(np.int64), n)
+    out = mode.copy()
+    todo = np.flatnonzero((p > 0) & (p < 1))
+    n, p, u, k = n[todo], p[todo], u[todo], mode[todo]
+    lg = np.frompyfunc(math.lgamma, 1, 1)
+    log = (lg(n + 1) - lg(k + 1) - lg(n - k + 1)).astype(float) + k * np.log(p) + (n - k) * np.log1p(-p)
+    up = down = run = np.exp(log)
+    high = low = k
+    odds = p / (1 - p)
+    while True:
+        left = u >= run
+        todo, n, u, k, up, down, run, high, low, odds = (x[left] for x in (todo, n, u, k, up, down, run, high, low, odds))
+        if not len(todo):
+            return out
+        ended = (high >= n) & (low <= 0)  # rounding left a rest: the mode stays
+        up = np.where(high < n, up * (n - high) / (high + 1) * odds, 0.0)
+        high = np.minimum(high + 1, n + 1)
+        run = run + up
+        hit = (u < run) & (high <= n) & ~ended
+        out[todo[hit]] = high[hit]
+        down = np.where(low > 0, down * low / ((n - low + 1) * odds), 0.0)
+        low = np.maximum(low - 1, -1)
+        run = np.where(hit | ended, np.inf, run + down)
+        hit = ~hit & ~ended & (u < run) & (low >= 0)
+        out[todo[hit]] = low[hit]
+        run = np.where(hit, np.inf, run)
 
+
+def _draws_multinomial(reps: DataFrame, seed: int) -> DataFrame:
+    """``(challenger, r, ka, kb)``: the class counts of a resample are one multinomial draw, made as three
+    binomial draws, each given those before it. One row a resample, however many tasks there are."""
     def draw(batches):
         for pdf in batches:
-            # the resamples of a run come from one generator, by blocks of 1,024 resamples
-            for _, part in pdf.groupby(["challenger", "block"], sort=False):
-                m, c11, c10, c01, block = (int(part[c].iloc[0]) for c in ("m", "c11", "c10", "c01", "block"))
-                probs = np.array([c11, c10, c01, m - c11 - c10 - c01]) / m
-                drawn = np.random.default_rng([seed, block]).multinomial(m, probs, 1024)
-                n11, n10, n01, _ = drawn[part["r"].to_numpy() % 1024].T
-                yield part.drop(columns="block").assign(ka=(n11 + n10) / m, kb=(n11 + n01) / m)
-
-    return reps.select("challenger", "r", "m", "c11", "c10", "c01", F.expr("r div 1024").alias("block")).mapInPandas(
+            m = pdf["m"].to_numpy()
+            left, rest, drawn = m.copy(), m.astype(float), []
+            for i, c in enumerate(("c11", "c10", "c01")):
+                size = pdf[c].to_numpy()
+                got = binomial_quantiles(left, np.divide(size, rest, out=np.zeros(len(pdf)), where=rest > 0), pdf[f"u{i}"].to_numpy())
+                drawn.append(got)
+                left, rest = left - got, rest - size
+            n11, n10, n01 = drawn
+            yield pdf.drop(columns=["u0", "u1", "u2"]).assign(ka=(n11 + n10) / m, kb=(n11 + n01) / m)
+
+    numbers = [uniform(seed, F.col("challenger"), F.col("r"), F.lit(i)).alias(f"u{i}") for i in range(3)]
+    return reps.select("challenger", "r", "m", "c11", "c10", "c01", *numbers).mapInPandas(
         draw, "challenger string, r long, m long, c11 long, c10 long, c01 long, ka double, kb double")
 
 
-def bootstrap_table(counts: DataFrame, resamples: int, seed: int, method: str = "hash", chunk: int = 1_000_000) -> DataFrame:
-    """G5 for every row of ``counts`` (challenger, m, c11, c10, c01; one row per compared run):
-    observed accuracies, paired delta and its interval [sorted[int(.025 R)], sorted[int(.975 R)]]
-    rounded to 1 place. Everything stays in the plan. The caller names the draws, at any size: ``hash``
-    (the same in SQL, m draws a resample) or ``multinomial`` (one draw of class counts a resample)."""
+def bootstrap_table(counts: DataFrame, resamples: int, seed: int, method: str = "multinomial", chunk: int = 1_000_000) -> DataFrame:
+    """G5 for every row of ``counts`` (challenger, m, c11, c10, c01; one row per compared run): observed
+    accuracies, paired delta and the intervals [sorted[int(.025 R)], sorted[int(.975 R)]] of both
+    accuracies and the delta, rounded to 1 place. Everything stays in the plan. The caller names the
+    draws, at any size: ``multinomial`` (three conditional binomials a resample) or ``hash`` (every drawn
+    index, m a resample)."""
     if method not in ("hash", "multinomial"):
         raise ValueError(f"unknown method {method}")
     counts = counts.where(F.col("m") > 0)
@@ -212,20 +259,21 @@ def bootstrap_table(counts: DataFrame, resamples: int, seed: int, method: str =
     reps = (counts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("r"))
             .repartition(n_parts, "challenger", "r"))
     draws = _draws_hash(reps, seed, chunk) if method == "hash" else _draws_multinomial(reps, seed)
-    deltas = draws.select("challenger", "r", "m", "c11", "c10", "c01",
-                          ((F.col("ka") - F.col("kb")) * F.lit(100.0)).alias("d"))
-    lo_i, hi_i = int(0.025 * resamples), int(0.975 * resamples)
-    # R rows per run (a parameter, not data volume): the ordered window per run is bounded.
-    ranked = deltas.withColumn("_i", F.row_number().over(Window.partitionBy("challenger").orderBy("d", "r")) - 1)
+    drawn = draws.select("challenger", "r", "m", "c11", "c10", "c01", (F.col("ka") * 100.0).alias("a"), (F.col("kb") * 100.0).alias("b"),
+                         ((F.col("ka") - F.col("kb")) * 100.0).alias("d"))
+    # R rows per run (a parameter, not data volume): the ordered windows per run are bounded.
+    place = lambda c: F.row_number().over(Window.partitionBy("challenger").orderBy(c, "r")) - 1
+    ranked = drawn.select("*", *[place(c).alias(f"_{c}") for c in "abd"])
+    ends = [(int(0.025 * resamples), "lo"), (int(0.975 * resamples), "hi")]
     # the counts travel with every resample row, so the observed figures need no join
-    ci = ranked.groupBy("challenger", "m", "c11", "c10", "c01").agg(
-        F.bround(F.max(F.when(F.col("_i") == lo_i, F.col("d"))), 1).alias("ci_lo"),
-        F.bround(F.max(F.when(F.col("_i") == hi_i, F.col("d"))), 1).alias("ci_hi"))
+    ci = ranked.groupBy("challenger", "m", "c11", "c10", "c01").agg(*[
+        F.bround(F.max(F.when(F.col(f"_{c}") == at, F.col(c))), 1).alias(name + end)
+        for c, name in (("a", "acc_a_"), ("b", "acc_b_"), ("d", "ci_")) for at, end in ends])
     acc_a = F.bround(F.lit(100.0) * (F.col("c11") + F.col("c10")) / F.col("m"), 1)
     acc_b = F.bround(F.lit(100.0) * (F.col("c11") + F.col("c01")) / F.col("m"), 1)
     return ci.withColumn("acc_a_pct", acc_a).withColumn("acc_b_pct", acc_b).select(
-        F.col("challenger").alias("model_a"), "m", F.lit(resamples).cast("long").alias("resamples"), "acc_a_pct",
-        "acc_b_pct", F.bround(F.col("acc_a_pct") - F.col("acc_b_pct"), 1).alias("delta_pct"), "ci_lo", "ci_hi",
+        F.col("challenger").alias("model_a"), "m", F.lit(resamples).cast("long").alias("resamples"), "acc_a_pct", "acc_a_lo", "acc_a_hi",
+        "acc_b_pct", "acc_b_lo", "acc_b_hi", F.bround(F.col("acc_a_pct") - F.col("acc_b_pct"), 1).alias("delta_pct"), "ci_lo", "ci_hi",
         ((F.col("ci_lo") <= 0) & (F.col("ci_hi") >= 0)).alias("includes_zero"))
 
 
@@ -237,12 +285,12 @@ def _class_counts(pairs: DataFrame) -> DataFrame:
 
 
 def _shape(out: DataFrame, anchor: str) -> DataFrame:
-    return out.select("model_a", F.lit(anchor).alias("model_b"), F.col("m").cast("long").alias("n_paired"), "resamples",
-                      "acc_a_pct", "acc_b_pct", "delta_pct", "ci_lo", "ci_hi", "includes_zero")
+    return out.select("model_a", F.lit(anchor).alias("model_b"), F.col("m").cast("long").alias("n_paired"), "resamples", "acc_a_pct",
+                      "acc_a_lo", "acc_a_hi", "acc_b_pct", "acc_b_lo", "acc_b_hi", "delta_pct", "ci_lo", "ci_hi", "includes_zero")
 
 
 def paired_bootstrap_ci(spark, tasks: DataFrame, run_a: str, run_b: str, resamples: int = 10_000,
-                        seed: int = 20260731, method: str = "hash", key: str = "task_id",
+                        seed: int = 20260731, method: str = "multinomial", key: str = "task_id",
                         by: str = "model") -> DataFrame:
     """G5 for one run against another (see ``bootstrap_table``)."""
     pairs = pair_runs(tasks, run_a, run_b, key, by).withColumn("challenger", F.lit(run_a))
@@ -250,26 +298,25 @@ def paired_bootstrap_ci(spark, tasks: DataFrame, run_a: str, run_b: str, resampl
 
 
 def paired_bootstrap_vs_anchor(spark, tasks: DataFrame, anchor: str, resamples: int = 10_000,
-                               seed: int = 20260731, method: str = "hash", key: str = "task_id",
+                               seed: int = 20260731, method: str = "multinomial", key: str = "task_id",
                                by: str = "model") -> DataFrame:
     """G5 for every run against the anchor, all runs in one plan."""
     return _shape(bootstrap_table(_class_counts(pair_all(tasks, anchor, key, by)), resamples, seed, method), anchor)
 
 
-def verdict_clauses(cards: DataFrame, boot: DataFrame, neg: DataFrame, anchor: str, challenger: str,
-                    by: str = "model", grounded_min: float = 95.0) -> DataFrame:
-    """The four verdict clauses for one challenger vs the anchor, as booleans.
+def verdict_clauses(cards: DataFrame, boot: DataFrame, neg: DataFrame, anchor: str, by: str = "model",
+                    grounded_min: float = 95.0) -> DataFrame:
+    """The four verdict clauses for every run of ``boot`` (``paired_bootstrap_vs_anchor``) against the
+    anchor, as booleans, and ``verdict_met`` if all hold. A run without priced tasks has no cost clause (NULL).
 
-    The one-row inputs are stacked (union) and folded by one aggregate - no keyless join.
+    Inputs have one row a run; they are joined by run, the anchor's cost is spread by an aggregate of
+    the cards (one row).
     """
-    ch, an = F.col(by) == challenger, F.col(by) == anchor
-    x = cards.select(F.when(ch, F.col("grounded_pct")).alias("g"), F.when(ch, F.col("cost_total")).alias("cc"),
-                     F.when(an, F.col("cost_total")).alias("ac"))
-    y = neg.select(F.when(ch, F.col("neg_n")).alias("nn"), F.when(ch, F.col("neg_correct")).alias("nc"))
-    z = boot.select(F.col("includes_zero").cast("int").alias("iz"))
-    u = x.unionByName(y, allowMissingColumns=True).unionByName(z, allowMissingColumns=True)
-    row = u.agg(*[F.max(c).alias(c) for c in ("g", "cc", "ac", "nn", "nc", "iz")])
-    return row.select(F.lit(challenger).alias("challenger"), (F.col("iz") == 1).alias("accuracy_within_noise"),
-                      (F.col("g") >= F.lit(grounded_min)).alias("grounded_ok"),
-                      (F.col("nc") == F.col("nn")).alias("refusals_kept"),
-                      (F.col("cc") < F.col("ac")).alias("cost_lower"))
+    anchor_cost = F.max(F.when(F.col(by) == anchor, F.col("cost_total"))).over(Window.partitionBy())
+    c = cards.withColumn("_anchor_cost", anchor_cost).select(F.col(by).alias("challenger"), "grounded_pct", "cost_total", "_anchor_cost")
+    n = neg.select(F.col(by).alias("challenger"), "neg_n", "neg_correct")
+    b = boot.select(F.col("model_a").alias("challenger"), F.col("includes_zero").alias("accuracy_within_noise"))
+    clauses = b.join(c, "challenger").join(n, "challenger").select(
+        "challenger", "accuracy_within_noise", (F.col("grounded_pct") >= grounded_min).alias("grounded_ok"),
+        (F.col("neg_correct") == F.col("neg_n")).alias("refusals_kept"), (F.col("cost_total") < F.col("_anchor_cost")).alias("cost_lower"))
+    return clauses.withColumn("verdict_met", F.col("accuracy_within_noise") & F.col("grounded_ok") & F.col("refusals_kept") & F.col("cost_lower"))

@@ -619,23 +619,12 @@ def _tuning_summary(spark, d):
 
 from quarry.operators import compare as CMP  # noqa: E402
 
-ANCHOR, CHALLENGER = "m0", "m1"
+ANCHOR = "m0"
 RUNS = ["m0", "m1", "m2", "m3"]
 MATRIX_METRICS = ["overall_pct", "tokens_total", "tokens_avg", "cost_total", "cost_per_correct", "latency_avg",
                   "grounded_pct", "traversal_pct"]
-BOOT_RESAMPLES, BOOT_SEED = 200, 20260731
+BOOT_RESAMPLES, BOOT_SEED = 10_000, 20260731
 
-def _pairs_sql(challenger: str) -> str:
-    return f"""
-SELECT task_id, MAX(CASE WHEN model = '{challenger}' THEN CAST(correct AS INTEGER) END) AS a_correct,
-       MAX(CASE WHEN model = '{ANCHOR}' THEN CAST(correct AS INTEGER) END) AS b_correct
-FROM ({D.RUN_LOG_SQL}) r WHERE model IN ('{challenger}', '{ANCHOR}') GROUP BY task_id
-HAVING MAX(CASE WHEN model = '{challenger}' THEN 1 END) IS NOT NULL
-   AND MAX(CASE WHEN model = '{ANCHOR}' THEN 1 END) IS NOT NULL"""
-
-
-PAIRS_SQL = _pairs_sql(CHALLENGER)
-CHALLENGERS = [m for m in RUNS if m != ANCHOR]
 ALL_PAIRS_SQL = f"""
 SELECT r.model AS challenger, r.task_id, CAST(r.correct AS INTEGER) AS a_correct, CAST(a.correct AS INTEGER) AS b_correct
 FROM ({D.RUN_LOG_SQL}) r JOIN ({D.RUN_LOG_SQL}) a ON a.task_id = r.task_id AND a.model = '{ANCHOR}'
@@ -666,7 +655,8 @@ FROM (VALUES {", ".join(f"('{n}')" for n in _matrix_names)}) m(metric) LEFT JOIN
     SC.config_uniformity(D.run_log(Catalog(spark, d))), MATRIX_METRICS, MATRIX_CATEGORIES, RUNS))
 
 register("pareto_check", f"""
-SELECT '{ANCHOR}' AS reference, c.model AS challenger, c.overall_pct >= r.overall_pct AS accuracy_ge,
+SELECT '{ANCHOR}' AS reference, c.model AS challenger, r.overall_pct AS reference_pct, c.overall_pct AS challenger_pct,
+       c.overall_pct >= r.overall_pct AS accuracy_ge,
        CASE WHEN r.tokens_total <> 0 THEN round_even(c.tokens_total / r.tokens_total, 3) END AS tokens_ratio,
        CASE WHEN r.cost_total <> 0 THEN round_even(c.cost_total / r.cost_total, 3) END AS cost_ratio,
        r.tokens_total > 0 AND c.tokens_total <= CAST(0.75 AS DOUBLE) * r.tokens_total AS tokens_much_less,
@@ -681,40 +671,56 @@ register("paired_delta",
     lambda spark, d: CMP.pair_all(D.run_log(Catalog(spark, d)), ANCHOR).withColumn(
         "delta", F.col("a_correct") - F.col("b_correct")))
 
-def _bootstrap_sql(challenger: str) -> str:
+def _uniform_sql(stage: int) -> str:
+    return (f"(('0x' || substr(md5('{BOOT_SEED}:' || challenger || ':' || CAST(r AS VARCHAR) || ':{stage}'), 1, 13))::BIGINT::DOUBLE + 0.5) "
+            f"/ 4503599627370496.0::DOUBLE")
+
+
+def _binomial_sql(stage: int, left: str, p: str, name: str, source: str) -> str:
+    """CTEs that add the column ``name`` to ``source``: the outcome of ``left`` tries of chance ``p`` that a
+    uniform number picks, outcomes laid out from the mode (mode, mode + 1, mode - 1, ...)."""
     return f"""
-WITH p AS ({_pairs_sql(challenger)}),
-c AS (SELECT COUNT(*) AS m, SUM(CASE WHEN a_correct = 1 AND b_correct = 1 THEN 1 ELSE 0 END) AS c11,
-             SUM(CASE WHEN a_correct = 1 AND b_correct = 0 THEN 1 ELSE 0 END) AS c10,
-             SUM(CASE WHEN a_correct = 0 AND b_correct = 1 THEN 1 ELSE 0 END) AS c01 FROM p),
-dr AS (SELECT t.r, ('0x' || substr(md5('{BOOT_SEED}:' || CAST(t.r AS VARCHAR) || ':' || CAST(s.j AS VARCHAR)), 1, 8))::BIGINT
-              % c.m AS idx, c.m, c.c11, c.c10, c.c01
-       FROM range({BOOT_RESAMPLES}) t(r), c, range(c.m) s(j)),
-per AS (SELECT r, SUM(CASE WHEN idx < c11 + c10 THEN 1 ELSE 0 END) / MAX(m) AS ka,
-               SUM(CASE WHEN idx < c11 OR (idx >= c11 + c10 AND idx < c11 + c10 + c01) THEN 1 ELSE 0 END) / MAX(m) AS kb
-        FROM dr GROUP BY r),
-ranked AS (SELECT (ka - kb) * CAST(100 AS DOUBLE) AS d, row_number() OVER (ORDER BY (ka - kb) * CAST(100 AS DOUBLE), r) - 1 AS i
-           FROM per),
-ci AS (SELECT round_even(MAX(CASE WHEN i = {int(0.025 * BOOT_RESAMPLES)} THEN d END), 1) AS ci_lo,
-              round_even(MAX(CASE WHEN i = {int(0.975 * BOOT_RESAMPLES)} THEN d END), 1) AS ci_hi FROM ranked),
-obs AS (SELECT m, round_even(CAST(100 AS DOUBLE) * (c11 + c10) / m, 1) AS acc_a_pct,
-               round_even(CAST(100 AS DOUBLE) * (c11 + c01) / m, 1) AS acc_b_pct FROM c)
-SELECT '{challenger}' AS model_a, '{ANCHOR}' AS model_b, CAST(obs.m AS BIGINT) AS n_paired,
-       CAST({BOOT_RESAMPLES} AS BIGINT) AS resamples, acc_a_pct, acc_b_pct, round_even(acc_a_pct - acc_b_pct, 1) AS delta_pct,
-       ci_lo, ci_hi, ci_lo <= 0 AND ci_hi >= 0 AS includes_zero
-FROM obs, ci"""
-
-
-BOOTSTRAP_SQL = _bootstrap_sql(CHALLENGER)
+a{stage} AS (SELECT *, {left} AS tries, CASE WHEN {left} > 0 THEN {p} ELSE 0::DOUBLE END AS chance, {_uniform_sql(stage)} AS u FROM {source}),
+d{stage} AS (SELECT DISTINCT tries, chance, least(floor((tries + 1) * chance)::BIGINT, tries) AS mode FROM a{stage} WHERE chance > 0 AND chance < 1),
+o{stage} AS (SELECT tries, chance, mode, unnest(range(0, tries + 1)) AS k FROM d{stage}),
+w{stage} AS (
+  SELECT tries, chance, k, sum(exp(lgamma(tries + 1) - lgamma(k + 1) - lgamma(tries - k + 1) + k * ln(chance) + (tries - k) * ln(1 - chance)))
+                          OVER (PARTITION BY tries, chance ORDER BY 2 * abs(k - mode) - (k > mode)::INTEGER ROWS UNBOUNDED PRECEDING) AS upto FROM o{stage}),
+s{stage} AS (
+  SELECT a.* EXCLUDE (tries, chance, u), CASE WHEN a.chance <= 0 THEN 0 WHEN a.chance >= 1 THEN a.tries ELSE w.k END AS {name}
+  FROM a{stage} a ASOF LEFT JOIN w{stage} w ON a.tries = w.tries AND a.chance = w.chance AND a.u < w.upto)"""
+
+
+BOOTSTRAP_SQL = f"""
+WITH c AS (SELECT challenger, COUNT(*) AS m, COUNT(*) FILTER (a_correct = 1 AND b_correct = 1) AS c11,
+                  COUNT(*) FILTER (a_correct = 1 AND b_correct = 0) AS c10, COUNT(*) FILTER (a_correct = 0 AND b_correct = 1) AS c01
+           FROM ({ALL_PAIRS_SQL}) p GROUP BY challenger),
+reps AS (SELECT c.*, r FROM c, range({BOOT_RESAMPLES}) t(r)),
+{_binomial_sql(0, "m", "c11 / m::DOUBLE", "n11", "reps")},
+{_binomial_sql(1, "(m - n11)", "CASE WHEN m > c11 THEN c10 / (m - c11)::DOUBLE ELSE 0 END", "n10", "s0")},
+{_binomial_sql(2, "(m - n11 - n10)", "CASE WHEN m > c11 + c10 THEN c01 / (m - c11 - c10)::DOUBLE ELSE 0 END", "n01", "s1")},
+per AS (SELECT *, (n11 + n10) / m::DOUBLE * 100::DOUBLE AS a, (n11 + n01) / m::DOUBLE * 100::DOUBLE AS b,
+               ((n11 + n10) / m::DOUBLE - (n11 + n01) / m::DOUBLE) * 100::DOUBLE AS d FROM s2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY challenger ORDER BY a, r) - 1 AS ia,
+                  row_number() OVER (PARTITION BY challenger ORDER BY b, r) - 1 AS ib,
+                  row_number() OVER (PARTITION BY challenger ORDER BY d, r) - 1 AS id FROM per),
+ci AS (SELECT challenger, m, c11, c10, c01, {", ".join(
+    f"round_even(MAX(CASE WHEN i{c} = {at} THEN {c} END), 1) AS {name}{end}" for c, name in (("a", "acc_a_"), ("b", "acc_b_"), ("d", "ci_"))
+    for at, end in ((int(0.025 * BOOT_RESAMPLES), "lo"), (int(0.975 * BOOT_RESAMPLES), "hi")))}
+       FROM ranked GROUP BY challenger, m, c11, c10, c01),
+obs AS (SELECT *, round_even(CAST(100 AS DOUBLE) * (c11 + c10) / m, 1) AS acc_a_pct, round_even(CAST(100 AS DOUBLE) * (c11 + c01) / m, 1) AS acc_b_pct
+        FROM ci)
+SELECT challenger AS model_a, '{ANCHOR}' AS model_b, CAST(m AS BIGINT) AS n_paired, CAST({BOOT_RESAMPLES} AS BIGINT) AS resamples,
+       acc_a_pct, acc_a_lo, acc_a_hi, acc_b_pct, acc_b_lo, acc_b_hi, round_even(acc_a_pct - acc_b_pct, 1) AS delta_pct, ci_lo, ci_hi,
+       ci_lo <= 0 AND ci_hi >= 0 AS includes_zero
+FROM obs"""
 
 
 def _bootstrap_all(spark, d):
-    return CMP.paired_bootstrap_vs_anchor(spark, D.run_log(Catalog(spark, d)), ANCHOR, resamples=BOOT_RESAMPLES,
-                                          seed=BOOT_SEED, method="hash")
+    return CMP.paired_bootstrap_vs_anchor(spark, D.run_log(Catalog(spark, d)), ANCHOR, resamples=BOOT_RESAMPLES, seed=BOOT_SEED)
 
 
-register("paired_bootstrap_ci", " UNION ALL ".join(f"SELECT * FROM ({_bootstrap_sql(ch)}) b" for ch in CHALLENGERS))(
-    _bootstrap_all)
+register("paired_bootstrap_ci", BOOTSTRAP_SQL)(_bootstrap_all)
 
 BY_CAT_SQL = f"""
 SELECT model, category, COUNT(*) AS n, SUM(CAST(correct AS INTEGER)) AS correct FROM ({D.RUN_LOG_SQL}) r
@@ -772,23 +778,16 @@ WHERE c.model <> '{ANCHOR}'
 
 @register("verdict_clauses", f"""
 WITH s AS ({SCORECARD_SQL}), b AS ({BOOTSTRAP_SQL}),
-n AS (SELECT SUM(CAST(category = 'negative' AS INTEGER)) AS neg_n,
-             SUM(CAST(category = 'negative' AND correct AS INTEGER)) AS neg_correct
-      FROM ({D.RUN_LOG_SQL}) r WHERE model = '{CHALLENGER}')
-SELECT '{CHALLENGER}' AS challenger, b.includes_zero AS accuracy_within_noise,
-       (SELECT grounded_pct FROM s WHERE model = '{CHALLENGER}') >= 95.0 AS grounded_ok,
-       n.neg_correct = n.neg_n AS refusals_kept,
-       (SELECT cost_total FROM s WHERE model = '{CHALLENGER}') < (SELECT cost_total FROM s WHERE model = '{ANCHOR}')
-         AS cost_lower
-FROM b, n
+n AS (SELECT model, COUNT(*) FILTER (category = 'negative') AS neg_n, COUNT(*) FILTER (category = 'negative' AND correct) AS neg_correct
+      FROM ({D.RUN_LOG_SQL}) r GROUP BY model),
+v AS (SELECT b.model_a AS challenger, b.includes_zero AS accuracy_within_noise, s.grounded_pct >= 95.0 AS grounded_ok,
+             n.neg_correct = n.neg_n AS refusals_kept, s.cost_total < (SELECT cost_total FROM s WHERE model = '{ANCHOR}') AS cost_lower
+      FROM b JOIN s ON s.model = b.model_a JOIN n ON n.model = b.model_a)
+SELECT *, accuracy_within_noise AND grounded_ok AND refusals_kept AND cost_lower AS verdict_met FROM v
 """)
 def _verdict_clauses(spark, d):
     log = D.run_log(Catalog(spark, d))
-    cards = _cards(spark, d)
-    boot = CMP.paired_bootstrap_ci(spark, log, CHALLENGER, ANCHOR, resamples=BOOT_RESAMPLES, seed=BOOT_SEED,
-                                   method="hash")
-    neg = SC.tuning_summary(log, ["model"])
-    return CMP.verdict_clauses(cards, boot, neg, ANCHOR, CHALLENGER)
+    return CMP.verdict_clauses(_cards(spark, d), _bootstrap_all(spark, d), SC.tuning_summary(log, ["model"]), ANCHOR)
 
 
 # --- H: evidence packing --------------------------------------------------------------------------
