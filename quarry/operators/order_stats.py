@@ -141,16 +141,16 @@ def rank_within_groups(df: DataFrame, by: list[str], order: list[Column], rank_c
     """
     keys = [F.col(c) for c in by] + order
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_pid").orderBy(*keys)))
-    # read twice (per-task counts, positions): written once, so the range shuffle runs once; the
-    # count pass reads only the task-id column
-    local = materialize(local, "ranked")
-    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                           F.lit(0)))
-    pos = local.join(F.broadcast(offsets.select("_pid", "_off")), "_pid").withColumn("_g", F.col("_off") + F.col("_i"))
+    # (task, place in the task) of the sorted rows in one number: the range shuffle is the only one of
+    # the rows; written, because counts and positions both read it
+    spot = F.monotonically_increasing_id()
+    local = materialize(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_spot", spot), "ranked")
+    task, place = F.shiftright(F.col("_spot"), 33), F.col("_spot").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (local.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_n"))
+              .select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    # one row per task of the range shuffle
+    pos = local.withColumn("_task", task).join(F.broadcast(starts), "_task").withColumn("_g", F.col("_start") + place)
     first = pos.groupBy(*by).agg(F.min("_g").alias("_g0"))
     return (join_same(pos, first, by).withColumn(rank_col, F.col("_g") - F.col("_g0") + 1)
-            .drop("_pid", "_i", "_off", "_g", "_g0"))
+            .drop("_task", "_start", "_spot", "_g", "_g0"))

@@ -7,6 +7,7 @@ setting is absent (tests, bench on one machine).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -79,4 +80,15 @@ def materialize(df, tag: str = "stage"):
     base = ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/quarry-{tag}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(*frames) -> None:
+    """Delete the folders of frames made by ``materialize`` that no later read needs. Other frames, and
+    folders that hold no files, are left alone."""
+    for df in frames:
+        files = df.inputFiles()
+        folder = files[0].rsplit("/", 1)[0] if files else ""
+        if re.search(r"/quarry-[\w-]+-[0-9a-f]{32}$", folder):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
