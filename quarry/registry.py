@@ -1071,29 +1071,37 @@ from quarry.streaming import refresh as RF  # noqa: E402
 
 def _number_sql(x: str) -> str:
     a = f"abs(CAST({x} AS DOUBLE))"
-    e = f"greatest(least(floor(log2({a})), CAST(1023 AS DOUBLE)), CAST(-1074 AS DOUBLE))"
+    e = f"greatest(least(CAST(floor(log2({a})) AS BIGINT), 1023), -1022)"
     m = f"({a} / pow(CAST(2 AS DOUBLE), {e}))"
-    sign = f"CASE WHEN {x} < 0 THEN '-' ELSE '' END"
 
-    def put(scale, by):
-        return f"CAST(CAST({m} * {1 << scale}.0::DOUBLE AS BIGINT) AS VARCHAR) || 'p' || CAST(CAST({e} + {by} AS INTEGER) AS VARCHAR)"
+    def bits(up, scale):
+        return f"(({e} + {1022 + up}) * {1 << 52} + CAST({m} * CAST({1 << scale} AS DOUBLE) AS BIGINT))"
 
-    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN isnan(CAST({x} AS DOUBLE)) THEN 'nan' WHEN isinf({a}) THEN {sign} || 'inf' "
-            f"WHEN {a} = 0 THEN '0' WHEN {m} >= 2 THEN {sign} || {put(51, 1)} WHEN {m} < 1 THEN {sign} || {put(53, -1)} "
-            f"ELSE {sign} || {put(52, 0)} END")
+    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN isnan(CAST({x} AS DOUBLE)) THEN {2047 << 52} + 1 "
+            f"WHEN isinf({a}) THEN CASE WHEN {x} > 0 THEN {2047 << 52} ELSE -{2047 << 52} END WHEN {a} = 0 THEN 0 "
+            f"ELSE (CASE WHEN {x} < 0 THEN -1 ELSE 1 END) * CASE WHEN {m} >= 2 THEN {bits(1, 51)} WHEN {m} >= 1 OR {e} = -1022 THEN {bits(0, 52)} "
+            f"ELSE {bits(-1, 53)} END END")
+
+
+def _double_sql(x: str) -> str:
+    d = f"CAST({x} AS DOUBLE)"
+    whole = f"CAST(trunc({d}) AS BIGINT)"
+    return (f"CASE WHEN {d} = 0 OR (abs({d}) < {1 << 63}::DOUBLE AND abs({d}) >= 0.0009765625::DOUBLE) THEN CAST({whole} AS VARCHAR) || ':' || "
+            f"CAST(CAST(trunc(({d} - CAST({whole} AS DOUBLE)) * {1 << 62}::DOUBLE) AS BIGINT) AS VARCHAR) "
+            f"WHEN {x} IS NOT NULL THEN 'b' || CAST({_number_sql(x)} AS VARCHAR) END")
 
 
 def _render_sql(name: str, dtype: str) -> str:
     d = dtype.upper()
     if d in ("DOUBLE", "FLOAT"):
-        s = _number_sql(name)
+        s = _double_sql(name)
     elif d.startswith("TIMESTAMP"):
         s = f"CAST(epoch_us({name}) AS VARCHAR)"
     elif d.endswith("[]"):
-        s = f"array_to_string(list_transform({name}, lambda x: coalesce({_number_sql('x')}, 'N')), ',')"
+        s = f"array_to_string(list_transform({name}, lambda x: coalesce({_double_sql('x')}, 'N')), ',')"
     else:
         s = f"CAST({name} AS VARCHAR)"
-    return f"COALESCE(md5({s}), 'N')"
+    return f"COALESCE(CAST(strlen({s}) AS VARCHAR) || ':' || ({s}), 'N')"
 
 
 # Column types of the driver tables, as DuckDB reports them (used only to write the oracle text).

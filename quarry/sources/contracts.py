@@ -16,70 +16,85 @@ from quarry.session import materialize
 _MOD = str(1 << 64)
 
 
-def _guess(x: Column) -> Column:
-    """floor(log2 |x|) or one beside it, as a double whose power of two exists."""
-    return F.greatest(F.least(F.floor(F.log2(F.abs(x))).cast("double"), F.lit(1023.0)), F.lit(-1074.0))
+_ONE = 1 << 52
 
 
-def _image(x: Column, e: Column, m: Column) -> Column:
-    """Exact text of the double ``x``: sign, whole mantissa of 53 bits, ``p``, exponent of two. ``e`` is the
-    guessed exponent and ``m`` = |x| / 2^e; a guess beside the exponent is put right here. Division by a
-    power of two is exact, so any engine can render it; -0.0 equals 0.0."""
-    def put(scale: int, by: int) -> Column:
-        return F.concat((m * F.lit(float(1 << scale))).cast("long").cast("string"), F.lit("p"), (e + by).cast("int").cast("string"))
+def _bits(up: int, scale: int) -> str:
+    return f"((s.e + {1022 + up}L) * {_ONE}L + cast(s.m * {float(1 << scale)!r}D as bigint))"
 
-    sign = F.when(x < 0, "-").otherwise("")
-    finite = F.when(m >= 2, put(51, 1)).when(m < 1, put(53, -1)).otherwise(put(52, 0))
-    return (F.when(x.isNull(), None).when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.concat(sign, F.lit("inf")))
-            .when(x == 0, "0").otherwise(F.concat(sign, finite)))
 
+#: the image of s.x from its guess s.e and mantissa s.m; a guess beside the exponent is put right here
+_IMAGE = (f"CASE WHEN s.x IS NULL THEN NULL WHEN isnan(s.x) THEN {2047 * _ONE + 1}L "
+          f"WHEN abs(s.x) = double('Infinity') THEN cast(signum(s.x) as bigint) * {2047 * _ONE}L WHEN s.x = 0 THEN 0L "
+          f"ELSE cast(signum(s.x) as bigint) * CASE WHEN s.m >= 2 THEN {_bits(1, 51)} WHEN s.m >= 1 OR s.e = -1022 THEN {_bits(0, 52)} "
+          f"ELSE {_bits(-1, 53)} END END")
 
-def _of_array(c: Column) -> Column:
-    """Images of the numbers of an array, joined; each number's guess and mantissa are made once."""
-    one = F.transform(c.cast("array<double>"), lambda x: F.struct(x.alias("x"), _guess(x).alias("e")))
-    two = F.transform(one, lambda s: F.struct(s["x"].alias("x"), s["e"].alias("e"), (F.abs(s["x"]) / F.pow(F.lit(2.0), s["e"])).alias("m")))
-    return F.array_join(F.transform(two, lambda s: F.coalesce(_image(s["x"], s["e"], s["m"]), F.lit("N"))), ",")
+
+def double_images(array: str) -> str:
+    """SQL of the images of an array of doubles: the 64 bits of each as a long that sorts as the doubles do.
+
+    For x >= 0 the IEEE bits, else minus those of |x| (so -0.0 is 0.0; infinities and NaN follow the finite
+    numbers). From floor(log2 |x|), which may be one off, and |x| / 2^that: every step is exact or put
+    right, so any engine with log2 and power gets the same. Guess and mantissa are fields of a struct, made
+    once a number.
+    """
+    guess = "cast(greatest(least(floor(log2(abs(x))), 1023), -1022) as bigint)"
+    return (f"transform(transform(transform({array}, x -> struct(x AS x, {guess} AS e)), "
+            f"s -> struct(s.x AS x, s.e AS e, abs(s.x) / power(2D, s.e) AS m)), s -> {_IMAGE})")
+
+
+def with_images(df: DataFrame, named: dict[str, str]) -> DataFrame:
+    """``df`` with a column holding the image of each named column: ``named`` maps new names to columns."""
+    if not named:
+        return df
+    numbers = ", ".join(f"double(`{c}`)" for c in named.values())
+    out = df.withColumn("_images", F.expr(double_images(f"array({numbers})")))
+    return out.withColumns({name: F.get("_images", F.lit(i)) for i, name in enumerate(named)}).drop("_images")
+
+
+def double_text(x: str) -> str:
+    """SQL of the exact text of a double. 0 and magnitudes from 2^-10 to 2^63: whole part, colon, fraction in
+    units of 2^-62 (both fit a long, no bit lies below); others by their image, from a lambda that only they run."""
+    usual = f"{x} = 0 OR (abs({x}) < {2.0 ** 63!r}D AND abs({x}) >= {2.0 ** -10!r}D)"
+    return (f"CASE WHEN {usual} THEN concat(string(bigint({x})), ':', string(bigint(({x} - double(bigint({x}))) * {2.0 ** 62!r}D))) "
+            f"ELSE concat('b', string(get({double_images(f'array({x})')}, 0))) END")
 
 
 def _is_number(t: T.DataType) -> bool:
     return isinstance(t, (T.DoubleType, T.FloatType))
 
 
+def _text(c: str, t: T.DataType) -> str:
+    if _is_number(t):
+        return double_text(f"double({c})" if isinstance(t, T.FloatType) else c)
+    if isinstance(t, T.TimestampNTZType):
+        # wall-clock microseconds since the epoch, independent of the session time zone
+        return f"string(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {c}))"
+    if isinstance(t, T.TimestampType):
+        return f"string(unix_micros({c}))"
+    if isinstance(t, T.ArrayType):
+        one = double_text("v") if _is_number(t.elementType) else "md5(string(v))"
+        held = f"cast({c} as array<double>)" if _is_number(t.elementType) else c
+        return f"array_join(transform({held}, v -> coalesce({one}, 'N')), ',')"
+    return f"string({c})"
+
+
 def row_digests(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``by`` columns and the two halves (hi, lo, as decimals) of the 128-bit digest of every row.
 
-    A cell's text (integers and strings as they are, doubles by their exact image, timestamps as epoch
-    microseconds, arrays of numbers element by element) is hashed to 32 hex digits, a NULL is ``N``: cells
-    have fixed widths, so neighbours can't be confused. Doubles take three steps (guess, mantissa,
-    text), each a projection of its own, so no expression is written out more than once.
+    A cell's text (integers and strings as they are, doubles by ``double_text``, timestamps as epoch
+    microseconds, arrays of numbers element by element) goes into the row with its length in bytes in
+    front, a NULL as ``N``, so neighbouring cells can't be confused. Texts are a projection of their own: each
+    is made once, although its length is used too. Written as SQL text: one call to the JVM a table, not
+    one a function.
     """
     by, fields = by or [], df.schema.fields
-    numbers = [(i, f.name) for i, f in enumerate(fields) if _is_number(f.dataType)]
-    cells = df.select(*[F.col(c).alias(f"by_{i}") for i, c in enumerate(by)],
-                      *[F.col(f.name).cast("double").alias(f"c{i}") if _is_number(f.dataType) else F.col(f.name).alias(f"c{i}")
-                        for i, f in enumerate(fields)])
-    cells = cells.withColumns({f"e{i}": _guess(F.col(f"c{i}")) for i, _ in numbers}) if numbers else cells
-    cells = cells.withColumns({f"m{i}": F.abs(F.col(f"c{i}")) / F.pow(F.lit(2.0), F.col(f"e{i}")) for i, _ in numbers}) if numbers else cells
-
-    def text(i: int, t: T.DataType) -> Column:
-        c = F.col(f"c{i}")
-        if _is_number(t):
-            return _image(c, F.col(f"e{i}"), F.col(f"m{i}"))
-        if isinstance(t, T.TimestampNTZType):
-            # wall-clock microseconds since the epoch, independent of the session time zone
-            return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c).cast("string")
-        if isinstance(t, T.TimestampType):
-            return F.unix_micros(c).cast("string")
-        if isinstance(t, T.ArrayType):
-            if _is_number(t.elementType):
-                return _of_array(c)
-            return F.array_join(F.transform(c, lambda x: F.coalesce(F.md5(x.cast("string")), F.lit("N"))), ",")
-        return c.cast("string")
-
-    row = F.concat(*[F.coalesce(F.md5(text(i, f.dataType)), F.lit("N")) for i, f in enumerate(fields)])
-    hashed = cells.select(*[F.col(f"by_{i}").alias(c) for i, c in enumerate(by)], F.md5(row).alias("_row"))
-    half = lambda at: F.conv(F.substring("_row", at, 16), 16, 10).cast("decimal(20,0)")
-    return hashed.select(*by, half(1).alias("hi"), half(17).alias("lo"))
+    cells = df.select(*[F.col(c).alias(f"by_{i}") for i, c in enumerate(by)], *[F.col(f.name).alias(f"c{i}") for i, f in enumerate(fields)])
+    texts = cells.selectExpr(*[f"by_{i} AS `{c}`" for i, c in enumerate(by)], *[f"{_text(f'c{i}', f.dataType)} AS _t{i}" for i, f in enumerate(fields)])
+    row = ", ".join(f"coalesce(concat(string(octet_length(_t{i})), ':', _t{i}), 'N')" for i in range(len(fields)))
+    hashed = texts.selectExpr(*[f"`{c}`" for c in by], f"md5(concat({row})) AS _row")
+    half = "cast(conv(substring(_row, {}, 16), 16, 10) as decimal(20,0)) AS {}"
+    return hashed.selectExpr(*[f"`{c}`" for c in by], half.format(1, "hi"), half.format(17, "lo"))
 
 
 def _wrap(c: Column) -> Column:

@@ -85,14 +85,14 @@ def test_every_double_has_its_own_exact_image(spark):
     values += [math.nextafter(math.ldexp(1, k), 0) for k in range(-1070, 1024, 41)]
     values += [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(500)]
     df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
-    got = df.select("v", CT._guess(F.col("v")).alias("e")).withColumn("m", F.abs("v") / F.pow(F.lit(2.0), F.col("e")))
-    for r in got.select("v", CT._image(F.col("v"), F.col("e"), F.col("m")).alias("t")).collect():
-        if math.isnan(r.v) or math.isinf(r.v) or r.v == 0:
-            assert r.t == ("nan" if math.isnan(r.v) else "0" if r.v == 0 else "inf" if r.v > 0 else "-inf")
-        else:
-            m, e = r.t.lstrip("-").split("p")
-            assert math.ldexp(int(m), int(e) - 52) == abs(r.v) and (r.t[0] == "-") == (r.v < 0)
-            assert 1 << 52 <= int(m) < 1 << 53
+    got = {struct.pack("<d", r.v): r.i for r in CT.with_images(df, {"i": "v"}).collect()}
+    for v, image in ((struct.unpack("<d", k)[0], i) for k, i in got.items()):
+        bits = struct.unpack("<q", struct.pack("<d", abs(v)))[0]
+        assert image == (2047 * 2 ** 52 + 1 if math.isnan(v) else -bits if v < 0 else bits), v
+    order = sorted((v for v in values if not math.isnan(v)), key=lambda v: (v, 0))
+    assert [got[struct.pack("<d", v)] for v in order] == sorted(got[struct.pack("<d", v)] for v in order)
+    texts = {r.t for r in df.select(F.expr(CT.double_text("v")).alias("t")).collect()}
+    assert len(texts) == len({v + 0.0 for v in values if not math.isnan(v)}) + 1
     zero = {_fingerprint(spark, [(v,)], "v double") for v in (0.0, 1e-20, 1e-300, 5e-324, 1e37, 1e38, -1e38, 1e300)}
     assert len(zero) == 8 and _fingerprint(spark, [(0.0,)], "v double") == _fingerprint(spark, [(-0.0,)], "v double")
 
