@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.session import ensure_checkpoint_dir
 
@@ -20,8 +21,8 @@ LETTER_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b
                      for b in range(256))
 
 
-#: name of the helper column that holds ``row_hash``
-ROW = "_llm_row"
+#: names of the helper columns that hold a row's ``row_id`` and the whole row
+ROW, DOC = "_llm_row", "_llm_doc"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,7 +84,23 @@ def seeded(seed: str, *cols: Column) -> Column:
     return (digits + F.lit(0.5)) / F.lit(float(1 << 48))
 
 
-def row_hash(df: DataFrame) -> Column:
-    """A 64-bit hash of all columns of a row (maps by their JSON); equal rows have equal hashes."""
-    return F.xxhash64(*[F.to_json(F.struct(df[f.name])) if "map<" in f.dataType.simpleString() else df[f.name]
-                        for f in df.schema.fields])
+def row_id(df: DataFrame) -> Column:
+    """128 bits (32 hex digits of an md5) that name a row by all its columns: each cell's text with its
+    length in front, a NULL as ``N``, so neither a NULL nor a neighbour's text is mistaken for another
+    cell. Rows equal in every column have equal ids."""
+    def text(f: T.StructField) -> Column:
+        c = df[f.name]
+        if isinstance(f.dataType, T.BinaryType):
+            return F.hex(c)
+        if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
+            return F.when(c.isNotNull(), F.to_json(F.struct(c), {"ignoreNullFields": "false"}))
+        return c.cast("string")
+
+    cell = lambda t: F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("N"))
+    return F.md5(F.concat(F.lit(""), *[cell(text(f)) for f in df.schema.fields]))
+
+
+def packed(df: DataFrame, *keep: str) -> DataFrame:
+    """``ROW`` (the ``row_id``), the columns ``keep``, and the whole row as the struct ``DOC``: helper columns
+    then clash with no column of ``df``. ``select(f"{DOC}.*")`` unpacks it."""
+    return df.select(row_id(df).alias(ROW), *[df[c] for c in keep], F.struct(*[df[c] for c in df.columns]).alias(DOC))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER_TABLE, ROW, row_hash, written
+from .common import DOC, LETTER_TABLE, ROW, packed, written
 
 WINDOW_WORDS = 10
 #: text bytes after which a segment ends (a longer document has a segment of its own)
@@ -286,7 +286,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW_WORDS,
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` without any exact window of ``items``, with its columns."""
-    cols = docs.columns
-    keyed = docs.withColumn(ROW, row_hash(docs))
+    keyed = packed(docs, "text")
     bad = decontaminate(keyed, items, slop=0, keep=(ROW,)).where("contaminated").select(ROW).distinct()
-    return keyed.join(bad, ROW, "left_anti").select(*cols)
+    return keyed.join(bad, ROW, "left_anti").select(f"{DOC}.*")

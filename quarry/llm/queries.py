@@ -102,7 +102,7 @@ _OP8 = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 t AS (
-  SELECT source, sum(size)::BIGINT AS source_size, sum(size * size)::DOUBLE AS squares,
+  SELECT source, sum(size)::BIGINT AS source_size,
          [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS w
   FROM d GROUP BY source),
 -- round after round: share what is left by weight, stop the sources above 3 times their size
@@ -114,28 +114,50 @@ fill(i, source, source_size, w, stopped, level) AS (
          / nullif(sum(CASE WHEN stopped OR level * w > 3 * source_size THEN 0 ELSE w END) OVER (), 0)
   FROM fill WHERE i < (SELECT count(*) FROM t)),
 g AS (
-  SELECT f.source, f.source_size, t.squares, CASE WHEN f.stopped THEN 3.0::DOUBLE * f.source_size ELSE f.level * f.w END AS target
+  SELECT f.source, f.source_size, CASE WHEN f.stopped THEN 3.0::DOUBLE * f.source_size ELSE f.level * f.w END AS target
   FROM fill f JOIN t ON f.source IS NOT DISTINCT FROM t.source WHERE i = (SELECT count(*) FROM t)),
 q AS (
   SELECT d.doc_id, d.source, d.size, g.source_size, g.target,
          CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size) ELSE 0 END::BIGINT AS whole,
-         g.squares, {_DRAW.format(key="'mix:' || coalesce(doc_id::VARCHAR, 'null') || ':0:1'")} AS u
+         {_DRAW.format(key="'mix:' || coalesce(doc_id::VARCHAR, 'null') || ':0:1'")} AS u
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-o AS (
-  SELECT *, target - whole * source_size AS rest, (target - whole * source_size) * size / nullif(squares, 0) AS chance FROM q),
+o AS (SELECT *, target - whole * source_size AS rest FROM q),
+-- chance min(1, c * size): sizes from the longest, c as if all longer ones were certain; the first that holds
+n AS (SELECT source, size, count(*) AS n, any_value(rest) AS rest FROM o WHERE size > 0 AND size <= rest GROUP BY source, size),
+m AS (
+  SELECT source, size, (rest - coalesce(sum(n * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(n * size * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS c FROM n),
+lv AS (SELECT source, max(size) AS upto, arg_max(c, size) AS c FROM m WHERE c > 0 AND c * size <= 1 GROUP BY source),
 k AS (
-  SELECT *, CASE WHEN chance >= 1 THEN 0.0 WHEN chance > 0 THEN (u / (1 - u)) / (chance / (1 - chance)) END AS rank FROM o),
-c AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id NULLS LAST
-                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM k),
-f AS (SELECT *, rank IS NOT NULL AND start + size <= rest AS drawn FROM c),
-v AS (SELECT *, rest - coalesce(max(CASE WHEN drawn THEN start + size END) OVER (PARTITION BY source), 0) AS gap FROM f),
--- the one document that closes the gap best
-z AS (
-  SELECT *, CASE WHEN rank IS NOT NULL AND NOT drawn AND abs(gap - size) < abs(gap) THEN
-              row_number() OVER (PARTITION BY source ORDER BY rank IS NULL OR drawn, abs(gap - size), rank, doc_id NULLS LAST) = 1
-            ELSE false END AS closes FROM v),
-e AS (SELECT *, whole + CASE WHEN drawn OR closes THEN 1 ELSE 0 END AS copies FROM z)
+  SELECT o.*, CASE WHEN size > 0 AND size <= rest THEN CASE WHEN upto IS NULL OR size > upto THEN 1.0::DOUBLE ELSE c * size END END AS chance,
+         CASE WHEN chance >= 1 THEN 0.0 WHEN chance > 0 THEN (u / (1 - u)) / (chance / (1 - chance)) END AS rank
+  FROM o LEFT JOIN lv ON o.source IS NOT DISTINCT FROM lv.source),
+f AS (
+  SELECT *, rank IS NOT NULL AND sum(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id NULLS LAST ROWS UNBOUNDED PRECEDING) <= rest AS drawn,
+         CASE WHEN rank IS NOT NULL THEN floor(log2(size))::INTEGER END AS class FROM k),
+v AS (SELECT *, rest - coalesce(sum(size) FILTER (drawn) OVER (PARTITION BY source), 0) AS gap FROM f),
+-- what the first misfit leaves is filled by size class, largest first
+b AS (
+  SELECT source, class, doc_id, gap, sum(size) OVER (PARTITION BY source, class ORDER BY rank, doc_id NULLS LAST ROWS UNBOUNDED PRECEDING) AS upto
+  FROM v WHERE rank IS NOT NULL AND NOT drawn AND size <= gap),
+walk(source, class, amount, most) AS (
+  SELECT source, 63, any_value(gap), 0::BIGINT FROM b GROUP BY source
+  UNION ALL
+  SELECT w.source, w.class - 1, w.amount - coalesce(max(b.upto), 0), coalesce(max(b.upto), 0)::BIGINT
+  FROM walk w LEFT JOIN b ON b.source IS NOT DISTINCT FROM w.source AND b.class = w.class - 1 AND b.upto <= w.amount
+  WHERE w.class > 0 GROUP BY w.source, w.class, w.amount),
+z0 AS (
+  SELECT v.* EXCLUDE (drawn, gap), drawn OR coalesce(b.upto <= w.most, false) AS drawn
+  FROM v LEFT JOIN b ON b.doc_id IS NOT DISTINCT FROM v.doc_id AND b.source IS NOT DISTINCT FROM v.source AND NOT v.drawn AND v.rank IS NOT NULL AND v.size <= v.gap
+  LEFT JOIN walk w ON w.source IS NOT DISTINCT FROM b.source AND w.class = b.class),
+-- twice, the one document more that comes nearest to what is left
+y1 AS (SELECT *, rest - coalesce(sum(size) FILTER (drawn) OVER (PARTITION BY source), 0) AS gap FROM z0),
+z1 AS (SELECT * EXCLUDE (drawn, gap), drawn OR (abs(gap - size) < abs(gap) AND size > 0 AND row_number() OVER (
+         PARTITION BY source ORDER BY drawn OR size = 0, abs(gap - size), coalesce(rank, 'Infinity'::DOUBLE), doc_id NULLS LAST) = 1) AS drawn FROM y1),
+y2 AS (SELECT *, rest - coalesce(sum(size) FILTER (drawn) OVER (PARTITION BY source), 0) AS gap FROM z1),
+z2 AS (SELECT * EXCLUDE (drawn, gap), drawn OR (abs(gap - size) < abs(gap) AND size > 0 AND row_number() OVER (
+         PARTITION BY source ORDER BY drawn OR size = 0, abs(gap - size), coalesce(rank, 'Infinity'::DOUBLE), doc_id NULLS LAST) = 1) AS drawn FROM y2),
+e AS (SELECT *, whole + CASE WHEN drawn THEN 1 ELSE 0 END AS copies FROM z2)
 SELECT doc_id, source, size, source_size, target, copies::BIGINT AS copies, (copies * size)::BIGINT AS taken FROM e
 """
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, row_hash, shuffle_partitions, written
+from .common import DOC, ROW, packed, shuffle_partitions, written
 from .components import connected_components
 
 SHINGLE_WORDS, RADIUS, SEED = 3, 3, 42
@@ -170,16 +170,15 @@ def simhash_components(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int
 
 def keep_one(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest doc_id (null last;
-    among rows that share it, the one with the smallest hash of all its columns).
+    among rows that share it, the one with the smallest ``row_id``).
 
     Columns and their order are those of ``docs``. Rows equal in every column count as one.
     """
-    cols = docs.columns
-    keyed = docs.withColumn(ROW, row_hash(docs))
+    keyed = packed(docs, "doc_id", "text")
     parts = written(simhash_components(keyed, width, radius, keep=("doc_id", ROW)), "parts")
     stay = parts.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)).alias("s"))
-    copies = parts.groupBy(ROW).agg(F.count(F.lit(1)).alias("_copies"))
+    copies = parts.groupBy(ROW).agg(F.count(F.lit(1)).alias("copies"))
     stay = stay.select(F.col(f"s.{ROW}").alias(ROW)).distinct().join(copies, ROW)
-    kept = keyed.join(stay, ROW)
-    once, more = kept.where("_copies = 1"), kept.where("_copies > 1").dropDuplicates([ROW])
-    return once.union(more).select(*cols)
+    kept = keyed.select(ROW, DOC).join(stay, ROW)
+    once, more = kept.where("copies = 1"), kept.where("copies > 1").dropDuplicates([ROW])
+    return once.union(more).select(f"{DOC}.*")

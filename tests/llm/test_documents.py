@@ -169,6 +169,46 @@ def test_mix_odd_rows(spark):
     assert _mix(spark, [plain.row(1, None), plain.row(2, "", source=None)])[0].taken == 0
 
 
+def test_mix_passes_over_documents_that_do_not_fit(spark):
+    """One document of 6,000 words and 4,000 of one word, 2,500 words to draw beside two whole copies; and
+    every source ends within half the shortest document that still fits."""
+    rng = random.Random(8)
+    rows = [plain.row(0, "w " * 6000, source="a")] + [plain.row(i, "w", source="a") for i in range(1, 4001)]
+    rows += [plain.row(10_000 + i, "w " * rng.choice([3, 7, 8, 60, 400, 2000]), source="b") for i in range(60)]
+    rows += [plain.row(20_000 + i, "w " * 5000, source="c") for i in range(3)]
+    rows += [plain.row(30_000 + i, "w " * rng.randint(1, 900), source="d") for i in range(300)]
+    rows += [plain.row(None, "w " * 11, source=None)] * 9
+    by_source = {}
+    for r in _mix(spark, rows):
+        by_source.setdefault(r.source, []).append(r)
+    assert abs(sum(r.taken for r in by_source["a"]) - by_source["a"][0].target) < 1
+    for source, got in by_source.items():
+        total, target = got[0].source_size, got[0].target
+        whole = target // total if total else 0
+        assert all(whole <= r.copies <= whole + 1 <= 4 and r.copies <= 3 for r in got)
+        off = target - sum(r.taken for r in got)
+        left = [r.size for r in got if r.copies == whole and 0 < r.size <= off]
+        assert not left or abs(off) <= min(left) / 2, (source, off, min(left))
+        assert off >= -max(r.size for r in got) / 2
+
+
+def test_row_ids_tell_nulls_and_neighbours_apart(spark):
+    schema = "doc_id long, text string, lang string, source string, _llm_row string, _copies string, copies long, rows binary, m map<string,string>"
+    rows = [(1, "t", "x", None, None, "a", 5, b"\xff", {"k": None}), (1, "t", None, None, "x", "a", 5, b"\xff", {"k": None}),
+            (1, "t", "x", None, "a", None, 5, b"\xff", {"k": None}), (1, "t", "x", None, None, "a", 5, b"\xfe", {"k": None}),
+            (1, "t", "x", None, None, "a", 5, b"\xff", {"j": None}), (1, "t", "x", None, None, "a", 5, b"\xff", None),
+            (2, "ab", "c", None, None, None, None, None, None), (2, "a", "bc", None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    assert docs.select(common.row_id(docs)).distinct().count() == len(rows)
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns
+    # one source, so its target is its size: every row once
+    assert mixed.count() == len(rows) and mixed.select(common.row_id(mixed)).distinct().count() == len(rows)
+    far = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, "ab")], "item_id long, text string"))
+    assert far.columns == docs.columns and far.count() == len(rows) - 1
+    assert simhash.keep_one(docs).count() == 3
+
+
 def test_mixed_rows(spark):
     rows = plain.odd_rows()
     docs = plain.frame(spark, rows)
