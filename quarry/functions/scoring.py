@@ -7,7 +7,9 @@ refusals when no verdict is present.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The whitespace set of Python's ``str.isspace`` (what ``\s`` matches on text),
@@ -138,3 +140,57 @@ def dispatch_correct(answer_type, scalar_ok, set_ok, refusal_ok) -> Column:
     t = _c(answer_type)
     return (F.when(t == "scalar", _c(scalar_ok)).when(t == "set", _c(set_ok)).when(t == "refusal", _c(refusal_ok))
             .otherwise(F.raise_error(F.concat(F.lit("unknown answer_type: "), F.coalesce(t, F.lit("NULL"))))))
+
+
+#: columns of a per-task input that a kind of question may lack
+_EXPECTED = {"error": "string", "expected_num": "double", "expected_text": "string", "expected_values": "array<string>",
+             "judge_correct": "boolean"}
+
+
+def score_answers(parts: list[DataFrame]) -> DataFrame:
+    """E7 in full: one record per task of frames that each hold one kind of question.
+
+    A part has the columns answer_type and answer, what its kind expects (expected_num or expected_text for
+    ``scalar``, expected_values for ``set``; nothing for ``refusal``) and may have error and judge_correct; other columns are
+    kept. Each part evaluates its own rule alone. Added are ``correct``, ``set_recall`` and ``detail``. A task with an error was
+    not judged: its judge_correct is dropped, and its answer, or the lack of one, is scored as it is. An unknown
+    answer type fails the query.
+    """
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [_score_part(p) for p in parts])
+
+
+def _score_part(part: DataFrame) -> DataFrame:
+    has = set(part.columns)
+    df = part.withColumns({c: F.lit(None).cast(t) for c, t in _EXPECTED.items() if c not in has})
+    df = df.withColumn("judge_correct", F.when(F.col("error").isNull(), F.col("judge_correct")))
+    text = lambda c: c.cast("string")
+    answer, kind = F.coalesce("answer", F.lit("")), F.col("answer_type")
+    checks = []
+    if has & {"expected_num", "expected_text"}:
+        number, words = F.col("expected_num"), F.col("expected_text")
+        df = df.withColumn("_hit", matched_number(answer, number)) if "expected_num" in has else df.withColumn("_hit", F.lit(None).cast("double"))
+        found = F.concat(F.lit("found "), text(F.col("_hit")), F.lit(" within tol of "), text(number))
+        lacks = F.concat(F.lit("expected "), text(number), F.lit(" not found among numbers in answer"))
+        by_number = F.struct(F.col("_hit").isNotNull().alias("correct"), F.lit(None).cast("double").alias("set_recall"),
+                             F.when(F.col("_hit").isNotNull(), found).otherwise(lacks).alias("detail"))
+        by_text = F.struct(score_scalar_text(answer, words).alias("correct"), F.lit(None).cast("double").alias("set_recall"),
+                           F.concat(F.lit("substring match for '"), words, F.lit("'")).alias("detail"))
+        one = F.when(number.isNotNull(), by_number).otherwise(by_text) if {"expected_num", "expected_text"} <= has else (
+            by_number if "expected_num" in has else by_text)
+        checks.append(("scalar", one))
+    if "expected_values" in has:
+        df = df.withColumn("_missing", set_missing(answer, F.col("expected_values")))
+        n = F.size("expected_values")
+        df = df.withColumn("_recall", F.when(n == 0, 1.0).otherwise((n - F.size("_missing")) / n))
+        lacks = F.when(F.size("_missing") > 0, F.concat(F.lit(", missing ['"), F.array_join(F.slice("_missing", 1, 5), "', '"), F.lit("']"))).otherwise("")
+        checks.append(("set", F.struct((F.col("_recall") >= 0.999).alias("correct"), F.col("_recall").alias("set_recall"),
+                                       F.concat(F.lit("recall "), F.format_string("%.2f", "_recall"), lacks).alias("detail"))))
+    judged = F.col("judge_correct")
+    checks.append(("refusal", F.struct(score_refusal(answer, judged).alias("correct"), F.lit(None).cast("double").alias("set_recall"),
+                                       F.concat(F.lit("refusal: judge-primary"), F.when(judged.isNull(), " (heuristic)").otherwise("")).alias("detail"))))
+    unknown = F.raise_error(F.concat(F.lit("no rule for answer_type "), F.coalesce(kind, F.lit("NULL"))))
+    verdict = F.when(kind == checks[0][0], checks[0][1])
+    for name, check in checks[1:]:
+        verdict = verdict.when(kind == name, check)
+    df = df.withColumn("_v", verdict.otherwise(unknown.cast("struct<correct: boolean, set_recall: double, detail: string>")))
+    return df.withColumns({c: F.col(f"_v.{c}") for c in ("correct", "set_recall", "detail")}).drop("_v", "_hit", "_missing", "_recall")

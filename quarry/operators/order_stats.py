@@ -2,19 +2,21 @@
 
 ``order_statistics`` picks the value at a 0-based rank per group without sorting a group in
 one task: values are first counted per (group, value) with partial aggregation (a hot value
-collapses to one row per map task), counts are rolled up into fixed-width value buckets, the
-bucket holding each requested rank is found from cumulative bucket counts, and only that
-bucket's distinct values are ranked. Every window therefore sees at most ``#buckets`` or
-``bucket_width`` rows per group, however many rows the group has.
+collapses to one row per map task), then a radix select resolves the 64-bit image of the wanted
+value some bits at a time. Every window therefore sees at most ``2**radix_bits`` rows per group,
+however many rows or distinct values the group has, and whatever numbers they are.
 """
 
 from __future__ import annotations
 
+import math
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quarry.functions.numbers import with_images
 from quarry.session import materialize
 
 
@@ -29,81 +31,67 @@ def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(named, cond, how).drop(*[f"_r_{c}" for c in keys])
 
 
+_SIGN = -(1 << 63)
+
+
+def _with_keys(df: DataFrame, value: str) -> DataFrame:
+    """``df`` with ``_key``: a long whose 64 bits, read without a sign, sort as ``value`` does. Whole numbers and
+    decimals of up to 18 digits are that number, doubles (and wider decimals, cast to double) their image."""
+    t = df.schema[value].dataType
+    if isinstance(t, (T.FloatType, T.DoubleType)) or (isinstance(t, T.DecimalType) and t.precision > 18):
+        keyed = with_images(df, {"_key": value})
+    elif isinstance(t, T.DecimalType):
+        keyed = df.withColumn("_key", (F.col(value).cast("decimal(38,18)") * F.lit(10 ** t.scale).cast("decimal(19,0)")).cast("long"))
+    elif isinstance(t, T.IntegralType):
+        keyed = df.withColumn("_key", F.col(value).cast("long"))
+    else:
+        raise TypeError(f"{value} is no number: {t.simpleString()}")
+    return keyed.withColumn("_key", F.col("_key").bitwiseXOR(F.lit(_SIGN)))
+
+
 def order_statistics(df: DataFrame, by: list[str], value: str,
-                     picks: dict[str, Callable[[Column], Column]], bucket_width: float = 1024,
-                     materialize_steps: bool = True) -> DataFrame:
+                     picks: dict[str, Callable[[Column], Column]], radix_bits: int = 12) -> DataFrame:
     """Per group, the value at each 0-based rank ``picks[name](n)`` where n is the group size.
 
-    Returns ``by + [n] + list(picks)``. Exact (no interpolation): the value v with
-    ``count(< v) <= rank < count(<= v)``. The histogram and the bucket counts are each read
-    more than once; ``materialize_steps`` writes them (both small: distinct values, buckets) once
-    to the checkpoint folder so the input is scanned a single time.
-    """
-    def keep(x: DataFrame, tag: str) -> DataFrame:
-        return materialize(x, tag) if materialize_steps else x
-
-    hist = keep(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-                .withColumn("_b", F.floor(F.col(value) / F.lit(bucket_width))), "order-stats-hist")
-    buckets = hist.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"))
-    wb = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = keep(buckets.withColumn("_before", F.coalesce(F.sum("_bc").over(wb), F.lit(0))), "order-stats-buckets")
-    sizes = buckets.groupBy(*by).agg(F.sum("_bc").alias("n"))
-    targets = sizes.select(*by, "n", F.explode(F.array(*[
-        F.struct(F.lit(name).alias("_pick"), fn(F.col("n")).cast("long").alias("_rank")) for name, fn in picks.items()
-    ])).alias("_t")).select(*by, "n", "_t._pick", "_t._rank")
-    chosen = (join_same(targets, buckets, by)
-              .where((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_bc")))
-              .select(*by, "n", "_pick", "_rank", "_b", "_before"))
-    within = join_same(hist, chosen, by + ["_b"])
-    wv = Window.partitionBy(*by, "_pick").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    within = within.withColumn("_cum", F.col("_before") + F.coalesce(F.sum("_c").over(wv), F.lit(0)))
-    hit = within.where((F.col("_cum") <= F.col("_rank")) & (F.col("_rank") < F.col("_cum") + F.col("_c")))
-    return hit.groupBy(*by, "n").agg(*[F.max(F.when(F.col("_pick") == name, F.col(value))).alias(name)
-                                       for name in picks])
-
-
-def radix_order_statistics(df: DataFrame, by: list[str], value: str,
-                           picks: dict[str, Callable[[Column], Column]], radix_bits: int = 12) -> DataFrame:
-    """Exact order statistics of an integral column with a hard bound on every window.
-
-    Radix select: values are counted per (group, value) once (written to the checkpoint folder),
-    then the offset from the group minimum is resolved ``radix_bits`` at a time. At each level
-    only the values whose higher bits match the prefix found so far are counted per next digit,
-    and the digit holding the wanted rank is kept. Every window sees at most ``2**radix_bits``
-    rows; the number of levels is fixed by the bit length of the largest offset.
+    Returns ``by + [n] + list(picks)``. Exact (no interpolation), for any numbers: the value v with
+    ``count(< v) <= rank < count(<= v)``; -0.0 counts as 0.0, NaN follows all numbers, NULLs don't count.
+
+    Radix select: values are counted per (group, value) once (written to the checkpoint folder), then
+    the bits below those that all values of a group share are resolved ``radix_bits`` at a time. At
+    each level only the values whose higher bits match the prefix found so far are counted per next
+    digit, and the digit holding the wanted rank is kept. Every window sees at most ``2**radix_bits`` rows;
+    the number of levels is fixed by the first bit in which values of a group differ, 6 at most.
     """
-    import math
-
-    hist = materialize(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")),
-                       "radix-hist")
-    sizes = materialize(hist.groupBy(*by).agg(F.sum("_c").alias("n"), F.min(value).alias("_gmin"),
-                                               (F.max(value) - F.min(value)).alias("_span")), "radix-sizes")
-    span = sizes.agg(F.max("_span")).first()[0] or 0
-    levels = max(1, math.ceil(max(1, int(span).bit_length()) / radix_bits))
-    state = sizes.select(*by, "n", "_gmin", F.explode(F.array(*[
+    keyed = _with_keys(df.where(F.col(value).isNotNull()).select(*by, value), value)
+    # -0.0 and 0.0 have one image and NaNs have one: one value stands for them
+    hist = materialize(keyed.groupBy(*by, "_key").agg(F.count(F.lit(1)).alias("_c"), F.max(value).alias("_value")), "radix-hist")
+    low, high = (f(F.col("_key").bitwiseXOR(F.lit(_SIGN))).bitwiseXOR(F.lit(_SIGN)) for f in (F.min, F.max))
+    sizes = materialize(hist.groupBy(*by).agg(F.sum("_c").alias("n"), low.alias("_low"), high.alias("_high")), "radix-sizes")
+    differ = F.col("_low").bitwiseXOR(F.col("_high"))
+    bits = sizes.agg(F.max(F.when(differ < 0, 64).otherwise(F.length(F.bin(differ)))).alias("b")).first().b or 1
+    levels = max(1, math.ceil(bits / radix_bits))
+
+    def above(c: Column, shift: int) -> Column:
+        return F.lit(0).cast("long") if shift >= 64 else F.shiftrightunsigned(c, shift)
+
+    state = sizes.select(*by, "n", "_low", F.explode(F.array(*[
         F.struct(F.lit(name).alias("_pick"), fn(F.col("n")).cast("long").alias("_rank")) for name, fn in picks.items()
-    ])).alias("_t")).select(*by, "n", "_gmin", "_t._pick", "_t._rank",
-                            F.lit(0).cast("long").alias("_prefix"), F.lit(0).cast("long").alias("_base"))
+    ])).alias("_t")).select(*by, "n", "_t._pick", "_t._rank", above(F.col("_low"), radix_bits * levels).alias("_prefix"),
+                            F.lit(0).cast("long").alias("_base"))
     mask = (1 << radix_bits) - 1
-    off = F.col(value).cast("long") - F.col("_gmin")
     for level in range(levels):
         shift = radix_bits * (levels - level - 1)
-        cand = (join_same(hist, state, by)
-                .where(F.shiftright(off, shift + radix_bits) == F.col("_prefix"))
-                .withColumn("_digit", F.shiftright(off, shift).bitwiseAND(F.lit(mask))))
-        per = cand.groupBy(*by, "n", "_gmin", "_pick", "_rank", "_prefix", "_base", "_digit").agg(
-            F.sum("_c").alias("_dc"))
+        cand = (join_same(hist, state, by).where(above(F.col("_key"), shift + radix_bits) == F.col("_prefix"))
+                .withColumn("_digit", above(F.col("_key"), shift).bitwiseAND(F.lit(mask))))
+        per = cand.groupBy(*by, "n", "_pick", "_rank", "_prefix", "_base", "_digit").agg(F.sum("_c").alias("_dc"))
         w = Window.partitionBy(*by, "_pick").orderBy("_digit").rowsBetween(Window.unboundedPreceding, -1)
         per = per.withColumn("_before", F.col("_base") + F.coalesce(F.sum("_dc").over(w), F.lit(0)))
         chosen = per.where((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_dc")))
         # one consumer per level and a handful of levels over the written histogram: no write needed
-        state = chosen.select(
-            *by, "n", "_gmin", "_pick", "_rank",
-            (F.shiftleft(F.col("_prefix"), radix_bits) + F.col("_digit")).alias("_prefix"),
-            F.col("_before").alias("_base"))
-    result = state.select(*by, "n", "_pick", (F.col("_gmin") + F.col("_prefix")).alias("_v"))
-    return result.groupBy(*by, "n").agg(*[F.max(F.when(F.col("_pick") == name, F.col("_v"))).alias(name)
-                                          for name in picks])
+        state = chosen.select(*by, "n", "_pick", "_rank", F.shiftleft(F.col("_prefix"), radix_bits).bitwiseOR(F.col("_digit")).alias("_prefix"),
+                              F.col("_before").alias("_base"))
+    found = join_same(hist, state.withColumnRenamed("_prefix", "_key"), [*by, "_key"])
+    return found.groupBy(*by, "n").agg(*[F.max(F.when(F.col("_pick") == name, F.col("_value"))).alias(name) for name in picks])
 
 
 def upper_median(n: Column) -> Column:

@@ -6,12 +6,12 @@ exact, bucketed order statistics so a model holding most rows never lands in one
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import scoring as S
-from quarry.operators.order_stats import (index_rank, last_rank, order_statistics, radix_order_statistics,
-                                          upper_median)
+from quarry.operators.order_stats import index_rank, last_rank, order_statistics, upper_median
+from quarry.session import materialize
 from quarry.sources import derived as D
 
 
@@ -64,21 +64,11 @@ def scorecard(tasks: DataFrame, by: str = "model") -> DataFrame:
         "multi_hop_n", (F.col("n_config_hashes") == 1).alias("single_config"), "n_config_hashes", "config_hash_min")
 
 
-def latency_percentiles(tasks: DataFrame, by: str = "model", value: str = "latency_ms",
-                        bucket_width: float | None = None) -> DataFrame:
-    """p50 = sorted[n//2], p95 = sorted[min(n-1, int(.95 n))], max, exact.
-
-    Integral latencies use the radix select (hard window bound); ``bucket_width`` forces the
-    bucketed selection (for non-integral values)."""
+def latency_percentiles(tasks: DataFrame, by: str = "model", value: str = "latency_ms") -> DataFrame:
+    """p50 = sorted[n//2], p95 = sorted[min(n-1, int(.95 n))], max, exact, for any numbers
+    (milliseconds, seconds, ratios)."""
     picks = {"p50": upper_median, "p95": index_rank(0.95), "max": last_rank}
-    from pyspark.sql import types as T
-
-    integral = isinstance(tasks.schema[value].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-    if integral and bucket_width is None:
-        out = radix_order_statistics(tasks, [by], value, picks)
-    else:
-        out = order_statistics(tasks, [by], value, picks, bucket_width=bucket_width or 1024)
-    return out.withColumnRenamed("n", "n_tasks")
+    return order_statistics(tasks, [by], value, picks).withColumnRenamed("n", "n_tasks")
 
 
 def scorecard_by_category(tasks: DataFrame, by: str = "model") -> DataFrame:
@@ -95,19 +85,18 @@ def scorecard_by_category(tasks: DataFrame, by: str = "model") -> DataFrame:
 def config_uniformity(tasks: DataFrame, by: str = "model", expected: str | None = None) -> DataFrame:
     """Config hashes per run, across all runs, and equality with a pinned value.
 
-    Works on the distinct (run, hash) pairs (partial aggregation; runs x hashes rows), so the
-    cross-run view is a window over that small frame, not a join of everything with everything.
+    Works on the distinct (run, hash) pairs (partial aggregation; runs x hashes rows), written as one row
+    a run. The view across runs is one aggregate of those rows (all hashes are one if the smallest and the
+    largest are the same): two texts that come to the driver and go back as literals.
     """
-    pairs = tasks.select(by, "config_hash").distinct()
-    everywhere = Window.partitionBy()
-    pairs = (pairs.withColumn("_one", F.coalesce(F.min("config_hash").over(everywhere) == F.max("config_hash").over(everywhere), F.lit(False)))
-             .withColumn("_min_all", F.min("config_hash").over(everywhere)))
-    per = pairs.groupBy(by).agg(F.count("config_hash").alias("n_hashes"), F.min("config_hash").alias("hash_min"),
-                                F.first("_one").alias("_one"), F.first("_min_all").alias("_min_all"))
-    pinned = F.lit(expected) if expected is not None else F.col("_min_all")
-    return per.select(by, "n_hashes", "hash_min", (F.col("n_hashes") == 1).alias("single_config"),
-                      F.col("_one").alias("shared_across_runs"),
-                      (F.col("_one") & (F.col("_min_all") == pinned)).alias("equals_pinned"))
+    per = (tasks.select(by, "config_hash").distinct().groupBy(by)
+           .agg(F.count("config_hash").alias("n_hashes"), F.min("config_hash").alias("hash_min"), F.max("config_hash").alias("_hash_max")))
+    per = materialize(per, "run-hashes")
+    low, high = per.agg(F.min("hash_min"), F.max("_hash_max")).first()
+    one = low is not None and low == high
+    pinned = one and low == (expected if expected is not None else low)
+    return per.select(by, "n_hashes", "hash_min", (F.col("n_hashes") == 1).alias("single_config"), F.lit(one).alias("shared_across_runs"),
+                      F.lit(pinned).alias("equals_pinned"))
 
 
 def tuning_summary(tasks: DataFrame, by: list[str]) -> DataFrame:
@@ -120,14 +109,14 @@ def tuning_summary(tasks: DataFrame, by: list[str]) -> DataFrame:
     ).withColumn("accuracy_pct", pct(F.col("correct"), F.col("n"), 2))
 
 
-def nested_scorecard(tasks: DataFrame, by: str = "model", bucket_width: float = 1024) -> DataFrame:
+def nested_scorecard(tasks: DataFrame, by: str = "model") -> DataFrame:
     """F1-F7 as one nested record per run (accuracy with per-category counts, tokens, cost, latency,
     grounding, config), the shape written by the A6 sink and read back by field path.
 
     The per-category list holds one entry per category (bounded by the category set, not by data).
     """
     flat = scorecard(tasks, by)
-    lat = latency_percentiles(tasks, by, bucket_width=bucket_width).drop("n_tasks")
+    lat = latency_percentiles(tasks, by).drop("n_tasks")
     cats = (scorecard_by_category(tasks, by).where(~F.col("is_total"))
             .groupBy(by).agg(F.array_sort(F.collect_list(F.struct("category", "n", "correct", "pct")))
                              .alias("by_category")))

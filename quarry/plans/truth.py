@@ -53,18 +53,19 @@ def truth_table(sem: Semantic, questions: list[Question] | None = None, batched:
                                  "id string, category string, answer_type string, split string")
     parts = []
     done: set[str] = set()
-    if batched and questions is None:
+    if batched and all(q in QUESTIONS for q in qs):
         # the batch definitions cover the driver-table question set only
         from quarry.plans.truth_batches import batched_truth
 
         frame, done = batched_truth(sem, {q.id for q in qs})
-        parts.append(frame)
+        parts += [frame] if frame is not None else []
     for q in qs:
         if q.answer_type == "refusal" or q.build is None or q.id in done:
             continue
         parts.append(canonical_answers(q, q.build(sem)).select(F.lit(q.id).alias("id"), "value_text",
                                                                  "value_num"))
-    values = reduce(DataFrame.unionByName, parts)
+    values = (reduce(DataFrame.unionByName, parts) if parts
+              else spark.createDataFrame([], "id string, value_text string, value_num double"))
     if checkpoint:
         # read twice below (rows and per-question counts): materialise once in the shared
         # checkpoint folder instead of evaluating every question plan twice
@@ -180,15 +181,26 @@ def split_counts(tasks: DataFrame, split: str = "split") -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def split_head(tasks: DataFrame, limits: dict[str, int], order: str, split: str = "split") -> DataFrame:
-    """The first N rows of each split in file order (N per split), via a top-k window."""
-    from quarry.operators.order_stats import top_k_per_group
+def split_head(tasks: DataFrame, limits: dict[str, int | None], order: str, split: str = "split") -> DataFrame:
+    """The first N rows of each split in file order (N per split; None: all of them), numbered by ``rank``.
 
-    sub = tasks.where(F.col(split).isin(list(limits)))
-    k = max(limits.values())
-    top = top_k_per_group(sub, [split], [F.col(order).asc()], k, "rank")
-    lim = F.create_map(*[x for s, n in limits.items() for x in (F.lit(s), F.lit(n))])
-    return top.where(F.col("rank") <= F.element_at(lim, F.col(split)))
+    Limited splits go through a top-k window (k rows a task before the shuffle), splits without a limit
+    through a range partitioning, so a split of any size spreads over tasks.
+    """
+    from quarry.operators.order_stats import rank_within_groups, top_k_per_group
+
+    some = {s: n for s, n in limits.items() if n is not None}
+    whole = [s for s, n in limits.items() if n is None]
+    parts = []
+    if some:
+        top = top_k_per_group(tasks.where(F.col(split).isin(list(some))), [split], [F.col(order).asc()], max(some.values()), "rank")
+        lim = F.create_map(*[x for s, n in some.items() for x in (F.lit(s), F.lit(n))])
+        parts.append(top.where(F.col("rank") <= F.element_at(lim, F.col(split))).withColumn("rank", F.col("rank").cast("long")))
+    if whole:
+        parts.append(rank_within_groups(tasks.where(F.col(split).isin(whole)), [split], [F.col(order).asc()], "rank"))
+    if not parts:
+        return tasks.limit(0).withColumn("rank", F.lit(0).cast("long"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 class SnapshotCatalog:

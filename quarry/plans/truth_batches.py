@@ -159,4 +159,4 @@ def batched_truth(sem: Semantic, wanted: set[str]) -> tuple[DataFrame, set[str]]
         if rows is not None:
             parts.append(rows)
             done |= ids
-    return reduce(DataFrame.unionByName, parts), done
+    return (reduce(DataFrame.unionByName, parts) if parts else None), done

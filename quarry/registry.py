@@ -500,6 +500,56 @@ def _score_tasks(spark, d):
     return sc.unionByName(st).unionByName(rf)
 
 
+_SCORED_KINDS = f"""
+SELECT 'c' || CAST(task_id AS VARCHAR) AS task_key, 'scalar' AS answer_type, task_id, answer, CAST(expected AS DOUBLE) AS expected_num,
+       CAST(NULL AS VARCHAR) AS expected_text, CAST(NULL AS VARCHAR[]) AS expected_values, CAST(NULL AS BOOLEAN) AS judged
+FROM ({D.SCALAR_ANSWERS_SQL}) a
+UNION ALL SELECT 'p' || CAST(task_id AS VARCHAR), 'scalar', task_id, answer, NULL, expected, NULL, NULL FROM ({TYPE_ANSWERS_SQL}) b
+UNION ALL SELECT 'n' || CAST(task_id AS VARCHAR), 'set', task_id, answer, NULL, NULL, expected_values, NULL FROM ({SET_ANSWERS_SQL}) c
+UNION ALL SELECT 'v' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR), 'refusal', conv_id, answer, NULL, NULL, NULL, verdict
+          FROM ({REFUSALS_SQL}) d"""
+
+
+@register("task_records", f"""
+WITH e AS (SELECT *, CASE WHEN task_id % 13 = 0 THEN 'timeout' END AS error FROM ({_SCORED_KINDS}) k),
+w AS (SELECT * REPLACE (CASE WHEN error IS NOT NULL AND task_id % 2 = 0 THEN NULL ELSE answer END AS answer,
+                        CASE WHEN error IS NULL THEN judged END AS judged) FROM e),
+f AS (SELECT *, {_nums_sql('answer')} AS nums,
+             list_filter(expected_values, lambda v: contains({_norm_sql('answer')}, {_norm_sql('v')})) AS found,
+             list_filter(expected_values, lambda v: NOT contains({_norm_sql('answer')}, {_norm_sql('v')})) AS missing,
+             len(list_filter({_PHRASES_SQL}, lambda p: contains({_norm_sql('answer')}, p))) > 0 AS refuses FROM w),
+r AS (SELECT *, list_filter(nums, lambda v: abs(v - expected_num) <= greatest(0.01, abs(expected_num) * 0.01))[1] AS hit,
+             CASE WHEN answer_type = 'set' THEN CASE WHEN len(expected_values) = 0 THEN 1.0::DOUBLE ELSE len(found) / len(expected_values)::DOUBLE END END
+               AS set_recall FROM f)
+SELECT task_key, answer_type, error,
+       CASE WHEN answer_type = 'set' THEN set_recall >= 0.999 WHEN answer_type = 'refusal' THEN COALESCE(judged, refuses)
+            WHEN expected_num IS NOT NULL THEN hit IS NOT NULL ELSE contains({_norm_sql('answer')}, {_norm_sql('expected_text')}) END AS correct,
+       judged AS judge_correct, set_recall,
+       CASE WHEN answer_type = 'set' THEN 'recall ' || printf('%.2f', set_recall) || CASE WHEN len(missing) > 0 THEN ', missing [' || chr(39)
+                 || array_to_string(missing[1:5], chr(39) || ', ' || chr(39)) || chr(39) || ']' ELSE '' END
+            WHEN answer_type = 'refusal' THEN 'refusal: judge-primary' || CASE WHEN judged IS NULL THEN ' (heuristic)' ELSE '' END
+            WHEN expected_num IS NULL THEN 'substring match for ' || chr(39) || expected_text || chr(39)
+            WHEN hit IS NOT NULL THEN 'found ' || CAST(hit AS VARCHAR) || ' within tol of ' || CAST(expected_num AS VARCHAR)
+            ELSE 'expected ' || CAST(expected_num AS VARCHAR) || ' not found among numbers in answer' END AS detail
+FROM r
+""")
+def _task_records(spark, d):
+    cat = Catalog(spark, d)
+    sc, tx, st, rf = D.scalar_answers(cat), _type_answers(cat), D.set_answers(cat), D.refusal_answers(cat)
+    key = lambda letter, *cols: F.concat_ws(":", F.concat(F.lit(letter), F.col(cols[0]).cast("string")), *[F.col(c).cast("string") for c in cols[1:]])
+    kinds = [sc.select(key("c", "task_id").alias("task_key"), F.lit("scalar").alias("answer_type"), "task_id", "answer", F.col("expected").alias("expected_num")),
+             tx.select(key("p", "task_id").alias("task_key"), F.lit("scalar").alias("answer_type"), "task_id", "answer", F.col("expected").alias("expected_text")),
+             st.select(key("n", "task_id").alias("task_key"), F.lit("set").alias("answer_type"), "task_id", "answer", "expected_values"),
+             rf.select(key("v", "conv_id", "turn").alias("task_key"), F.lit("refusal").alias("answer_type"), F.col("conv_id").alias("task_id"), "answer",
+                       F.col("verdict").alias("judge_correct"))]
+
+    def with_errors(df):
+        df = df.withColumn("error", F.when(F.col("task_id") % 13 == 0, F.lit("timeout")))
+        return df.withColumn("answer", F.when(F.col("error").isNull() | (F.col("task_id") % 2 != 0), F.col("answer")))
+
+    return S.score_answers([with_errors(k) for k in kinds]).select("task_key", "answer_type", "error", "correct", "judge_correct", "set_recall", "detail")
+
+
 _GROUNDED_SQL = ("(lower(COALESCE(tool_type, 'none')) LIKE '%fabric%' OR lower(COALESCE(tool_name, 'none')) LIKE "
                  "'%fabric%' OR lower(COALESCE(tool_type, 'none')) LIKE '%mcp%')")
 
@@ -1064,6 +1114,7 @@ SELECT model, task_id, category FROM ({D.RUN_LOG_SQL}) r WHERE split = 'train' A
 
 import re as _re  # noqa: E402
 
+from quarry.plans import stale as ST  # noqa: E402
 from quarry.sources import contracts as CT  # noqa: E402
 from quarry.sources.tables import TABLES  # noqa: E402
 from quarry.streaming import refresh as RF  # noqa: E402
@@ -1176,9 +1227,7 @@ SELECT COALESCE(s.id, f.id) AS id, s.n AS stored_n, f.n AS fresh_n,
             WHEN s.n IS DISTINCT FROM f.n OR s.fp IS DISTINCT FROM f.fp THEN 'changed' END AS status
 FROM ({_truth_summary_sql(True)}) s FULL OUTER JOIN ({_truth_summary_sql(False)}) f ON s.id = f.id
 WHERE f.id IS NULL OR s.id IS NULL OR s.n IS DISTINCT FROM f.n OR s.fp IS DISTINCT FROM f.fp
-""")(lambda spark, d: TR.truth_drift(
-    TR.truth_table(Q.Semantic(TR.SnapshotCatalog(Catalog(spark, d), {"lineitem": "l_shipdate < '2001-01-01'"}))),
-    TR.truth_table(_sem(spark, d))))
+""")(lambda spark, d: ST.drift_between(_sem(spark, d), {"lineitem": "l_shipdate < '2001-01-01'"}))
 
 def _sl(x: str) -> str:
     return f"lower({_strip_sql(x)})"
@@ -1211,11 +1260,17 @@ SELECT COALESCE(split, 'unspecified') AS split, COUNT(*) AS n FROM ({TASKS_SQL})
 SPLIT_LIMITS = {"train": 12, "dev": 6}
 register("split_head", f"""
 SELECT task_id, split, rank FROM (
-  SELECT task_id, split, CAST(row_number() OVER (PARTITION BY split ORDER BY task_id) AS INTEGER) AS rank
+  SELECT task_id, split, row_number() OVER (PARTITION BY split ORDER BY task_id) AS rank
   FROM ({TASKS_SQL}) t WHERE split IN ('train', 'dev')) x
 WHERE rank <= CASE split WHEN 'train' THEN 12 ELSE 6 END
 """)(lambda spark, d: TR.split_head(_tasks(spark, d), SPLIT_LIMITS, "task_id").select("task_id", "split", "rank"))
 
+register("split_whole", f"""
+SELECT task_id, split, row_number() OVER (PARTITION BY split ORDER BY task_id) AS rank FROM ({TASKS_SQL}) t WHERE split = 'train'
+UNION ALL SELECT * FROM (SELECT task_id, split, row_number() OVER (PARTITION BY split ORDER BY task_id) AS rank FROM ({TASKS_SQL}) t
+                         WHERE split = 'dev') x WHERE rank <= 6
+""")(lambda spark, d: TR.split_head(_tasks(spark, d), {"train": None, "dev": 6}, "task_id").select("task_id", "split", "rank"))
+
 REFRESH_SINCE = "2001-06-01"
 register("graph_refresh", f"""
 SELECT 'shippedLine' AS rel_type, CAST(l_suppkey AS VARCHAR) AS src_key, {LINE_KEY_SQL} AS dst_key FROM lineitem

@@ -11,55 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.numbers import double_text, with_images  # noqa: F401
 from quarry.session import materialize
 
 _MOD = str(1 << 64)
 
 
-_ONE = 1 << 52
-
-
-def _bits(up: int, scale: int) -> str:
-    return f"((s.e + {1022 + up}L) * {_ONE}L + cast(s.m * {float(1 << scale)!r}D as bigint))"
-
-
-#: the image of s.x from its guess s.e and mantissa s.m; a guess beside the exponent is put right here
-_IMAGE = (f"CASE WHEN s.x IS NULL THEN NULL WHEN isnan(s.x) THEN {2047 * _ONE + 1}L "
-          f"WHEN abs(s.x) = double('Infinity') THEN cast(signum(s.x) as bigint) * {2047 * _ONE}L WHEN s.x = 0 THEN 0L "
-          f"ELSE cast(signum(s.x) as bigint) * CASE WHEN s.m >= 2 THEN {_bits(1, 51)} WHEN s.m >= 1 OR s.e = -1022 THEN {_bits(0, 52)} "
-          f"ELSE {_bits(-1, 53)} END END")
-
-
-def double_images(array: str) -> str:
-    """SQL of the images of an array of doubles: the 64 bits of each as a long that sorts as the doubles do.
-
-    For x >= 0 the IEEE bits, else minus those of |x| (so -0.0 is 0.0; infinities and NaN follow the finite
-    numbers). From floor(log2 |x|), which may be one off, and |x| / 2^that: every step is exact or put
-    right, so any engine with log2 and power gets the same. Guess and mantissa are fields of a struct, made
-    once a number.
-    """
-    guess = "cast(greatest(least(floor(log2(abs(x))), 1023), -1022) as bigint)"
-    return (f"transform(transform(transform({array}, x -> struct(x AS x, {guess} AS e)), "
-            f"s -> struct(s.x AS x, s.e AS e, abs(s.x) / power(2D, s.e) AS m)), s -> {_IMAGE})")
-
-
-def with_images(df: DataFrame, named: dict[str, str]) -> DataFrame:
-    """``df`` with a column holding the image of each named column: ``named`` maps new names to columns."""
-    if not named:
-        return df
-    numbers = ", ".join(f"double(`{c}`)" for c in named.values())
-    out = df.withColumn("_images", F.expr(double_images(f"array({numbers})")))
-    return out.withColumns({name: F.get("_images", F.lit(i)) for i, name in enumerate(named)}).drop("_images")
-
-
-def double_text(x: str) -> str:
-    """SQL of the exact text of a double. 0 and magnitudes from 2^-10 to 2^63: whole part, colon, fraction in
-    units of 2^-62 (both fit a long, no bit lies below); others by their image, from a lambda that only they run."""
-    usual = f"{x} = 0 OR (abs({x}) < {2.0 ** 63!r}D AND abs({x}) >= {2.0 ** -10!r}D)"
-    return (f"CASE WHEN {usual} THEN concat(string(bigint({x})), ':', string(bigint(({x} - double(bigint({x}))) * {2.0 ** 62!r}D))) "
-            f"ELSE concat('b', string(get({double_images(f'array({x})')}, 0))) END")
-
-
 def _is_number(t: T.DataType) -> bool:
     return isinstance(t, (T.DoubleType, T.FloatType))
 
@@ -79,8 +36,9 @@ def _text(c: str, t: T.DataType) -> str:
     return f"string({c})"
 
 
-def row_digests(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """``by`` columns and the two halves (hi, lo, as decimals) of the 128-bit digest of every row.
+def row_digests(df: DataFrame, by: list[str] | None = None, cols: list[str] | None = None) -> DataFrame:
+    """``by`` columns and the two halves (hi, lo, as decimals) of the 128-bit digest of every row
+    (of its columns ``cols``, all by default).
 
     A cell's text (integers and strings as they are, doubles by ``double_text``, timestamps as epoch
     microseconds, arrays of numbers element by element) goes into the row with its length in bytes in
@@ -88,7 +46,7 @@ def row_digests(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     is made once, although its length is used too. Written as SQL text: one call to the JVM a table, not
     one a function.
     """
-    by, fields = by or [], df.schema.fields
+    by, fields = by or [], [f for f in df.schema.fields if cols is None or f.name in cols]
     cells = df.select(*[F.col(c).alias(f"by_{i}") for i, c in enumerate(by)], *[F.col(f.name).alias(f"c{i}") for i, f in enumerate(fields)])
     texts = cells.selectExpr(*[f"by_{i} AS `{c}`" for i, c in enumerate(by)], *[f"{_text(f'c{i}', f.dataType)} AS _t{i}" for i, f in enumerate(fields)])
     row = ", ".join(f"coalesce(concat(string(octet_length(_t{i})), ':', _t{i}), 'N')" for i in range(len(fields)))
@@ -107,7 +65,12 @@ def fingerprint_by(df: DataFrame, by: list[str]) -> DataFrame:
     fingerprint = the two 64-bit halves of the row digests, each summed modulo 2^64. Sums don't depend on
     row order or file layout, and fingerprints of disjoint parts add up to the whole's (``combined``).
     """
-    sums = row_digests(df, by).groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("hi").alias("hi"), F.sum("lo").alias("lo"))
+    return summed(row_digests(df, by), by)
+
+
+def summed(digests: DataFrame, by: list[str]) -> DataFrame:
+    """``by + (n_rows, fingerprint)`` of the rows of ``row_digests``."""
+    sums = digests.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("hi").alias("hi"), F.sum("lo").alias("lo"))
     zero = F.lit(0).cast("decimal(30,0)")
     return sums.select(*by, "n_rows", F.concat_ws(":", _wrap(F.coalesce("hi", zero)), _wrap(F.coalesce("lo", zero))).alias("fingerprint"))
 

@@ -17,7 +17,7 @@ from quarry.sources import tables as TB
 def test_null_group_keeps_its_percentiles(spark):
     df = spark.createDataFrame([(None, 1), (None, 3), (None, 2), ("m", 10)], "model string, v long")
     picks = {"p50": OS.upper_median}
-    for got in (OS.radix_order_statistics(df, ["model"], "v", picks),
+    for got in (OS.order_statistics(df, ["model"], "v", picks),
                 OS.order_statistics(df.withColumn("v", F.col("v").cast("double")), ["model"], "v", picks)):
         assert {(r.model, r.n, r.p50) for r in got.collect()} == {(None, 3, 2), ("m", 1, 10)}
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators.order_stats import (index_rank, last_rank, order_statistics, rank_within_groups,
@@ -21,7 +22,7 @@ def _data(spark):
 def test_order_statistics_exact(spark):
     rows, df = _data(spark)
     got = {r.g: (r.n, r.p50, r.p95, r.max) for r in order_statistics(
-        df, ["g"], "v", {"p50": upper_median, "p95": index_rank(0.95), "max": last_rank}, bucket_width=256).collect()}
+        df, ["g"], "v", {"p50": upper_median, "p95": index_rank(0.95), "max": last_rank}, radix_bits=8).collect()}
     groups = {}
     for _, g, v in rows:
         groups.setdefault(g, []).append(v)
@@ -56,12 +57,10 @@ def test_top_k_per_group(spark):
 
 
 def test_radix_order_statistics_exact(spark):
-    from quarry.operators.order_stats import radix_order_statistics
-
     rows, df = _data(spark)
     rows += [(10 ** 6 + i, "wide", v) for i, v in enumerate([-5, 0, 7, 7, 2 ** 40, 2 ** 40 + 3, 123456789])]
     df = spark.createDataFrame(rows, "id long, g string, v long")
-    got = {r.g: (r.n, r.p50, r.p95, r.max, r.min) for r in radix_order_statistics(
+    got = {r.g: (r.n, r.p50, r.p95, r.max, r.min) for r in order_statistics(
         df, ["g"], "v", {"p50": upper_median, "p95": index_rank(0.95), "max": last_rank, "min": lambda n: n * 0},
         radix_bits=8).collect()}
     groups = {}
@@ -105,3 +104,28 @@ def test_batch_reducers_match_brute_force(spark):
     assert got["top"][0].value_text == best
     assert sorted(x.value_text for x in got["setl"]) == sorted({str(r[0] % 10) for r in rows if r[3] == 0})
     assert got["empty"][0].value_num == 0.0     # nothing matched: a count is 0, as COUNT(*) says
+
+
+def test_percentiles_of_any_numbers(spark):
+    """Seconds within one unit, ratios, signs, subnormals, infinities and NaN, decimals, the ends of a long;
+    one group of a single value, one NULL group."""
+    import decimal
+    import math
+
+    rng = random.Random(11)
+    doubles = {"unit": [rng.random() for _ in range(900)], "signs": [rng.uniform(-1, 1) * 10 ** rng.randint(-300, 300) for _ in range(700)] + [0.0, -0.0],
+               "tiny": [k * 5e-324 for k in range(50)], "ends": [math.inf, -math.inf, 1.0, -1.0, 2.5], "same": [0.1] * 40, None: [0.25, 0.5, 0.125]}
+    longs = {"ends": [-(2 ** 63), 2 ** 63 - 1, 0, -1, 1], "near": [10 ** 15 + rng.randint(0, 9) for _ in range(300)], "same": [-7] * 9}
+    money = {"a": [decimal.Decimal(rng.randint(-10 ** 6, 10 ** 6)).scaleb(-2) for _ in range(200)]}
+    picks = {"p50": upper_median, "p95": index_rank(0.95), "max": last_rank, "min": lambda n: n * 0}
+    for kind, groups in (("double", doubles), ("long", longs), ("decimal(12,2)", money), ("decimal(30,2)", money)):
+        df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in [*vs, None]], f"g string, v {kind}").repartition(3)
+        got = {r.g: (r.n, r.p50, r.p95, r.max, r.min) for r in order_statistics(df, ["g"], "v", picks).collect()}
+        for g, vs in groups.items():
+            s, n = sorted(vs), len(vs)
+            assert got[g] == (n, s[n // 2], s[min(n - 1, int(0.95 * n))], s[-1], s[0]), (kind, g)
+    last = spark.createDataFrame([("x", math.nan), ("x", 1.0), ("x", math.inf)], "g string, v double")
+    assert math.isnan(order_statistics(last, ["g"], "v", {"max": last_rank}).first()["max"])
+    assert order_statistics(last.limit(0), ["g"], "v", picks).count() == 0
+    with pytest.raises(TypeError):
+        order_statistics(spark.createDataFrame([("a", "b")], "g string, v string"), ["g"], "v", picks)

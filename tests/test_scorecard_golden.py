@@ -48,14 +48,16 @@ def test_scorecard_matches_published(tasks):
 
 
 def test_exact_percentiles(tasks):
-    r = SC.latency_percentiles(tasks, bucket_width=1000).first()
+    r = SC.latency_percentiles(tasks).first()
     assert (r.p50, r.p95, r.max) == (26495, 49498, 52864)
 
 
-def test_percentiles_independent_of_bucket_width(tasks):
-    for w in (1, 7, 100000):
-        r = SC.latency_percentiles(tasks, bucket_width=w).first()
-        assert (r.p50, r.p95, r.max) == (26495, 49498, 52864)
+def test_percentiles_of_seconds(tasks):
+    """The same latencies as doubles in seconds: no bucket width to choose."""
+    from pyspark.sql import functions as F
+
+    r = SC.latency_percentiles(tasks.withColumn("latency_ms", F.col("latency_ms") / 1000.0)).first()
+    assert (r.p50, r.p95, r.max) == (26.495, 49.498, 52.864)
 
 
 def test_by_category_rollup(tasks):
@@ -107,7 +109,7 @@ def test_nested_scorecard_sink_roundtrip(spark, tasks):
     from quarry.sources.tables import write_table
 
     out = tempfile.mkdtemp(prefix="quarry-cards-")
-    write_table(SC.nested_scorecard(tasks, bucket_width=1000), out, partition_by=["model"], fmt="json")
+    write_table(SC.nested_scorecard(tasks), out, partition_by=["model"], fmt="json")
     back = spark.read.json(out)
     r = back.select("model", "accuracy.overall_pct", "tokens.total", "latency_ms.p95", "cost.cost_per_correct_usd",
                     "accuracy.by_category", "frozen_weights.single_config").first()

@@ -150,3 +150,41 @@ def test_randomised_set_recall_and_refusal_match_python(spark):
         rec = len(found) / len(e) if e else 1.0
         assert got[i].rec == rec and got[i].ok == (rec >= 0.999), (a, e)
         assert got[i].ref == any(k in norm(a) for k in S.REFUSAL_PHRASES), a
+
+
+def test_records_of_all_kinds_and_errors(spark):
+    """Text scalars, errors with and without an answer, verdicts that an error voids, an unknown kind."""
+    import pytest
+
+    num = spark.createDataFrame([("a", "scalar", "about 12 of 40", 40.0, None, 1), ("b", "scalar", "none", 3.0, None, 2), ("c", "scalar", None, 3.0, "timeout", 3)],
+                                "id string, answer_type string, answer string, expected_num double, error string, extra int")
+    words = spark.createDataFrame([("d", "scalar", "It is  BLUE-green", "blue-GREEN"), ("e", "scalar", "red", "blue")],
+                                  "id string, answer_type string, answer string, expected_text string")
+    sets = spark.createDataFrame([("f", "set", "x and y", ["x", "y"]), ("g", "set", "x", ["x", "it's", "z"]), ("h", "set", None, []), ("i", "set", "", list("bcdefgh"))],
+                                 "id string, answer_type string, answer string, expected_values array<string>")
+    refusals = spark.createDataFrame([("j", "refusal", "no data", None, None), ("k", "refusal", "42", None, True), ("l", "refusal", "42", "timeout", True),
+                                      ("m", "refusal", "I cannot", "timeout", False), ("n", "refusal", None, "timeout", None)],
+                                     "id string, answer_type string, answer string, error string, judge_correct boolean")
+    out = S.score_answers([num, words, sets, refusals])
+    got = {r.id: (r.correct, r.set_recall, r.detail) for r in out.collect()}
+    assert got == {
+        "a": (True, None, "found 40.0 within tol of 40.0"), "b": (False, None, "expected 3.0 not found among numbers in answer"),
+        "c": (False, None, "expected 3.0 not found among numbers in answer"), "d": (True, None, "substring match for 'blue-GREEN'"),
+        "e": (False, None, "substring match for 'blue'"), "f": (True, 1.0, "recall 1.00"), "g": (False, 1 / 3, "recall 0.33, missing ['it's', 'z']"),
+        "h": (True, 1.0, "recall 1.00"), "i": (False, 0.0, "recall 0.00, missing ['b', 'c', 'd', 'e', 'f']"),
+        "j": (True, None, "refusal: judge-primary (heuristic)"), "k": (True, None, "refusal: judge-primary"),
+        "l": (False, None, "refusal: judge-primary (heuristic)"), "m": (True, None, "refusal: judge-primary (heuristic)"),
+        "n": (False, None, "refusal: judge-primary (heuristic)")}
+    assert {"extra", "error", "judge_correct"} <= set(out.columns)
+    assert {r.id: r.judge_correct for r in out.where("answer_type = 'refusal'").collect()} == {"j": None, "k": True, "l": None, "m": None, "n": None}
+    with pytest.raises(Exception, match="no rule for answer_type essay"):
+        S.score_answers([refusals.withColumn("answer_type", F.lit("essay"))]).collect()
+
+
+def test_split_head_without_a_limit(spark):
+    from quarry.plans import truth as TR
+
+    tasks = spark.createDataFrame([(i, ("train", "dev", None)[i % 3]) for i in range(300)], "task_id long, split string").repartition(4)
+    got = sorted((r.split, r.task_id, r["rank"]) for r in TR.split_head(tasks, {"train": None, "dev": 2}, "task_id").collect())
+    assert got == [("dev", 1, 1), ("dev", 4, 2)] + [("train", 3 * i, i + 1) for i in range(100)]
+    assert TR.split_head(tasks, {}, "task_id").count() == 0
