@@ -6,6 +6,7 @@ aliased identically in the DataFrame plan and in the SQL.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -1283,6 +1284,30 @@ WHERE l_shipdate >= TIMESTAMP '{REFRESH_SINCE}' AND l_suppkey IS NOT NULL AND l_
 """)(lambda spark, d: RF.incremental_edges(Catalog(spark, d), driver_ontology(), ["shippedLine", "ofPart"], "l_shipdate",
                                             REFRESH_SINCE))
 
+def _changed_orders(spark, d):
+    """A feed over all orders in four batches: the orders as they are, every seventh moved to another customer,
+    every eleventh cancelled, and the second batch once more with the first versions of cancelled orders late."""
+    from pyspark.sql import types as T
+
+    from quarry.session import ensure_checkpoint_dir
+
+    orders = Catalog(spark, d).orders
+    first = orders.withColumn("version", F.lit(1)).withColumn("deleted", F.lit(False))
+    moved = first.where("o_orderkey % 7 = 0").withColumns({"o_custkey": F.col("o_custkey") % 10 + 1, "version": F.lit(2)})
+    gone = first.where("o_orderkey % 11 = 0").withColumns({"version": F.lit(3), "deleted": F.lit(True)})
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in first.schema.fields])
+    store = RF.FactStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/orders-{uuid.uuid4().hex}", schema, ["o_orderkey"], buckets=16)
+    for batch in (first, moved, gone, moved.unionByName(first.where("o_orderkey % 11 = 0"))):
+        store.merge(batch)
+    return store.edges(driver_ontology(), ["placedOrder"])
+
+
+register("graph_refresh_changes", """
+SELECT 'placedOrder' AS rel_type, CAST(CASE WHEN o_orderkey % 7 = 0 THEN o_custkey % 10 + 1 ELSE o_custkey END AS VARCHAR) AS src_key,
+       CAST(o_orderkey AS VARCHAR) AS dst_key
+FROM orders WHERE o_orderkey % 11 <> 0 AND o_custkey IS NOT NULL
+""")(_changed_orders)
+
 register("traverse_two_branch", """
 WITH best AS (
   SELECT o.o_custkey, l.l_extendedprice, l.l_partkey,
