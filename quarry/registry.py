@@ -454,6 +454,28 @@ def _score_set_recall(spark, d):
                     F.array_join(F.slice(S.set_missing("answer", "expected_values"), 1, 5), "|").alias("missing_head"))
 
 
+@register("score_large_sets", f"""
+WITH m AS (SELECT c_nationkey AS task_id, c_custkey AS position, c_name AS value FROM customer),
+a AS (SELECT c_nationkey AS task_id, 'Customers:' || chr(9) || string_agg(upper(c_name), ' and ' ORDER BY c_custkey) AS answer
+      FROM customer WHERE c_custkey % 4 <> 0 GROUP BY c_nationkey),
+f AS (SELECT m.task_id, position, value, contains({_norm_sql('answer')}, {_norm_sql('value')}) AS found FROM m JOIN a ON m.task_id = a.task_id)
+SELECT task_id, COUNT(*) AS n_expected, COUNT(*) FILTER (found) AS n_found, COUNT(*) FILTER (found) / COUNT(*)::DOUBLE AS recall,
+       COUNT(*) FILTER (found) / COUNT(*)::DOUBLE >= 0.999 AS correct,
+       COALESCE(array_to_string(list(value ORDER BY position) FILTER (NOT found)[1:5], '|'), '') AS missing_head
+FROM f GROUP BY task_id
+""")
+def _score_large_sets(spark, d):
+    from quarry.operators.set_recall import long_set_recall
+
+    c = Catalog(spark, d).customer
+    members = c.select(F.col("c_nationkey").alias("task_id"), F.col("c_custkey").alias("position"), F.col("c_name").alias("value"))
+    # an answer is one text: its names are gathered into one row, like any answer's
+    named = c.where("c_custkey % 4 <> 0").groupBy(F.col("c_nationkey").alias("task_id")).agg(
+        F.array_sort(F.collect_list(F.struct("c_custkey", F.upper("c_name").alias("name")))).alias("names"))
+    answers = named.select("task_id", F.concat(F.lit("Customers:\t"), F.array_join(F.col("names.name"), " and ")).alias("answer"))
+    return long_set_recall(answers, members).withColumn("missing_head", F.array_join("missing", "|")).drop("missing")
+
+
 _PHRASES_SQL = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in S.REFUSAL_PHRASES) + "]"
 REFUSALS_SQL = """
 SELECT conv_id, turn, text AS answer, CASE WHEN turn % 5 = 0 THEN turn % 10 = 0 END AS verdict
