@@ -84,11 +84,12 @@ def _chance_levels(rows: DataFrame) -> DataFrame:
     The windows run over one row a size of a source."""
     sizes = rows.where((F.col("size") > 0) & (F.col("size") <= F.col("rest"))).groupBy("source", "size").agg(
         F.count(F.lit(1)).alias("n"), F.first("rest").alias("rest"))
-    order = Window.partitionBy("source").orderBy(F.col("size").desc())
-    longer, down = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # running sums from the shortest size up: what is longer is the rest of the source's words
+    upto = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    words = F.col("n") * F.col("size")
     square = F.col("n").cast("decimal(18,0)") * (F.col("size") * F.col("size")).cast("decimal(18,0)")
-    left = F.col("rest") - F.coalesce(F.sum(F.col("n") * F.col("size")).over(longer), F.lit(0))
-    sizes = sizes.withColumn("c", left / F.sum(square).over(down).cast("double"))
+    left = F.col("rest") - (F.sum(words).over(Window.partitionBy("source")) - F.sum(words).over(upto))
+    sizes = sizes.withColumn("c", left / F.sum(square).over(upto).cast("double"))
     first = sizes.where((F.col("c") > 0) & (F.col("c") * F.col("size") <= 1)).groupBy("source").agg(F.max(F.struct("size", "c")).alias("x"))
     return first.select(F.col("source").alias("s_"), F.col("x.size").alias("upto"), F.col("x.c").alias("c"))
 
