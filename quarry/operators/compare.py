@@ -138,7 +138,7 @@ def cost_projection(cards: DataFrame, prices: DataFrame, anchor: str, multiplier
     """Dollars for one pass at the anchor's token volume, times a safety multiplier, vs a ceiling."""
     is_a = F.col(by) == anchor
     c = (cards.withColumn("_a_in", _ref_value("tokens_in", is_a)).withColumn("_a_out", _ref_value("tokens_out", is_a))
-         .join(F.broadcast(prices), by, "left"))
+         .join(prices, by, "left"))
     rin = F.coalesce(F.col("input_rate"), F.lit(default[0]))
     rout = F.coalesce(F.col("output_rate"), F.lit(default[1]))
     usd = (F.col("_a_in") / F.lit(1e6)) * rin + (F.col("_a_out") / F.lit(1e6)) * rout

@@ -21,8 +21,9 @@ def pct(a: Column, b: Column, places: int = 1) -> Column:
 
 
 def priced(tasks: DataFrame, prices: DataFrame) -> DataFrame:
-    """A5: left join to the price list (tiny, fixed size: broadcast) with the default rate as fallback."""
-    p = F.broadcast(prices.select("model", F.col("input_rate").alias("_in"), F.col("output_rate").alias("_out")))
+    """A5: left join to the price list with the default rate as fallback. The list is the caller's: it is
+    broadcast by its size, not by a hint."""
+    p = prices.select("model", F.col("input_rate").alias("_in"), F.col("output_rate").alias("_out"))
     j = tasks.join(p, "model", "left")
     return (j.withColumn("input_rate", F.coalesce("_in", F.lit(D.DEFAULT_PRICE[0])))
             .withColumn("output_rate", F.coalesce("_out", F.lit(D.DEFAULT_PRICE[1]))).drop("_in", "_out"))

@@ -607,7 +607,7 @@ FROM (SELECT DISTINCT 'm' || CAST(event_id % 4 AS VARCHAR) AS model FROM events)
   ON m.model = p.model
 """)(lambda spark, d: SC.priced(
     Catalog(spark, d).events.select(F.concat(F.lit("m"), (F.col("event_id") % 4).cast("string")).alias("model"))
-    .distinct().join(F.broadcast(D.prices(spark).select("model", F.lit(False).alias("used_default"))), "model", "left"),
+    .distinct().join(D.prices(spark).select("model", F.lit(False).alias("used_default")), "model", "left"),
     D.prices(spark)).select("model", "input_rate", "output_rate",
                             F.coalesce("used_default", F.lit(True)).alias("used_default")))
 
