@@ -10,7 +10,7 @@ ever gathered into one row.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.scoring import PY_WHITESPACE_CLASS, py_strip
@@ -148,7 +148,8 @@ def compose_inputs(questions: DataFrame, blocks: DataFrame, *, include_summary:
     """H4: the model input per question.
 
     ``questions``: key, question, error, summary. ``blocks``: key, ref_no, block (already
-    projected). Output: key, text, n_total, n_shown, has_rows.
+    projected). Output: key, text, n_total, n_shown, has_rows. Without ``max_rows`` a question's whole
+    text is one row: ``compose_chunks`` gives it in rows of bounded length.
     """
     # one grouped pass over all blocks: the total and whether any block has text (has_rows looks
     # at every block, not only the shown ones)
@@ -163,24 +164,91 @@ def compose_inputs(questions: DataFrame, blocks: DataFrame, *, include_summary:
         F.array_sort(F.collect_list(F.struct("shown_no", "block"))).alias("_blocks"),
         F.count(F.lit(1)).alias("n_shown"))
     q = questions.join(per_q, key, "left").join(stats, key, "left")
-    has_rows = F.coalesce(F.col("has_rows"), F.lit(False))
-    head = F.array(F.lit(HEAD_QUESTION), F.col("question"), F.lit(""), F.lit(HEAD_EVIDENCE))
-    err = F.array(F.concat(F.lit(ERROR_PREFIX), F.col("error")), F.lit(ERROR_TAIL))
-    none = F.array(F.lit(NO_ROWS_1), F.lit(NO_ROWS_2))
-    summary = (F.when(F.lit(include_summary) & (F.coalesce(F.length("summary"), F.lit(0)) > 0),
-                      F.array(F.lit(HEAD_SUMMARY), F.col("summary"), F.lit("")))
-               .otherwise(F.array().cast("array<string>")))
     refs = F.flatten(F.transform(F.coalesce(F.col("_blocks"), F.array().cast("array<struct<shown_no:int,block:string>>")),
                                  lambda b: F.array(F.concat(F.lit(REF_HEADER), b["shown_no"].cast("string")), b["block"])))
     note = (F.when(F.lit(max_rows is not None) & (F.col("n_total") > F.col("n_shown")),
                    F.array(F.lit(NOTE_HEADER), F.concat(F.col("n_shown").cast("string"), F.lit(" of "),
                                                         F.col("n_total").cast("string"), F.lit(NOTE_TAIL))))
             .otherwise(F.array().cast("array<string>")))
-    body = (F.when(F.col("error").isNotNull(), err).when(~has_rows, none)
-            .otherwise(F.concat(summary, F.array(F.lit(HEAD_ROWS)), refs, note)))
-    return q.select(key, F.array_join(F.concat(head, body), "\n").alias("text"),
+    lines = F.when(_shows_rows(), F.concat(_opening(include_summary), refs, note)).otherwise(_opening(include_summary))
+    return q.select(key, F.array_join(lines, "\n").alias("text"),
                     F.coalesce("n_total", F.lit(0)).alias("n_total"), F.coalesce("n_shown", F.lit(0)).alias("n_shown"),
-                    has_rows.alias("has_rows"))
+                    F.coalesce("has_rows", F.lit(False)).alias("has_rows"))
+
+
+def _shows_rows() -> Column:
+    return F.col("error").isNull() & F.coalesce("has_rows", F.lit(False))
+
+
+def _opening(include_summary: bool) -> Column:
+    """The lines before the first reference; without references, all lines."""
+    head = F.array(F.lit(HEAD_QUESTION), F.col("question"), F.lit(""), F.lit(HEAD_EVIDENCE))
+    err = F.array(F.concat(F.lit(ERROR_PREFIX), F.col("error")), F.lit(ERROR_TAIL))
+    none = F.array(F.lit(NO_ROWS_1), F.lit(NO_ROWS_2))
+    summary = (F.when(F.lit(include_summary) & (F.coalesce(F.length("summary"), F.lit(0)) > 0),
+                      F.array(F.lit(HEAD_SUMMARY), F.col("summary"), F.lit("")))
+               .otherwise(F.array().cast("array<string>")))
+    body = F.when(F.col("error").isNotNull(), err).when(~_shows_rows(), none).otherwise(F.concat(summary, F.array(F.lit(HEAD_ROWS))))
+    return F.concat(head, body)
+
+
+def compose_chunks(questions: DataFrame, blocks: DataFrame, *, include_summary: bool = True,
+                   max_row_chars: int | None = None, chunk_chars: int = 1 << 20, key: str = "question_id") -> DataFrame:
+    """H4 without a cap: the text that ``compose_inputs(max_rows=None)`` gives, in numbered chunks.
+
+    Output: key, chunk_no (from 0), text of ``chunk_chars`` characters (the last chunk: what is left); the
+    chunks of a question in order are its text. ``ref_no`` must be unique within a question. No row is
+    longer than a chunk or a block: references are numbered across tasks, the place of each comes from
+    sums of lengths over 4,096 references, over 4,096 such sums and so on, and each is cut at the
+    chunk borders. A question without blocks has its opening alone; blocks of no question are left out.
+    """
+    stats = blocks.groupBy(key).agg(F.max(has_text(F.col("block"))).alias("has_rows"))
+    asked = questions.join(stats, key, "left")
+    opening = asked.select(key, F.array_join(_opening(include_summary), "\n").alias("piece"), _shows_rows().alias("_rows"))
+    # what follows an opening starts at its length
+    shown = (blocks.select(key, "ref_no", truncate(strip(F.col("block")), max_row_chars).alias("block"))
+             .join(opening.where("_rows").select(key, F.length("piece").cast("long").alias("_from")), key))
+    refs = rank_within_groups(shown, [key], [F.col("ref_no")], "no").withColumn("no", F.col("no").cast("long"))
+    text = F.concat(F.lit("\n" + REF_HEADER), F.col("no").cast("string"), F.coalesce(F.concat(F.lit("\n"), F.col("block")), F.lit("")))
+    refs = refs.select(key, "no", "_from", text.alias("piece"), F.length(text).cast("long").alias("_len"))
+    refs = _starts(refs, key).select(key, "no", "piece", (F.col("_from") + F.col("_start")).alias("_start"))
+    pieces = opening.select(key, F.lit(0).cast("long").alias("no"), "piece", F.lit(0).cast("long").alias("_start")).unionByName(refs)
+
+    size = F.lit(chunk_chars).cast("long")
+    last = F.expr(f"(_start + greatest(length(piece), 1) - 1) div {chunk_chars}")
+    cut = pieces.select("*", F.explode(F.sequence(F.expr(f"_start div {chunk_chars}"), last)).alias("chunk_no"))
+    begin = F.greatest(F.col("chunk_no") * size - F.col("_start"), F.lit(0))
+    upto = (F.col("chunk_no") + 1) * size - F.col("_start")
+    cut = cut.select(key, "chunk_no", "no", F.col("piece").substr((begin + 1).cast("int"), F.least(upto - begin, size).cast("int")).alias("part"))
+    # at most chunk_chars parts of a character or more
+    parts = cut.groupBy(key, "chunk_no").agg(F.array_sort(F.collect_list(F.struct("no", "part"))).alias("_parts"))
+    return parts.select(key, "chunk_no", F.array_join(F.col("_parts.part"), "").alias("text"))
+
+
+def _starts(refs: DataFrame, key: str, bits: int = 12, levels: int = 3) -> DataFrame:
+    """``_start``: sum of ``_len`` over the earlier ``no`` of the key. Sums are taken over runs of 2**bits rows, level
+    by level, so that no window holds more (the last: one row for 2**36 references)."""
+    def running(df: DataFrame, at: str, group: str) -> DataFrame:
+        w = Window.partitionBy(key, group).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn("_before", F.coalesce(F.sum("_len").over(w), F.lit(0)))
+
+    sums, at, offsets = refs, "no", []
+    for level in range(1, levels + 1):
+        group = f"_g{level}"
+        sums = sums.withColumn(group, F.shiftright(F.col("no"), bits * level))
+        if level > 1:
+            sums = sums.groupBy(key, at, group).agg(F.sum("_len").alias("_len"), F.min("no").alias("no"))
+            offsets.append(running(sums, at, group).select(key, at, group, F.col("_before").alias(f"_b{level}")))
+        at = group
+    top = sums.groupBy(key, at).agg(F.sum("_len").alias("_len")).withColumn("_all", F.lit(0))
+    offsets.append(running(top, at, "_all").select(key, at, F.col("_before").alias("_btop")))
+    # from the coarsest level down, small sides joined to small sides; the references meet one row per run
+    total = offsets.pop().withColumnRenamed("_btop", "_off")
+    for o in reversed(offsets):
+        level_at, group, before = o.columns[1:]
+        total = o.join(total, [key, group]).select(key, level_at, (F.col(before) + F.col("_off")).alias("_off"))
+    here = running(refs.withColumn("_g1", F.shiftright(F.col("no"), bits)), "no", "_g1")
+    return here.join(total, [key, "_g1"]).withColumn("_start", F.col("_before") + F.col("_off")).drop("_g1", "_before", "_off")
 
 
 def customer_questions(catalog) -> DataFrame:

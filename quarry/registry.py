@@ -955,6 +955,35 @@ def _evidence_compose(spark, d):
                       F.md5("text").alias("text_md5"))
 
 
+CHUNK_CHARS = 512
+CHUNKS_SQL = f"""
+WITH b AS (SELECT o_custkey AS question_id, o_orderkey AS ref_no, {_strip_sql(_block_sql(['notes']))} AS block,
+                  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS no FROM orders),
+refs AS (SELECT question_id, string_agg(chr(10) || '### reference ' || CAST(no AS VARCHAR) || chr(10) || block, '' ORDER BY no) AS refs
+         FROM b GROUP BY question_id),
+t AS (SELECT c_custkey AS question_id,
+             '# Question' || chr(10) || 'Which orders did ' || c_name || ' place?' || chr(10) || chr(10) ||
+             '# Grounded ontology evidence (AUTHORITATIVE — answer ONLY from this)' || chr(10) ||
+             CASE WHEN c_custkey % 97 = 0 THEN 'RETRIEVAL ERROR: HTTP 500: upstream timeout' || chr(10) ||
+                       'NO ROWS were returned. You must reply that the data is unavailable.'
+                  WHEN refs IS NULL THEN 'NO ROWS were returned for this question.' || chr(10) ||
+                       'You must reply that the data is unavailable; do NOT fabricate an answer.'
+                  ELSE CASE WHEN c_custkey % 2 = 0
+                            THEN '## Retrieval summary' || chr(10) || 'Orders of ' || c_name || ' follow.' || chr(10) || chr(10)
+                            ELSE '' END || '## Verbatim rows (CSV)' || refs END AS text
+      FROM customer LEFT JOIN refs ON question_id = c_custkey),
+c AS (SELECT question_id, text, unnest(range(0, (length(text) + 511) // 512)) AS chunk_no FROM t)
+SELECT question_id, chunk_no, CAST(length(substr(text, chunk_no * 512 + 1, 512)) AS INTEGER) AS chunk_chars,
+       md5(substr(text, chunk_no * 512 + 1, 512)) AS chunk_md5 FROM c"""
+
+
+@register("evidence_compose_chunks", CHUNKS_SQL)
+def _evidence_compose_chunks(spark, d):
+    cat = Catalog(spark, d)
+    out = EV.compose_chunks(EV.customer_questions(cat), EV.order_blocks(cat, ["notes"]), chunk_chars=CHUNK_CHARS)
+    return out.select("question_id", "chunk_no", F.length("text").alias("chunk_chars"), F.md5("text").alias("chunk_md5"))
+
+
 def _json_str_sql(x: str) -> str:
     return ("'\"' || replace(replace(replace(replace(replace(" + x +
             ", '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') || '\"'")

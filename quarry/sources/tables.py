@@ -12,6 +12,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from quarry.sources.quoted_csv import read_quoted_csv
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -70,11 +72,13 @@ TRUTH_RECORD_SCHEMA = T.StructType([
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
     """A1: CSV with a header row read against a declared schema (``true``/``false`` text -> BOOLEAN).
 
-    A header that differs from the schema's names fails. Files are split over tasks unless
-    ``multi_line`` says that quoted cells may hold line breaks (then a file is one task).
+    A header that differs from the schema's names fails. Files are split over tasks; ``multi_line``
+    says that quoted cells may hold line breaks (splits are then read as ``quoted_csv`` says).
     """
+    if multi_line:
+        return read_quoted_csv(spark, path, schema)
     return (spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-            .option("multiLine", multi_line).option("escape", '"').csv(path))
+            .option("escape", '"').csv(path))
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:

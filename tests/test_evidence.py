@@ -97,3 +97,26 @@ def test_randomised_csv_projection_matches_python(spark):
         sub = df.where(F.col("i").isin(idx)).select("i", EV.project_csv_text(F.col("raw"), list(d)).alias("p"))
         for r in sub.collect():
             assert r.p == py_project(blocks[r.i], list(d)), (blocks[r.i], d)
+
+
+def test_chunks_are_the_uncapped_text_cut_in_pieces(spark):
+    q = spark.createDataFrame([(1, "Q1?", None, "sum"), (2, "Q2?", "HTTP 500", None), (3, "Q3?", None, None), (4, "Q4?", None, None)],
+                              "question_id long, question string, error string, summary string")
+    rows = [(1, n, None if n % 50 == 0 else " ü" * (n % 9) + f"a\n{n} ") for n in range(9000)]  # over two runs of 4,096
+    rows += [(2, 1, "x"), (3, 1, "  "), (4, 5, "y" * 2000), (9, 1, "no question")]
+    b = spark.createDataFrame(rows, "question_id long, ref_no long, block string")
+    want = {r.question_id: r.text for r in EV.compose_inputs(q, b).collect()}
+    for size in (100, 1 << 20):
+        got = {}
+        for r in sorted(EV.compose_chunks(q, b, chunk_chars=size).collect(), key=lambda r: (r.question_id, r.chunk_no)):
+            got.setdefault(r.question_id, []).append(r.text)
+        assert {k: "".join(v) for k, v in got.items()} == want
+        assert all(len(c) == size for v in got.values() for c in v[:-1])
+        assert all(0 < len(v[-1]) <= size for v in got.values())
+
+
+def test_running_starts_over_several_levels(spark):
+    rows = [(k, n, (n * 7) % 5) for k in (1, 2) for n in range(1, 120)]
+    df = spark.createDataFrame(rows, "k long, no long, _len long")
+    got = {(r.k, r.no): r._start for r in EV._starts(df, "k", bits=2, levels=3).collect()}
+    assert got == {(k, n): sum((m * 7) % 5 for m in range(1, n)) for k in (1, 2) for n in range(1, 120)}
