@@ -98,6 +98,52 @@ CC_TERMS = {
     "cc-by-nc-sa": (r"nc\W+sa", r"\W+non\W?commercial\W+share\W?alike"),
     "cc-by-nc-nd": (r"nc\W+nd", r"\W+non\W?commercial\W+no\W?deriv(?:ative)?s?"),
 }
+#: fixed values: sentences of the license texts themselves and of the notices they ask for: (label, rule, priority,
+#: keyword, the words, confidence); any non-word characters may stand between words
+TEXTS = [
+    ("mit", "body", 0, "hereby", "permission is hereby granted free of charge to any person obtaining a copy", 0.95),
+    ("boost", "body", 0, "hereby", "permission is hereby granted free of charge to any person or organization obtaining a copy", 0.95),
+    ("isc", "body", 0, "hereby", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 0.95),
+    ("isc", "body-and", 0, "hereby", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted", 0.95),
+    ("postgresql", "body", 0, "documentation", "permission to use copy modify and distribute this software and its documentation for any purpose without fee", 0.9),
+    ("bsd", "body", 1, "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 0.95),
+    ("bsd-4-clause", "body", 0, "advertising", "all advertising materials mentioning features or use of this software must display", 0.95),
+    ("zlib", "body", 0, "misrepresented", "the origin of this software must not be misrepresented", 0.9),
+    ("unlicense", "body", 0, "unencumbered", "this is free and unencumbered software released into the public domain", 0.95),
+    ("wtfpl", "body", 0, "fuck", "you just do what the fuck you want to", 0.9),
+    ("cc0", "body", 0, "extent", "to the extent possible under law", 0.6),
+    ("ncsa", "body", 0, "restriction", "to deal with the software without restriction", 0.7),
+    ("apache", "notice", 0, "compliance", "you may not use this file except in compliance with the license", 0.9),
+    ("mpl", "notice", 0, "mozilla", "this source code form is subject to the terms of the mozilla public license", 1.0),
+    ("gpl", "notice", 0, "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license", 1.0),
+    ("lgpl", "notice", 0, "redistribute", "you can redistribute it and or modify it under the terms of the gnu lesser general public license", 1.0),
+    ("lgpl", "notice-library", 0, "redistribute", "you can redistribute it and or modify it under the terms of the gnu library general public license", 1.0),
+    ("agpl", "notice", 0, "redistribute", "you can redistribute it and or modify it under the terms of the gnu affero general public license", 1.0),
+    ("gfdl", "notice", 0, "documentation", "distribute and or modify this document under the terms of the gnu free documentation license", 1.0),
+    ("proprietary", "notice", 1, "unauthorized", "unauthorized copying of this file via any medium is strictly prohibited", 0.9),
+]
+#: fixed values: the clause that makes three clauses of BSD's two; holders' names stand in the gap
+BSD_NAMES = r"neither\W+the\W+names?\W+of\W+(?:\w+\W+){1,12}?nor\W+the\W+names\W+of\W+(?:its|their|the|other)\W+contributors"
+#: fixed values: label, keyword, address below which the license's own text lies
+HOMES = [
+    ("apache", "apache.org", r"apache\.org/licenses/license-[12]\.[01]"),
+    ("gpl", "gnu.org", r"gnu\.org/(?:licenses/(?:old-licenses/)?|copyleft/)gpl"),
+    ("lgpl", "gnu.org", r"gnu\.org/(?:licenses/(?:old-licenses/)?|copyleft/)(?:lgpl|lesser)"),
+    ("agpl", "gnu.org", r"gnu\.org/licenses/agpl"),
+    ("gfdl", "gnu.org", r"gnu\.org/(?:licenses/(?:old-licenses/)?|copyleft/)fdl"),
+    ("mpl", "mozilla.org", r"mozilla\.org/(?:[a-z-]+/)?mpl"),
+    ("epl", "eclipse.org", r"eclipse\.org/(?:legal|org/documents)/epl"),
+    ("boost", "boost.org", r"boost\.org/license_1_0"),
+    ("unlicense", "unlicense.org", r"unlicense\.org"),
+    ("wtfpl", "wtfpl.net", r"wtfpl\.net"),
+    ("ofl", "sil.org", r"scripts\.sil\.org/ofl"),
+    ("php", "php.net", r"php\.net/license"),
+    ("cc0", "creativecommons", r"creativecommons\.org/publicdomain/zero"),
+    ("public-domain", "creativecommons", r"creativecommons\.org/publicdomain/mark"),
+    ("odbl", "opendatacommons", r"opendatacommons\.org/licenses/odbl"),
+    ("odc-by", "opendatacommons", r"opendatacommons\.org/licenses/by"),
+    ("pddl", "opendatacommons", r"opendatacommons\.org/licenses/pddl"),
+]
 CC_GATE = r"(?<![0-9a-z\u0080-\x{10FFFF}])cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by(?![0-9a-z\u0080-\x{10FFFF}])"
 #: "cc by" as the rules see it: any non-word characters between
 CC_RULE_GATE = r"(?<![0-9a-z])cc\W+by(?![0-9a-z])"
@@ -108,7 +154,8 @@ VERSION = r"\W{1,3}(?:version\W{1,3}|v\W?)?[0-9](?:\.[0-9])?"
 
 def rules() -> list[Rule]:
     """Every family's forms: SPDX tag and URL (0), grant with and without version (0, 1), name with
-    version and alone (1, 2), abbreviation (3)."""
+    version and alone (1, 2), abbreviation (3); sentences of license texts and notices, the addresses of
+    the texts (0, 1)."""
     out = []
     for label, (name, keyword, spdx, short) in FAMILIES.items():
         out += [
@@ -131,6 +178,10 @@ def rules() -> list[Rule]:
             Rule(f"{label}:words", label, 1, "attribution", rf"creative\W+commons\W+attribution{words}(?:\W+[1-4]\.[05])?{END}", 0.9),
             Rule(f"{label}:url", label, 0, "creativecommons", rf"creativecommons\.org/licenses/{label[3:]}/[1-4]\.[05]", 1.0),
         ]
+    for label, name, priority, keyword, words, confidence in TEXTS:
+        out.append(Rule(f"{label}:{name}", label, priority, keyword, EDGE + r"\W+".join(words.split()) + END, confidence))
+    out.append(Rule("bsd-3-clause:body", "bsd-3-clause", 0, "contributors", EDGE + BSD_NAMES + END, 0.95))
+    out += [Rule(f"{label}:home", label, 0, keyword, EDGE + address + END, 0.95) for label, keyword, address in HOMES]
     return out
 
 

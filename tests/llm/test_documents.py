@@ -328,6 +328,54 @@ def test_license_rules(spark):
     assert len(license_scan.rules()) > 200
 
 
+LICENSE_TEXTS = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated files",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
+    "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used",
+    "bsd-4-clause": "3. All advertising materials mentioning features or use of this software must display the following",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,",
+    "postgresql": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee,",
+    "zlib": "1. The origin of this software must not be misrepresented; you must not claim",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "apache": "# you may not use this file except in compliance with the License.\n# http://www.apache.org/licenses/LICENSE-2.0",
+    "gpl": "you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published",
+    "lgpl": "see https://www.gnu.org/licenses/lgpl-3.0.html", "agpl": "https://www.gnu.org/licenses/agpl-3.0", "cc0": "creativecommons.org/publicdomain/zero/1.0/",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0.", "boost": "http://www.boost.org/LICENSE_1_0.txt",
+}
+
+
+def test_license_texts_and_addresses(spark):
+    clean = ["permission to enter was granted free of charge", "redistribution of wealth in binary terms", "neither the name nor the rest", "compliance"]
+    long = "word " * 200_000 + LICENSE_TEXTS["mit"] + " word" * 200_000
+    rows = [*LICENSE_TEXTS.values(), *clean, long]
+    got = {r.doc_id: r for r in license_scan.scan(plain.frame(spark, [plain.row(i, t) for i, t in enumerate(rows)])).collect()}
+    for i, label in enumerate([*LICENSE_TEXTS, *[""] * len(clean), "mit"]):
+        assert got[i].labels == label and (got[i].score >= 0.9 if label else got[i].score == 0), rows[i][:80]
+
+
+def plain_license(text, rules):
+    """(labels, confidence, found) of every rule's matches that lie in no other of the same or a stronger priority."""
+    low = text.translate({c: c + 32 for c in range(65, 91)})
+    spans = [(m.start(), m.end(), r) for r, pattern in rules if any(k in low for k in r.keyword.split("|")) for m in pattern.finditer(low)]
+    order = sorted(spans, key=lambda s: (s[0], -s[1], s[2].priority, s[2].rule))
+    kept = [s for i, s in enumerate(order) if not any(o[1] >= s[1] and o[2].priority <= s[2].priority for o in order[:i])]
+    return {s[2].label for s in kept}, max((s[2].confidence for s in kept), default=0.0), len(kept)
+
+
+def test_license_labels_match_brute_force(spark, smoke):
+    assert all(keyword in words.split() for _, _, _, keyword, words, _ in license_scan.TEXTS)
+    rules = [(r, re.compile(r.pattern, re.ASCII)) for r in license_scan.rules()]
+    names = list(LICENSE_TEXTS.values()) + ["GPL", "Licensed under the Apache License, Version 2.0", "cc by-sa 4.0", "MIT license", "in the public domain"]
+    texts = [r.text or "" for r in smoke]
+    texts += [f"{a}. {b}" for a in names for b in names[::3]]
+    got = {r.doc_id: r for r in license_scan.scan(plain.frame(spark, [plain.row(i, t) for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        labels, best, found = plain_license(t, rules)
+        base = plain.license_base(t)[-1]
+        assert got[i].labels == ",".join(sorted(labels | set(filter(None, base.split(","))))), t
+        assert got[i].score == max(best, 0.5 if base else 0.0) and got[i].n_found == found
+
+
 def test_license_gate_is_no_stricter_than_the_rules(spark):
     phrases = {
         "proprietary": "all rights reserved", "public-domain": "in the public domain", "cc-by": "creative commons attribution 4.0",
