@@ -25,6 +25,9 @@ LINKS, WIDTH_BUILD, WIDTH_SEARCH, SEED = 16, 96, 160, 4
 #: points of a shard (expected), queries of a block
 SHARD_POINTS, QUERY_BLOCK = 16384, 4096
 _AT_ONCE, _OPEN = 256, 4
+#: partitions for each group that a task of its own should get (groups are placed by hash), and the most
+#: partitions of a shuffle; beyond it tasks take several groups, one after the other
+_SPREAD, _MOST = 2, 50_000
 
 
 @dataclass
@@ -207,7 +210,9 @@ def build_index(rows: DataFrame, k: int, shard_points: int = SHARD_POINTS) -> Da
               .groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     points = written(points.withColumn("size", F.size("embedding")), "points")
     shards = points.groupBy("size").agg(F.ceil(F.count(F.lit(1)) / shard_points).cast("int").alias("shards"))
-    dealt = points.join(shards, "size").withColumn("shard", F.pmod(F.xxhash64("embedding"), F.col("shards")).cast("int"))
+    total = shards.agg(F.sum("shards").alias("n")).first().n or 1
+    # one row a vector length: n lengths need vectors of n * (n + 1) / 2 components, so 100 TB of floats hold 7 million at most
+    dealt = points.join(F.broadcast(shards), "size").withColumn("shard", F.pmod(F.xxhash64("embedding"), F.col("shards")).cast("int"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.iloc[np.argsort(part.ids.map(lambda x: x[0]).to_numpy())]
@@ -218,8 +223,9 @@ def build_index(rows: DataFrame, k: int, shard_points: int = SHARD_POINTS) -> Da
                          ends=np.cumsum([len(x) for x in ids]), **{f"links{i}": x for i, x in enumerate(graph.links)})
         return pd.DataFrame({"size": [vectors.shape[1]], "shard": [int(part.shard.iloc[0])], "index": [held]})
 
-    return written(dealt.select("size", "shard", "embedding", "ids").groupBy("size", "shard").applyInPandas(
-        run, "size int, shard int, index binary"), "index")
+    # a number of partitions of our own: adaptive execution leaves it, so shards are built in tasks of their own
+    dealt = dealt.select("size", "shard", "embedding", "ids").repartition(min(_SPREAD * total, _MOST), "size", "shard")
+    return written(dealt.groupBy("size", "shard").applyInPandas(run, "size int, shard int, index binary"), "index")
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, shard_points: int = SHARD_POINTS) -> DataFrame:
@@ -234,8 +240,12 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, shard_points: int
     asked = written(clean(queries).dropDuplicates(["vec_id"]).withColumn("size", F.size("embedding")), "queries")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    pairs = asked.join(index.select(F.col("size").alias("size"), F.col("shard").alias("shard")), "size")
+    # the shards of a length, listed in one row of it (bounded as the lengths are; a shard is 4 bytes for its 16,384 points)
+    known = index.groupBy("size").agg(F.collect_list("shard").alias("shards"))
+    tasks = blocks * max(1, index.count())
+    pairs = asked.join(F.broadcast(known), "size").withColumn("shard", F.explode("shards")).drop("shards")
     held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs, held = (x.repartition(min(_SPREAD * tasks, _MOST), "size", "shard", "block") for x in (pairs, held))
 
     def run(q: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         names = ["query_id", "vec_id", "score"]
