@@ -8,6 +8,7 @@ broadcast for whichever side turns out small at run time (size-checked by the
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -164,9 +165,26 @@ def traverse(catalog, onto: Ontology, path: list[str], where: dict[str, str] | N
 
 # --- contracts (B9) -----------------------------------------------------------------------------
 
+#: rows of one task behind the shuffle, and tasks that a hot key is dealt to
+TASK_ROWS, HOT_SHARES = 500_000, 16
+
+
+def summed_by_key(rows: DataFrame, keys: list[str], sums: list[str], n_rows: int, hot: bool = False) -> DataFrame:
+    """``(keys..., sums...)``, the long columns ``sums`` added up by key, in memory that doesn't grow with the
+    table. Keys here are mostly unique: a hash table over a task's input would hold them all, so rows are first
+    dealt by key to as many tasks as ``n_rows`` asks for. Where keys repeat much (``hot``), a key's rows are
+    summed in ``HOT_SHARES`` shares before."""
+    n, total = max(1, math.ceil(n_rows / TASK_ROWS)), [F.sum(c).alias(c) for c in sums]
+    dealt = rows.select(*keys, *sums)
+    if hot:
+        dealt = dealt.withColumn("_share", F.monotonically_increasing_id() % HOT_SHARES)
+        dealt = dealt.repartition(n, *keys, "_share").groupBy(*keys, "_share").agg(*total)
+    return dealt.repartition(n, *keys).groupBy(*keys).agg(*total)
+
+
 def key_violations(df: DataFrame, key_cols: list[str]) -> DataFrame:
-    """Keys that occur more than once: ``(key..., n)``; partial aggregation handles hot keys."""
-    return df.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    """Keys that occur more than once: ``(key..., n)``."""
+    return summed_by_key(df.withColumn("n", F.lit(1).cast("long")), key_cols, ["n"], df.count()).where(F.col("n") > 1)
 
 
 def dangling_edges(edges: DataFrame, nodes: DataFrame, end: str = "dst_key") -> DataFrame:
@@ -183,22 +201,29 @@ def entity_key_violations(catalog, onto: Ontology, entities: list[str] | None =
         view = entity_view(catalog, e)
         text = F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in e.key])
         missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in e.key])
-        parts.append(view.groupBy(*e.key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | missing)
-                     .select(F.lit(name).alias("node_type"), text.alias("key_text"), "n"))
+        counts = summed_by_key(view.select(*e.key, F.lit(1).cast("long").alias("_n")), list(e.key), ["_n"],
+                               catalog.table(e.table).count())
+        parts.append(counts.where((F.col("_n") > 1) | missing)
+                     .select(F.lit(name).alias("node_type"), text.alias("key_text"), F.col("_n").alias("n")))
     return reduce(DataFrame.unionByName, parts)
 
 
 def dangling_ends(catalog, onto: Ontology, relationships: list[str] | None = None) -> DataFrame:
     """Ends of edges that have no node, for both ends of every relationship:
-    ``(rel_type, edge_end, missing_key, n_edges)``. Ends are counted per key before the join, so a hot
-    end is one row."""
+    ``(rel_type, edge_end, missing_key, n_edges)``. Edges and nodes are counted by key together, without a
+    join; no task sorts, or holds more than its share of the keys."""
+    one, none = (F.lit(k).cast("long") for k in (1, 0))
     parts = []
     for name in relationships or list(onto.relationships):
         rel = onto.relationship(name)
         edges = edge_table(catalog, onto, rel)
-        for end, entity in (("src_key", rel.source), ("dst_key", rel.target)):
-            used = edges.groupBy(F.col(end).alias("node_key")).agg(F.count(F.lit(1)).alias("n_edges"))
-            gone = used.join(node_table_keys(catalog, onto.entity(entity)), "node_key", "left_anti")
+        for end, entity in (("src_key", onto.entity(rel.source)), ("dst_key", onto.entity(rel.target))):
+            used = edges.select(F.col(end).alias("node_key"), one.alias("n_edges"), none.alias("nodes"))
+            nodes = node_table_keys(catalog, entity).where(F.col("node_key").isNotNull())
+            both = used.unionByName(nodes.select("node_key", none.alias("n_edges"), one.alias("nodes")))
+            n_rows = catalog.table(rel.table).count() + catalog.table(entity.table).count()
+            gone = summed_by_key(both, ["node_key"], ["n_edges", "nodes"], n_rows, hot=entity.table != rel.table)
+            gone = gone.where(F.col("nodes") == 0)
             parts.append(gone.select(F.lit(name).alias("rel_type"), F.lit(end).alias("edge_end"),
                                      F.col("node_key").alias("missing_key"), "n_edges"))
     return reduce(DataFrame.unionByName, parts)
