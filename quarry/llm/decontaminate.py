@@ -15,7 +15,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +31,8 @@ SLOP = 2
 INDEX = "segment long, term binary, n long, postings binary, docs binary"
 INDEX_ARROW = pa.schema([("segment", pa.int64()), ("term", pa.binary()), ("n", pa.int64()), ("postings", pa.binary()),
                          ("docs", pa.binary())])
+MATCHES = "segment long, doc long, item string, spans binary"
+MATCHES_ARROW = pa.schema([("segment", pa.int64()), ("doc", pa.int64()), ("item", pa.string()), ("spans", pa.binary())])
 
 
 def _words(text: bytes | None) -> list[bytes]:
@@ -207,13 +208,14 @@ def search(index: DataFrame, items: list[tuple[str, bytes]], width: int = WINDOW
     hits = index.where("term IS NOT NULL").join(F.broadcast(wanted), "term").select("segment", "term", "n", "postings")
     common = {bytes(r.term): r.n for r in hits.groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        posts = {bytes(t): _unpacked(bytes(p)) for t, p in zip(rows.term, rows.postings)}
-        found = [(int(rows.segment.iloc[0]), d, item, spans.astype(np.int64).tobytes())
-                 for item, d, spans in _matches(posts, windows, common, slop)]
-        return pd.DataFrame(found, columns=["segment", "doc", "item", "spans"])
+    def run(rows: pa.Table) -> pa.Table:
+        posts = {t: _unpacked(p) for t, p in zip(rows.column("term").to_pylist(), rows.column("postings").to_pylist())}
+        segment = rows.column("segment")[0].as_py()
+        found = [(segment, d, item, spans.astype(np.int64).tobytes()) for item, d, spans in _matches(posts, windows, common, slop)]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found) if found else [()] * 4, MATCHES_ARROW)],
+                                    schema=MATCHES_ARROW)
 
-    return hits.groupBy("segment").applyInPandas(run, "segment long, doc long, item string, spans binary")
+    return hits.groupBy("segment").applyInArrow(run, MATCHES)
 
 
 def covered(spans: np.ndarray) -> int:
@@ -255,7 +257,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW_WORDS,
     if size <= BLOCK_BYTES:  # else every term is indexed
         terms = {bytes(r.term) for r in used.collect()}
     index = written(build_index(docs, terms, keep, segment_bytes), "index")
-    found = spark.createDataFrame([], "segment long, doc long, item string, spans binary")
+    found = spark.createDataFrame([], MATCHES)
     for n, block in enumerate(item_blocks(items)):
         part = search(index, block, width, slop)
         found = part if n == 0 else found.union(part)
@@ -263,24 +265,28 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW_WORDS,
     fields = [docs.schema[c] for c in keep]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
-    def finish(hits: pd.DataFrame, segment: pd.DataFrame) -> pd.DataFrame:
-        held = [pa.ipc.open_stream(bytes(d)).read_all() for d in segment.docs]
-        out = pa.concat_tables(held).to_pandas(types_mapper=pd.ArrowDtype)
+    def finish(hits: pa.Table, segment: pa.Table) -> pa.Table:
+        out = pa.concat_tables([pa.ipc.open_stream(d).read_all() for d in segment.column("docs").to_pylist()])
         spans, exact, near = defaultdict(list), defaultdict(set), defaultdict(set)
-        for d, item, s in zip(hits.doc, hits["item"], hits.spans):
+        for d, item, s in zip(*[hits.column(c).to_pylist() for c in ("doc", "item", "spans")]):
             near[d].add(item)
             if len(s):
                 exact[d].add(item)
                 spans[d].append(np.frombuffer(s, np.int64).reshape(-1, 2))
         n = range(len(out))
-        out["n_hit"] = [covered(np.concatenate(spans[d])) if d in spans else 0 for d in n]
-        out["n_items"] = [len(exact[d]) if d in exact else 0 for d in n]
-        out["items_sha256"] = [hashlib.sha256(",".join(sorted(exact[d] if d in exact else ())).encode()).hexdigest() for d in n]
-        out["contaminated"] = out["n_hit"] > 0
-        out["n_near_items"] = [len(near[d]) if d in near else 0 for d in n]
+        n_hit = [covered(np.concatenate(spans[d])) if d in spans else 0 for d in n]
+        more = {
+            "n_hit": pa.array(n_hit, pa.int64()),
+            "n_items": pa.array([len(exact[d]) if d in exact else 0 for d in n], pa.int64()),
+            "items_sha256": pa.array([hashlib.sha256(",".join(sorted(exact[d] if d in exact else ())).encode()).hexdigest() for d in n], pa.string()),
+            "contaminated": pa.array([x > 0 for x in n_hit], pa.bool_()),
+            "n_near_items": pa.array([len(near[d]) if d in near else 0 for d in n], pa.int64()),
+        }
+        for name, column in more.items():
+            out = out.append_column(name, column)
         return out
 
-    return found.groupBy("segment").cogroup(index.where("term IS NULL").groupBy("segment")).applyInPandas(
+    return found.groupBy("segment").cogroup(index.where("term IS NULL").groupBy("segment")).applyInArrow(
         finish, f"{kinds}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long")
 
 

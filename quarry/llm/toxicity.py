@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +26,8 @@ FIT_ROWS = 8000
 #: only words seen this many standard deviations more often in toxic sample rows than chance are features
 Z = 5.0
 STEPS, RATE, L1 = 2000, 0.5, 2e-5
+#: words whose features a task remembers while it scores
+KEPT_WORDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -147,31 +148,40 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> SeverityMod
     return SeverityModel(weights, (float(cuts[0]), float(cuts[1])), float(_sigmoid(best - cuts[0])))
 
 
+class _Kept(dict):
+    """word -> its features that have a weight; emptied at ``KEPT_WORDS``"""
+
+    def __init__(self, weights: dict[int, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word):
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        self[word] = found = tuple(b for b in _features(word) if b in self.weights)
+        return found
+
+
 def severity_column(model: SeverityModel, text: str = "text"):
     """struct(severity, p_toxic, grade) of a text column; a null or wordless text has the score 0 of
     a text without any weighted word."""
 
-    @F.pandas_udf("severity double, p_toxic double, grade int")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        class Kept(dict):
-            """word -> its features that have a weight; emptied when it gets large"""
-
-            def __missing__(self, word):
-                if len(self) > 1_000_000:
-                    self.clear()
-                self[word] = found = tuple(b for b in _features(word) if b in model.weights)
-                return found
+    # on Arrow arrays: a worker holds one text at a time as an object, and no pandas
+    @F.arrow_udf("struct<severity:double,p_toxic:double,grade:int>")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def columns(severity, p_toxic, grade):
+            return pa.StructArray.from_arrays([pa.array(severity, pa.float64()), pa.array(p_toxic, pa.float64()), pa.array(grade, pa.int32())],
+                                              ["severity", "p_toxic", "grade"])
 
-        kept = Kept()
+        kept = _Kept(model.weights)
         for texts in batches:
             if model.cuts is None:
                 zero = np.zeros(len(texts))
-                yield pd.DataFrame({"severity": zero, "p_toxic": zero, "grade": zero.astype("int32")})
+                yield columns(zero, zero, zero.astype("int32"))
                 continue
-            z = np.array([sum(model.weights[b] for b in sorted({b for w in _words(t) for b in kept[w]})) for t in texts])
-            over = [_sigmoid(z - c) if len(z) else z for c in model.cuts]
-            grade = (over[0] >= 0.5).astype("int32") + (over[1] >= 0.5)
-            yield pd.DataFrame({"severity": over[0] + over[1], "p_toxic": over[0], "grade": grade.astype("int32")})
+            z = np.array([sum(model.weights[b] for b in sorted({b for w in _words(t.as_py()) for b in kept[w]})) for t in texts], float)
+            over = [_sigmoid(z - c) for c in model.cuts]
+            yield columns(over[0] + over[1], over[0], (over[0] >= 0.5).astype("int32") + (over[1] >= 0.5))
 
     return scored(F.col(text).cast("binary"))
 
